@@ -4,7 +4,7 @@ Pivots are a bounded sample of the vectors (``pivots`` rows, picked by a hash of
 represented by its ``nearest`` nearest pivots, nearest first. Vectors are packed into blocks; in a block every
 pivot has an inverted file: the vectors that have it, and at which place. A query visits the files of its own
 nearest pivots and adds up the footrule distance (the sum of differences of place, a missing pivot standing at
-the last place + 1) to every vector; the ``rerank`` share of the block that is nearest by footrule, ties
+the last place + 1) to every vector; the ``rerank`` share of the block (``LEAST`` rows at least) that is nearest by footrule, ties
 included, is ranked again by the exact measure on the original vectors, and the blocks' best are merged.
 
 Nearness is the largest inner product in double precision, ties to the smaller id. For pivots, vectors get one
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracelane.llm.common import staged
 
-PIVOTS, NEAREST, RERANK = 256, 64, 0.15
+PIVOTS, NEAREST, RERANK, LEAST = 256, 64, 0.3, 256
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -127,7 +127,7 @@ def _searcher(picked: dict[int, np.ndarray], norms: dict[int, float], k: int, ne
                 pivots = picked[dim]
                 files = InvertedFiles(permutations(x, pivots, norms[dim], nearest, False), len(pivots))
                 own = permutations(q, pivots, norms[dim], nearest, True)
-                most = min(len(ids), max(k + 1, int(np.ceil(rerank * len(ids)))))
+                most = min(len(ids), max(k + 1, LEAST, int(np.ceil(rerank * len(ids)))))
                 out_ids, out_scores = [], []
                 for n in range(len(q_ids)):
                     away = files.footrule(own[n])
