@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tracelane.plans import request_queries
+
+FAMILIES = (request_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in FAMILIES for k, v in f.Q.items()}
+ORACLE_SQL: dict[str, str] = {k: v for f in FAMILIES for k, v in f.SQL.items()}
