@@ -118,7 +118,7 @@ def bootstrap_ratio(df: DataFrame, cluster: str, value: str, keys: Sequence[str]
     drawn = slots.withColumn("i_", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("c_")))
     times = drawn.groupBy(*keys, "rep", "i_").agg(F.count("*").alias("times"))
     picked = times.join(clusters, [*keys, "i_"]).join(rows, [*keys, cluster])
-    medians = picked.groupBy(*keys, "rep").agg(F.percentile("v_", 0.5, "times").alias("m_"))
+    medians = picked.groupBy(*keys, "rep").agg(F.percentile("v_", 0.5, F.col("times")).alias("m_"))
     limits = medians.groupBy(*keys).agg(F.percentile("m_", F.array(F.lit(0.025), F.lit(0.975))).alias("q_"))
     point = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(cluster).alias("n_clusters"), F.percentile("v_", 0.5).alias("median_ratio"))
     return point.join(limits, list(keys)).select(*keys, "n_rows", "n_clusters", "median_ratio", F.col("q_")[0].alias("ci_low"), F.col("q_")[1].alias("ci_high"))

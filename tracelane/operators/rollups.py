@@ -141,3 +141,19 @@ def time_bin(at: Column | str, start: Column | str, width: int) -> Column:
     """The bin of a time, counted from start; earlier times get negative bins."""
     a, s = (F.col(c) if isinstance(c, str) else c for c in (at, start))
     return F.floor((a - s) / F.lit(width)).cast("long")
+
+
+def sparse_status(n: str, least: int = 3) -> Column:
+    """Whether a group has enough samples for its rate to be compared."""
+    return F.when(F.col(n).isNull(), "missing").when(F.col(n) < least, "sparse").otherwise("comparable")
+
+
+def ratio_groups(df: DataFrame, group: str, flag: str = "comparable") -> tuple[DataFrame, DataFrame]:
+    """Ratios to a baseline without the baseline's own rows: comparable ones, and confounded or unknown ones."""
+    other = df.where(F.col(group) != F.col(f"baseline_{group}"))
+    return other.where(F.coalesce(flag, F.lit(False))), other.where(~F.coalesce(flag, F.lit(False)))
+
+
+def context_fit(df: DataFrame, evidence: str | None, limit: int) -> DataFrame:
+    """Rows known to fit a context limit: none without a column of exact evidence, whatever other sizes say."""
+    return df.where(F.lit(False)) if evidence is None else df.where(F.col(evidence) <= limit)

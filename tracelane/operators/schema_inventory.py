@@ -43,7 +43,7 @@ def inventory(flat: DataFrame, n_records: int | F.Column) -> DataFrame:
     .unit with their counts where they are mixed."""
     n = F.lit(n_records) if isinstance(n_records, int) else n_records
     base = flat.groupBy("path").agg(
-        F.count("*").alias("n_present"), F.count_if("kind = 'null'").alias("n_null"), F.array_join(F.array_sort(F.collect_set("kind")), ";").alias("kinds"),
+        F.count("*").alias("n_present"), F.count_if(F.col("kind") == "null").alias("n_null"), F.array_join(F.array_sort(F.collect_set("kind")), ";").alias("kinds"),
         F.min(F.when(~F.col("kind").isin("array", "object", "null"), number("value"))).alias("min_value"), F.max(F.when(~F.col("kind").isin("array", "object", "null"), number("value"))).alias("max_value"),
     )
     units = flat.where(F.lower("path").endswith(".unit")).groupBy(F.regexp_replace("path", r"(?i)\.unit$", "").alias("metric_key"), "value").agg(F.count("*").alias("n"))

@@ -139,7 +139,7 @@ def root_summary(flat: DataFrame, declared: DataFrame | None = None) -> DataFram
 
 
 def cache_shape(state: DataFrame, keys: list[str]) -> DataFrame:
-    return state.groupBy(*keys).agg(F.count("*").alias("n_requests"), F.count("shared_blocks").alias("n_with_previous"), F.percentile("cached_ratio", 0.5).alias("cached_ratio_p50"), F.percentile("cached_ratio", 0.9).alias("cached_ratio_p90"), F.sum("cached_tokens").alias("cached_tokens"), F.sum("new_tokens").alias("new_tokens"), F.count_if("rollback_blocks > 0").alias("n_rollbacks"))
+    return state.groupBy(*keys).agg(F.count("*").alias("n_requests"), F.count("shared_blocks").alias("n_with_previous"), F.percentile("cached_ratio", 0.5).alias("cached_ratio_p50"), F.percentile("cached_ratio", 0.9).alias("cached_ratio_p90"), F.sum("cached_tokens").alias("cached_tokens"), F.sum("new_tokens").alias("new_tokens"), F.count_if(F.col("rollback_blocks") > 0).alias("n_rollbacks"))
 
 
 def trace_check(lines: DataFrame, column: str = "value") -> DataFrame:
