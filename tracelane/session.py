@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "8m"
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -25,7 +26,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark application."""
+    """Send this package to the executors, once for each Spark application, and keep Arrow batches small, so that a
+    Python worker and the JVM hold little of a table of long texts at a time."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    if batch.strip("b") in ("64m", str(64 << 20), "-1"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_tracelane_shipped", False):
         return
