@@ -9,10 +9,13 @@ Texts that agree in a sketch are candidates, verified by banded alignment: with
 aligned in order, the similarity is m / (n1 + n2 - m), and 0.8 or more is a link. The band is the number of
 unaligned k-mers that such a similarity allows, so the band never changes a verdict.
 
-Pairs are never formed within a whole group. First every text of a group (the texts that share one sketch) is
-compared with the group's smallest id only. Links give components; in groups whose texts are all in one
-component nothing is left to find. In the other groups texts of different components and fitting sizes are
-compared too, whatever their number, so the outcome equals that of comparing all pairs of the group.
+Pairs are never formed within a whole group (the texts that share one sketch). First every text is compared with
+its group's smallest id only; links give components, and a group whose texts are all in one component is done. In
+the other groups the k-mers that only one of their texts has are counted: they can't be aligned to anything, so
+they bound a text's similarity to every other. Then every text outside the component of the group's most typical
+text (the one with the smallest share of such k-mers) is compared with that text, and at last with all texts of
+other components that sizes and bounds allow, whatever their number, in cells of bounded size. Every pair left out is in one component
+already or provably below the threshold, so the classes equal those of comparing all pairs of every group.
 
 Texts with equal words are copies: they are one text from the start. A text without words (null or empty too)
 is its own class. A text of fewer than five words has one k-mer: the whole of it. Ids are the class labels: rows
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import by_bytes, flat_text, mix, split_words, staged
+from tracelane.llm.common import by_bytes, flat_text, mix, split_words, staged, tidy
 from tracelane.llm.components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -104,7 +107,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int = WORDS, sketches:
                 sketch.append(order_sketches(items[a:b], sketches, least).view(np.int64) if b > a else [])
             yield pa.RecordBatch.from_arrays([table["id"].combine_chunks(), pa.array(digest, pa.binary()), pa.array(np.diff(at)), pa.array(blob, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "digest", "n", "kmers", "sketches"])
 
-    return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(sign, f"id {kind}, digest binary, n long, kmers binary, sketches array<long>")
+    return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(sign), f"id {kind}, digest binary, n long, kmers binary, sketches array<long>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -145,8 +148,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that are similar. texts: rep and kmers of each text."""
-    left = texts.select(F.col("rep").alias("a"), F.col("kmers").alias("x"))
-    right = texts.select(F.col("rep").alias("b"), F.col("kmers").alias("y"))
+    left = texts.select(F.col("rep").alias("a"), F.col("kmers").alias("x")).hint("merge")
+    right = texts.select(F.col("rep").alias("b"), F.col("kmers").alias("y")).hint("merge")
     both = pairs.join(right, "b").join(left, "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,47 +157,128 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             keep = [similarity(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), least) >= least for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, pairs.select("a", "b").schema)
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(verify), pairs.select("a", "b").schema)
+
+
+def _alone(body: DataFrame) -> DataFrame:
+    """(rep, alone): how many k-mers of each text no other of these texts has."""
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(np.frombuffer(x.as_buffer(), np.uint32), return_counts=True) for x in batch.column("kmers")]
+            if own:
+                rep = batch.column("rep").take(pa.array(np.repeat(np.arange(len(own)), [len(k) for k, _ in own])))
+                yield pa.RecordBatch.from_arrays([rep, pa.array(np.concatenate([k for k, _ in own]).astype(np.int64)), pa.array(np.concatenate([c for _, c in own]))], names=["rep", "kmer", "times"])
+
+    kind = body.schema["rep"].dataType.simpleString()
+    seen = body.mapInArrow(tidy(numbers), f"rep {kind}, kmer long, times long")
+    single = seen.groupBy("kmer").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("times").alias("times")).where(F.col("rep") == F.col("other"))
+    return single.groupBy("rep").agg(F.sum("times").alias("alone"))
+
+
+CELL = 512
+
+
+def _rest(members: DataFrame, group: list[str], least: float) -> DataFrame:
+    """Links between texts of different components of a group, at least one being outside the group's main one.
+
+    Groups are cut into cells of about CELL texts on each side, so none has to fit into a task. A pair that shares
+    several sketches is looked at in the first of their groups only. What can't reach the threshold by size, by
+    k-mers that no other text has, or by k-mers in common, is not aligned; nothing but links leaves a cell.
+    """
+    sizes = members.groupBy(*group).agg(F.count("*").alias("all"), F.count_if(F.col("part") != F.col("centre")).alias("outside"))
+    members = members.join(sizes, group).withColumns({"m_cells": F.ceil(F.col("all") / CELL).cast("int"), "o_cells": F.ceil(F.col("outside") / CELL).cast("int")})
+    columns = [*group, "rep", "n", "part", "fits", "sketches", "kmers"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    outside = members.where(F.col("part") != F.col("centre")).withColumn("o", own("o_cells")).withColumn("m", every("m_cells")).select(*(F.col(c).alias(c) for c in (*columns, "o", "m")))
+    inside = members.where("o_cells > 0").withColumn("m", own("m_cells")).withColumn("o", every("o_cells")).select(*(F.col(c).alias(c) for c in (*columns, "o", "m")))
+    keys = [*group, "o", "m"]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            no = left["no"][0].as_py()
+            get = lambda t, c: t[c].to_numpy()
+            sketches = [np.array(t["sketches"].to_pylist(), np.int64) for t in (left, right)]
+            kmer = [[np.frombuffer(x.as_buffer(), np.uint32) for x in t["kmers"]] for t in (left, right)]
+            reps, n, part, fits = get(right, "rep"), get(right, "n"), get(right, "part"), get(right, "fits")
+            flat = np.concatenate(kmer[1])
+            edge = np.concatenate([[0], np.cumsum([len(x) for x in kmer[1]])[:-1]])
+            for i, (rep, n_i, part_i, fits_i) in enumerate(zip(*(get(left, c) for c in ("rep", "n", "part", "fits")), strict=True)):
+                m = np.minimum(fits, fits_i)
+                look = (part != part_i) & (m >= (least - 1e-9) * (n + n_i - m)) & (np.argmax(sketches[1] == sketches[0][i], axis=1) == no)
+                if not look.any():
+                    continue
+                known = np.unique(kmer[0][i])
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                m = np.minimum(m, np.add.reduceat((known[at] == flat).astype(np.int64), edge))
+                for j in np.flatnonzero(look & (m >= (least - 1e-9) * (n + n_i - m))):
+                    if similarity(kmer[0][i], kmer[1][j], least) >= least:
+                        out_a.append(min(rep, reps[j]))
+                        out_b.append(max(rep, reps[j]))
+        kind = left.schema.field("rep").type
+        return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
+
+    kind = members.schema["rep"].dataType.simpleString()
+    return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = WORDS, sketches: int = SKETCHES, least: int = LEAST) -> DataFrame:
-    """One row for each id: the id, class_id (the smallest id of its class), class_size, n_links (links of its text
-    that were verified to other texts) and kept (id = class_id). Rows whose id is null are left out."""
+    """One row for each id: the id, class_id (the smallest id of its class), class_size and kept (id = class_id).
+    Rows whose id is null are left out."""
     signed = staged(signatures(df.where(F.col(key).isNotNull()), key, text, words, sketches, least), "signatures")
     # nulls come first in Spark's order, so an id's row without words would win over others: they come last here
     one = F.min(F.struct(F.col("digest").isNull().alias("empty"), F.col("digest").alias("digest")))
     documents = staged(signed.groupBy("id").agg(one.alias("x")).select("id", F.col("x.digest").alias("digest")), "ids")
+    # sides that grow with the input are never broadcast, so a plan is the same at every size: hence the hints
     copies = documents.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
-    texts = signed.join(copies.select(F.col("rep").alias("id"), F.col("digest").alias("own")), "id").where(F.col("digest") == F.col("own"))
-    texts = staged(texts.groupBy("id", "n").agg(F.first("kmers").alias("kmers"), F.first("sketches").alias("sketches")).withColumnRenamed("id", "rep"), "texts")
+    chosen = copies.select(F.col("rep").alias("id"), F.col("digest").alias("own"))
+    of_rep = lambda *columns: signed.join(chosen.hint("merge"), "id").where(F.col("digest") == F.col("own")).select(F.col("id").alias("rep"), *columns)
+
+    texts = of_rep("n", "sketches").dropDuplicates(["rep"])
+    texts = staged(texts.select("rep", "n", F.posexplode("sketches").alias("no", "sketch")), "sketches")
+    group = ["no", "sketch"]
+    groups = texts.groupBy(*group).agg(F.min("rep").alias("first"), F.count("*").alias("size")).where(F.col("size") > 1)
+    member = staged(texts.join(groups.hint("merge"), group).select(*group, "rep", "n", "first"), "groups")
+    grouped = member.select(F.col("rep").alias("id")).distinct()
+    body = staged(signed.select("id", "digest", "kmers").join(grouped.hint("merge"), "id", "left_semi").join(chosen.hint("merge"), "id").where(F.col("digest") == F.col("own")).groupBy(F.col("id").alias("rep")).agg(F.first("kmers").alias("kmers")), "kmers")
 
-    member = texts.select("rep", "n", F.posexplode("sketches").alias("no", "sketch"))
-    groups = member.groupBy("no", "sketch").agg(F.min("rep").alias("first"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.count("*").alias("size")).where(F.col("size") > 1)
-    member = staged(member.join(groups, ["no", "sketch"]).select("no", "sketch", "rep", "n", "first"), "groups")
     fitting = lambda a, b: F.least(a, b) >= F.lit(similar) * F.greatest(a, b)
-    size_of = member.where(F.col("rep") == F.col("first")).select("no", "sketch", F.col("n").alias("m"))
-    pairs = member.where(F.col("rep") != F.col("first")).join(size_of, ["no", "sketch"]).where(fitting(F.col("n"), F.col("m"))).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    body = texts.select("rep", "kmers")
+    size_of = member.where(F.col("rep") == F.col("first")).select(*group, F.col("n").alias("m"))
+    pairs = member.where(F.col("rep") != F.col("first")).join(size_of, group).where(fitting(F.col("n"), F.col("m"))).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     links = staged(_verified(pairs, body, similar), "links")
-    found = components(links)
 
-    # groups that still hold texts of different components: the pairs not yet compared
-    label = F.coalesce("component", "rep").alias("part")
-    parted = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("no", "sketch", "rep", "n", "first", label)
-    open_ = parted.groupBy("no", "sketch").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("no", "sketch")
-    rest = parted.join(open_, ["no", "sketch"]).where(F.col("rep") != F.col("first"))
-    x, y = rest.alias("x"), rest.alias("y")
-    on = (F.col("x.no") == F.col("y.no")) & (F.col("x.sketch") == F.col("y.sketch")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & fitting(F.col("x.n"), F.col("y.n"))
-    more = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    def parted(links: DataFrame) -> DataFrame:
+        """The groups that hold texts of different components, with each text's component."""
+        out = member.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+        open_ = out.groupBy(*group).agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select(*group)
+        return staged(out.join(open_, group).select(*group, "rep", "n", "first", "part"), "open")
+
+    rest = parted(links)
+    alone = staged(_alone(body.join(rest.select("rep").distinct(), "rep", "left_semi")), "alone")
+    bounded = lambda df: df.join(alone, "rep", "left").withColumn("fits", F.col("n") - F.coalesce("alone", F.lit(0)))
+    # m is at most what fits of either text; m / (n1 + n2 - m) grows with m
+    most = lambda x, y: F.least(F.col(f"{x}.fits"), F.col(f"{y}.fits"))
+    possible = lambda x, y: fitting(F.col(f"{x}.n"), F.col(f"{y}.n")) & (most(x, y) >= F.lit(similar - 1e-9) * (F.col(f"{x}.n") + F.col(f"{y}.n") - most(x, y)))
+    same_group = lambda x, y: (F.col(f"{x}.no") == F.col(f"{y}.no")) & (F.col(f"{x}.sketch") == F.col(f"{y}.sketch"))
+    ordered = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+
+    typical = lambda df: df.groupBy(*group).agg(F.min_by(F.struct("rep", "n", "fits", "part"), F.struct(F.col("fits") / F.col("n") * -1, "rep")).alias("t")).select(*group, "t.*")
+    able = bounded(rest).where(F.col("fits") >= F.lit(similar - 1e-9) * F.col("n"))  # others can't be similar to any text
+    more = able.alias("x").join(typical(able).alias("y"), same_group("x", "y") & (F.col("x.part") != F.col("y.part")) & possible("x", "y")).select(*ordered).distinct()
     links = staged(links.unionByName(_verified(more, body, similar)).distinct(), "links")
+    able = bounded(parted(links)).where(F.col("fits") >= F.lit(similar - 1e-9) * F.col("n"))
+    centre = typical(able).select(*group, F.col("part").alias("centre"))
+    whole = texts.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("no", "sketch"))).getField("sketch").alias("sketches"))  # one entry for each hash function
+    members = staged(able.join(centre, group).join(whole, "rep").join(body, "rep"), "members")
+    links = staged(links.unionByName(_rest(members, group, similar)).distinct(), "links")
     found = components(links)
 
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    reps = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classed = documents.join(reps, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classed = staged(classed, "classes")
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return classed.join(sizes, "class_id").select(F.col("id").alias(key), "class_id", "class_size", "n_links", (F.col("id") == F.col("class_id")).alias("kept"))
+    reps = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
+    classed = staged(documents.join(reps, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id")), "classes")
+    sizes = staged(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")  # apart, so that the join can be split where a class is large
+    return classed.join(sizes.hint("merge"), "class_id").select(F.col("id").alias(key), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
 def first_of_each_class(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
