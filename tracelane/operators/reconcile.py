@@ -138,3 +138,24 @@ def long_report(df: DataFrame, keys: Sequence[str], metrics: dict[str, tuple[str
     """metric, value, unit, meaning and status rows of a summary; a null value is Unknown, never zero."""
     rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(u).alias("unit"), F.lit(t).alias("meaning")) for m, (u, t) in metrics.items())))
     return df.select(*keys, rows.alias("x")).select(*keys, "x.*").withColumn("status", F.when(F.col("value").isNull(), "Unknown").otherwise("available"))
+
+
+def profile_context(files: DataFrame, artifacts: DataFrame, path: str = "path") -> DataFrame:
+    """Each file's artifact: one whose name is a folder of the path, else one whose id is such a folder's part, else
+    the only one of the path's concurrency; several at one level, or none at all, leave it open.
+
+    artifacts (artifact_name, artifact_id, concurrency) is the inventory of a run; files meet it by folder names.
+    """
+    from tracelane.functions.ids import path_concurrency
+
+    parts = files.select(path).distinct().withColumn("part_", F.explode(F.split(path, "/")))
+    a = artifacts.select("artifact_name", "artifact_id", "concurrency")
+    by_name = parts.join(a, F.col("part_") == F.col("artifact_name")).select(path, "artifact_id", F.lit(1).alias("level"))
+    words = parts.select(path, F.explode(F.split("part_", "[^0-9A-Za-z]+")).alias("word_")).distinct()
+    by_id = words.join(a, F.col("word_") == F.col("artifact_id")).select(path, "artifact_id", F.lit(2).alias("level"))
+    conc = files.select(path).distinct().withColumn("c_", path_concurrency(path))
+    by_conc = conc.join(a, F.col("c_") == F.col("concurrency")).select(path, "artifact_id", F.lit(3).alias("level"))
+    found = by_name.unionByName(by_id).unionByName(by_conc).distinct().groupBy(path, "level").agg(F.count("*").alias("n_"), F.min("artifact_id").alias("a_"))
+    best = found.groupBy(path).agg(F.min_by(F.struct("n_", "a_", "level"), "level").alias("b_"))
+    names = F.element_at(F.array(F.lit("folder_name"), F.lit("folder_id"), F.lit("concurrency")), F.col("b_.level"))
+    return files.join(best, path, "left").select(*files.columns, F.when(F.col("b_.n_") == 1, F.col("b_.a_")).alias("artifact_id"), F.when(F.col("b_").isNull(), "not_found").when(F.col("b_.n_") > 1, "ambiguous").otherwise(names).alias("context_rule"))

@@ -157,3 +157,16 @@ def ratio_groups(df: DataFrame, group: str, flag: str = "comparable") -> tuple[D
 def context_fit(df: DataFrame, evidence: str | None, limit: int) -> DataFrame:
     """Rows known to fit a context limit: none without a column of exact evidence, whatever other sizes say."""
     return df.where(F.lit(False)) if evidence is None else df.where(F.col(evidence) <= limit)
+
+
+def with_all_buckets(summary: DataFrame, bucket: str, labels: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """summary with a row for every label, in order (bucket_no): a bucket without rows has count 0 and null measures."""
+    listed = summary.sparkSession.createDataFrame(list(enumerate(labels)), f"bucket_no int, `{bucket}` string")
+    return listed.join(summary, bucket, "left").na.fill(0, list(counts))
+
+
+def cache_summary(df: DataFrame, keys: Sequence[str], prompt: str = "prompt_tokens", cached: str = "cached_tokens") -> DataFrame:
+    """Cached over prompt tokens of a group, over rows that export both, and whether that is all of them."""
+    ok = F.col(prompt).isNotNull() & F.col(cached).isNotNull() & (F.col(cached) >= 0) & (F.col(prompt) >= F.col(cached))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n_requests"), F.count_if(ok).alias("n_exported"), ratio(F.sum(F.when(ok, F.col(cached))), F.sum(F.when(ok, F.col(prompt)))).alias("cache_ratio"))
+    return out.withColumn("cache_status", F.when(F.col("n_exported") == 0, "not_exported").when(F.col("n_exported") < F.col("n_requests"), "partial").otherwise("explicit"))

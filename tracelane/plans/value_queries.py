@@ -171,3 +171,37 @@ def sparse_suppression(spark: SparkSession, d: str) -> DataFrame:
 def whole_keys(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", ids.joined_key("conv_id", "turn").alias("k"), ids.whole_key(F.concat(F.col("turn").cast("string"), F.lit(".0"))).alias("whole"))
+
+
+@query(request_sql("""
+SELECT CAST(b.i AS INTEGER) AS bucket_no, b.b AS bucket, coalesce(s.n, 0) AS n, s.m AS mean_ttft_ms FROM (SELECT unnest(range(0, 5)) AS i, unnest(['<32k', '32k-64k', '64k-128k', '128k-256k', '256k+']) AS b) b
+LEFT JOIN (SELECT CASE WHEN input_tokens * 1000 < 32000 THEN '<32k' WHEN input_tokens * 1000 < 64000 THEN '32k-64k' WHEN input_tokens * 1000 < 128000 THEN '64k-128k' END AS bucket, count(*) AS n, round(avg(ttft_ms), 8) AS m FROM p GROUP BY ALL) s ON s.bucket = b.b"""))
+def input_buckets(spark: SparkSession, d: str) -> DataFrame:
+    g = rq.profiled(requests(spark, d)).withColumn("i", F.col("input_tokens") * 1000)
+    s = g.groupBy(rollups.input_bucket("i").alias("bucket")).agg(F.count("*").alias("n"), F.avg("ttft_ms").alias("mean_ttft_ms"))
+    return rounded(rollups.with_all_buckets(s, "bucket", ["<32k", "32k-64k", "64k-128k", "128k-256k", "256k+"], ["n"]).select("bucket_no", "bucket", "n", "mean_ttft_ms"))
+
+
+@query(request_sql("""
+SELECT concurrency, count(*) AS n_requests, count(*) FILTER (input_tokens >= user_id AND record_ordinal % 5 > 0) AS n_exported, round(sum(user_id) FILTER (input_tokens >= user_id AND record_ordinal % 5 > 0) / nullif(sum(input_tokens) FILTER (input_tokens >= user_id AND record_ordinal % 5 > 0), 0), 8) AS cache_ratio, 'partial' AS cache_status FROM p GROUP BY concurrency"""))
+def cache_ratios(spark: SparkSession, d: str) -> DataFrame:
+    g = rq.profiled(requests(spark, d)).withColumns({"prompt_tokens": F.col("input_tokens"), "cached_tokens": F.when(F.col("record_ordinal") % 5 > 0, F.col("user_id").cast("double"))})
+    return rounded(rollups.cache_summary(g, ["concurrency"]))
+
+
+@query("""SELECT name, largest, coalesce(n, 0) AS n, CASE WHEN largest IS NULL THEN 'Unknown' ELSE 'observed' END AS status FROM (SELECT unnest(['running_requests', 'waiting_reqs', 'queue_reqs']) AS name) LEFT JOIN (
+  SELECT 'running_requests' AS name, max(event_id % 40) AS largest, count(*) AS n FROM events UNION ALL SELECT 'waiting_reqs', max(event_id % 7), count(*) FROM events) USING (name)""")
+def observed_counters(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    line = F.concat(F.lit("max_running_requests=200 running_requests="), (i % 40).cast("string"), F.lit(" waiting_reqs: "), (i % 7).cast("string"))
+    x = table(spark, d, "events").select(F.explode(tx.counters(line)).alias("c")).select("c.*")
+    return routing.counter_summary(x, ["running_requests", "waiting_reqs", "queue_reqs"])
+
+
+@query("""
+SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'a1' WHEN 1 THEN '77' WHEN 2 THEN 'a4' END AS artifact_id, CASE conv_id % 4 WHEN 0 THEN 'folder_name' WHEN 1 THEN 'folder_id' WHEN 2 THEN 'concurrency' ELSE 'not_found' END AS context_rule FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def profile_contexts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("conv_id") % 4
+    path = F.concat(F.when(k == 0, "/x/run-one").when(k == 1, "/x/part_77_b").when(k == 2, "/x/conc4").otherwise("/x/y"), F.lit("/f"), F.col("conv_id").cast("string"))
+    art = spark.createDataFrame([("run-one", "a1", 1), ("run-two", "77", 2), ("run-four", "a4", 4)], "artifact_name string, artifact_id string, concurrency int")
+    return rc.profile_context(table(spark, d, "conversations").select("conv_id", path.alias("path")).distinct(), art).drop("path")
