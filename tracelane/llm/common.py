@@ -40,13 +40,41 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+_scratch: list[list[DataFrame]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and executors can be lost."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those passed through the function that it gives."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _scratch.remove(made)
+        discard(*(t for t in made if all(t is not k for k in kept)))
 
 
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

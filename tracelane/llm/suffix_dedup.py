@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array, mix, renamed_clashes, shared_dir, shuffles_dropped, staged, struct_of
+from tracelane.llm.common import arrow_schema, by_bytes, discard, flat_text, list_array, mix, renamed_clashes, shared_dir, shuffles_dropped, staged, struct_of, tidy
 
 LENGTH, PERIOD = 200, 133
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Suffixes sorted at once, for the whole cluster, and for one task.
 BUCKET, PER_TASK = 120_000_000, 1_500_000
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
@@ -63,27 +63,43 @@ def difference_cover(v: int) -> tuple[int, ...]:
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
-def prefix_classes(raw: np.ndarray, length: int, segment: int = 1 << 16) -> np.ndarray:
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, for all places that have as many."""
+    n = len(raw) - 7
+    out = np.empty(max(n, 0), np.uint64)
+    for k in range(min(8, n)):
+        m = (n - k + 7) // 8
+        out[k::8] = np.frombuffer(raw[k : k + 8 * m].tobytes(), np.uint64)
+    return out
+
+
+def prefix_classes(raw: np.ndarray, length: int, segment: int = 1 << 15) -> np.ndarray:
     """Fingerprints of the length bytes from each place (fewer places than bytes: the last length - 1 have none).
 
-    Fingerprints of 1, 2, 4, ... bytes are made by joining two of half the size; the length's binary digits
-    say which to join. Segments keep the work in cache.
+    Fingerprints of 8, 16, 32, ... bytes are made by joining two of half the size; the length's binary digits
+    say which to join, and the last eight bytes cover what is left. Segments keep the work in cache.
     """
     n = len(raw) - length + 1
     out = np.empty(max(n, 0), np.uint64)
-    seed = mix(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+    if length < 8:
+        for k in range(length if n > 0 else 0):
+            out[:] = mix(raw[k : k + n] + np.uint64(1)) if k == 0 else _joined(out, raw[k : k + n] + np.uint64(1))
+        return mix(out)
     for a in range(0, max(n, 0), segment):
         b = min(a + segment, n)
-        level, size, got, have = seed[raw[a : b + length - 1]], 1, None, 0
+        words = _words(raw[a : b + length - 1])
+        level, size, got, have = mix(words), 8, None, 0
         while True:
             if length & size:
                 part = level[have : have + b - a]
-                got = part.copy() if got is None else _joined(got, part)
+                got = part if got is None else _joined(got, part)
                 have += size
             if size * 2 > length:
                 break
             level = _joined(level[:-size], level[size:])
             size *= 2
+        if have < length:
+            got = _joined(got, words[length - 8 : length - 8 + b - a])
         out[a:b] = mix(got)
     return out
 
@@ -100,6 +116,8 @@ def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def text_blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, rows (the documents' other columns), data (their texts as bytes) and ends (offsets of their ends)."""
     rows = T.StructType([f for f in df.schema.fields if f.name != text])
+    if not rows.fields:
+        raise ValueError("the table needs a column besides the text")
     schema = T.StructType([T.StructField("block", T.StringType(), False), T.StructField("rows", T.ArrayType(rows, True), False), T.StructField("data", T.BinaryType(), False), T.StructField("ends", T.ArrayType(T.LongType(), False), False)])
     want = arrow_schema(schema)
 
@@ -113,7 +131,7 @@ def text_blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Dat
             columns = [pa.array([f"{part}-{k}"]), one(struct_of(table, rows)), pa.array([raw.tobytes()], pa.binary()), one(pa.array(off[1:]))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, want, strict=True)], schema=want)
 
-    return df.mapInArrow(pack, schema)
+    return df.mapInArrow(tidy(pack), schema)
 
 
 def _starts(ends: np.ndarray) -> np.ndarray:
@@ -240,7 +258,7 @@ def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period:
             if len(at) and (rows := list(_send(block, prefix_classes(raw, depth)[at], 0, whole, slices))):
                 yield _rows(rows)
 
-    ranks = staged(_sort_slices(blocks.select("block", "data", "ends").mapInArrow(sample, _SENT)), "ranks")
+    ranks = staged(_sort_slices(blocks.select("block", "data", "ends").mapInArrow(tidy(sample), _SENT)), "ranks")
 
     # the suffixes that still need sorting: by block, as runs of places
     def remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +275,8 @@ def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period:
                 runs = np.column_stack([left[edge], np.append(left[edge[1:] - 1], left[-1]) + 1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(left)], pa.int64()), pa.array([runs.tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary())], names=["block", "n", "runs", "data"])
 
-    left = staged(_joined_back(blocks.select("block", "data", "ends"), ranks, "ranks").mapInArrow(remain, "block string, n long, runs binary, data binary"), "suffixes")
+    left = staged(_joined_back(blocks.select("block", "data", "ends"), ranks, "ranks").mapInArrow(tidy(remain), "block string, n long, runs binary, data binary"), "suffixes")
+    discard(ranks)
     n_left = left.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(-(-n_left // bucket)))
     parts = max(8, int(-(-n_left // buckets // per_task)))
@@ -277,7 +296,7 @@ def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period:
                         yield _rows(rows)
 
         with shuffles_dropped(spark):
-            _sort_slices(left.mapInArrow(sort_bucket, _SENT)).withColumn("bucket", F.lit(k)).write.mode("append").parquet(path)
+            _sort_slices(left.mapInArrow(tidy(sort_bucket), _SENT)).withColumn("bucket", F.lit(k)).write.mode("append").parquet(path)
     back = spark.read.schema(f"{_BACK}, bucket int").parquet(path)
 
     fields = blocks.schema["rows"].dataType.elementType.fields
@@ -319,7 +338,7 @@ def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period:
             out = [*batch.column("rows")[i].values.flatten(), pa.array(ends - first), pa.array(removed[ends] - removed[first]), pa.array(spans[ends] - spans[first]), pa.array(digests, pa.string()), *([pa.array(kept, pa.string())] if keep_text else [])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, want, strict=True)], schema=want)
 
-    return _joined_back(blocks.join(left.select("block", "runs"), "block", "left"), back, "back").mapInArrow(cut, schema)
+    return _joined_back(blocks.join(left.select("block", "runs"), "block", "left"), back, "back").mapInArrow(tidy(cut), schema)
 
 
 def _left_classes(batch: pa.RecordBatch, i: int, length: int) -> tuple[np.ndarray, np.ndarray]:
