@@ -275,3 +275,23 @@ def test_streamed_split_and_bins(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert (spark.table("good").count(), spark.table("bad").count(), spark.table("bins").agg(F.sum("n_samples")).first()[0]) == (40, 20, 40)
+
+
+def test_aggregate_files(spark, tmp_path):
+    for name in ("agg_conc4.json", "results_conc8.json", "run_summary.json", "other.json"):
+        (tmp_path / name).write_text('{"conc": 1}')
+    found = {r.name for r in files.aggregate_files(spark, str(tmp_path)).collect()}
+    assert found == {"agg_conc4.json", "results_conc8.json"}
+    only = tmp_path / "only"
+    only.mkdir()
+    (only / "run_summary.json").write_text("{}")
+    assert {r.name for r in files.aggregate_files(spark, str(only)).collect()} == {"run_summary.json"}
+
+
+def test_attach_by_ordinal(spark):
+    df = spark.createDataFrame([(1, 1000), (2, 5000), (3, 1)], "ordinal long, t long")
+    raw = spark.createDataFrame([(1, "a", 1400), (2, "b", 5000)], "ordinal long, rid string, raw_t long")
+    out = {r.ordinal: r.rid for r in routing.attach_by_ordinal(df, raw, "ordinal", ["rid"], ("t", "raw_t"), 512).collect()}
+    assert out == {1: "a", 2: "b", 3: None}
+    with pytest.raises(Exception, match="times differ"):
+        routing.attach_by_ordinal(df, raw, "ordinal", ["rid"], ("t", "raw_t"), 100).collect()
