@@ -1,6 +1,6 @@
 """Requests as a stream: the same filter, deduplication, bins and load, incrementally.
 
-An extension: batch operators stay the reference for results. Rejected and late rows keep their reason, as in batch.
+An extension: batch operators stay the measure of results. Rejected and late rows keep their reason, as in batch.
 """
 
 from __future__ import annotations
