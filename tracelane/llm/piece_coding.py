@@ -6,7 +6,7 @@ compatible pair with the last token of the prefix before it (two tokens are comp
 text gives just these two). Ids are then recovered backwards from the end of the word.
 
 Words: no piece of such a model has a space mark after another character, so a text falls apart before each
-run of marks; words repeat, and each worker keeps the ids of those it met lately (``CACHE`` words at most).
+run of marks; words repeat, and each worker keeps what those it met lately gave (2 * ``CACHE`` words at most).
 A character that is no piece is written as its UTF-8 bytes; it merges with nothing.
 
 Null text counts as empty: no ids, empty decoded text. Texts may hold anything, the space mark too (it decodes
@@ -17,19 +17,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelane.llm.common import by_bytes, renamed_clashes
+from tracelane.llm.common import by_bytes, renamed_clashes, tidy
 
 MARK = "▁"
-CACHE = 300_000
+CACHE = 80_000
 BATCH_BYTES = 1 << 20
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: A word longer than this is not kept in the cache.
@@ -66,14 +67,21 @@ class PieceCoder:
         if model.encode(" a  b ", out_type=str) != self._pieces_like_library(model, " a  b "):
             raise ValueError("this model normalises texts: only identity models are supported")
         self.text_of = {i: p for p, i in self.ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
+        self.halves: dict[str, tuple[str, str]] = {}
         for piece, i in self.ids.items():
             if self.merged(piece) == [piece]:  # else no text is ever encoded to it
                 self.automaton.add_word(piece, (len(piece), i))
+        # where scores fall from parts to wholes, merges happen in order of score, and edges tell all; a whole that
+        # scores better than a part is merged at once when the part appears, and its pairs are merged out in full
+        self.odd = {w for w, parts in self.halves.items() if any(len(x) > 1 and self.score[x] <= self.score[w] for x in parts)}
+        self.edges: dict[tuple[int, int], list[tuple[str, float]]] = {}
         self.automaton.make_automaton()
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[bytes, str, bytes]] = {}
+        self.old: dict[str, tuple[bytes, str, bytes]] = {}
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.lines_apart = self.byte_id[10] >= 0 and not any("\n" in p for p in self.ids)
         self.digits = [str(i) for i in range(model.get_piece_size())]
 
     @staticmethod
@@ -83,6 +91,7 @@ class PieceCoder:
     def merged(self, text: str) -> list[str]:
         """Best-scored merges first, leftmost on ties: the definition, used on short strings only."""
         parts = list(text)
+        last = None
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -91,34 +100,71 @@ class PieceCoder:
                     best, at = s, k
             if at < 0:
                 break
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if last and len(parts) == 1:
+            self.halves[text] = last
         return parts
 
+    def edge(self, token: int, side: int) -> list[tuple[str, float]]:
+        """The pieces that stood at a token's left (0) or right (1) edge while it was merged, with the score of the
+        merge that ended each: the token itself is never ended."""
+        key = (token, side)
+        found = self.edges.get(key)
+        if found is None:
+            piece, ended, found = self.text_of[token], float("-inf"), []
+            while True:
+                found.append((piece, ended))
+                if piece not in self.halves:
+                    break
+                ended, piece = self.score[piece], self.halves[piece][side]
+            self.edges[key] = found
+        return found
+
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 20 | right
         found = self.pairs.get(key)
         if found is None:
-            a, b = self.text_of[left], self.text_of[right]
             if len(self.pairs) >= 4 * CACHE:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(a + b) == [a, b]
+            found = self.pairs[key] = self._stay_apart(left, right)
         return found
 
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the border: none whose two pieces stand at the edges when its turn comes. Of equal
+        merges the left one comes first."""
+        apart = True
+        for a, until_a in self.edge(left, 1):
+            for b, until_b in self.edge(right, 0):
+                s = self.score.get(a + b)
+                if a in self.odd or b in self.odd or s is not None and s >= min(self.merge_score(a), self.merge_score(b)):
+                    whole = [self.text_of[left], self.text_of[right]]
+                    return self.merged("".join(whole)) == whole
+                if s is not None and s > until_a and s >= until_b:
+                    apart = False
+        return apart
+
+    def merge_score(self, piece: str) -> float:
+        """The score of the merge that makes a piece; single characters are there from the start."""
+        return float("inf") if len(piece) == 1 else self.score[piece]
+
     def word_ids(self, word: str) -> tuple[int, ...]:
         """The ids of one word by its prefix table."""
-        ending: list[list[tuple[int, int]]] = [[] for _ in word]
-        for end, match in self.automaton.iter(word):
-            ending[end].append(match)
         last = [-1] * (len(word) + 1)  # of each prefix: its last token, -1 for a character that is no piece
         length = [1] * (len(word) + 1)
-        compatible = self.compatible
-        for end, matches in enumerate(ending):
-            matches.sort(reverse=True)
-            for size, token in matches:
-                before = end + 1 - size
-                if before == 0 or last[before] < 0 or compatible(last[before], token):
-                    last[end + 1], length[end + 1] = token, size
-                    break
+        pairs, settled = self.pairs, -1
+        for end, (size, token) in self.automaton.iter(word):  # by end, the longest piece first
+            if end == settled:
+                continue
+            before = last[end + 1 - size]
+            if before >= 0 and size <= end:
+                fits = pairs.get(before << 20 | token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if not fits:
+                    continue
+            last[end + 1], length[end + 1] = token, size
+            settled = end
         out: list[int] = []
         end = len(word)
         while end:
@@ -129,28 +175,59 @@ class PieceCoder:
             end -= length[end]
         return tuple(reversed(out))
 
-    def known(self, word: str) -> tuple[int, ...]:
-        """word_ids through the cache: words of two generations, the older dropped when the younger is full."""
-        ids = self.young.get(word)
-        if ids is None:
-            ids = self.old.get(word) or self.word_ids(word)
-            if len(word) <= KEPT_CHARS:
+    def given(self, ids: tuple[int, ...]) -> tuple[bytes, str, bytes]:
+        return array("i", ids).tobytes(), "".join([self.digits[i] + "," for i in ids]), b"".join([self.surface[i] for i in ids])
+
+    def known(self, key: str) -> tuple[bytes, str, bytes]:
+        """What a word (key: the word without its first mark; or a line end and what follows it) gives: its ids as
+        four bytes each, as decimal text with a comma after each, and the text of its tokens. Words are kept in two
+        generations, the older dropped when the younger is full."""
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                if len(key) > 2 and key[-2:] not in self.neighbours:  # no merge crosses: the last character stands alone
+                    a, b, c = self.young.get(key[:-1]) or self.known(key[:-1])
+                    x, y, z = self.given(self.word_ids(key[-1]))
+                    got = a + x, b + y, c + z
+                elif key[:1] == "\n" and self.lines_apart:
+                    got = self.given((self.byte_id[10], *self.word_ids(key[1:])))
+                else:
+                    got = self.given(self.word_ids(MARK + key))
+            if len(key) <= KEPT_CHARS:
                 if len(self.young) >= CACHE:
                     self.old, self.young = self.young, {}
-                self.young[word] = ids
-        return ids
+                self.young[key] = got
+        return got
 
-    def encode(self, text: str) -> list[int]:
+    def keys_of(self, word: str) -> list[str]:
+        """A word cut before its line ends, which are pieces of their own if the model has none with a line end."""
+        if "\n" not in word or not self.lines_apart:
+            return [word]
+        first, *rest = word.split("\n")
+        return [first, *("\n" + x for x in rest)]
+
+    def parts(self, text: str) -> list[tuple[bytes, str, bytes]]:
+        """What each word of the text gives, in order."""
         if not text:
             return []
-        text = MARK + text.replace(" ", MARK)
-        words = _WORD.findall(text)
+        if self.lines_apart and text[0] != " " and "  " not in text and " \n" not in text and MARK not in text:
+            keys = text.replace("\n", " \n").split(" ")  # single spaces: each word bears one mark
+        else:
+            keys = [k for w in _WORD.findall(MARK + text.replace(" ", MARK)) for k in self.keys_of(w[1:])]
         young = self.young
-        return list(chain.from_iterable([young.get(w) or self.known(w) for w in words]))
+        return [young.get(k) or self.known(k) for k in keys]
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(b"".join([p[0] for p in self.parts(text)]), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.surface.__getitem__, ids))
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        return self.text(b"".join(map(self.surface.__getitem__, ids)))
+
+    @staticmethod
+    def text(tokens: bytes) -> str:
+        """The text of joined tokens: without the space that the encoder put first."""
+        return (tokens[1:] if tokens[:1] == b" " else tokens).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -175,19 +252,19 @@ def with_pieces(df: DataFrame, model_path: str, text: str = "text", results: tup
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(model_path)
-        digits = use.digits.__getitem__
         for table in by_bytes(batches, text, batch_bytes):
             made: dict[str, list] = {r: [] for r in results}
             for value in pc.fill_null(table[text], "").to_pylist():
-                ids = use.encode(value)
+                parts = use.parts(value)
+                ids, decimal, tokens = ("".join(x) if i == 1 else b"".join(x) for i, x in enumerate(zip(*parts, strict=True))) if parts else (b"", "", b"")
                 if "n_tokens" in made:
-                    made["n_tokens"].append(len(ids))
+                    made["n_tokens"].append(len(ids) // 4)
                 if "ids" in made:
-                    made["ids"].append(ids)
+                    made["ids"].append(np.frombuffer(ids, np.int32))
                 if "ids_sha256" in made:
-                    made["ids_sha256"].append(hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest())
+                    made["ids_sha256"].append(hashlib.sha256(decimal[:-1].encode()).hexdigest())
                 if "decoded" in made or "decoded_sha256" in made:
-                    back = use.decode(ids)
+                    back = use.text(tokens)
                     if "decoded" in made:
                         made["decoded"].append(back)
                     if "decoded_sha256" in made:
@@ -197,4 +274,4 @@ def with_pieces(df: DataFrame, model_path: str, text: str = "text", results: tup
                 out = out.append_column(r, pa.array(made[r], kinds.get(r, pa.string())))
             yield from out.to_batches()
 
-    return df.mapInArrow(code, schema)
+    return df.mapInArrow(tidy(code), schema)
