@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelane.llm.common import tidy
+
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 HEADS = (b"[INST] ", b"<s>")
 FEET = (b" [/INST]\n", b"</s>\n")
@@ -118,7 +120,7 @@ def formatted_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn") ->
             done = pa.concat_tables(held).combine_chunks()
             yield _conversations(done, key, _parts(done[key]))
 
-    return rows.mapInArrow(build, f"`{key}` {kind}, {FORMATTED}")
+    return rows.mapInArrow(tidy(build), f"`{key}` {kind}, {FORMATTED}")
 
 
 def _same(a: pa.Scalar, b: pa.Scalar) -> bool:
@@ -173,4 +175,4 @@ def chat_digests(chats: DataFrame, key: str = "conv_id") -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(v, t) for v, t in zip(made, kinds, strict=True))], names=[key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return chats.mapInArrow(read, schema)
+    return chats.mapInArrow(tidy(read), schema)

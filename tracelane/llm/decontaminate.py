@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array, renamed_clashes, split_words, staged, struct_of
+from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array, renamed_clashes, split_words, staged, struct_of, tidy
 
 WINDOW = 13
-BLOCK_BYTES, CHUNK_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 _POSTINGS = [("doc_starts", T.IntegerType()), ("counts", T.IntegerType()), ("positions", T.IntegerType())]
 
@@ -62,7 +62,7 @@ def build_index(df: DataFrame, text: str = "text", keep_text: bool = False, bloc
             columns = [pa.array([f"{part}-{k}"]), one(struct_of(table, rows)), one(words.dictionary), one(pa.array(starts.astype(np.int32))), one(pa.array(counts)), one(pa.array(order))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, names, strict=True)], schema=names)
 
-    return df.mapInArrow(index, schema)
+    return df.mapInArrow(tidy(index), schema)
 
 
 @dataclass
@@ -178,10 +178,8 @@ class Block:
         return live[k], start
 
 
-def chunks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple]]:
-    """The items in lists of about limit text bytes; only one list at a time is on the driver."""
-    size = benchmark.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
-    n = max(1, -(-size // limit))
+def chunks(benchmark: DataFrame, item: str, text: str, n: int) -> Iterator[list[tuple]]:
+    """The items in n lists of about one size; only one list at a time is on the driver."""
     items = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
@@ -229,7 +227,7 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataF
                 out = [*meta.flatten(), pa.array([batch.column("block")[i].as_py()] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.diff(starts)), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, want, strict=True)], schema=want)
 
-    return index.mapInArrow(match, schema)
+    return index.mapInArrow(tidy(match), schema)
 
 
 def _verdicts(found: DataFrame, fields: list[T.StructField], threshold: int) -> DataFrame:
@@ -252,14 +250,18 @@ def _verdicts(found: DataFrame, fields: list[T.StructField], threshold: int) ->
             bad = pc.and_(pc.greater(hit, 0), pc.greater_equal(pc.multiply(hit, threshold), words))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), words, hit, pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), bad], names=[*names, *RESULTS])
 
-    return found.select(*(F.col(f"`{n}`") for n in names), "n_words", "hits", "items").mapInArrow(judge, schema)
+    return found.select(*(F.col(f"`{n}`") for n in names), "n_words", "hits", "items").mapInArrow(tidy(judge), schema)
 
 
 def contamination(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, threshold: int = 20, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """For each indexed document its columns and n_words, n_hit, n_items (items with a phrase in it), items_sha256
     (of their ids sorted as strings) and contaminated: n_hit > 0 and threshold * n_hit >= n_words."""
     rows = index.schema["rows"].dataType.elementType
-    parts = [search(index, Phrases.of(items, window)) for items in chunks(benchmark, item, text, chunk_bytes)]
+    size = benchmark.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
+    n = max(1, -(-size // chunk_bytes))
+    if n > 1:
+        index = staged(index, "postings")  # blocks must bear the same names in every search
+    parts = [search(index, Phrases.of(items, window)) for items in chunks(benchmark, item, text, n)]
     found = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:

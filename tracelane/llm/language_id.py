@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelane.llm.common import by_bytes, flat_text, renamed_clashes
+from tracelane.llm.common import by_bytes, flat_text, renamed_clashes, tidy
 
 PROFILE, ORDERS = 400, 3
 BATCH_BYTES = 1 << 20
@@ -111,7 +111,7 @@ def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size:
                 yield pa.RecordBatch.from_arrays([pa.array([of] * len(kinds)), pa.array(kinds), pa.array(n)], names=["lang", "gram", "n"])
 
     known = df.select(F.col(text).alias(text), F.col(lang).cast("string").alias(lang)).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sums = known.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = known.mapInArrow(tidy(count), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     sliced = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(64))).orderBy(*order))).where(F.col("r") <= size)
     top = sliced.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= size)
@@ -156,7 +156,7 @@ def with_language(df: DataFrame, profiles: dict[str, list[int]], text: str = "te
             out = table.select(kept).append_column(names[0], pa.array([x[0] for x in found], pa.string()))
             yield from out.append_column(names[1], pa.array([x[1] for x in found], pa.float64())).to_batches()
 
-    return df.mapInArrow(predict, schema)
+    return df.mapInArrow(tidy(predict), schema)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelane.llm.common import by_bytes, renamed_clashes
+from tracelane.llm.common import by_bytes, renamed_clashes, tidy
 
 BATCH_BYTES, GAP = 1 << 20, 1
 
@@ -171,4 +171,4 @@ def with_licenses(df: DataFrame, text: str = "text", known: dict[str, str] | Non
             out = out.append_column("matches", pa.array([[{"license": a, "start": b, "end": c} for a, b, c in ms] for _, ms in found], spans))
             yield from out.to_batches()
 
-    return df.mapInArrow(scan, schema)
+    return df.mapInArrow(tidy(scan), schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import by_bytes, flat_text, mix, split_words, staged, tidy
+from tracelane.llm.common import by_bytes, flat_text, free_name, mix, scratch, split_words, staged, tidy
 from tracelane.llm.components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -227,63 +227,65 @@ def _rest(members: DataFrame, group: list[str], least: float) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = WORDS, sketches: int = SKETCHES, least: int = LEAST) -> DataFrame:
     """One row for each id: the id, class_id (the smallest id of its class), class_size and kept (id = class_id).
     Rows whose id is null are left out."""
-    signed = staged(signatures(df.where(F.col(key).isNotNull()), key, text, words, sketches, least), "signatures")
-    # nulls come first in Spark's order, so an id's row without words would win over others: they come last here
-    one = F.min(F.struct(F.col("digest").isNull().alias("empty"), F.col("digest").alias("digest")))
-    documents = staged(signed.groupBy("id").agg(one.alias("x")).select("id", F.col("x.digest").alias("digest")), "ids")
-    # sides that grow with the input are never broadcast, so a plan is the same at every size: hence the hints
-    copies = documents.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
-    chosen = copies.select(F.col("rep").alias("id"), F.col("digest").alias("own"))
-    of_rep = lambda *columns: signed.join(chosen.hint("merge"), "id").where(F.col("digest") == F.col("own")).select(F.col("id").alias("rep"), *columns)
-
-    texts = of_rep("n", "sketches").dropDuplicates(["rep"])
-    texts = staged(texts.select("rep", "n", F.posexplode("sketches").alias("no", "sketch")), "sketches")
-    group = ["no", "sketch"]
-    groups = texts.groupBy(*group).agg(F.min("rep").alias("first"), F.count("*").alias("size")).where(F.col("size") > 1)
-    member = staged(texts.join(groups.hint("merge"), group).select(*group, "rep", "n", "first"), "groups")
-    grouped = member.select(F.col("rep").alias("id")).distinct()
-    body = staged(signed.select("id", "digest", "kmers").join(grouped.hint("merge"), "id", "left_semi").join(chosen.hint("merge"), "id").where(F.col("digest") == F.col("own")).groupBy(F.col("id").alias("rep")).agg(F.first("kmers").alias("kmers")), "kmers")
-
-    fitting = lambda a, b: F.least(a, b) >= F.lit(similar) * F.greatest(a, b)
-    size_of = member.where(F.col("rep") == F.col("first")).select(*group, F.col("n").alias("m"))
-    pairs = member.where(F.col("rep") != F.col("first")).join(size_of, group).where(fitting(F.col("n"), F.col("m"))).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = staged(_verified(pairs, body, similar), "links")
-
-    def parted(links: DataFrame) -> DataFrame:
-        """The groups that hold texts of different components, with each text's component."""
-        out = member.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-        open_ = out.groupBy(*group).agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select(*group)
-        return staged(out.join(open_, group).select(*group, "rep", "n", "first", "part"), "open")
-
-    rest = parted(links)
-    alone = staged(_alone(body.join(rest.select("rep").distinct(), "rep", "left_semi")), "alone")
-    bounded = lambda df: df.join(alone, "rep", "left").withColumn("fits", F.col("n") - F.coalesce("alone", F.lit(0)))
-    # m is at most what fits of either text; m / (n1 + n2 - m) grows with m
-    most = lambda x, y: F.least(F.col(f"{x}.fits"), F.col(f"{y}.fits"))
-    possible = lambda x, y: fitting(F.col(f"{x}.n"), F.col(f"{y}.n")) & (most(x, y) >= F.lit(similar - 1e-9) * (F.col(f"{x}.n") + F.col(f"{y}.n") - most(x, y)))
-    same_group = lambda x, y: (F.col(f"{x}.no") == F.col(f"{y}.no")) & (F.col(f"{x}.sketch") == F.col(f"{y}.sketch"))
-    ordered = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
-
-    typical = lambda df: df.groupBy(*group).agg(F.min_by(F.struct("rep", "n", "fits", "part"), F.struct(F.col("fits") / F.col("n") * -1, "rep")).alias("t")).select(*group, "t.*")
-    able = bounded(rest).where(F.col("fits") >= F.lit(similar - 1e-9) * F.col("n"))  # others can't be similar to any text
-    more = able.alias("x").join(typical(able).alias("y"), same_group("x", "y") & (F.col("x.part") != F.col("y.part")) & possible("x", "y")).select(*ordered).distinct()
-    links = staged(links.unionByName(_verified(more, body, similar)).distinct(), "links")
-    able = bounded(parted(links)).where(F.col("fits") >= F.lit(similar - 1e-9) * F.col("n"))
-    centre = typical(able).select(*group, F.col("part").alias("centre"))
-    whole = texts.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("no", "sketch"))).getField("sketch").alias("sketches"))  # one entry for each hash function
-    members = staged(able.join(centre, group).join(whole, "rep").join(body, "rep"), "members")
-    links = staged(links.unionByName(_rest(members, group, similar)).distinct(), "links")
-    found = components(links)
-
-    reps = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    classed = staged(documents.join(reps, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id")), "classes")
-    sizes = staged(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")  # apart, so that the join can be split where a class is large
+    with scratch() as keep:
+        signed = staged(signatures(df.where(F.col(key).isNotNull()), key, text, words, sketches, least), "signatures")
+        # nulls come first in Spark's order, so an id's row without words would win over others: they come last here
+        one = F.min(F.struct(F.col("digest").isNull().alias("empty"), F.col("digest").alias("digest")))
+        documents = staged(signed.groupBy("id").agg(one.alias("x")).select("id", F.col("x.digest").alias("digest")), "ids")
+        # sides that grow with the input are never broadcast, so a plan is the same at every size: hence the hints
+        copies = documents.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
+        chosen = copies.select(F.col("rep").alias("id"), F.col("digest").alias("own"))
+        of_rep = lambda *columns: signed.join(chosen.hint("merge"), "id").where(F.col("digest") == F.col("own")).select(F.col("id").alias("rep"), *columns)
+
+        texts = of_rep("n", "sketches").dropDuplicates(["rep"])
+        texts = staged(texts.select("rep", "n", F.posexplode("sketches").alias("no", "sketch")), "sketches")
+        group = ["no", "sketch"]
+        groups = staged(texts.groupBy(*group).agg(F.min("rep").alias("first"), F.count("*").alias("size")).where(F.col("size") > 1), "sizes")  # apart, as below
+        member = staged(texts.join(groups.hint("merge"), group).select(*group, "rep", "n", "first"), "groups")
+        grouped = member.select(F.col("rep").alias("id")).distinct()
+        body = staged(signed.select("id", "digest", "kmers").join(grouped.hint("merge"), "id", "left_semi").join(chosen.hint("merge"), "id").where(F.col("digest") == F.col("own")).groupBy(F.col("id").alias("rep")).agg(F.first("kmers").alias("kmers")), "kmers")
+
+        fitting = lambda a, b: F.least(a, b) >= F.lit(similar) * F.greatest(a, b)
+        size_of = member.where(F.col("rep") == F.col("first")).select(*group, F.col("n").alias("m"))
+        pairs = member.where(F.col("rep") != F.col("first")).join(size_of, group).where(fitting(F.col("n"), F.col("m"))).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+        links = staged(_verified(pairs, body, similar), "links")
+
+        def parted(links: DataFrame) -> DataFrame:
+            """The groups that hold texts of different components, with each text's component."""
+            out = member.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+            open_ = out.groupBy(*group).agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select(*group)
+            return staged(out.join(open_, group).select(*group, "rep", "n", "first", "part"), "open")
+
+        rest = parted(links)
+        alone = staged(_alone(body.join(rest.select("rep").distinct(), "rep", "left_semi")), "alone")
+        bounded = lambda df: df.join(alone, "rep", "left").withColumn("fits", F.col("n") - F.coalesce("alone", F.lit(0)))
+        # m is at most what fits of either text; m / (n1 + n2 - m) grows with m
+        most = lambda x, y: F.least(F.col(f"{x}.fits"), F.col(f"{y}.fits"))
+        possible = lambda x, y: fitting(F.col(f"{x}.n"), F.col(f"{y}.n")) & (most(x, y) >= F.lit(similar - 1e-9) * (F.col(f"{x}.n") + F.col(f"{y}.n") - most(x, y)))
+        same_group = lambda x, y: (F.col(f"{x}.no") == F.col(f"{y}.no")) & (F.col(f"{x}.sketch") == F.col(f"{y}.sketch"))
+        ordered = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+
+        typical = lambda df: df.groupBy(*group).agg(F.min_by(F.struct("rep", "n", "fits", "part"), F.struct(F.col("fits") / F.col("n") * -1, "rep")).alias("t")).select(*group, "t.*")
+        able = bounded(rest).where(F.col("fits") >= F.lit(similar - 1e-9) * F.col("n"))  # others can't be similar to any text
+        more = able.alias("x").join(typical(able).alias("y"), same_group("x", "y") & (F.col("x.part") != F.col("y.part")) & possible("x", "y")).select(*ordered).distinct()
+        links = staged(links.unionByName(_verified(more, body, similar)).distinct(), "links")
+        able = bounded(parted(links)).where(F.col("fits") >= F.lit(similar - 1e-9) * F.col("n"))
+        centre = typical(able).select(*group, F.col("part").alias("centre"))
+        whole = texts.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("no", "sketch"))).getField("sketch").alias("sketches"))  # one entry for each hash function
+        members = staged(able.join(centre, group).join(whole, "rep").join(body, "rep"), "members")
+        links = staged(links.unionByName(_rest(members, group, similar)).distinct(), "links")
+        found = components(links)
+
+        reps = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
+        classed = keep(staged(documents.join(reps, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id")), "classes"))
+        sizes = keep(staged(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes"))  # apart, so that the join can be split where a class is large
     return classed.join(sizes.hint("merge"), "class_id").select(F.col("id").alias(key), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
 def first_of_each_class(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """df without the rows of documents that are not the first of their class, and of repeated rows one."""
-    drop = near_duplicates(df, key, text, **how).where(~F.col("kept")).select(F.col(key).alias("drop_"))
-    left = df.join(drop, F.col(key) == F.col("drop_"), "left_anti")
+    name = free_name(df, "drop_")
+    drop = near_duplicates(df, key, text, **how).where(~F.col("kept")).select(F.col(key).alias(name))
+    left = df.join(drop, F.col(key) == F.col(name), "left_anti")
     known = left.where(F.col(key).isNotNull())
     return known.dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))

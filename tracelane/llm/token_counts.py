@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelane.llm.common import by_bytes, renamed_clashes
+from tracelane.llm.common import by_bytes, renamed_clashes, tidy
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 BATCH_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
@@ -95,4 +95,4 @@ def with_token_counts(df: DataFrame, tokenizer_path: str, text: str = "text", li
             out = table.select(names).append_column("n_bytes", n_bytes).append_column("n_tokens", n_tokens)
             yield from out.append_column("over_limit", pc.greater(n_tokens, limit)).to_batches()
 
-    return df.mapInArrow(count, schema)
+    return df.mapInArrow(tidy(count), schema)

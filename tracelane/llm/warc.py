@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from tracelane.llm.common import tidy
+
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 16 << 20
@@ -251,7 +253,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     yield _batch(rows, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(read, READ)
+    return files.select("path", "content").mapInArrow(tidy(read), READ)
 
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
