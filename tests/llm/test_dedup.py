@@ -255,6 +255,8 @@ def test_neighbours_of_odd_vectors(spark):
     assert by[0] == [(9, 5.0), (1, 1.0), (2, 1.0)]
     assert by[20] == [(9, 10.0), (0, 0.0), (1, 0.0)]
     assert by[40] == [(41, 10.0)] and set(by) == {0, 20, 40}
+    twice = ann.nearest_vectors(vectors(spark, [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0])]), F.col("vec_id") == 0, k=5).collect()
+    assert [(r.vec_id, r.score) for r in sorted(twice, key=lambda r: r["rank"])] == [(1, 2.0), (1, 2.0)]
     assert ann.nearest_vectors(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 

@@ -4,14 +4,16 @@ Pivots are a bounded sample of the vectors (``pivots`` rows, picked by a hash of
 represented by its ``nearest`` nearest pivots, nearest first. Vectors are packed into blocks; in a block every
 pivot has an inverted file: the vectors that have it, and at which place. A query visits the files of its own
 nearest pivots and adds up the footrule distance (the sum of differences of place, a missing pivot standing at
-the last place + 1) to every vector; the ``rerank`` share of the block (``LEAST`` rows at least) that is nearest by footrule, ties
-included, is ranked again by the exact measure on the original vectors, and the blocks' best are merged.
+the last place + 1) to every vector; the ``rerank`` share of the block (``LEAST`` rows at least) that is nearest
+by footrule, ties included, is ranked again by the exact measure on the original vectors, and the blocks' best
+are merged.
 
 Nearness is the largest inner product in double precision, ties to the smaller id. For pivots, vectors get one
 more component that brings them to the largest norm (0 for queries), so near by distance is near by product.
 
 Every valid row is indexed. Rows without id, and vectors that are null, empty, zero or hold null or non-finite
-components, take no part; vectors of different length never meet. Rows that repeat an id are taken as they are.
+components, take no part; vectors of different length never meet. Rows that repeat an id are all
+candidates (but not for their own id); as a query an id counts once, with its smallest vector.
 Query blocks meet vector blocks by a join on block numbers, so neither side passes through the driver.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import staged
+from tracelane.llm.common import staged, tidy
 
 PIVOTS, NEAREST, RERANK, LEAST = 256, 64, 0.3, 256
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
@@ -71,8 +73,19 @@ class InvertedFiles:
         return self.nearest * (self.nearest + 1) - 2 * shared
 
 
-def _packed(rows: DataFrame, per_block: int) -> DataFrame:
-    """Blocks of at most per_block rows of one dimension: block, dim, ids and vectors as bytes."""
+class Pivots:
+    """The pivots of each dimension and the largest norm of its vectors."""
+
+    def __init__(self, rows: DataFrame, most: int) -> None:
+        self.norms = {r.dim: float(r.m) ** 0.5 for r in rows.groupBy("dim").agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).toLocalIterator()}
+        self.vectors: dict[int, np.ndarray] = {}
+        for dim in self.norms:
+            found = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(most).select("vector").collect()
+            self.vectors[dim] = np.unique(np.array([r.vector for r in found], np.float64), axis=0)
+
+
+def _packed(rows: DataFrame, per_block: int, pivots: Pivots, nearest: int, query: bool) -> DataFrame:
+    """Blocks of at most per_block rows of one dimension: block, dim, and as bytes ids, vectors and permutations."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,7 +97,8 @@ def _packed(rows: DataFrame, per_block: int) -> DataFrame:
             nonlocal made
             ids, x = (np.concatenate(v) for v in zip(*held.pop(dim), strict=True))
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["block", "dim", "ids", "vectors"])
+            places = permutations(x, pivots.vectors[dim], pivots.norms[dim], nearest, query)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([dim], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids, x, places))], names=["block", "dim", "ids", "vectors", "places"])
 
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -98,25 +112,24 @@ def _packed(rows: DataFrame, per_block: int) -> DataFrame:
         for dim in list(held):
             yield flush(dim)
 
-    return rows.mapInArrow(pack, "block long, dim int, ids binary, vectors binary")
+    return rows.mapInArrow(tidy(pack), "block long, dim int, ids binary, vectors binary, places binary")
 
 
 def nearest_vectors(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, pivots: int = PIVOTS, nearest: int = NEAREST, rerank: float = RERANK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query row's k nearest other rows."""
     rows = valid(df, key, vector)
-    asked = valid(df.where(is_query), key, vector)
-    blocks = staged(_packed(rows, VECTOR_BLOCK), "vectors")
-    picked: dict[int, np.ndarray] = {}
-    norms = {r.dim: float(r.m) ** 0.5 for r in rows.groupBy("dim").agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).toLocalIterator()}
-    for dim in norms:
-        found = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
-        picked[dim] = np.unique(np.array([r.vector for r in found], np.float64), axis=0)
-    queries = staged(_packed(asked, QUERY_BLOCK), "queries").select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    grid = blocks.join(queries, "dim")
-    return _merged(grid.repartition(F.col("block"), F.col("q_block")).mapInArrow(_searcher(picked, norms, k, nearest, rerank), "query_id long, ids array<long>, scores array<double>"), k)
-
-
-def _searcher(picked: dict[int, np.ndarray], norms: dict[int, float], k: int, nearest: int, rerank: float):
+    chosen = Pivots(rows, pivots)
+    index = staged(_packed(rows, VECTOR_BLOCK, chosen, nearest, False), "permutations")
+    asked = valid(df.where(is_query), key, vector).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    asked = staged(_packed(asked, QUERY_BLOCK, chosen, nearest, True), "queries")
+    asked = asked.select(F.col("block").alias("q_block"), "dim", *(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "places")))
+    pairs = index.select("block", "dim").join(asked.select("q_block", "dim"), "dim").select("block", "q_block")  # numbers only
+    grid = pairs.join(index, "block").join(asked.drop("dim"), "q_block")
+    sizes = {dim: len(v) for dim, v in chosen.vectors.items()}
+    return _merged(grid.mapInArrow(tidy(_searcher(sizes, k, nearest, rerank)), "query_id long, ids array<long>, scores array<double>"), k)
+
+
+def _searcher(pivots: dict[int, int], k: int, nearest: int, rerank: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -124,9 +137,9 @@ def _searcher(picked: dict[int, np.ndarray], norms: dict[int, float], k: int, ne
                 get = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)  # noqa: B023, E731
                 ids, x = get("ids", np.int64), get("vectors", np.float64).reshape(-1, dim)
                 q_ids, q = get("q_ids", np.int64), get("q_vectors", np.float64).reshape(-1, dim)
-                pivots = picked[dim]
-                files = InvertedFiles(permutations(x, pivots, norms[dim], nearest, False), len(pivots))
-                own = permutations(q, pivots, norms[dim], nearest, True)
+                width = min(nearest, pivots[dim])
+                files = InvertedFiles(get("places", np.int16).reshape(-1, width), pivots[dim])
+                own = get("q_places", np.int16).reshape(-1, width)
                 most = min(len(ids), max(k + 1, LEAST, int(np.ceil(rerank * len(ids)))))
                 out_ids, out_scores = [], []
                 for n in range(len(q_ids)):
@@ -157,7 +170,7 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
         for q, (i, s) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), q, np.int64)), pa.array(np.arange(1, len(i) + 1, dtype=np.int32)), pa.array(i), pa.array(s)], names=["query_id", "rank", "vec_id", "score"])
 
-    return found.repartition(F.col("query_id")).mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    return found.repartition(F.col("query_id")).mapInArrow(tidy(merge), "query_id long, rank int, vec_id long, score double")
 
 
 def exact_nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
