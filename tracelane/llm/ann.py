@@ -124,7 +124,7 @@ def nearest_vectors(df: DataFrame, is_query: Column, key: str = "vec_id", vector
     asked = staged(_packed(asked, QUERY_BLOCK, chosen, nearest, True), "queries")
     asked = asked.select(F.col("block").alias("q_block"), "dim", *(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "places")))
     pairs = index.select("block", "dim").join(asked.select("q_block", "dim"), "dim").select("block", "q_block")  # numbers only
-    grid = pairs.join(index, "block").join(asked.drop("dim"), "q_block")
+    grid = pairs.join(asked.drop("dim"), "q_block").join(index, "block")  # queries move, the index is shuffled once
     sizes = {dim: len(v) for dim, v in chosen.vectors.items()}
     return _merged(grid.mapInArrow(tidy(_searcher(sizes, k, nearest, rerank)), "query_id long, ids array<long>, scores array<double>"), k)
 

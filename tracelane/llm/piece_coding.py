@@ -273,5 +273,6 @@ def with_pieces(df: DataFrame, model_path: str, text: str = "text", results: tup
             for r in results:
                 out = out.append_column(r, pa.array(made[r], kinds.get(r, pa.string())))
             yield from out.to_batches()
+        use.young, use.old = {}, {}  # the worker lives on
 
     return df.mapInArrow(tidy(code), schema)
