@@ -278,6 +278,22 @@ def test_recall(spark, scaled):
     assert np.mean(recall) >= 0.9
 
 
+def test_copies_tie_whatever_their_place(spark):
+    """A matrix product rounds equal rows differently by their place; copies have to score equally all the same."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1203, 64)).astype(np.float32)
+    x[rng.random(1203) < 0.4] = x[7]
+    x[rng.random(1203) < 0.1] = 3 * x[7]
+    got = defaultdict(list)
+    for r in sorted(ann.exact_nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, r.score))
+    wide = x.astype(float)
+    for q in range(0, 1203, 20):
+        s = (wide * wide[q]).sum(1)
+        s[q] = -np.inf
+        assert got[q] == [(i, s[i]) for i in np.lexsort((np.arange(1203), -s))[:20]]
+
+
 def test_footrule_is_the_sum_of_place_differences():
     rng = np.random.default_rng(1)
     places = np.argsort(rng.random((30, 12)), axis=1)[:, :5].astype(np.int16)

@@ -6,7 +6,7 @@ pivot has an inverted file: the vectors that have it, and at which place. A quer
 nearest pivots and adds up the footrule distance (the sum of differences of place, a missing pivot standing at
 the last place + 1) to every vector; the ``rerank`` share of the block (``LEAST`` rows at least) that is nearest
 by footrule, ties included, is ranked again by the exact measure on the original vectors, and the blocks' best
-are merged.
+are merged. Equal vectors have equal scores, so copies are ranked by id alone.
 
 Nearness is the largest inner product in double precision, ties to the smaller id. For pivots, vectors get one
 more component that brings them to the largest norm (0 for queries), so near by distance is near by product.
@@ -129,6 +129,21 @@ def nearest_vectors(df: DataFrame, is_query: Column, key: str = "vec_id", vector
     return _merged(grid.mapInArrow(tidy(_searcher(sizes, k, nearest, rerank)), "query_id long, ids array<long>, scores array<double>"), k)
 
 
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, each from its own row alone: equal vectors score equally wherever they stand."""
+    return (x * q).sum(1)
+
+
+def near_best(x: np.ndarray, q: np.ndarray, k: int, largest: float) -> np.ndarray:
+    """Places of all rows that can be among the k best by inner. A matrix product finds them; it rounds equal rows
+    differently by their place, so what is within twice both roundings of the k-th best stays."""
+    if len(x) <= k:
+        return np.arange(len(x))
+    rough = x @ q
+    slack = 4 * len(q) * np.finfo(np.float64).eps * largest * np.sqrt(q @ q)
+    return np.flatnonzero(~(rough < np.partition(rough, len(x) - k)[len(x) - k] - slack))
+
+
 def _searcher(pivots: dict[int, int], k: int, nearest: int, rerank: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,13 +155,15 @@ def _searcher(pivots: dict[int, int], k: int, nearest: int, rerank: float):
                 width = min(nearest, pivots[dim])
                 files = InvertedFiles(get("places", np.int16).reshape(-1, width), pivots[dim])
                 own = get("q_places", np.int16).reshape(-1, width)
+                largest = np.sqrt((x * x).sum(1).max())
                 most = min(len(ids), max(k + 1, LEAST, int(np.ceil(rerank * len(ids)))))
                 out_ids, out_scores = [], []
                 for n in range(len(q_ids)):
                     away = files.footrule(own[n])
                     at = np.flatnonzero(away <= np.partition(away, most - 1)[most - 1])
                     at = at[ids[at] != q_ids[n]]
-                    score = x[at] @ q[n]
+                    at = at[near_best(x[at], q[n], k, largest)]
+                    score = inner(x[at], q[n])
                     best = np.lexsort((ids[at], -score))[:k]
                     out_ids.append(ids[at][best])
                     out_scores.append(score[best])
