@@ -170,3 +170,77 @@ def test_rules_need_their_order():
 def test_gap_lets_unknown_sentences_through(gap):
     use = license_scan.Recogniser(license_scan.SENTENCES, [("AB", ("mit-released", "cc0"))], gap)
     assert bool(use.scan("Released under the MIT License. Something else. Licensed under CC0 1.0.")[1]) == (gap == 1)
+
+
+def plain_licenses(text: str | None) -> tuple[list[str], list[str]]:
+    """Sentence ids and licences by the definition: every sentence against every pattern, every rule at every place."""
+    import re
+
+    text = text or ""
+    spans, at, p = [], 0, 0
+    while p < len(text):
+        stop = None
+        if p and text[p - 1] in ".!?;:":
+            q = p
+            while q < len(text) and text[q] in "\"')]":
+                q += 1
+            stop = q
+            while stop < len(text) and text[stop].isspace():
+                stop += 1
+            stop = stop if stop > q else None
+        if stop is None and text[p] == "\n":
+            q = p + 1
+            while q < len(text) and text[q].isspace():
+                q += 1
+            last = text.rfind("\n", p + 1, q)
+            stop = last + 1 if last > 0 else None
+        if stop is None:
+            p += 1
+            continue
+        if p > at:
+            spans.append(text[at:p])
+        at = p = stop
+    if at < len(text):
+        spans.append(text[at:])
+
+    def known(s: str) -> str | None:
+        words = " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in s.lower()).split())
+        return next((name for name, pattern in license_scan.SENTENCES.items() if re.fullmatch(pattern, words)), None)
+
+    found = []
+    for k, s in enumerate(spans):
+        if name := known(s):
+            found.append((k, name))
+        elif "\n" in s:
+            found += [(k, n) for line in s.split("\n") if (n := known(line))]
+    licences, i = set(), 0
+    while i < len(found):
+        fits = [r for r in license_scan.RULES if tuple(n for _, n in found[i : i + len(r[1])]) == r[1] and all(found[j + 1][0] - found[j][0] <= license_scan.GAP + 1 for j in range(i, i + len(r[1]) - 1))]
+        best = max(fits, key=lambda r: len(r[1]), default=None)
+        if best:
+            licences.add(best[0])
+        i += len(best[1]) if best else 1
+    return [n for _, n in found], sorted(licences)
+
+
+TERMS = [
+    "Released under the MIT License.", "MIT License", "Released under CC0 1.0.", "This text is released under CC-BY 4.0.", "Released under Creative Commons Zero 1.0.", "Dedicated to the public\ndomain.",
+    "Copyright 2020 Some One. All rights\nreserved.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.",
+    "You may obtain a copy of the License at http://x.org/L", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal.",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS.",
+    "Plain prose here.", "A heading", "Is it? (Yes!) ", "The licence plate was blue.", "rights", "", "\n",
+]
+
+
+def test_licenses_equal_the_definition(spark, data):
+    rng = random.Random(11)
+    made = [rng.choice(["", " "]).join(rng.choice(TERMS) + rng.choice([" ", "\n", "\n\n", "\n \n", ""]) for _ in range(rng.randrange(9))) for _ in range(400)]
+    texts = [*TERMS, *made, *(r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in license_scan.with_licenses(df).collect():
+        assert (r.sentence_ids, r.licenses) == plain_licenses(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_own_sentences_need_no_cue_word():
+    use = license_scan.Recogniser({"own": "take it and run"}, [("Own", ("own",))], 0)
+    assert use.scan("Hello there. Take it, and run!") == (["own"], [("Own", 13, 30)])

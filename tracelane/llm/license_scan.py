@@ -94,7 +94,8 @@ RULES = [
     ("Proprietary", ("all-rights",)),
 ]
 
-_CUE = re.compile(r"licen[sc]|permission|copyright|warrant|liab|redistribut|public domain|rights reserved|endorse|\bas is\b", re.IGNORECASE)
+# Every known sentence has one of these; between words there may be any marks or line breaks.
+_CUE = re.compile(r"licen[sc]|permission|copyright|warrant|liab|redistribut|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|endorse|creative[^a-z0-9]+commons|cc[^a-z0-9]*(?:by|zero|0)", re.IGNORECASE)
 _END = re.compile(r"(?<=[.!?;:])[\"')\]]*\s+|\n\s*\n")
 _WORD = re.compile(r"[a-z0-9]+")
 _LINE = re.compile(r"[^\n]+")
@@ -114,20 +115,21 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 class Recogniser:
     def __init__(self, known: dict[str, str], rules: list[tuple[str, tuple[str, ...]]], gap: int) -> None:
         self.known = [(name, re.compile(p)) for name, p in known.items()]
+        self.cue = _CUE if known is SENTENCES else re.compile("")  # the caller's own sentences may hold any words
         self.gap = gap
         self.by_first: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
         for licence, ids in sorted(rules, key=lambda r: -len(r[1])):
             self.by_first.setdefault(ids[0], []).append((licence, ids))
 
     def identify(self, sentence: str) -> str | None:
-        if not _CUE.search(sentence):
+        if not self.cue.search(sentence):
             return None
         words = " ".join(_WORD.findall(sentence.lower()))
         return next((name for name, p in self.known if p.fullmatch(words)), None)
 
     def scan(self, text: str) -> tuple[list[str], list[tuple[str, int, int]]]:
         """Identifiers in order, and (licence, start, end) of the matches."""
-        if not _CUE.search(text):
+        if not self.cue.search(text):
             return [], []
         found = []
         for k, span in enumerate(sentences(text)):
