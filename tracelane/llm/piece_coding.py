@@ -186,10 +186,13 @@ class PieceCoder:
         if got is None:
             got = self.old.get(key)
             if got is None:
-                if len(key) > 2 and key[-2:] not in self.neighbours:  # no merge crosses: the last character stands alone
-                    a, b, c = self.young.get(key[:-1]) or self.known(key[:-1])
-                    x, y, z = self.given(self.word_ids(key[-1]))
-                    got = a + x, b + y, c + z
+                end = len(key)
+                while end > 2 and key[end - 2 : end] not in self.neighbours:  # no merge crosses: the last character stands alone
+                    end -= 1
+                if end < len(key):
+                    alone = {c: self.given(self.word_ids(c)) for c in set(key[end:])}
+                    ids, decimal, tokens = zip(self.young.get(key[:end]) or self.known(key[:end]), *map(alone.__getitem__, key[end:]), strict=True)
+                    got = b"".join(ids), "".join(decimal), b"".join(tokens)
                 elif key[:1] == "\n" and self.lines_apart:
                     got = self.given((self.byte_id[10], *self.word_ids(key[1:])))
                 else:
