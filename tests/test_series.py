@@ -43,6 +43,27 @@ def test_time_weighted_load(spark, chunk):
     assert tuple(top) == (3, 1, 2)
 
 
+def test_contexts_of_all_requests(spark, data):
+    from tracelane.plans import registry
+    from tracelane.plans.adapter import requests
+
+    r = requests(spark, data).where("request_end_ns > request_start_ns").select("record_ordinal", "concurrency", "request_start_ns", "request_end_ns").collect()
+    lane: dict = {}
+    for x in r:
+        lane.setdefault(x.concurrency, []).append((x.record_ordinal, x.request_start_ns, x.request_end_ns))
+    want = {}
+    for x in r:
+        o, s, e = x.record_ordinal, x.request_start_ns, x.request_end_ns
+        others = lane[x.concurrency]
+        want[o] = (
+            sum(b < s < f for _, b, f in others), sum(b <= s < f for _, b, f in others),
+            sum(b < e and (f > e or f == e and k >= o) for k, b, f in others),
+        )
+    got = registry.QUERIES["all_request_contexts"](spark, data).collect()
+    assert len(got) == len(want)
+    assert {x.record_ordinal: (x.before_start, x.at_start, x.before_end) for x in got} == want
+
+
 def test_invalid_intervals(spark):
     df = lanes(spark, (0, 10), (10, 10), (20, 15), (30, None))
     assert [r.reason for r in df.orderBy("id").select(iv.invalid_reason().alias("reason")).collect()] == [None, "nonpositive_duration", "nonpositive_duration", "missing_end"]

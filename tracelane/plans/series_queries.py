@@ -56,6 +56,13 @@ def request_contexts(spark: SparkSession, d: str) -> DataFrame:
     return iv.contexts(r, ["concurrency"], "record_ordinal").select("record_ordinal", "before_start", "at_start", "before_end")
 
 
+@query(None)
+def all_request_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """The contexts of all requests, over whole lanes."""
+    c = iv.contexts(requests(spark, d), ["concurrency"], "record_ordinal", chunk_ns=86_400_000_000_000)
+    return c.select("record_ordinal", "before_start", "at_start", "before_end")
+
+
 @query(request_sql("SELECT CASE WHEN request_start_ns IS NULL THEN 'missing_start' WHEN request_end_ns IS NULL THEN 'missing_end' WHEN request_end_ns <= request_start_ns THEN 'nonpositive_duration' ELSE 'valid' END AS reason, count(*) AS n FROM r GROUP BY ALL"))
 def interval_validity(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).groupBy(F.coalesce(iv.invalid_reason(), F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
