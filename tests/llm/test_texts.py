@@ -169,6 +169,106 @@ def test_licenses(spark):
     assert len(out[1].sentence_ids) == 3 and len(out[1].matches) == 1
 
 
+GPL_HEADER = """This {what} is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU {name} as published by
+the Free Software Foundation{stop} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name} for more details.
+
+You should have received a copy of the GNU {name}
+along with this {what}.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = GPL_HEADER.format(what="program", mark=";", name="General Public License", stop=";", version="2")
+GPL3 = GPL_HEADER.format(what="program", mark=":", name="General Public License", stop=",", version="3")
+LGPL = GPL_HEADER.format(what="library", mark=";", name="Lesser General Public License", stop=";", version="2.1")
+AGPL = GPL_HEADER.format(what="program", mark=":", name="Affero General Public License", stop=",", version="3")
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE.
+"""
+CC0 = "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+GPL_IDS = ["gpl-free", "{}gpl-redistribute", "gpl-hope", "gpl-implied", "{}gpl-details"]
+HEADERS = [
+    (MIT, "MIT", ["mit-grant", "mit-notice", "as-is", "no-liability"]),
+    ("MIT License\n\n" + MIT, "MIT", ["mit-name", "mit-grant", "mit-notice", "as-is", "no-liability"]),
+    (APACHE, "Apache-2.0", ["apache-licensed", "apache-compliance", "apache-copy", "apache-basis", "apache-limits"]),
+    (GPL2, "GPL", [x.format("") for x in GPL_IDS]), (GPL3, "GPL", [x.format("") for x in GPL_IDS]),
+    ("Licensed under the GNU General Public License, version 3.\n\n" + GPL3, "GPL-3.0", ["gpl3-licensed", *(x.format("") for x in GPL_IDS)]),
+    ("Licensed under the GNU General Public License, version 2.", "GPL-2.0", ["gpl2-licensed"]),
+    (LGPL, "LGPL", [x.format("l") for x in GPL_IDS]), (AGPL, "AGPL-3.0", [x.format("a") for x in GPL_IDS]),
+    (MPL, "MPL-2.0", ["mpl-subject"]),
+    (BSD2, "BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    (BSD3, "BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    (ISC, "ISC", ["isc-grant", "as-is"]),
+    ("This is free and unencumbered software released into the public domain.\n", "Unlicense", ["unlicense"]),
+    (CC0, "CC0-1.0", ["cc0-dedicated"]), ("This work is licensed under CC0 1.0 Universal.", "CC0-1.0", ["cc0"]),
+    (CC.format(""), "CC-BY-4.0", ["cc-by"]), (CC.format("-ShareAlike"), "CC-BY-SA-4.0", ["cc-by-sa"]),
+    (CC.format("-NonCommercial"), "CC-BY-NC-4.0", ["cc-by-nc"]), (CC.format("-NoDerivatives"), "CC-BY-ND-4.0", ["cc-by-nd"]),
+    ("Copyright 2020 Some One. All rights reserved.", "Proprietary", ["all-rights"]), ("Dedicated to the public domain.", "Public-Domain", ["public-domain"]),
+]
+
+
+@pytest.mark.parametrize("start", ["", "# ", " * "])
+@pytest.mark.parametrize(("text", "licence", "ids"), HEADERS)
+def test_standard_headers(text, licence, ids, start):
+    if start and "\n" in text:
+        text = "".join(start + line if line.strip() else line for line in text.splitlines(keepends=True))
+    use = license_scan.Recogniser(license_scan.SENTENCES, license_scan.RULES, license_scan.GAP)
+    found, matches = use.scan(f"Some prose here.\n\n{text}\n\nMore prose.")
+    assert found == ids and [m[0] for m in matches] == [licence]
+
+
 def test_rules_need_their_order():
     use = license_scan.Recogniser(license_scan.SENTENCES, [("AB", ("mit-released", "cc0"))], 0)
     a, b = "Released under the MIT License.", "Licensed under CC0 1.0."

@@ -31,18 +31,24 @@ SENTENCES = {
     "mit-name": r"(?:the )?mit licen[sc]e",
     "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*",
     "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": r"the software is provided as is without warranty of any kind .*",
+    "as-is": r"the software is provided as is (?:without warranty of any kind|and the author disclaims all warranties) .*",
     "no-liability": r"in no event shall the authors or copyright holders be liable for any claim .*",
     "apache-licensed": r"(?:this \w+ is )?licensed under (?:the )?apache licen[sc]e version 2 0(?: the license)?",
     "apache-compliance": r"you may not use this file except in compliance with the license",
-    "apache-copy": r"you may obtain a copy of the license at .*",
+    "apache-copy": r"you may obtain a copy of the license at(?: .*)?",
     "apache-basis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*",
     "apache-limits": r"see the license for the specific language governing permissions and limitations under the license",
     "gpl3-licensed": r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e version 3(?: or (?:any )?later(?: version)?)?",
     "gpl2-licensed": r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e version 2(?: or (?:any )?later(?: version)?)?",
-    "gpl-redistribute": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation .*",
-    "gpl-hope": r"this program is distributed in the hope that it will be useful but without any warranty .*",
+    "gpl-free": r"this \w+ is free software",
+    "gpl-redistribute": r"(?:this \w+ is free software )?you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation(?: .*)?",
+    "lgpl-redistribute": r"(?:this \w+ is free software )?you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation(?: .*)?",
+    "agpl-redistribute": r"(?:this \w+ is free software )?you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation(?: .*)?",
+    "gpl-hope": r"this \w+ is distributed in the hope that it will be useful but without any warranty(?: .*)?",
+    "gpl-implied": r"without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-details": r"see the gnu general public license for more details",
+    "lgpl-details": r"see the gnu lesser general public license for more details",
+    "agpl-details": r"see the gnu affero general public license for more details",
     "lgpl-licensed": r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?gnu lesser general public licen[sc]e(?: version (?:2 1|3))?",
     "agpl-licensed": r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?gnu affero general public licen[sc]e(?: version 3)?",
     "mpl-subject": r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0",
@@ -50,10 +56,11 @@ SENTENCES = {
     "bsd-source": r"(?:\d )?redistributions of source code must retain the above copyright notice .*",
     "bsd-binary": r"(?:\d )?redistributions in binary form must reproduce the above copyright notice .*",
     "bsd-endorse": r"(?:\d )?neither the name of .* may be used to endorse or promote products derived from this software .*",
-    "isc-grant": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted .*",
+    "isc-grant": r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted .*",
     "unlicense": r"this is free and unencumbered software released into the public domain",
     "public-domain": r"(?:this \w+ is )?(?:released into|dedicated to|in) the public domain",
-    "cc0": r"(?:this \w+ is )?(?:licensed|released) under (?:the )?(?:creative commons|cc) ?(?:zero|0)(?: 1 0)?",
+    "cc0": r"(?:this \w+ is )?(?:licensed|released) under (?:the )?(?:creative commons|cc) ?(?:zero|0)(?: 1 0)?(?: universal)?",
+    "cc0-dedicated": r"to the extent possible under law .* (?:has|have) (?:dedicated|waived) all copyright and related (?:and|or) neighbou?ring rights to .*",
     "cc-by": r"(?:this \w+ is )?(?:licensed|released) under (?:a |the )?(?:creative commons attribution|cc by)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
     "cc-by-sa": r"(?:this \w+ is )?(?:licensed|released) under (?:a |the )?(?:creative commons attribution sharealike|cc by sa)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
     "cc-by-nc": r"(?:this \w+ is )?(?:licensed|released) under (?:a |the )?(?:creative commons attribution noncommercial|cc by nc)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
@@ -69,9 +76,20 @@ RULES = [
     ("MIT", ("mit-grant", "mit-notice")),
     ("Apache-2.0", ("apache-licensed", "apache-compliance", "apache-copy", "apache-basis", "apache-limits")),
     ("Apache-2.0", ("apache-licensed", "apache-compliance", "apache-copy")),
+    ("GPL-3.0", ("gpl3-licensed", "gpl-free", "gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-details")),
+    ("GPL-3.0", ("gpl3-licensed", "gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-details")),
     ("GPL-3.0", ("gpl3-licensed", "gpl-redistribute", "gpl-hope", "gpl-details")),
+    ("GPL", ("gpl-free", "gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-details")),
+    ("GPL", ("gpl-free", "gpl-redistribute", "gpl-hope")),
+    ("GPL", ("gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-details")),
     ("GPL", ("gpl-redistribute", "gpl-hope", "gpl-details")),
     ("GPL", ("gpl-redistribute", "gpl-hope")),
+    ("LGPL", ("gpl-free", "lgpl-redistribute", "gpl-hope", "gpl-implied", "lgpl-details")),
+    ("LGPL", ("gpl-free", "lgpl-redistribute", "gpl-hope")),
+    ("LGPL", ("lgpl-redistribute", "gpl-hope")),
+    ("AGPL-3.0", ("gpl-free", "agpl-redistribute", "gpl-hope", "gpl-implied", "agpl-details")),
+    ("AGPL-3.0", ("gpl-free", "agpl-redistribute", "gpl-hope")),
+    ("AGPL-3.0", ("agpl-redistribute", "gpl-hope")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant", "as-is")),
@@ -87,6 +105,7 @@ RULES = [
     ("Unlicense", ("unlicense",)),
     ("Public-Domain", ("public-domain",)),
     ("CC0-1.0", ("cc0",)),
+    ("CC0-1.0", ("cc0-dedicated",)),
     ("CC-BY-4.0", ("cc-by",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
@@ -95,14 +114,14 @@ RULES = [
 ]
 
 # Every known sentence has one of these; between words there may be any marks or line breaks.
-_CUE = re.compile(r"licen[sc]|permission|copyright|warrant|liab|redistribut|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|endorse|creative[^a-z0-9]+commons|cc[^a-z0-9]*(?:by|zero|0)", re.IGNORECASE)
-_END = re.compile(r"(?<=[.!?;:])[\"')\]]*\s+|\n\s*\n")
+_CUE = re.compile(r"licen[sc]|permission|copyright|warrant|liab|redistribut|free[^a-z0-9]+software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|endorse|creative[^a-z0-9]+commons|cc[^a-z0-9]*(?:by|zero|0)", re.IGNORECASE)
+_END = re.compile(r"(?<=[.!?;:])(?!(?<=\b[vV]\.)\s+\d)[\"')\]]*\s+|\n\s*\n")
 _WORD = re.compile(r"[a-z0-9]+")
 _LINE = re.compile(r"[^\n]+")
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the sentences: they end at a sentence mark before white space, or at an empty line."""
+    """(start, end) of the sentences: they end at a sentence mark before white space (not in 'v. 2'), or at an empty line."""
     at = 0
     for m in _END.finditer(text):
         if m.start() > at:
