@@ -230,6 +230,19 @@ def test_near_duplicates_of_odd_tables(spark):
     assert left.columns == df.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 3, 4]
 
 
+def test_an_id_with_two_texts_keeps_the_one_it_was_judged_by(spark):
+    texts = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b", " !"]
+    digest = {r.id: r.digest for r in near_dedup.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
+    judged = texts[min(range(4), key=digest.get)]
+    for rows in (texts, texts[::-1], texts[2:] + texts[:2]):
+        # 5 copies the judged text and goes; 2 copies another text of id 1, which id 1 is not judged by, and stays
+        other = next(t for t in texts[:4] if t != judged)
+        df = spark.createDataFrame([*((1, t, "x") for t in rows), (1, judged, "w"), (2, other, "y"), (5, judged, "z"), (6, "c c d d e e f f", "p"), (6, "c c d d e e f f", "p")], "doc_id long, text string, source string").coalesce(1)
+        left = near_dedup.first_of_each_class(df)
+        assert left.columns == df.columns
+        assert sorted(left.collect()) == [(1, judged, "w"), (2, other, "y"), (6, "c c d d e e f f", "p")]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 1), (3, 2), (9, 8), (8, 7), (7, 6), (5, 5), (None, 1), (20, 9)] + [(100 + k, 101 + k) for k in range(40)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelane.llm.common import by_bytes, flat_text, free_name, mix, scratch, split_words, staged, tidy
 from tracelane.llm.components import components
@@ -91,6 +92,11 @@ def order_sketches(items: np.ndarray, sketches: int = SKETCHES, least: int = LEA
     return out
 
 
+def digests(word: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
+    """Of each text a digest of its words in order, null without words."""
+    return [xxhash.xxh3_128_digest(word[a:b].tobytes()) if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
 def signatures(df: DataFrame, key: str, text: str, words: int = WORDS, sketches: int = SKETCHES, least: int = LEAST) -> DataFrame:
     """id, digest (of the words in order), n (k-mers), kmers (four bytes each) and sketches of every row."""
     kind = df.schema[key].dataType.simpleString()
@@ -99,13 +105,12 @@ def signatures(df: DataFrame, key: str, text: str, words: int = WORDS, sketches:
         for table in by_bytes(batches, "text", BATCH_BYTES):
             word, starts, kmer, at = kmers(*flat_text(table["text"]), k=words)
             items, short = labelled(kmer, at), kmer.astype(np.uint32)
-            digest, blob, sketch = [], [], []
+            blob, sketch = [], []
             for i in range(table.num_rows):
                 a, b = at[i], at[i + 1]
-                digest.append(xxhash.xxh3_128_digest(word[starts[i] : starts[i + 1]].tobytes()) if b > a else None)
                 blob.append(short[a:b].tobytes())
                 sketch.append(order_sketches(items[a:b], sketches, least).view(np.int64) if b > a else [])
-            yield pa.RecordBatch.from_arrays([table["id"].combine_chunks(), pa.array(digest, pa.binary()), pa.array(np.diff(at)), pa.array(blob, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "digest", "n", "kmers", "sketches"])
+            yield pa.RecordBatch.from_arrays([table["id"].combine_chunks(), pa.array(digests(word, starts), pa.binary()), pa.array(np.diff(at)), pa.array(blob, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "digest", "n", "kmers", "sketches"])
 
     return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(sign), f"id {kind}, digest binary, n long, kmers binary, sketches array<long>")
 
@@ -282,10 +287,29 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     return classed.join(sizes.hint("merge"), "class_id").select(F.col("id").alias(key), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
+def one_of_each_id(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Of each id the row whose text near_duplicates judges it by; of several such rows the first by text, then by all columns."""
+    name, whole = free_name(df, "digest_"), T.StructType(df.schema.fields)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_bytes(batches, text, BATCH_BYTES):
+            word, starts, _, _ = kmers(*flat_text(table[text]))
+            yield from table.append_column(name, pa.array(digests(word, starts), pa.binary())).to_batches()
+
+    signed = df.mapInArrow(tidy(sign), T.StructType([*whole.fields, T.StructField(name, T.BinaryType())]))
+    row = F.struct(*(F.col(f"`{f.name}`") for f in whole.fields))
+    order = F.struct(F.col(name).isNull().alias("empty"), F.col(name).alias("digest"), F.col(text).alias("text"), F.to_json(row).alias("row"))
+    return signed.groupBy(key).agg(F.min_by(row, order).alias(name)).select(f"{name}.*")
+
+
 def first_of_each_class(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """df without the rows of documents that are not the first of their class, and of repeated rows one."""
+    """df without the rows of documents that are not the first of their class, and of each repeated id the row whose
+    text its class was decided by."""
     name = free_name(df, "drop_")
     drop = near_duplicates(df, key, text, **how).where(~F.col("kept")).select(F.col(key).alias(name))
     left = df.join(drop, F.col(key) == F.col(name), "left_anti")
     known = left.where(F.col(key).isNotNull())
-    return known.dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
+    repeated = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(name)).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(name).hint("merge")
+    once = known.join(repeated, F.col(key) == F.col(name), "left_anti")
+    several = known.join(repeated, F.col(key) == F.col(name), "left_semi")
+    return once.unionByName(one_of_each_id(several, key, text)).unionByName(left.where(F.col(key).isNull()))
