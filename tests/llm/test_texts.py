@@ -65,12 +65,12 @@ def test_prefix_table_on_random_texts():
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids)
 
 
-@pytest.mark.parametrize("run", ["0", "\t", "中", "あ", "🙂", "█", "0\t中", "\x00"])
+@pytest.mark.parametrize("run", ["0", "\t", "中", "あ", "🙂", "█", "0\t中", "\x00", "漢字仮名交", "0123456789", "xq☃", "สวัสดีชาวโลก", "ab中\n", "a", "▁"])
 def test_long_runs_that_no_piece_joins(run):
     import sentencepiece
 
     lib, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_coding.PieceCoder(MODEL)
-    for t in (run * 5000, f"word{run * 5000} next", f"a\n{run * 5000}\nb", f"{run * 5000}word"):
+    for t in (run * 50_000, run * 5000, f"word{run * 5000} next", f"a\n{run * 5000}\nb", f"{run * 5000}word"):
         ids = lib.encode(t)
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids)
 

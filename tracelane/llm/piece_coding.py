@@ -186,13 +186,10 @@ class PieceCoder:
         if got is None:
             got = self.old.get(key)
             if got is None:
-                end = len(key)
-                while end > 2 and key[end - 2 : end] not in self.neighbours:  # no merge crosses: the last character stands alone
-                    end -= 1
-                if end < len(key):
-                    alone = {c: self.given(self.word_ids(c)) for c in set(key[end:])}
-                    ids, decimal, tokens = zip(self.young.get(key[:end]) or self.known(key[:end]), *map(alone.__getitem__, key[end:]), strict=True)
-                    got = b"".join(ids), "".join(decimal), b"".join(tokens)
+                pairs = self.neighbours
+                cuts = [i for i in range(1, len(key)) if key[i - 1 : i + 1] not in pairs]  # no merge crosses these
+                if cuts:
+                    got = self.joined([key[a:b] for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True)])
                 elif key[:1] == "\n" and self.lines_apart:
                     got = self.given((self.byte_id[10], *self.word_ids(key[1:])))
                 else:
@@ -203,6 +200,12 @@ class PieceCoder:
                 self.young[key] = got
         return got
 
+    def joined(self, parts: list[str]) -> tuple[bytes, str, bytes]:
+        """What a word gives that falls into these parts; only the first bears the word's mark or line end."""
+        made = {c: self.given(self.word_ids(c)) for c in set(parts[1:])}
+        ids, decimal, tokens = zip(self.known(parts[0]), *map(made.__getitem__, parts[1:]), strict=True)
+        return b"".join(ids), "".join(decimal), b"".join(tokens)
+
     def keys_of(self, word: str) -> list[str]:
         """A word cut before its line ends, which are pieces of their own if the model has none with a line end."""
         if "\n" not in word or not self.lines_apart:
