@@ -66,7 +66,8 @@ def discard(*tables: DataFrame) -> None:
 
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables staged inside are deleted at the end, but for those passed through the function that it gives."""
+    """Tables staged inside are deleted at the end, but for those passed through the function that it gives: they
+    belong to the scratch around this one, if there is any."""
     made: list[DataFrame] = []
     kept: list[DataFrame] = []
     _scratch.append(made)
@@ -75,6 +76,8 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         _scratch.remove(made)
         discard(*(t for t in made if all(t is not k for k in kept)))
+        if _scratch:
+            _scratch[-1].extend(kept)
 
 
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

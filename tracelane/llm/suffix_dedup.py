@@ -1,21 +1,25 @@
-"""Removal of repeated byte strings by suffix order, in blocks, with a difference cover.
+"""Removal of repeated byte strings by suffix order, in buckets, with the ranks of a difference cover.
 
-Every byte covered by a string of ``length`` bytes that also starts anywhere else in the table is removed.
-Two suffixes share such a string exactly if they are in one class of the suffix order cut at that depth.
+Every byte covered by a string of ``length`` bytes that also starts anywhere else in the table is removed. Two
+suffixes share such a string exactly if they are in one class of the suffix order cut at that depth (200 bytes).
 
 1. Cover sample. Positions whose place in their document, modulo v = 133, is in a difference cover D of 12
    residues are the sample. For any two positions i and j there is a d < v with i+d and j+d both in the sample,
-   so a repeated 200-byte string holds a repeated sample string of 200 - 132 = 68 bytes. The sample's suffixes
-   are sorted by class of their first 68 bytes; those alone in their class are marked as unique.
-2. Suffix buckets. A suffix needs sorting only if a sample suffix of a shared class begins within its first v
-   bytes. The remaining suffixes are sorted one bucket at a time (a bucket is a range of suffix classes), each
-   bucket spread over all tasks, so memory and disk hold one bucket, whatever the input. A suffix that isn't
-   alone in its class is repeated.
-3. Every document is cut by the repeated suffixes found in it.
-
-Suffix classes are compared by 64-bit fingerprints of the prefix, not by its text: shipping the text of each
-suffix would take 200 times the input. Equal fingerprints in one block are sent once, with a mark, so a
-string that fills a third of the table costs one entry for each block.
+   so a repeated 200-byte string holds a repeated sample string of 200 - 132 = 68 bytes, and a repeat that goes on
+   for 132 bytes on each side begins within 132 bytes after a repeated sample string of 200 + 132 = 332 bytes.
+2. Long ties. One of ``KEPT`` sample strings of 332 bytes, picked by its content, is ranked: strings are sorted as
+   bytes, and those of one rank are equal. Each repeated one settles the 133 suffixes that begin in it with 200
+   bytes of their own; they are never compared again.
+3. Suffix buckets. A suffix can only be repeated if a repeated sample string of 68 bytes begins within its first v
+   bytes. Such suffixes go to ``BUCKETS`` buckets, one after another, each spread over all tasks in slices of
+   bounded size. A class with a suffix that no long tie settled is sorted as bytes of full length.
+4. Every document is cut by the repeated suffixes found in it.
+
+Fingerprints of 64 bits only choose where strings meet and rule out those that meet no other: equal strings have
+equal fingerprints. That a string repeats is decided by its bytes alone, so a collision costs time, not text.
+Equal strings of one block are sent once, with a mark, so a string that fills a third of the table costs one entry
+for each block. The number of passes is fixed; slices, and with them tasks, grow with the input. Only where very
+many repeats are shorter than 332 bytes are their bytes sent in several parts (200 at most), to bound the disk.
 
 Null text counts as empty. Matches never cross documents; rows with equal text repeat each other. Removal is by
 bytes: what is left of a character cut in two is dropped from the kept text, but not from its digest.
@@ -24,7 +28,7 @@ bytes: what is left of a character cut in two is dropped from the kept text, but
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelane.llm.common import arrow_schema, by_bytes, discard, flat_text, list_array, mix, renamed_clashes, shared_dir, shuffles_dropped, staged, struct_of, tidy
+from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array, mix, renamed_clashes, scratch, shared_dir, shuffles_dropped, staged, struct_of, tidy
 
 LENGTH, PERIOD = 200, 133
 BLOCK_BYTES = 2 << 20
-#: Suffixes sorted at once, for the whole cluster, and for one task.
-BUCKET, PER_TASK = 120_000_000, 1_500_000
+#: Buckets that the suffixes are sorted in, one after another; classes and bytes of text in one slice of a sort.
+BUCKETS, PER_TASK, TEXT_PER_TASK = 2, 1_500_000, 32 << 20
+#: One of so many long sample strings is ranked: 12 of them begin in any 133 bytes, so 1 in 130 suffixes meets none.
+KEPT = 3
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
@@ -118,7 +124,7 @@ def text_blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Dat
     rows = T.StructType([f for f in df.schema.fields if f.name != text])
     if not rows.fields:
         raise ValueError("the table needs a column besides the text")
-    schema = T.StructType([T.StructField("block", T.StringType(), False), T.StructField("rows", T.ArrayType(rows, True), False), T.StructField("data", T.BinaryType(), False), T.StructField("ends", T.ArrayType(T.LongType(), False), False)])
+    schema = T.StructType([T.StructField("block", T.LongType(), False), T.StructField("rows", T.ArrayType(rows, True), False), T.StructField("data", T.BinaryType(), False), T.StructField("ends", T.ArrayType(T.LongType(), False), False)])
     want = arrow_schema(schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +134,7 @@ def text_blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Dat
         for k, table in enumerate(by_bytes(batches, text, block_bytes)):
             raw, off = flat_text(table[text])
             one = lambda v: list_array(v, np.array([0, len(v)]))
-            columns = [pa.array([f"{part}-{k}"]), one(struct_of(table, rows)), pa.array([raw.tobytes()], pa.binary()), one(pa.array(off[1:]))]
+            columns = [pa.array([(part << 32) + k]), one(struct_of(table, rows)), pa.array([raw.tobytes()], pa.binary()), one(pa.array(off[1:]))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, want, strict=True)], schema=want)
 
     return df.mapInArrow(tidy(pack), schema)
@@ -164,61 +170,76 @@ def candidate_places(marked: np.ndarray, ends: np.ndarray, period: int, length:
 
 
 def _kinds(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct classes in order, and which of them occur more than once."""
-    ordered = np.sort(classes)
-    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    return ordered[edge], np.diff(np.append(edge, len(ordered))) > 1
+    """Distinct classes in order, and how often each occurs."""
+    return np.unique(classes, return_counts=True)
 
 
-_SENT = "block string, slice int, classes binary, twice binary"
-_BACK = "block string, slice int, shared binary"
+def _slice_edges(kinds: np.ndarray, slices: int) -> np.ndarray:
+    """Where each slice of the classes' range begins among these sorted ones."""
+    return np.searchsorted((kinds >> np.uint64(32)).astype(np.int64), (1 << 32) * np.arange(slices + 1) // slices)
 
 
-def _sort_slices(sent: DataFrame) -> DataFrame:
-    """Sort each slice of classes over all blocks: for each block a bit for each class it sent, set if the class
-    occurs twice in a block or in two blocks."""
+def _pack(bits: np.ndarray) -> bytes:
+    return np.packbits(bits).tobytes()
 
-    def sort(table: pa.Table) -> pa.Table:
-        classes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["classes"]]
-        twice = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(c)).astype(bool) for x, c in zip(table["twice"], classes, strict=True)]
-        ordered = np.sort(np.concatenate(classes + [c[t] for c, t in zip(classes, twice, strict=True)]))
-        shared = ordered[1:][ordered[1:] == ordered[:-1]]
-        shared = shared[np.concatenate([[True], shared[1:] != shared[:-1]])] if len(shared) else shared
-        bits = []
-        for c in classes:
-            at = np.minimum(np.searchsorted(shared, c), max(len(shared) - 1, 0))
-            bits.append(np.packbits(shared[at] == c if len(shared) else np.zeros(len(c), bool)).tobytes())
-        return pa.table({"block": table["block"], "slice": table["slice"], "shared": pa.array(bits, pa.binary())})
 
-    return sent.groupBy("slice").applyInArrow(sort, _BACK)
+def _unpack(bits: pa.Scalar | bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits if isinstance(bits, bytes) else bits.as_buffer(), np.uint8), count=n).astype(bool)
 
 
-def _send(block: str, classes: np.ndarray, low: int, high: int, slices: int) -> Iterator[tuple]:
-    """The block's distinct classes of one bucket (the fractions low/2^32 to high/2^32), a row for each slice of it."""
-    kinds, twice = _kinds(classes)
-    top = (kinds >> np.uint64(32)).astype(np.int64)
-    edges = np.searchsorted(top, low + (high - low) * np.arange(slices + 1) // slices)
-    for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if b > a:
-            yield block, s, kinds[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()
+def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, pa.RecordBatch, int]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            raw = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8)
-            yield batch.column("block")[i].as_py(), raw, batch.column("ends")[i].values.to_numpy(), batch, i
+_CLASSES = {"block": pa.int64(), "slice": pa.int32(), "classes": pa.binary(), "twice": pa.binary(), "open": pa.binary()}
+_STRINGS = {"block": pa.int64(), "slice": pa.int32(), "n": pa.int32(), "texts": pa.binary(), "twice": pa.binary()}
+_BACK = "block long, slice int, n int, found binary"
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+
 
+def _ddl(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{n} {_SQL[t]}" for n, t in kinds.items())
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["block", "slice", "classes", "twice"])
 
+def _bits(table: pa.Table, found: list[np.ndarray]) -> pa.Table:
+    """For each row of the table the bits found, and how many are set."""
+    return pa.table({"block": table["block"], "slice": table["slice"], "n": pa.array([int(f.sum()) for f in found], pa.int32()), "found": pa.array([_pack(f) for f in found], pa.binary())})
 
-def _marks(kinds: np.ndarray, low: int, high: int, slices: int, back: dict[int, bytes]) -> np.ndarray:
-    """The sorted distinct classes that came back as shared, of one bucket."""
-    top = (kinds >> np.uint64(32)).astype(np.int64)
-    edges = np.searchsorted(top, low + (high - low) * np.arange(slices + 1) // slices)
-    out = [kinds[a:b][np.unpackbits(np.frombuffer(back[s], np.uint8), count=b - a).astype(bool)] for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+
+def _send_classes(block: int, classes: np.ndarray, slices: int, own: range, shift: int = 0, unsettled: np.ndarray | None = None) -> list[tuple]:
+    """The block's distinct classes in its own slices: which occur twice in it, and which have an unsettled suffix."""
+    kinds, times = _kinds(classes)
+    open_ = np.ones(len(kinds), bool) if unsettled is None else _isin(kinds, np.unique(classes[unsettled]))
+    edges = _slice_edges(kinds, slices)[own.start : own.stop + 1]
+    rows = []
+    for s in np.flatnonzero(np.diff(edges)):
+        a, b = edges[s], edges[s + 1]
+        rows.append((block, int(s) + own.start + shift, kinds[a:b].tobytes(), _pack(times[a:b] > 1), _pack(open_[a:b])))
+    return rows
+
+
+def _sorted_classes(sent: DataFrame) -> DataFrame:
+    """Sort each slice of classes over all blocks: for each block a bit for each class it sent, set if the class
+    occurs twice in a block or in two blocks, and some block has an unsettled suffix in it."""
+
+    def sort(table: pa.Table) -> pa.Table:
+        classes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["classes"]]
+        marks = [[_unpack(x, len(c)) for x, c in zip(table[n], classes, strict=True)] for n in ("twice", "open")]
+        kinds, first, times = np.unique(np.concatenate(classes), return_inverse=True, return_counts=True)
+        times[first[np.concatenate(marks[0])]] += 1
+        open_ = np.zeros(len(kinds), bool)
+        open_[first[np.concatenate(marks[1])]] = True
+        found = np.split((open_ & (times > 1))[first], np.cumsum([len(c) for c in classes])[:-1])
+        return _bits(table, found)
+
+    return sent.groupBy("slice").applyInArrow(sort, _BACK)
+
+
+def _found_classes(classes: np.ndarray, slices: int, back: dict[int, bytes], shift: int = 0) -> np.ndarray:
+    """The sorted distinct classes whose bit came back."""
+    kinds, _ = _kinds(classes)
+    edges = _slice_edges(kinds, slices)
+    out = [kinds[edges[s] : edges[s + 1]][_unpack(back[s + shift], edges[s + 1] - edges[s])] for s in np.flatnonzero(np.diff(edges)) if s + shift in back]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -230,74 +251,241 @@ def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
+def _windows(raw: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(raw, width)[at]
+
+
+def distinct_strings(raw: np.ndarray, at: np.ndarray, width: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct strings among those at these places, and for each place which of them it has. Strings
+    are compared with the first of their class as bytes; those that differ from it are a further round."""
+    firsts, which, left = [], np.empty(len(at), np.int64), np.arange(len(at))
+    while len(left):
+        _, first, of = np.unique(classes[left], return_index=True, return_inverse=True)
+        same = np.empty(len(left), bool)
+        for a in range(0, len(left), 1 << 15):
+            part = slice(a, a + (1 << 15))
+            same[part] = (_windows(raw, at[left[part]], width) == _windows(raw, at[left[first[of[part]]]], width)).all(1)
+        which[left[same]] = of[same] + sum(map(len, firsts))
+        firsts.append(at[left[first]])
+        left = left[~same]
+    return np.concatenate(firsts) if firsts else np.zeros(0, np.int64), which
+
+
+class Strings:
+    """The distinct strings of a block at some places, by slice and, in a slice, in the order of their bytes."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, width: int, classes: np.ndarray, slices: int) -> None:
+        self.raw, self.at, self.width = raw, at, width
+        self.first, self.which = distinct_strings(raw, at, width, classes)
+        self.times = np.bincount(self.which, minlength=len(self.first))
+        of = np.zeros(len(self.first), np.uint64)
+        of[self.which] = classes
+        slice_ = ((of >> np.uint64(32)).astype(np.int64) * slices) >> 32
+        self.order = np.argsort(slice_, kind="stable")
+        self.edges = np.searchsorted(slice_[self.order], np.arange(slices + 1))
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(slice, numbers of its distinct strings in the order of their bytes, the strings)."""
+        for s in np.flatnonzero(np.diff(self.edges)):
+            own = self.order[self.edges[s] : self.edges[s + 1]]
+            texts = np.ascontiguousarray(_windows(self.raw, self.first[own], self.width)).view(f"S{self.width}").ravel()
+            order = np.argsort(texts)
+            yield int(s), own[order], texts[order]
+
+    def rows(self, block: int, own: range) -> Iterator[tuple]:
+        zstd = pa.Codec("zstd", 1)
+        for s, numbers, texts in self.parts():
+            if s in own:
+                yield block, s, len(numbers), zstd.compress(texts.tobytes(), asbytes=True), _pack(self.times[numbers] > 1)
+
+    def repeated(self, back: dict[int, bytes]) -> np.ndarray:
+        """The places whose string's bit came back."""
+        found = np.zeros(len(self.first), bool)
+        for s, numbers, _ in self.parts():
+            if s in back:
+                found[numbers] = _unpack(back[s], len(numbers))
+        return self.at[found[self.which]]
+
+
+def _sorted_strings(sent: DataFrame, width: int) -> DataFrame:
+    """Sort the strings of each slice as bytes: for each block a bit for each string it sent, set if it is repeated."""
+
+    def sort(table: pa.Table) -> pa.Table:
+        zstd, n = pa.Codec("zstd", 1), table["n"].to_numpy()
+        data = b"".join(zstd.decompress(t.as_buffer(), int(k) * width, asbytes=True) for t, k in zip(table["texts"], n, strict=True))
+        texts = np.frombuffer(data, f"S{width}")
+        order = np.argsort(texts)
+        same = texts[order[1:]] == texts[order[:-1]]
+        again = np.zeros(len(texts), bool)
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        ends = np.cumsum(n)
+        # equal strings have one rank; a block sends each of its strings once, so a mark holds for the whole rank
+        rank = np.empty(len(texts), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(~same)])
+        twice = np.concatenate([_unpack(t, k) for t, k in zip(table["twice"], n, strict=True)])
+        marked = np.zeros(len(texts), bool)
+        marked[rank[twice]] = True
+        found = np.split(again | marked[rank], ends[:-1])
+        return _bits(table, found)
+
+    return sent.groupBy("slice").applyInArrow(sort, _BACK)
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch, int]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column("block")[i].as_py(), np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), batch, i
+
+
+def _ends(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return batch.column("ends")[i].values.to_numpy()
+
+
+def _answers(batch: pa.RecordBatch, i: int, name: str) -> dict[int, bytes]:
+    return {r["slice"]: r["found"] for r in batch.column(name)[i].as_py() or ()}
+
+
 def _joined_back(blocks: DataFrame, back: DataFrame, name: str) -> DataFrame:
-    """blocks with what came back for each: a list of (bucket or -, slice, bits); no more than slices in all."""
-    lists = back.groupBy("block").agg(F.collect_list(F.struct(*(c for c in back.columns if c != "block"))).alias(name))
-    return blocks.join(lists, "block", "left")
+    """blocks with what came back for each: a list of (slice, bits), no more than there are slices."""
+    return blocks.join(back.groupBy("block").agg(F.collect_list(F.struct("slice", "found")).alias(name)), "block", "left")
+
+
+def _runs(places: np.ndarray) -> bytes:
+    """Sorted places as runs: pairs of first and end."""
+    if not len(places):
+        return b""
+    edge = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1] + 1]))
+    return np.column_stack([places[edge], np.append(places[edge[1:] - 1], places[-1]) + 1]).astype(np.int32).tobytes()
 
 
-def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period: int = PERIOD, keep_text: bool = False, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET, per_task: int = PER_TASK) -> DataFrame:
+def _places(runs: pa.Scalar) -> np.ndarray:
+    if not runs.is_valid or not len(runs.as_buffer()):
+        return np.zeros(0, np.int64)
+    r = np.frombuffer(runs.as_buffer(), np.int32).reshape(-1, 2).astype(np.int64)
+    n = r[:, 1] - r[:, 0]
+    return np.repeat(r[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period: int = PERIOD, keep_text: bool = False, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS, per_task: int = PER_TASK, text_per_task: int = TEXT_PER_TASK, hashed: Callable[[np.ndarray, int], np.ndarray] = prefix_classes) -> DataFrame:
     """df without the text, with n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; keep_text adds
-    kept_text. Columns named like a result get the suffix ``_in``."""
+    kept_text. Columns named like a result get the suffix ``_in``. hashed: gives the fingerprints of all strings of
+    a length; the results are the same for any."""
+    with scratch() as keep:
+        return _cut_repeats(df, text, length, period, keep_text, block_bytes, buckets, per_task, text_per_task, hashed, keep)
+
+
+def _cut_repeats(df, text, length, period, keep_text, block_bytes, buckets, per_task, text_per_task, hashed, keep) -> DataFrame:
     spark = df.sparkSession
     results = RESULTS[: 5 if keep_text else 4]
     df = renamed_clashes(df, results, keep=[text])
     while period > length:
         period = period // 2 or 1
-    cover, depth = difference_cover(period), length - period + 1
-    blocks = staged(text_blocks(df, text, block_bytes), "texts")
-    whole = 1 << 32
-
-    places = F.sum(F.element_at("ends", -1)).alias("n")
-    n_bytes = blocks.where(F.size("ends") > 0).agg(places).first().n or 0
-    slices = max(8, int(-(-n_bytes * len(cover) // period // per_task)))
-
+    cover, depth, span = difference_cover(period), length - period + 1, length + period - 1
+    blocks = keep(staged(text_blocks(df, text, block_bytes), "texts"))
+    n_bytes = blocks.where(F.size("ends") > 0).agg(F.sum(F.element_at("ends", -1)).alias("n")).first().n or 0
+    n_sample = n_bytes * len(cover) // period
+    slices = max(8, -(-n_sample // per_task))
+    long_slices = max(8, -(-n_sample // KEPT * span // text_per_task))
+
+    # 1. which sample strings, short and long, have a fingerprint of their own
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, raw, ends, _, _ in _blocks_of(batches):
-            at = sample_places(ends, cover, period, depth)
-            if len(at) and (rows := list(_send(block, prefix_classes(raw, depth)[at], 0, whole, slices))):
-                yield _rows(rows)
-
-    ranks = staged(_sort_slices(blocks.select("block", "data", "ends").mapInArrow(tidy(sample), _SENT)), "ranks")
-
-    # the suffixes that still need sorting: by block, as runs of places
+        for block, raw, batch, i in _blocks_of(batches):
+            rows = []
+            for k, size in enumerate((depth, span)):
+                at = sample_places(_ends(batch, i), cover, period, size)
+                if len(at):
+                    rows += _send_classes(block, hashed(raw, size)[at], slices, range(slices), k * slices)
+            if rows:
+                yield _table(rows, _CLASSES)
+
+    text_columns = blocks.select("block", "data", "ends")
+    shared = staged(_sorted_classes(text_columns.mapInArrow(tidy(sample), _ddl(_CLASSES))), "sample")
+    known = _joined_back(text_columns, shared, "shared")
+
+    # 2. long ties: the ranks of long sample strings
+    def long_strings(raw: np.ndarray, batch: pa.RecordBatch, i: int) -> Strings:
+        at = sample_places(_ends(batch, i), cover, period, span)
+        classes = hashed(raw, span)[at]
+        shared = _found_classes(classes, slices, _answers(batch, i, "shared"), slices)
+        own = _isin(classes, shared) & (classes % np.uint64(KEPT) == 0)
+        return Strings(raw, at[own], span, classes[own], long_slices)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, raw, batch, i in _blocks_of(batches):
+            rows = list(long_strings(raw, batch, i).rows(block, range(long_slices)))
+            if rows:
+                yield _table(rows, _STRINGS)
+
+    ranks = staged(_sorted_strings(known.mapInArrow(tidy(rank), _ddl(_STRINGS)), span), "ranks")
+
+    # 3. the suffixes that can be repeated, and those that long ties have settled, by block, as runs of places
     def remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, raw, ends, batch, i in _blocks_of(batches):
+        for block, raw, batch, i in _blocks_of(batches):
+            ends = _ends(batch, i)
             at = sample_places(ends, cover, period, depth)
-            found = batch.column("ranks")[i].as_py() or []
-            if not len(at) or not found:
-                continue
-            classes = prefix_classes(raw, depth)[at]
-            shared = _marks(_kinds(classes)[0], 0, whole, slices, {r["slice"]: r["shared"] for r in found})
-            left = candidate_places(at[_isin(classes, shared)], ends, period, length)
+            classes = hashed(raw, depth)[at] if len(at) else np.zeros(0, np.uint64)
+            marked = at[_isin(classes, _found_classes(classes, slices, _answers(batch, i, "shared")))]
+            left = candidate_places(marked, ends, period, length)
             if len(left):
-                edge = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1] + 1]))
-                runs = np.column_stack([left[edge], np.append(left[edge[1:] - 1], left[-1]) + 1]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(left)], pa.int64()), pa.array([runs.tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary())], names=["block", "n", "runs", "data"])
-
-    left = staged(_joined_back(blocks.select("block", "data", "ends"), ranks, "ranks").mapInArrow(tidy(remain), "block string, n long, runs binary, data binary"), "suffixes")
-    discard(ranks)
+                ties = _answers(batch, i, "ranks")
+                first = long_strings(raw, batch, i).repeated(ties) if ties else np.zeros(0, np.int64)
+                edge = np.zeros(len(raw) + period + 1, np.int32)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + period, -1)
+                settled = np.flatnonzero(np.cumsum(edge) > 0)
+                yield _table([(block, len(left), _runs(left), _runs(settled), raw.tobytes())], {"block": pa.int64(), "n": pa.int64(), "runs": pa.binary(), "settled": pa.binary(), "data": pa.binary()})
+
+    left = keep(staged(_joined_back(known, ranks, "ranks").mapInArrow(tidy(remain), "block long, n long, runs binary, settled binary, data binary"), "suffixes"))
     n_left = left.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, int(-(-n_left // bucket)))
-    parts = max(8, int(-(-n_left // buckets // per_task)))
-    bounds = [whole * k // buckets for k in range(buckets + 1)]
+    parts = max(8, -(-n_left // buckets // per_task))
+    slices_left = parts * buckets
+
+    # 4. suffix classes, bucket by bucket: those of several suffixes of which one or more are not settled
+    def suffixes(batch: pa.RecordBatch, i: int, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = _places(batch.column("runs")[i])
+        return at, hashed(raw, length)[at]
 
-    path = shared_dir(spark, "repeats")
+    path = shared_dir(spark, "classes")
     for k in range(buckets):
-        low, high = bounds[k], bounds[k + 1]
+        own = range(k * parts, (k + 1) * parts)
+
+        def sort_bucket(batches: Iterator[pa.RecordBatch], own: range = own) -> Iterator[pa.RecordBatch]:
+            for block, raw, batch, i in _blocks_of(batches):
+                at, classes = suffixes(batch, i, raw)
+                top = ((classes >> np.uint64(32)).astype(np.int64) * slices_left) >> 32
+                here = (top >= own.start - 1) & (top <= own.stop)  # the edges of slices are exact below
+                rows = _send_classes(block, classes[here], slices_left, own, 0, ~_isin(at[here], _places(batch.column("settled")[i])))
+                if rows:
+                    yield _table(rows, _CLASSES)
 
-        def sort_bucket(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    classes = _left_classes(batch, i, length)[1]
-                    top = classes >> np.uint64(32)
-                    rows = list(_send(batch.column("block")[i].as_py(), classes[(top >= np.uint64(low)) & (top < np.uint64(high))], low, high, parts))
-                    if rows:
-                        yield _rows(rows)
+        with shuffles_dropped(spark):
+            _sorted_classes(left.select("block", "runs", "settled", "data").mapInArrow(tidy(sort_bucket), _ddl(_CLASSES))).write.mode("append").parquet(path)
+    open_ = spark.read.schema(_BACK).parquet(path)
+
+    # 5. the strings of those classes, sorted as bytes; in several parts where they are many times the input
+    n_open = open_.agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, -(-n_open * length // max(1, 4 * n_bytes)))
+    text_parts = max(8, -(-n_open * length // rounds // text_per_task))
+    asked = _joined_back(left.select("block", "runs", "data"), open_, "open")
+    hits = shared_dir(spark, "hits")
+    for k in range(rounds):
+        own = range(k * text_parts, (k + 1) * text_parts)
+
+        def strings(batch: pa.RecordBatch, i: int, raw: np.ndarray) -> Strings:
+            at, classes = suffixes(batch, i, raw)
+            mine = _isin(classes, _found_classes(classes, slices_left, _answers(batch, i, "open")))
+            return Strings(raw, at[mine], length, classes[mine], rounds * text_parts)
+
+        def send(batches: Iterator[pa.RecordBatch], own: range = own) -> Iterator[pa.RecordBatch]:
+            for block, raw, batch, i in _blocks_of(batches):
+                if batch.column("open")[i].is_valid:
+                    for row in strings(batch, i, raw).rows(block, own):
+                        yield _table([row], _STRINGS)
 
         with shuffles_dropped(spark):
-            _sort_slices(left.mapInArrow(tidy(sort_bucket), _SENT)).withColumn("bucket", F.lit(k)).write.mode("append").parquet(path)
-    back = spark.read.schema(f"{_BACK}, bucket int").parquet(path)
+            _sorted_strings(asked.mapInArrow(tidy(send), _ddl(_STRINGS)), length).write.mode("append").parquet(hits)
+    back = _joined_back(asked, spark.read.schema(_BACK).parquet(hits), "back")
 
     fields = blocks.schema["rows"].dataType.elementType.fields
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
@@ -305,18 +493,11 @@ def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period:
     want = arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, ends, batch, i in _blocks_of(batches):
-            hit = np.zeros(0, np.int64)
-            if batch.column("runs")[i].is_valid and batch.column("back")[i].is_valid:
-                at, classes = _left_classes(batch, i, length)
-                kinds_, _ = _kinds(classes)
-                top = (kinds_ >> np.uint64(32)).astype(np.int64)
-                shared = []
-                for k in range(buckets):
-                    a, b = np.searchsorted(top, bounds[k : k + 2])
-                    own = {r["slice"]: r["shared"] for r in batch.column("back")[i].as_py() if r["bucket"] == k}
-                    shared.append(_marks(kinds_[a:b], bounds[k], bounds[k + 1], parts, own))
-                hit = at[_isin(classes, np.concatenate(shared))]
+        for _, raw, batch, i in _blocks_of(batches):
+            ends = _ends(batch, i)
+            hit = _places(batch.column("settled")[i])
+            if batch.column("back")[i].is_valid:
+                hit = np.union1d(hit, strings(batch, i, raw).repeated(_answers(batch, i, "back")))
             edge = np.zeros(len(raw) + 1, np.int32)
             edge[hit] += 1
             edge[hit + length] -= 1
@@ -338,12 +519,5 @@ def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period:
             out = [*batch.column("rows")[i].values.flatten(), pa.array(ends - first), pa.array(removed[ends] - removed[first]), pa.array(spans[ends] - spans[first]), pa.array(digests, pa.string()), *([pa.array(kept, pa.string())] if keep_text else [])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, want, strict=True)], schema=want)
 
-    return _joined_back(blocks.join(left.select("block", "runs"), "block", "left"), back, "back").mapInArrow(tidy(cut), schema)
-
-
-def _left_classes(batch: pa.RecordBatch, i: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of a block's suffixes to be sorted, and their classes."""
-    runs = np.frombuffer(batch.column("runs")[i].as_buffer(), np.int32).reshape(-1, 2).astype(np.int64)
-    n = runs[:, 1] - runs[:, 0]
-    at = np.repeat(runs[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return at, prefix_classes(np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8), length)[at]
+    extra = left.select("block", "settled").join(back.select("block", "runs", "open", "back"), "block", "left")
+    return blocks.join(extra, "block", "left").mapInArrow(tidy(cut), schema)
