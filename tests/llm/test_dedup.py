@@ -65,22 +65,22 @@ def test_prefix_classes_are_of_the_text_alone():
         assert len(set(zip(got.tolist(), want))) == len(set(want))
 
 
-def few_hashes(raw, length):
-    return suffix_dedup.prefix_classes(raw, length) % np.uint64(7) << np.uint64(61) | np.uint64(3)
+def hashes(kind):
+    """Fingerprints of many values, of seven, and of one."""
+    few = lambda raw, n: suffix_dedup.prefix_classes(raw, n) % np.uint64(7) << np.uint64(61) | np.uint64(3)
+    one = lambda raw, n: np.zeros(max(len(raw) - n + 1, 0), np.uint64)
+    some = lambda raw, n: suffix_dedup.prefix_classes(raw, n) % np.uint64(199) << np.uint64(56) | np.uint64(3)
+    return {"many": suffix_dedup.prefix_classes, "some": some, "few": few, "one": one}[kind]
 
 
-def no_hashes(raw, length):
-    return np.zeros(max(len(raw) - length + 1, 0), np.uint64)
-
-
-@pytest.mark.parametrize(("length", "period", "buckets", "hashed"), [(20, 13, 1, suffix_dedup.prefix_classes), (20, 13, 3, suffix_dedup.prefix_classes), (20, 7, 3, few_hashes), (200, 133, 2, suffix_dedup.prefix_classes), (200, 133, 1, few_hashes), (5, 133, 1, suffix_dedup.prefix_classes), (20, 13, 2, no_hashes)])
-def test_cut_repeats_on_random_texts(spark, length, period, buckets, hashed):
-    rng = random.Random(length + buckets)
+@pytest.mark.parametrize(("length", "period", "seed", "hashed"), [(20, 13, 1, "many"), (20, 13, 3, "many"), (20, 7, 3, "few"), (200, 133, 2, "many"), (200, 133, 1, "few"), (5, 133, 1, "many"), (20, 13, 2, "one"), (20, 13, 5, "some"), (200, 133, 6, "some")])
+def test_cut_repeats_on_random_texts(spark, length, period, seed, hashed):
+    rng = random.Random(length + seed)
     passage = ["".join(rng.choice("ab é\n") for _ in range(length + k)) for k in (-1, 0, 1, 30, 300)]
     texts = ["".join(rng.choice([*passage, *["".join(rng.choice("abcdefgh") for _ in range(40))] * 3]) for _ in range(rng.randrange(5))) for _ in range(25)]
     texts += [None, "", "x" * (length - 1), "z" * (length + 60), "z" * (length + 1), "a", texts[0], texts[0], "".join(passage) * 3, "\x00" * (length + 5)]
     texts += ["q" + "".join(passage)[1:], "".join(passage) + "\x00", "".join(passage) + "\x00\x00"]
-    assert cut(spark, texts, length=length, period=period, block_bytes=900, buckets=buckets, per_task=70, text_per_task=5000, hashed=hashed) == brute_cut(texts, length)
+    assert cut(spark, texts, length=length, period=period, block_bytes=900, per_task=70, text_per_task=5000, hashed=hashes(hashed)) == brute_cut(texts, length)
 
 
 def test_cut_keeps_other_columns_and_text(spark):

@@ -1,25 +1,27 @@
-"""Removal of repeated byte strings by suffix order, in buckets, with the ranks of a difference cover.
+"""Removal of repeated byte strings by suffix order, in buckets, with a difference cover.
 
 Every byte covered by a string of ``length`` bytes that also starts anywhere else in the table is removed. Two
 suffixes share such a string exactly if they are in one class of the suffix order cut at that depth (200 bytes).
 
 1. Cover sample. Positions whose place in their document, modulo v = 133, is in a difference cover D of 12
    residues are the sample. For any two positions i and j there is a d < v with i+d and j+d both in the sample,
-   so a repeated 200-byte string holds a repeated sample string of 200 - 132 = 68 bytes, and a repeat that goes on
-   for 132 bytes on each side begins within 132 bytes after a repeated sample string of 200 + 132 = 332 bytes.
-2. Long ties. One of ``KEPT`` sample strings of 332 bytes, picked by its content, is ranked: strings are sorted as
-   bytes, and those of one rank are equal. Each repeated one settles the 133 suffixes that begin in it with 200
-   bytes of their own; they are never compared again.
-3. Suffix buckets. A suffix can only be repeated if a repeated sample string of 68 bytes begins within its first v
-   bytes. Such suffixes go to ``BUCKETS`` buckets, one after another, each spread over all tasks in slices of
-   bounded size. A class with a suffix that no long tie settled is sorted as bytes of full length.
-4. Every document is cut by the repeated suffixes found in it.
-
-Fingerprints of 64 bits only choose where strings meet and rule out those that meet no other: equal strings have
-equal fingerprints. That a string repeats is decided by its bytes alone, so a collision costs time, not text.
+   so a repeated 200-byte string holds a repeated sample string of 200 - 132 = 68 bytes. A suffix can only be
+   repeated if a repeated sample string begins within its first v bytes; other suffixes are never sorted.
+2. Suffix buckets. The suffixes left go to buckets, which are sorted one after another, each spread over all tasks
+   in slices of bounded size. In a bucket suffixes meet by fingerprint. Long ties are resolved by the suffix before:
+   where all suffixes of one fingerprint follow suffixes of one fingerprint, and end with the same byte, they are
+   equal if those before are. All others, the first suffixes of repeats above all, are compared by their bytes.
+3. Every document is cut by the repeated suffixes found in it.
+
+Fingerprints of 63 bits choose where strings meet and rule out those that meet no other, since equal strings have
+equal fingerprints; what repeats is decided by bytes. Step 2 is sound because every chain of suffixes, each one byte
+after the other, begins with one compared by its bytes. If texts differ under one fingerprint, the suffixes that
+follow these are compared by their bytes too, round by round, until none is left (``hashed`` of few values does that
+in the tests). So a collision costs time, not text.
+
 Equal strings of one block are sent once, with a mark, so a string that fills a third of the table costs one entry
-for each block. The number of passes is fixed; slices, and with them tasks, grow with the input. Only where very
-many repeats are shorter than 332 bytes are their bytes sent in several parts (200 at most), to bound the disk.
+for each block. The passes over the table don't grow with it: a bucket is about as large as the input, so there are
+17 at most, and slices, and with them tasks, grow instead.
 
 Null text counts as empty. Matches never cross documents; rows with equal text repeat each other. Removal is by
 bytes: what is left of a character cut in two is dropped from the kept text, but not from its digest.
@@ -41,10 +43,10 @@ from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array,
 
 LENGTH, PERIOD = 200, 133
 BLOCK_BYTES = 2 << 20
-#: Buckets that the suffixes are sorted in, one after another; classes and bytes of text in one slice of a sort.
-BUCKETS, PER_TASK, TEXT_PER_TASK = 2, 1_500_000, 32 << 20
-#: One of so many long sample strings is ranked: 12 of them begin in any 133 bytes, so 1 in 130 suffixes meets none.
-KEPT = 3
+#: Classes, and bytes of text, in one slice of a sort.
+PER_TASK, TEXT_PER_TASK = 1_000_000, 32 << 20
+#: What a suffix is sent as: its class, the class before, and its last byte.
+SENT_BYTES = 17
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
@@ -169,16 +171,6 @@ def candidate_places(marked: np.ndarray, ends: np.ndarray, period: int, length:
     return np.flatnonzero(open_)
 
 
-def _kinds(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct classes in order, and how often each occurs."""
-    return np.unique(classes, return_counts=True)
-
-
-def _slice_edges(kinds: np.ndarray, slices: int) -> np.ndarray:
-    """Where each slice of the classes' range begins among these sorted ones."""
-    return np.searchsorted((kinds >> np.uint64(32)).astype(np.int64), (1 << 32) * np.arange(slices + 1) // slices)
-
-
 def _pack(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
@@ -187,60 +179,125 @@ def _unpack(bits: pa.Scalar | bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits if isinstance(bits, bytes) else bits.as_buffer(), np.uint8), count=n).astype(bool)
 
 
+def _numbers(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
 def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-_CLASSES = {"block": pa.int64(), "slice": pa.int32(), "classes": pa.binary(), "twice": pa.binary(), "open": pa.binary()}
-_STRINGS = {"block": pa.int64(), "slice": pa.int32(), "n": pa.int32(), "texts": pa.binary(), "twice": pa.binary()}
-_BACK = "block long, slice int, n int, found binary"
-_SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+def _ddl(kinds: dict[str, pa.DataType]) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{n} {names[t]}" for n, t in kinds.items())
 
 
-def _ddl(kinds: dict[str, pa.DataType]) -> str:
-    return ", ".join(f"{n} {_SQL[t]}" for n, t in kinds.items())
+_CLASSES = {"block": pa.int64(), "slice": pa.int32(), "classes": pa.binary(), "twice": pa.binary()}
+_SUFFIXES = _CLASSES | {"before": pa.binary(), "last": pa.binary(), "mixed": pa.binary()}
+_STRINGS = {"block": pa.int64(), "slice": pa.int32(), "n": pa.int32(), "classes": pa.binary(), "texts": pa.binary(), "twice": pa.binary()}
+#: What comes back for a row that was sent: a bit for each class or string, and how many bits of b are set.
+_BACK = "block long, slice int, n long, a binary, b binary"
+#: The class before a suffix that follows none.
+NONE = np.uint64(1 << 63)
 
 
-def _bits(table: pa.Table, found: list[np.ndarray]) -> pa.Table:
-    """For each row of the table the bits found, and how many are set."""
-    return pa.table({"block": table["block"], "slice": table["slice"], "n": pa.array([int(f.sum()) for f in found], pa.int32()), "found": pa.array([_pack(f) for f in found], pa.binary())})
+def _answer(table: pa.Table, sizes: list[int], a: np.ndarray, b: np.ndarray) -> pa.Table:
+    cuts = np.cumsum(sizes)[:-1]
+    a, b = np.split(a, cuts), np.split(b, cuts)
+    return pa.table({"block": table["block"], "slice": table["slice"], "n": pa.array([int(x.sum()) for x in b]), "a": pa.array([_pack(x) for x in a], pa.binary()), "b": pa.array([_pack(x) for x in b], pa.binary())})
 
 
-def _send_classes(block: int, classes: np.ndarray, slices: int, own: range, shift: int = 0, unsettled: np.ndarray | None = None) -> list[tuple]:
-    """The block's distinct classes in its own slices: which occur twice in it, and which have an unsettled suffix."""
-    kinds, times = _kinds(classes)
-    open_ = np.ones(len(kinds), bool) if unsettled is None else _isin(kinds, np.unique(classes[unsettled]))
-    edges = _slice_edges(kinds, slices)[own.start : own.stop + 1]
-    rows = []
-    for s in np.flatnonzero(np.diff(edges)):
-        a, b = edges[s], edges[s + 1]
-        rows.append((block, int(s) + own.start + shift, kinds[a:b].tobytes(), _pack(times[a:b] > 1), _pack(open_[a:b])))
-    return rows
+def _slice_edges(kinds: np.ndarray, slices: int) -> np.ndarray:
+    """Where each slice of the range of 63-bit classes begins among these sorted ones."""
+    return np.searchsorted((kinds >> np.uint64(31)).astype(np.int64), (1 << 32) * np.arange(slices + 1) // slices)
+
+
+class Classes:
+    """The distinct values of an array in order, how often each occurs, and the places of each."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.order = np.argsort(values)
+        ordered = values[self.order]
+        self.new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(values) else np.zeros(0, bool)
+        self.first = np.flatnonzero(self.new)
+        self.kinds = ordered[self.first]
+        self.times = np.diff(np.append(self.first, len(values)))
+
+    def of_places(self, marks: np.ndarray) -> np.ndarray:
+        """For each place the mark of its value."""
+        out = np.empty(len(self.order), marks.dtype)
+        out[self.order] = np.repeat(marks, self.times)
+        return out
+
+    def any_of(self, marks: np.ndarray) -> np.ndarray:
+        """For each value whether any of its places, given in order of the values, is marked."""
+        return np.logical_or.reduceat(marks, self.first) if len(self.first) else np.zeros(0, bool)
+
+    def differ(self, *arrays: np.ndarray) -> np.ndarray:
+        """For each value whether its places have different entries in one of the arrays."""
+        out = np.zeros(len(self.order), bool)
+        for x in arrays:
+            x = x[self.order]
+            out[1:] |= (x[1:] != x[:-1]) & ~self.new[1:]
+        return self.any_of(out)
+
+    def answered(self, slices: int, back: dict[int, dict], name: str) -> np.ndarray:
+        """For each value the bit that came back for it."""
+        out, edges = np.zeros(len(self.kinds), bool), _slice_edges(self.kinds, slices)
+        for s in np.flatnonzero(np.diff(edges)):
+            if int(s) in back:
+                out[edges[s] : edges[s + 1]] = _unpack(back[int(s)][name], edges[s + 1] - edges[s])
+        return out
+
+
+def _send_classes(block: int, classes: np.ndarray, slices: int) -> list[tuple]:
+    """The block's distinct classes by slice, and which occur twice in it."""
+    kinds, times = np.unique(classes, return_counts=True)
+    edges = _slice_edges(kinds, slices)
+    return [(block, int(s), kinds[edges[s] : edges[s + 1]].tobytes(), _pack(times[edges[s] : edges[s + 1]] > 1)) for s in np.flatnonzero(np.diff(edges))]
 
 
 def _sorted_classes(sent: DataFrame) -> DataFrame:
-    """Sort each slice of classes over all blocks: for each block a bit for each class it sent, set if the class
-    occurs twice in a block or in two blocks, and some block has an unsettled suffix in it."""
+    """Sort each slice of classes over all blocks; bit a: the class occurs twice in a block or in two blocks."""
 
     def sort(table: pa.Table) -> pa.Table:
-        classes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["classes"]]
-        marks = [[_unpack(x, len(c)) for x, c in zip(table[n], classes, strict=True)] for n in ("twice", "open")]
-        kinds, first, times = np.unique(np.concatenate(classes), return_inverse=True, return_counts=True)
-        times[first[np.concatenate(marks[0])]] += 1
-        open_ = np.zeros(len(kinds), bool)
-        open_[first[np.concatenate(marks[1])]] = True
-        found = np.split((open_ & (times > 1))[first], np.cumsum([len(c) for c in classes])[:-1])
-        return _bits(table, found)
+        classes = _numbers(table["classes"], np.uint64)
+        twice = [c[_unpack(x, len(c))] for c, x in zip(classes, table["twice"], strict=True)]
+        ordered = np.sort(np.concatenate(classes + twice))
+        shared = ordered[1:][ordered[1:] == ordered[:-1]]
+        found = np.concatenate([_isin(c, shared) for c in classes])  # both in order
+        return _answer(table, [len(c) for c in classes], found, np.zeros(len(found), bool))
 
     return sent.groupBy("slice").applyInArrow(sort, _BACK)
 
 
-def _found_classes(classes: np.ndarray, slices: int, back: dict[int, bytes], shift: int = 0) -> np.ndarray:
-    """The sorted distinct classes whose bit came back."""
-    kinds, _ = _kinds(classes)
-    edges = _slice_edges(kinds, slices)
-    out = [kinds[edges[s] : edges[s + 1]][_unpack(back[s + shift], edges[s + 1] - edges[s])] for s in np.flatnonzero(np.diff(edges)) if s + shift in back]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def _send_suffixes(block: int, classes: np.ndarray, before: np.ndarray, last: np.ndarray, slices: int, own: range) -> list[tuple]:
+    """The block's distinct classes of its own slices, what stands before and last in each, and which have several such."""
+    of = Classes(classes)
+    mixed = of.differ(before, last)
+    some = of.order[of.first]
+    edges, rows = _slice_edges(of.kinds, slices), []
+    for s in np.flatnonzero(np.diff(edges)):
+        if int(s) in own:
+            cut = slice(edges[s], edges[s + 1])
+            rows.append((block, int(s), of.kinds[cut].tobytes(), _pack(of.times[cut] > 1), before[some[cut]].tobytes(), last[some[cut]].tobytes(), _pack(mixed[cut])))
+    return rows
+
+
+def _sorted_suffixes(sent: DataFrame) -> DataFrame:
+    """Sort each slice of suffixes over all blocks. Bit a: the class occurs twice in a block or in two blocks; bit b:
+    it does, and its suffixes don't all follow one class and end with one byte."""
+
+    def sort(table: pa.Table) -> pa.Table:
+        classes = _numbers(table["classes"], np.uint64)
+        bits = lambda name: np.concatenate([_unpack(x, len(c)) for c, x in zip(classes, table[name], strict=True)])
+        of = Classes(np.concatenate(classes))
+        before, last = (np.concatenate(_numbers(table[n], t)) for n, t in (("before", np.uint64), ("last", np.uint8)))
+        shared = (of.times > 1) | of.any_of(bits("twice")[of.order])
+        mixed = of.differ(before, last) | of.any_of((bits("mixed") | (before == NONE))[of.order])
+        return _answer(table, [len(c) for c in classes], of.of_places(shared), of.of_places(shared & mixed))
+
+    return sent.groupBy("slice").applyInArrow(sort, _BACK)
 
 
 def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -278,9 +335,9 @@ class Strings:
         self.raw, self.at, self.width = raw, at, width
         self.first, self.which = distinct_strings(raw, at, width, classes)
         self.times = np.bincount(self.which, minlength=len(self.first))
-        of = np.zeros(len(self.first), np.uint64)
-        of[self.which] = classes
-        slice_ = ((of >> np.uint64(32)).astype(np.int64) * slices) >> 32
+        self.classes = np.zeros(len(self.first), np.uint64)
+        self.classes[self.which] = classes
+        slice_ = ((self.classes >> np.uint64(31)).astype(np.int64) * slices) >> 32
         self.order = np.argsort(slice_, kind="stable")
         self.edges = np.searchsorted(slice_[self.order], np.arange(slices + 1))
 
@@ -296,38 +353,32 @@ class Strings:
         zstd = pa.Codec("zstd", 1)
         for s, numbers, texts in self.parts():
             if s in own:
-                yield block, s, len(numbers), zstd.compress(texts.tobytes(), asbytes=True), _pack(self.times[numbers] > 1)
+                yield block, s, len(numbers), self.classes[numbers].tobytes(), zstd.compress(texts.tobytes(), asbytes=True), _pack(self.times[numbers] > 1)
 
-    def repeated(self, back: dict[int, bytes]) -> np.ndarray:
+    def answered(self, back: dict[int, dict], name: str) -> np.ndarray:
         """The places whose string's bit came back."""
         found = np.zeros(len(self.first), bool)
         for s, numbers, _ in self.parts():
             if s in back:
-                found[numbers] = _unpack(back[s], len(numbers))
+                found[numbers] = _unpack(back[s][name], len(numbers))
         return self.at[found[self.which]]
 
 
 def _sorted_strings(sent: DataFrame, width: int) -> DataFrame:
-    """Sort the strings of each slice as bytes: for each block a bit for each string it sent, set if it is repeated."""
+    """Sort the strings of each slice as bytes. Bit a: the string is repeated; bit b: its class has other strings too."""
 
     def sort(table: pa.Table) -> pa.Table:
-        zstd, n = pa.Codec("zstd", 1), table["n"].to_numpy()
-        data = b"".join(zstd.decompress(t.as_buffer(), int(k) * width, asbytes=True) for t, k in zip(table["texts"], n, strict=True))
+        zstd, n = pa.Codec("zstd", 1), table["n"].to_pylist()
+        data = b"".join(zstd.decompress(t.as_buffer(), k * width, asbytes=True) for t, k in zip(table["texts"], n, strict=True))
         texts = np.frombuffer(data, f"S{width}")
         order = np.argsort(texts)
-        same = texts[order[1:]] == texts[order[:-1]]
-        again = np.zeros(len(texts), bool)
-        again[order[1:]] |= same
-        again[order[:-1]] |= same
-        ends = np.cumsum(n)
-        # equal strings have one rank; a block sends each of its strings once, so a mark holds for the whole rank
         rank = np.empty(len(texts), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(~same)])
+        rank[order] = np.cumsum(np.concatenate([[0], texts[order[1:]] != texts[order[:-1]]]))
+        of = Classes(rank)
         twice = np.concatenate([_unpack(t, k) for t, k in zip(table["twice"], n, strict=True)])
-        marked = np.zeros(len(texts), bool)
-        marked[rank[twice]] = True
-        found = np.split(again | marked[rank], ends[:-1])
-        return _bits(table, found)
+        found = of.of_places((of.times > 1) | of.any_of(twice[of.order]))
+        by_class = Classes(np.concatenate(_numbers(table["classes"], np.uint64)))
+        return _answer(table, n, found, by_class.of_places(by_class.differ(rank)))
 
     return sent.groupBy("slice").applyInArrow(sort, _BACK)
 
@@ -342,13 +393,13 @@ def _ends(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return batch.column("ends")[i].values.to_numpy()
 
 
-def _answers(batch: pa.RecordBatch, i: int, name: str) -> dict[int, bytes]:
-    return {r["slice"]: r["found"] for r in batch.column(name)[i].as_py() or ()}
+def _answers(batch: pa.RecordBatch, i: int, name: str) -> dict[int, dict]:
+    return {r["slice"]: r for r in batch.column(name)[i].as_py() or ()}
 
 
 def _joined_back(blocks: DataFrame, back: DataFrame, name: str) -> DataFrame:
     """blocks with what came back for each: a list of (slice, bits), no more than there are slices."""
-    return blocks.join(back.groupBy("block").agg(F.collect_list(F.struct("slice", "found")).alias(name)), "block", "left")
+    return blocks.join(back.groupBy("block").agg(F.collect_list(F.struct("slice", "a", "b")).alias(name)), "block", "left")
 
 
 def _runs(places: np.ndarray) -> bytes:
@@ -367,84 +418,56 @@ def _places(runs: pa.Scalar) -> np.ndarray:
     return np.repeat(r[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period: int = PERIOD, keep_text: bool = False, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS, per_task: int = PER_TASK, text_per_task: int = TEXT_PER_TASK, hashed: Callable[[np.ndarray, int], np.ndarray] = prefix_classes) -> DataFrame:
+def cut_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, period: int = PERIOD, keep_text: bool = False, block_bytes: int = BLOCK_BYTES, per_task: int = PER_TASK, text_per_task: int = TEXT_PER_TASK, hashed: Callable[[np.ndarray, int], np.ndarray] = prefix_classes) -> DataFrame:
     """df without the text, with n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; keep_text adds
     kept_text. Columns named like a result get the suffix ``_in``. hashed: gives the fingerprints of all strings of
     a length; the results are the same for any."""
     with scratch() as keep:
-        return _cut_repeats(df, text, length, period, keep_text, block_bytes, buckets, per_task, text_per_task, hashed, keep)
+        return _cut_repeats(df, text, length, period, keep_text, block_bytes, per_task, text_per_task, hashed, keep)
 
 
-def _cut_repeats(df, text, length, period, keep_text, block_bytes, buckets, per_task, text_per_task, hashed, keep) -> DataFrame:
+def _cut_repeats(df, text, length, period, keep_text, block_bytes, per_task, text_per_task, hashed, keep) -> DataFrame:
     spark = df.sparkSession
     results = RESULTS[: 5 if keep_text else 4]
     df = renamed_clashes(df, results, keep=[text])
     while period > length:
         period = period // 2 or 1
-    cover, depth, span = difference_cover(period), length - period + 1, length + period - 1
+    cover, depth = difference_cover(period), length - period + 1
     blocks = keep(staged(text_blocks(df, text, block_bytes), "texts"))
     n_bytes = blocks.where(F.size("ends") > 0).agg(F.sum(F.element_at("ends", -1)).alias("n")).first().n or 0
-    n_sample = n_bytes * len(cover) // period
-    slices = max(8, -(-n_sample // per_task))
-    long_slices = max(8, -(-n_sample // KEPT * span // text_per_task))
+    slices = max(8, -(-n_bytes * len(cover) // period // per_task))
+    class_of = lambda raw, size: hashed(raw, size) >> np.uint64(1)
 
-    # 1. which sample strings, short and long, have a fingerprint of their own
+    # 1. which sample strings have a fingerprint of their own
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, raw, batch, i in _blocks_of(batches):
-            rows = []
-            for k, size in enumerate((depth, span)):
-                at = sample_places(_ends(batch, i), cover, period, size)
-                if len(at):
-                    rows += _send_classes(block, hashed(raw, size)[at], slices, range(slices), k * slices)
-            if rows:
-                yield _table(rows, _CLASSES)
+            at = sample_places(_ends(batch, i), cover, period, depth)
+            if len(at):
+                yield _table(_send_classes(block, class_of(raw, depth)[at], slices), _CLASSES)
 
     text_columns = blocks.select("block", "data", "ends")
     shared = staged(_sorted_classes(text_columns.mapInArrow(tidy(sample), _ddl(_CLASSES))), "sample")
-    known = _joined_back(text_columns, shared, "shared")
 
-    # 2. long ties: the ranks of long sample strings
-    def long_strings(raw: np.ndarray, batch: pa.RecordBatch, i: int) -> Strings:
-        at = sample_places(_ends(batch, i), cover, period, span)
-        classes = hashed(raw, span)[at]
-        shared = _found_classes(classes, slices, _answers(batch, i, "shared"), slices)
-        own = _isin(classes, shared) & (classes % np.uint64(KEPT) == 0)
-        return Strings(raw, at[own], span, classes[own], long_slices)
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, raw, batch, i in _blocks_of(batches):
-            rows = list(long_strings(raw, batch, i).rows(block, range(long_slices)))
-            if rows:
-                yield _table(rows, _STRINGS)
-
-    ranks = staged(_sorted_strings(known.mapInArrow(tidy(rank), _ddl(_STRINGS)), span), "ranks")
-
-    # 3. the suffixes that can be repeated, and those that long ties have settled, by block, as runs of places
+    # the suffixes that can be repeated, by block, as runs of places
     def remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, raw, batch, i in _blocks_of(batches):
             ends = _ends(batch, i)
             at = sample_places(ends, cover, period, depth)
-            classes = hashed(raw, depth)[at] if len(at) else np.zeros(0, np.uint64)
-            marked = at[_isin(classes, _found_classes(classes, slices, _answers(batch, i, "shared")))]
-            left = candidate_places(marked, ends, period, length)
-            if len(left):
-                ties = _answers(batch, i, "ranks")
-                first = long_strings(raw, batch, i).repeated(ties) if ties else np.zeros(0, np.int64)
-                edge = np.zeros(len(raw) + period + 1, np.int32)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, first + period, -1)
-                settled = np.flatnonzero(np.cumsum(edge) > 0)
-                yield _table([(block, len(left), _runs(left), _runs(settled), raw.tobytes())], {"block": pa.int64(), "n": pa.int64(), "runs": pa.binary(), "settled": pa.binary(), "data": pa.binary()})
-
-    left = keep(staged(_joined_back(known, ranks, "ranks").mapInArrow(tidy(remain), "block long, n long, runs binary, settled binary, data binary"), "suffixes"))
+            if len(at):
+                of = Classes(class_of(raw, depth)[at])
+                left = candidate_places(at[of.of_places(of.answered(slices, _answers(batch, i, "shared"), "a"))], ends, period, length)
+                if len(left):
+                    yield _table([(block, len(left), _runs(left), raw.tobytes())], {"block": pa.int64(), "n": pa.int64(), "runs": pa.binary(), "data": pa.binary()})
+
+    left = keep(staged(_joined_back(text_columns, shared, "shared").mapInArrow(tidy(remain), "block long, n long, runs binary, data binary"), "suffixes"))
     n_left = left.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-n_left * SENT_BYTES // max(1, n_bytes)))
     parts = max(8, -(-n_left // buckets // per_task))
-    slices_left = parts * buckets
 
-    # 4. suffix classes, bucket by bucket: those of several suffixes of which one or more are not settled
+    # 2. the suffix buckets
     def suffixes(batch: pa.RecordBatch, i: int, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = _places(batch.column("runs")[i])
-        return at, hashed(raw, length)[at]
+        return at, class_of(raw, length)[at]
 
     path = shared_dir(spark, "classes")
     for k in range(buckets):
@@ -453,39 +476,65 @@ def _cut_repeats(df, text, length, period, keep_text, block_bytes, buckets, per_
         def sort_bucket(batches: Iterator[pa.RecordBatch], own: range = own) -> Iterator[pa.RecordBatch]:
             for block, raw, batch, i in _blocks_of(batches):
                 at, classes = suffixes(batch, i, raw)
-                top = ((classes >> np.uint64(32)).astype(np.int64) * slices_left) >> 32
-                here = (top >= own.start - 1) & (top <= own.stop)  # the edges of slices are exact below
-                rows = _send_classes(block, classes[here], slices_left, own, 0, ~_isin(at[here], _places(batch.column("settled")[i])))
+                top = ((classes >> np.uint64(31)).astype(np.int64) * (parts * buckets)) >> 32
+                here = np.flatnonzero((top >= own.start - 1) & (top <= own.stop))  # edges are exact in _send_suffixes
+                before = np.where(at[here] - 1 == at[here - 1], classes[here - 1], NONE)
+                rows = _send_suffixes(block, classes[here], before, raw[at[here] + length - 1], parts * buckets, own)
                 if rows:
-                    yield _table(rows, _CLASSES)
+                    yield _table(rows, _SUFFIXES)
 
         with shuffles_dropped(spark):
-            _sorted_classes(left.select("block", "runs", "settled", "data").mapInArrow(tidy(sort_bucket), _ddl(_CLASSES))).write.mode("append").parquet(path)
-    open_ = spark.read.schema(_BACK).parquet(path)
-
-    # 5. the strings of those classes, sorted as bytes; in several parts where they are many times the input
-    n_open = open_.agg(F.sum("n")).first()[0] or 0
-    rounds = max(1, -(-n_open * length // max(1, 4 * n_bytes)))
-    text_parts = max(8, -(-n_open * length // rounds // text_per_task))
-    asked = _joined_back(left.select("block", "runs", "data"), open_, "open")
-    hits = shared_dir(spark, "hits")
-    for k in range(rounds):
-        own = range(k * text_parts, (k + 1) * text_parts)
-
-        def strings(batch: pa.RecordBatch, i: int, raw: np.ndarray) -> Strings:
-            at, classes = suffixes(batch, i, raw)
-            mine = _isin(classes, _found_classes(classes, slices_left, _answers(batch, i, "open")))
-            return Strings(raw, at[mine], length, classes[mine], rounds * text_parts)
-
-        def send(batches: Iterator[pa.RecordBatch], own: range = own) -> Iterator[pa.RecordBatch]:
-            for block, raw, batch, i in _blocks_of(batches):
-                if batch.column("open")[i].is_valid:
-                    for row in strings(batch, i, raw).rows(block, own):
+            _sorted_suffixes(left.select("block", "runs", "data").mapInArrow(tidy(sort_bucket), _ddl(_SUFFIXES))).write.mode("append").parquet(path)
+    sorted_ = spark.read.schema(_BACK).parquet(path)
+    found = _joined_back(left.select("block", "runs", "data"), sorted_, "sorted")
+
+    # strings compared by their bytes: round by round, and in parts where they are many times the input
+    n_open = sorted_.agg(F.sum("n")).first()[0] or 0
+    plan: list[tuple[int, int]] = []  # slices of each round and of one part of it
+
+    def verdict(batch: pa.RecordBatch, i: int, raw: np.ndarray, rounds: int, answers: dict[int, dict[int, dict]]) -> tuple[np.ndarray, Strings | None]:
+        """The places known to be repeated after so many rounds, and the strings of the next."""
+        at, classes = suffixes(batch, i, raw)
+        of = Classes(classes)
+        back = _answers(batch, i, "sorted")
+        shared, open_ = (of.answered(parts * buckets, back, n) for n in "ab")
+        sure, now, asked = of.of_places(shared & ~open_), of.of_places(open_), None
+        for r in range(rounds + 1):
+            asked = Strings(raw, at[now], length, classes[now], plan[r][0])
+            if r < rounds:
+                sure |= _isin(at, asked.answered(answers.get(r, {}), "a"))
+                after = _isin(at, asked.answered(answers.get(r, {}), "b") + 1)  # these follow a class of several strings
+                now = of.of_places(of.any_of((after & of.of_places(shared & ~open_))[of.order]))
+                open_ |= of.any_of(now[of.order])
+                sure &= ~now
+        return at[sure], asked
+
+    def by_round(batch: pa.RecordBatch, i: int) -> dict[int, dict[int, dict]]:
+        out: dict[int, dict[int, dict]] = {}
+        for r in batch.column("back")[i].as_py() or ():
+            out.setdefault(r["round"], {})[r["slice"]] = r
+        return out
+
+    texts = shared_dir(spark, "compared")
+    answered = lambda: found.join(spark.read.schema(f"{_BACK}, round int").parquet(texts).groupBy("block").agg(F.collect_list(F.struct("round", "slice", "a", "b")).alias("back")), "block", "left") if plan[1:] else found.withColumn("back", F.lit(None).cast("array<struct<round int, slice int, a binary, b binary>>"))
+    while n_open:
+        r, turns = len(plan), max(1, -(-n_open * length // max(1, 4 * n_bytes)))
+        size = max(8, -(-n_open * length // turns // text_per_task))
+        plan.append((turns * size, size))
+        for k in range(turns):
+            own = range(k * size, (k + 1) * size)
+
+            def send(batches: Iterator[pa.RecordBatch], own: range = own, r: int = r) -> Iterator[pa.RecordBatch]:
+                for block, raw, batch, i in _blocks_of(batches):
+                    for row in verdict(batch, i, raw, r, by_round(batch, i))[1].rows(block, own):
                         yield _table([row], _STRINGS)
 
-        with shuffles_dropped(spark):
-            _sorted_strings(asked.mapInArrow(tidy(send), _ddl(_STRINGS)), length).write.mode("append").parquet(hits)
-    back = _joined_back(asked, spark.read.schema(_BACK).parquet(hits), "back")
+            with shuffles_dropped(spark):
+                _sorted_strings(answered().mapInArrow(tidy(send), _ddl(_STRINGS)), length).withColumn("round", F.lit(r)).write.mode("append").parquet(texts)
+        n_open = spark.read.schema(f"{_BACK}, round int").parquet(texts).where(F.col("round") == r).agg(F.sum("n")).first()[0] or 0
+    rounds = len(plan)
+    plan.append((8, 8))
+    back = answered() if rounds else found.withColumn("back", F.lit(None).cast("array<struct<round int, slice int, a binary, b binary>>"))
 
     fields = blocks.schema["rows"].dataType.elementType.fields
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
@@ -495,9 +544,7 @@ def _cut_repeats(df, text, length, period, keep_text, block_bytes, buckets, per_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raw, batch, i in _blocks_of(batches):
             ends = _ends(batch, i)
-            hit = _places(batch.column("settled")[i])
-            if batch.column("back")[i].is_valid:
-                hit = np.union1d(hit, strings(batch, i, raw).repeated(_answers(batch, i, "back")))
+            hit = verdict(batch, i, raw, rounds, by_round(batch, i))[0] if batch.column("runs")[i].is_valid else np.zeros(0, np.int64)
             edge = np.zeros(len(raw) + 1, np.int32)
             edge[hit] += 1
             edge[hit + length] -= 1
@@ -519,5 +566,4 @@ def _cut_repeats(df, text, length, period, keep_text, block_bytes, buckets, per_
             out = [*batch.column("rows")[i].values.flatten(), pa.array(ends - first), pa.array(removed[ends] - removed[first]), pa.array(spans[ends] - spans[first]), pa.array(digests, pa.string()), *([pa.array(kept, pa.string())] if keep_text else [])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, want, strict=True)], schema=want)
 
-    extra = left.select("block", "settled").join(back.select("block", "runs", "open", "back"), "block", "left")
-    return blocks.join(extra, "block", "left").mapInArrow(tidy(cut), schema)
+    return blocks.join(back.select("block", "runs", "sorted", "back"), "block", "left").mapInArrow(tidy(cut), schema)
