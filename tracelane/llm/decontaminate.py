@@ -12,10 +12,11 @@ nothing. Hits are exact: terms are compared as bytes, every term is intersected,
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered. An item's phrases are its windows
 of 13 consecutive words; an item of fewer, but at least one, is one phrase; an item without words is never found.
 A document word inside any occurrence of a phrase is hit. Null texts have no words. Item ids appear as strings,
-a null id as the empty string. Other columns are kept; one named like a result gets the suffix ``_in``.
+a null id as the empty string; rows of one id are one item. Other columns are kept; one named like a result gets
+the suffix ``_in``.
 
-The benchmark is sent to the tasks in chunks of at most ``chunk_bytes`` of text, measured first; with more than
-one chunk the index is read once for each and the hits of a document are joined.
+The benchmark is sent to the tasks in chunks of about ``chunk_bytes`` of text, measured first; with more than one
+chunk the index is read once for each, and only the hits of the documents that have any are brought together.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array,
 
 WINDOW = 13
 BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
+#: Postings of rarest terms looked at together in one block.
+BUDGET = 1 << 20
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 _POSTINGS = [("doc_starts", T.IntegerType()), ("counts", T.IntegerType()), ("positions", T.IntegerType())]
 
@@ -81,17 +84,19 @@ class Phrases:
         words, starts = split_words(raw, off)
         term = words.indices.to_numpy().astype(np.int64)
         found, item = [], []
-        for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+        names = ["" if i is None else str(i) for i, _ in items]
+        number = {name: k for k, name in enumerate(dict.fromkeys(names))}
+        for name, a, b in zip(names, starts[:-1], starts[1:], strict=True):
             for s in range(a, max(a + 1, b - window + 1)) if b > a else ():
                 found.append(term[s : min(b, s + window)])
-                item.append(i)
+                item.append(number[name])
         terms = np.full((len(found), window), -1, np.int64)
         for k, f in enumerate(found):
             terms[k, : len(f)] = f
         if len(found):
             terms, where = np.unique(np.column_stack([np.array(item), terms]), axis=0, return_index=True)
             item, terms = terms[:, 0], terms[:, 1:]
-        return cls(words.dictionary, terms, (terms >= 0).sum(1), np.array(item, np.int64), ["" if i is None else str(i) for i, _ in items])
+        return cls(words.dictionary, terms, (terms >= 0).sum(1), np.array(item, np.int64), list(number))
 
 
 class Block:
@@ -123,59 +128,57 @@ class Block:
     def document(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_starts, position, side="right") - 1
 
-    def exact(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, start) of every occurrence inside one document."""
-        none = np.zeros(0, np.int64)
+    def rarest_first(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The phrases whose terms the block all has, in groups of about ``BUDGET`` postings of rarest terms: the
+        phrases' numbers, the block's numbers of their terms, their offsets with the rarest term first, and for each
+        posting of a rarest term the phrase (its place in the group) and the position."""
         if not len(self.positions) or not len(phrases.terms):
-            return none, none
+            return
         term = self.numbers(phrases.vocabulary)[phrases.terms]
         live = np.flatnonzero(((term >= 0) | (phrases.terms < 0)).all(1))
         if not len(live):
-            return none, none
+            return
         count = np.where(phrases.terms[live] < 0, np.iinfo(np.int64).max, self.counts[term[live]])
-        rarest = np.argsort(count, axis=1, kind="stable")  # offsets in each phrase, rarest term first
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        budget = np.cumsum(self.counts[term[live, rarest[:, 0]]])
-        for group in np.split(np.arange(len(live)), np.searchsorted(budget, np.arange(1 << 20, int(budget[-1]) + 1, 1 << 20))):
-            if not len(group):
-                continue
-            k, at = self.postings(group, term[live[group], rarest[group, 0]])
+        rarest = np.argsort(count, axis=1, kind="stable")
+        turn = np.cumsum(self.counts[term[live, rarest[:, 0]]]) // BUDGET
+        for group in np.split(np.arange(len(live)), np.flatnonzero(np.diff(turn)) + 1):
+            own, first = live[group], rarest[group]
+            yield own, term[own], first, *self.postings(np.arange(len(own)), term[own, first[:, 0]])
+
+    def exact(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of every occurrence inside one document."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for own, term, rarest, k, at in self.rarest_first(phrases):
             start = at - rarest[k, 0]
             k, start = k[start >= 0], start[start >= 0]
             for r in range(1, phrases.terms.shape[1]):
                 offset = rarest[k, r]
-                done = phrases.terms[live[k], offset] < 0
-                keep = done | self.holds(np.where(done, 0, term[live[k], offset]), start + offset)
+                done = phrases.terms[own[k], offset] < 0
+                keep = done | self.holds(np.where(done, 0, term[k, offset]), start + offset)
                 k, start = k[keep], start[keep]
-            within = start + phrases.length[live[k]] <= self.doc_starts[self.document(start) + 1]
-            found.append((live[k[within]], start[within]))
+            within = start + phrases.length[own[k]] <= self.doc_starts[self.document(start) + 1]
+            found.append((own[k[within]], start[within]))
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def near(self, phrases: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, start) where every term lies within slop words of its place, counted from the rarest term."""
-        none = np.zeros(0, np.int64)
-        if not len(self.positions) or not len(phrases.terms):
-            return none, none
-        term = self.numbers(phrases.vocabulary)[phrases.terms]
-        live = np.flatnonzero(((term >= 0) | (phrases.terms < 0)).all(1))
-        if not len(live):
-            return none, none
-        count = np.where(phrases.terms[live] < 0, np.iinfo(np.int64).max, self.counts[term[live]])
-        rarest = np.argsort(count, axis=1, kind="stable")
-        k, at = self.postings(np.arange(len(live)), term[live, rarest[:, 0]])
-        start = at - rarest[k, 0]
-        self.holds(np.zeros(1, np.int64), np.zeros(1, np.int64))
-        doc = self.document(at)
-        for r in range(1, phrases.terms.shape[1]):
-            offset = rarest[k, r]
-            done = phrases.terms[live[k], offset] < 0
-            of = np.where(done, 0, term[live[k], offset])
-            low = np.maximum(start + offset - slop, self.doc_starts[doc])
-            high = np.minimum(start + offset + slop, self.doc_starts[doc + 1] - 1)
-            i = np.minimum(np.searchsorted(self.sorted, (of << 32) | np.maximum(low, 0)), len(self.sorted) - 1)
-            keep = done | ((self.sorted[i] >> 32 == of) & ((self.sorted[i] & 0xFFFFFFFF) <= high) & (low <= high))
-            k, start, doc = k[keep], start[keep], doc[keep]
-        return live[k], start
+        """(phrase, start) where every term lies within slop words of its place, counted from the rarest term, in one
+        document; a start before the document is its first word."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for own, term, rarest, k, at in self.rarest_first(phrases):
+            start = at - rarest[k, 0]
+            self.holds(np.zeros(1, np.int64), np.zeros(1, np.int64))
+            doc = self.document(at)
+            for r in range(1, phrases.terms.shape[1]):
+                offset = rarest[k, r]
+                done = phrases.terms[own[k], offset] < 0
+                of = np.where(done, 0, term[k, offset])
+                low = np.maximum(start + offset - slop, self.doc_starts[doc])
+                high = np.minimum(start + offset + slop, self.doc_starts[doc + 1] - 1)
+                i = np.minimum(np.searchsorted(self.sorted, (of << 32) | np.maximum(low, 0)), len(self.sorted) - 1)
+                keep = done | ((self.sorted[i] >> 32 == of) & ((self.sorted[i] & 0xFFFFFFFF) <= high) & (low <= high))
+                k, start, doc = k[keep], start[keep], doc[keep]
+            found.append((own[k], np.maximum(start, self.doc_starts[doc])))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def chunks(benchmark: DataFrame, item: str, text: str, n: int) -> Iterator[list[tuple]]:
@@ -186,12 +189,16 @@ def chunks(benchmark: DataFrame, item: str, text: str, n: int) -> Iterator[list[
         yield [(r.item, r.text) for r in part.toLocalIterator()]
 
 
-def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
-    """A row for each document: its columns, block, doc (its place in the block), n_words, hits (flat pairs of first
-    word and end, merged) and items. slop: proximity matches instead of exact phrases."""
+_FOUND = [T.StructField("block", T.StringType()), T.StructField("doc", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
+
+
+def search(index: DataFrame, phrases: Phrases, slop: int | None = None, only_hits: bool = False) -> DataFrame:
+    """A row for each document: row (a struct of its columns), block, doc (its place in the block), n_words, hits (flat
+    pairs of first word and end, merged) and items. slop: proximity matches instead of exact phrases. only_hits:
+    documents that have one, without row."""
     sent = index.sparkSession.sparkContext.broadcast(phrases)
-    rows = index.schema["rows"].dataType.elementType
-    schema = T.StructType([*rows.fields, T.StructField("block", T.StringType()), T.StructField("doc", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    rows = [] if only_hits else [T.StructField("row", index.schema["rows"].dataType.elementType)]
+    schema = T.StructType([*rows, *_FOUND])
     want = arrow_schema(schema)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,17 +230,19 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataF
                             stop = min(b, int(starts[d + 1]))
                             hits[d] += [int(a - starts[d]), int(stop - starts[d])]
                             a = stop
-                meta = get("rows")
-                out = [*meta.flatten(), pa.array([batch.column("block")[i].as_py()] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.diff(starts)), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, want, strict=True)], schema=want)
+                out = [pa.array([batch.column("block")[i].as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.diff(starts)), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                out = [*(() if only_hits else [get("rows")]), *out]
+                made = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, want, strict=True)], schema=want)
+                yield made.filter(pa.array([bool(x) for x in items], pa.bool_())) if only_hits else made
 
-    return index.mapInArrow(tidy(match), schema)
+    columns = ["block", "doc_starts", "terms", "counts", "positions", *([] if only_hits else ["rows"])]
+    return index.select(*columns).mapInArrow(tidy(match), schema)
 
 
 def _verdicts(found: DataFrame, fields: list[T.StructField], threshold: int) -> DataFrame:
     """Counts and digest from hits (a list of merged pairs, or of several such lists joined) and items."""
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
-    names = [f.name for f in fields]
+    want = arrow_schema(schema)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,13 +253,15 @@ def _verdicts(found: DataFrame, fields: list[T.StructField], threshold: int) ->
                     total += max(0, b - max(a, upto))
                     upto = max(upto, b)
                 n_hit.append(total)
+                items = sorted(set(items))
                 n_items.append(len(items))
-                digest.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+                digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
             hit, words = pa.array(n_hit, pa.int64()), batch.column("n_words")
             bad = pc.and_(pc.greater(hit, 0), pc.greater_equal(pc.multiply(hit, threshold), words))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), words, hit, pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), bad], names=[*names, *RESULTS])
+            out = [*batch.column("row").flatten(), words, hit, pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), bad]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, want, strict=True)], schema=want)
 
-    return found.select(*(F.col(f"`{n}`") for n in names), "n_words", "hits", "items").mapInArrow(tidy(judge), schema)
+    return found.select("row", "n_words", "hits", "items").mapInArrow(tidy(judge), schema)
 
 
 def contamination(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, threshold: int = 20, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -259,15 +270,20 @@ def contamination(index: DataFrame, benchmark: DataFrame, item: str = "item_id",
     rows = index.schema["rows"].dataType.elementType
     size = benchmark.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
-    if n > 1:
-        index = staged(index, "postings")  # blocks must bear the same names in every search
-    parts = [search(index, Phrases.of(items, window)) for items in chunks(benchmark, item, text, n)]
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        own = [F.first(f"`{f.name}`").alias(f.name) for f in rows.fields]
-        found = found.groupBy("block", "doc").agg(*own, F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    if n == 1:
+        found = search(index, Phrases.of(next(chunks(benchmark, item, text, 1)), window))
+    else:
+        if not hasattr(index, "_staged_at"):
+            index = staged(index, "postings")  # blocks must bear the same names in every search
+        hits = None
+        for items in chunks(benchmark, item, text, n):
+            part = search(index, Phrases.of(items, window), only_hits=True)
+            hits = part if hits is None else hits.unionByName(part)
+        # no document has more hits or items than the benchmark gives it: one list for each chunk and document
+        hits = hits.groupBy("block", "doc").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        documents = search(index, Phrases.of([], window)).drop("hits", "items")
+        none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
+        found = documents.join(hits, ["block", "doc"], "left").select("row", "n_words", none("hits"), none("items"))
     return _verdicts(found, rows.fields, threshold)
 
 
