@@ -174,8 +174,9 @@ class Block:
                 of = np.where(done, 0, term[k, offset])
                 low = np.maximum(start + offset - slop, self.doc_starts[doc])
                 high = np.minimum(start + offset + slop, self.doc_starts[doc + 1] - 1)
-                i = np.minimum(np.searchsorted(self.sorted, (of << 32) | np.maximum(low, 0)), len(self.sorted) - 1)
-                keep = done | ((self.sorted[i] >> 32 == of) & ((self.sorted[i] & 0xFFFFFFFF) <= high) & (low <= high))
+                least, most = (of << 32) | np.maximum(low, 0), (of << 32) | np.maximum(high, 0)
+                found_at = self.sorted[np.minimum(np.searchsorted(self.sorted, least), len(self.sorted) - 1)]
+                keep = done | ((least <= found_at) & (found_at <= most))
                 k, start, doc = k[keep], start[keep], doc[keep]
             found.append((own[k], np.maximum(start, self.doc_starts[doc])))
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
