@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors (``pivots`` rows, picked by a hash of the id). A vector is
-represented by its ``nearest`` nearest pivots, nearest first. Vectors are packed into blocks; in a block every
-pivot has an inverted file: the vectors that have it, and at which place. A query visits the files of its own
-nearest pivots and adds up the footrule distance (the sum of differences of place, a missing pivot standing at
-the last place + 1) to every vector; the ``rerank`` share of the block (``LEAST`` rows at least) that is nearest
-by footrule, ties included, is ranked again by the exact measure on the original vectors, and the blocks' best
-are merged. Equal vectors have equal scores, so copies are ranked by id alone.
-
-Nearness is the largest inner product in double precision, ties to the smaller id. For pivots, vectors get one
-more component that brings them to the largest norm (0 for queries), so near by distance is near by product.
+Pivots are a sample of the vectors, picked by a hash of the id: about 9 * sqrt(n) of n vectors, 256 to ``PIVOTS``
+(4096), and never more than a quarter. A vector is represented by its ``nearest`` nearest pivots, nearest first.
+Vectors are dealt to blocks by a hash of their id; in a block every pivot has an inverted file: the vectors that have
+it, and at which place. A query visits the files of its own nearest pivots only and adds up the footrule distance (the
+sum of differences of place, a missing pivot standing at the last place + 1) of the vectors posted there. Over all
+blocks about ``rerank`` vectors (or 18 * sqrt(n), if that is more) that are nearest by footrule are ranked again by
+the exact measure on the original vectors, each block taking its share and a quarter more, ``LEAST`` at least, ties
+included; the blocks' best are merged. Equal vectors have equal scores, so copies are ranked by id alone. A table of
+no more than ``rerank`` vectors is searched exactly; ``exact_nearest`` does so for any.
+
+Nearness is the largest inner product in double precision, ties to the smaller id; products beyond its range are
+infinite, and one that is no number is ranked last. For pivots, vectors get one more component that brings them to the
+largest norm (0 for queries), so near by distance is near by product.
 
 Every valid row is indexed. Rows without id, and vectors that are null, empty, zero or hold null or non-finite
-components, take no part; vectors of different length never meet. Rows that repeat an id are all
-candidates (but not for their own id); as a query an id counts once, with its smallest vector.
-Query blocks meet vector blocks by a join on block numbers, so neither side passes through the driver.
+components, take no part; vectors of different length never meet (``LENGTHS`` lengths at most, else ValueError).
+Rows that repeat an id are all candidates (but not for their own id); as a query an id counts once, with its smallest
+vector. Query blocks meet vector blocks by a join on block numbers, so neither side passes through the driver.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tracelane.llm.common import staged, tidy
 
-PIVOTS, NEAREST, RERANK, LEAST = 256, 64, 0.3, 256
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
+PIVOTS, NEAREST, RERANK, LEAST = 4096, 64, 4096, 64
+VECTOR_BLOCK, QUERY_BLOCK, LENGTHS = 16384, 2048, 1024
 
 
 def valid(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -50,7 +53,13 @@ def permutations(x: np.ndarray, pivots: np.ndarray, largest: float, nearest: int
     if not query:
         product = product + fill(x)[:, None] * fill(pivots)[None, :]
     # all pivots now have the largest norm, so the nearest has the largest product
-    return np.argsort(-product, axis=1, kind="stable")[:, :nearest].astype(np.int16)
+    product = -product
+    if nearest < product.shape[1]:
+        first = np.sort(np.argpartition(product, nearest - 1, axis=1)[:, :nearest], axis=1)
+    else:
+        first = np.broadcast_to(np.arange(product.shape[1]), product.shape)
+    order = np.argsort(np.take_along_axis(product, first, 1), axis=1, kind="stable")
+    return np.take_along_axis(first, order, 1).astype(np.int16)
 
 
 class InvertedFiles:
@@ -73,15 +82,28 @@ class InvertedFiles:
         return self.nearest * (self.nearest + 1) - 2 * shared
 
 
+def n_pivots(n: int, most: int = PIVOTS) -> int:
+    """About 9 * sqrt(n), as a power of two, from 256 to most, but no more than a quarter of n."""
+    return max(1, min(most, max(256, 1 << int(9 * n**0.5).bit_length()), n // 4))
+
+
 class Pivots:
-    """The pivots of each dimension and the largest norm of its vectors."""
+    """The pivots of each dimension, how many vectors it has and their largest norm. Two jobs, whatever the number of
+    dimensions, which share the pivots that the driver holds."""
 
     def __init__(self, rows: DataFrame, most: int) -> None:
-        self.norms = {r.dim: float(r.m) ** 0.5 for r in rows.groupBy("dim").agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).toLocalIterator()}
-        self.vectors: dict[int, np.ndarray] = {}
-        for dim in self.norms:
-            found = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(most).select("vector").collect()
-            self.vectors[dim] = np.unique(np.array([r.vector for r in found], np.float64), axis=0)
+        square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+        found = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(square).alias("m")).limit(LENGTHS + 1).collect()
+        if len(found) > LENGTHS:
+            raise ValueError(f"vectors of more than {LENGTHS} lengths")
+        self.counts = {r.dim: r.n for r in found}
+        self.norms = {r.dim: float(r.m) ** 0.5 for r in found}
+        most = max(most // max(len(found), 1), min(most, 16))
+        picked = rows.withColumn("turn", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))).where(F.col("turn") <= most).select("dim", "turn", "vector")
+        own: dict[int, list] = {}
+        for r in picked.toLocalIterator():
+            own.setdefault(r.dim, []).append((r.turn, r.vector))
+        self.vectors = {dim: np.unique(np.array([v for _, v in sorted(x)[: n_pivots(self.counts[dim], most)]], np.float64), axis=0) for dim, x in own.items()}
 
 
 def _packed(rows: DataFrame, per_block: int, pivots: Pivots, nearest: int, query: bool) -> DataFrame:
@@ -115,18 +137,20 @@ def _packed(rows: DataFrame, per_block: int, pivots: Pivots, nearest: int, query
     return rows.mapInArrow(tidy(pack), "block long, dim int, ids binary, vectors binary, places binary")
 
 
-def nearest_vectors(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, pivots: int = PIVOTS, nearest: int = NEAREST, rerank: float = RERANK) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: each query row's k nearest other rows."""
+def nearest_vectors(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, pivots: int = PIVOTS, nearest: int = NEAREST, rerank: int | None = RERANK) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: each query row's k nearest other rows. rerank: about how many vectors
+    are ranked by the exact measure for each query, None for all."""
     rows = valid(df, key, vector)
     chosen = Pivots(rows, pivots)
-    index = staged(_packed(rows, VECTOR_BLOCK, chosen, nearest, False), "permutations")
+    index = staged(_packed(rows.repartition(F.xxhash64("id")), VECTOR_BLOCK, chosen, nearest, False), "permutations")
     asked = valid(df.where(is_query), key, vector).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     asked = staged(_packed(asked, QUERY_BLOCK, chosen, nearest, True), "queries")
     asked = asked.select(F.col("block").alias("q_block"), "dim", *(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "places")))
     pairs = index.select("block", "dim").join(asked.select("q_block", "dim"), "dim").select("block", "q_block")  # numbers only
     grid = pairs.join(asked.drop("dim"), "q_block").join(index, "block")  # queries move, the index is shuffled once
     sizes = {dim: len(v) for dim, v in chosen.vectors.items()}
-    return _merged(grid.mapInArrow(tidy(_searcher(sizes, k, nearest, rerank)), "query_id long, ids array<long>, scores array<double>"), k)
+    shares = {dim: 1.0 if rerank is None or n <= rerank else 1.25 * max(rerank, 18 * n**0.5) / n for dim, n in chosen.counts.items()}
+    return _merged(grid.mapInArrow(tidy(_searcher(sizes, shares, k, nearest)), "query_id long, ids array<long>, scores array<double>"), k)
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -144,7 +168,7 @@ def near_best(x: np.ndarray, q: np.ndarray, k: int, largest: float) -> np.ndarra
     return np.flatnonzero(~(rough < np.partition(rough, len(x) - k)[len(x) - k] - slack))
 
 
-def _searcher(pivots: dict[int, int], k: int, nearest: int, rerank: float):
+def _searcher(pivots: dict[int, int], shares: dict[int, float], k: int, nearest: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -156,11 +180,14 @@ def _searcher(pivots: dict[int, int], k: int, nearest: int, rerank: float):
                 files = InvertedFiles(get("places", np.int16).reshape(-1, width), pivots[dim])
                 own = get("q_places", np.int16).reshape(-1, width)
                 largest = np.sqrt((x * x).sum(1).max())
-                most = min(len(ids), max(k + 1, LEAST, int(np.ceil(rerank * len(ids)))))
+                most = min(len(ids), max(k + 1, LEAST, int(np.ceil(shares[dim] * len(ids)))))
                 out_ids, out_scores = [], []
                 for n in range(len(q_ids)):
-                    away = files.footrule(own[n])
-                    at = np.flatnonzero(away <= np.partition(away, most - 1)[most - 1])
+                    if most < len(ids):
+                        away = files.footrule(own[n])
+                        at = np.flatnonzero(away <= np.partition(away, most - 1)[most - 1])
+                    else:
+                        at = np.arange(len(ids))
                     at = at[ids[at] != q_ids[n]]
                     at = at[near_best(x[at], q[n], k, largest)]
                     score = inner(x[at], q[n])
@@ -192,4 +219,4 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 
 def exact_nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """The same by reranking every vector: for measuring recall."""
-    return nearest_vectors(df, is_query, key, vector, k, rerank=1.0)
+    return nearest_vectors(df, is_query, key, vector, k, rerank=None)
