@@ -238,119 +238,108 @@ WITH REGARD TO THIS SOFTWARE.
 """
 CC0 = "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."
 CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
-GPL_IDS = ["gpl-free", "{}gpl-redistribute", "gpl-hope", "gpl-implied", "{}gpl-details"]
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute.
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary.
+"""
 HEADERS = [
-    (MIT, "MIT", ["mit-grant", "mit-notice", "as-is", "no-liability"]),
-    ("MIT License\n\n" + MIT, "MIT", ["mit-name", "mit-grant", "mit-notice", "as-is", "no-liability"]),
-    (APACHE, "Apache-2.0", ["apache-licensed", "apache-compliance", "apache-copy", "apache-basis", "apache-limits"]),
-    (GPL2, "GPL", [x.format("") for x in GPL_IDS]), (GPL3, "GPL", [x.format("") for x in GPL_IDS]),
-    ("Licensed under the GNU General Public License, version 3.\n\n" + GPL3, "GPL-3.0", ["gpl3-licensed", *(x.format("") for x in GPL_IDS)]),
-    ("Licensed under the GNU General Public License, version 2.", "GPL-2.0", ["gpl2-licensed"]),
-    (LGPL, "LGPL", [x.format("l") for x in GPL_IDS]), (AGPL, "AGPL-3.0", [x.format("a") for x in GPL_IDS]),
-    (MPL, "MPL-2.0", ["mpl-subject"]),
-    (BSD2, "BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
-    (BSD3, "BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    (ISC, "ISC", ["isc-grant", "as-is"]),
-    ("This is free and unencumbered software released into the public domain.\n", "Unlicense", ["unlicense"]),
-    (CC0, "CC0-1.0", ["cc0-dedicated"]), ("This work is licensed under CC0 1.0 Universal.", "CC0-1.0", ["cc0"]),
-    (CC.format(""), "CC-BY-4.0", ["cc-by"]), (CC.format("-ShareAlike"), "CC-BY-SA-4.0", ["cc-by-sa"]),
-    (CC.format("-NonCommercial"), "CC-BY-NC-4.0", ["cc-by-nc"]), (CC.format("-NoDerivatives"), "CC-BY-ND-4.0", ["cc-by-nd"]),
-    ("Copyright 2020 Some One. All rights reserved.", "Proprietary", ["all-rights"]), ("Dedicated to the public domain.", "Public-Domain", ["public-domain"]),
+    (MIT, ["MIT"]), ("MIT License\n\n" + MIT, ["MIT"]), ("The MIT License (MIT)\n\n" + MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), ("Apache License\nVersion 2.0, January 2004", ["Apache-2.0"]),
+    (GPL2, ["GPL-2.0-or-later"]), (GPL3, ["GPL-3.0-or-later"]), (LGPL, ["LGPL-2.1-or-later"]), (AGPL, ["AGPL-3.0-or-later"]),
+    (GPL3.replace(", or\n(at your option) any later version", ""), ["GPL-3.0"]), (GPL3.replace(", either version 3 of the License, or\n(at your option) any later version", ""), ["GPL"]),
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ["GPL-3.0"]), ("GNU Lesser General Public License v2.1", ["LGPL-2.1"]), ("Licensed under the GPLv3 or later.", ["GPL-3.0-or-later"]), ("It is released under the GPL-2.0-only license.", ["GPL-2.0-only"]),
+    ("Licensed under the GNU General Public License, version 3.\n\n" + GPL3, ["GPL-3.0", "GPL-3.0-or-later"]), ("Licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    (MPL, ["MPL-2.0"]), ("Mozilla Public License Version 2.0", ["MPL-2.0"]), (BSD2, ["BSD-2-Clause"]), (BSD2 + BSD_END, ["BSD-2-Clause"]), (BSD3, ["BSD-3-Clause"]), (BSD3 + BSD_END, ["BSD-3-Clause"]),
+    ("Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + BSD3 + BSD_END, ["BSD-3-Clause"]), ("BSD 3-Clause License\n\n" + BSD3, ["BSD-3-Clause"]), (ISC, ["ISC"]), ("ISC License\n\n" + ISC, ["ISC"]),
+    (ZLIB, ["Zlib"]), ("zlib License\n\n" + ZLIB, ["Zlib"]), (BOOST, ["BSL-1.0"]), ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", ["BSL-1.0"]), (EPL, ["EPL-2.0"]), ("Eclipse Public License - v 2.0", ["EPL-2.0"]),
+    (UNLICENSE, ["Unlicense"]), ("The Unlicense", ["Unlicense"]), (CC0, ["CC0-1.0"]), ("This work is licensed under CC0 1.0 Universal.", ["CC0-1.0"]),
+    (CC.format(""), ["CC-BY-4.0"]), (CC.format("-ShareAlike"), ["CC-BY-SA-4.0"]), (CC.format("-NonCommercial"), ["CC-BY-NC-4.0"]), (CC.format("-NoDerivatives"), ["CC-BY-ND-4.0"]), (CC.format("-NonCommercial-ShareAlike"), ["CC-BY-NC-SA-4.0"]),
+    ("SPDX-License-Identifier: MIT", ["MIT"]), ("SPDX-License-Identifier: (Apache-2.0 OR MIT)", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: GPL-2.0+", ["GPL-2.0-or-later"]), ("SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]), ("SPDX-License-Identifier: LGPL-2.1-or-later", ["LGPL-2.1-or-later"]),
+    ("The tool is MIT licensed.", ["MIT"]), ("Copyright 2020 Some One. All rights reserved.", ["Proprietary"]), ("Dedicated to the public domain.", ["Public-Domain"]), ("This font software is licensed under the SIL Open Font License, Version 1.1.", ["OFL-1.1"]),
+    ("You need a license to fish in the lake.", []), ("He was licensed under the old law.", []), ("The report was released under pressure.", []), ("Permission is needed to park here.", []), ("The driving license", []),
 ]
 
 
 @pytest.mark.parametrize("start", ["", "# ", " * "])
-@pytest.mark.parametrize(("text", "licence", "ids"), HEADERS)
-def test_standard_headers(text, licence, ids, start):
+@pytest.mark.parametrize(("text", "licences"), HEADERS)
+def test_standard_headers(text, licences, start):
     if start and "\n" in text:
-        text = "".join(start + line if line.strip() else line for line in text.splitlines(keepends=True))
-    use = license_scan.Recogniser(license_scan.SENTENCES, license_scan.RULES, license_scan.GAP)
-    found, matches = use.scan(f"Some prose here.\n\n{text}\n\nMore prose.")
-    assert found == ids and [m[0] for m in matches] == [licence]
+        text = "".join(start + line if line.strip() else start.rstrip() + line for line in text.splitlines(keepends=True))
+    matches = license_scan.standard(license_scan.GAP).scan(f"Some prose here.\n\n{text}\n\nMore prose.")[1]
+    assert sorted({m[0] for m in matches}) == licences, matches
 
 
-def test_rules_need_their_order():
-    use = license_scan.Recogniser(license_scan.SENTENCES, [("AB", ("mit-released", "cc0"))], 0)
-    a, b = "Released under the MIT License.", "Licensed under CC0 1.0."
-    assert [m[0] for m in use.scan(f"{a} {b}")[1]] == ["AB"]
-    assert use.scan(f"{b} {a}")[1] == [] and use.scan(f"{a} Unknown sentence. {b}")[1] == []
+def test_every_known_sentence_is_found():
+    from tracelane.llm import license_texts
 
+    use = license_scan.standard(license_scan.GAP)
+    for name, words in license_texts.known_sentences():
+        said = words.replace("...", "some other words").capitalize()
+        assert use.scan(f"Some prose. {said}. More.")[0] == [name] or name in {n for n, w in license_texts.known_sentences() if w.replace("...", "some other words") == said.lower()}, words
+    for licence in ("MIT", "GPL-3.0-only", "CC-BY-NC-SA-4.0"):
+        assert licence in license_texts.known_names().values()
 
-@pytest.mark.parametrize("gap", [0, 1])
-def test_gap_lets_unknown_sentences_through(gap):
-    use = license_scan.Recogniser(license_scan.SENTENCES, [("AB", ("mit-released", "cc0"))], gap)
-    assert bool(use.scan("Released under the MIT License. Something else. Licensed under CC0 1.0.")[1]) == (gap == 1)
 
+OWN = [("a", "take it and run"), ("b", "run it ... twice"), ("b", "sing")]
 
-def plain_licenses(text: str | None) -> tuple[list[str], list[str]]:
-    """Sentence ids and licences by the definition: every sentence against every pattern, every rule at every place."""
-    import re
 
-    text = text or ""
-    spans, at, p = [], 0, 0
-    while p < len(text):
-        stop = None
-        if p and text[p - 1] in ".!?;:":
-            q = p
-            while q < len(text) and text[q] in "\"')]":
-                q += 1
-            stop = q
-            while stop < len(text) and text[stop].isspace():
-                stop += 1
-            stop = stop if stop > q else None
-        if stop is None and text[p] == "\n":
-            q = p + 1
-            while q < len(text) and text[q].isspace():
-                q += 1
-            last = text.rfind("\n", p + 1, q)
-            stop = last + 1 if last > 0 else None
-        if stop is None:
-            p += 1
-            continue
-        if p > at:
-            spans.append(text[at:p])
-        at = p = stop
-    if at < len(text):
-        spans.append(text[at:])
-
-    def known(s: str) -> str | None:
-        words = " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in s.lower()).split())
-        return next((name for name, pattern in license_scan.SENTENCES.items() if re.fullmatch(pattern, words)), None)
-
-    found = []
-    for k, s in enumerate(spans):
-        if name := known(s):
-            found.append((k, name))
-        elif "\n" in s:
-            found += [(k, n) for line in s.split("\n") if (n := known(line))]
-    licences, i = set(), 0
-    while i < len(found):
-        fits = [r for r in license_scan.RULES if tuple(n for _, n in found[i : i + len(r[1])]) == r[1] and all(found[j + 1][0] - found[j][0] <= license_scan.GAP + 1 for j in range(i, i + len(r[1]) - 1))]
-        best = max(fits, key=lambda r: len(r[1]), default=None)
-        if best:
-            licences.add(best[0])
-        i += len(best[1]) if best else 1
-    return [n for _, n in found], sorted(licences)
-
-
-TERMS = [
-    "Released under the MIT License.", "MIT License", "Released under CC0 1.0.", "This text is released under CC-BY 4.0.", "Released under Creative Commons Zero 1.0.", "Dedicated to the public\ndomain.",
-    "Copyright 2020 Some One. All rights\nreserved.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.",
-    "You may obtain a copy of the License at http://x.org/L", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal.",
-    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS.",
-    "Plain prose here.", "A heading", "Is it? (Yes!) ", "The licence plate was blue.", "rights", "", "\n",
-]
+def test_rules_need_their_order():
+    use = license_scan.Recogniser(OWN, [("AB", ("a", "b"))], 0)
+    assert [m[0] for m in use.scan("Take it and run. Sing.")[1]] == ["AB"]
+    assert use.scan("Sing. Take it and run.")[1] == [] and use.scan("Take it and run. Unknown sentence. Sing.")[1] == []
 
 
-def test_licenses_equal_the_definition(spark, data):
-    rng = random.Random(11)
-    made = [rng.choice(["", " "]).join(rng.choice(TERMS) + rng.choice([" ", "\n", "\n\n", "\n \n", ""]) for _ in range(rng.randrange(9))) for _ in range(400)]
-    texts = [*TERMS, *made, *(r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect())]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    for r in license_scan.with_licenses(df).collect():
-        assert (r.sentence_ids, r.licenses) == plain_licenses(texts[r.doc_id]), texts[r.doc_id]
+@pytest.mark.parametrize("gap", [0, 1])
+def test_gap_lets_unknown_sentences_through(gap):
+    use = license_scan.Recogniser(OWN, [("AB", ("a", "b"))], gap)
+    assert bool(use.scan("Take it and run. Something else. Sing.")[1]) == (gap == 1)
 
 
 def test_own_sentences_need_no_cue_word():
-    use = license_scan.Recogniser({"own": "take it and run"}, [("Own", ("own",))], 0)
+    use = license_scan.Recogniser([("own", "take it and run")], [("Own", ("own",))], 0)
     assert use.scan("Hello there. Take it, and run!") == (["own"], [("Own", 13, 30)])
+
+
+def test_licenses_of_the_documents(spark, data):
+    """Against the five licence lines that the documents hold, found by plain patterns."""
+    import re
+
+    lines = {"GPL-3.0": r"licensed under the GNU General Public License, version 3", "MIT": r"Released under the MIT License", "CC-BY-NC-4.0": r"Licensed under CC BY-NC 4\.0", "Apache-2.0": r"Licensed under the Apache License, Version 2\.0", "Proprietary": r"All rights reserved"}
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    some = 0
+    for r in license_scan.with_licenses(docs).collect():
+        want = {k for k, p in lines.items() if re.search(p, text[r.doc_id])}
+        want = want - {"Proprietary"} or want
+        some += bool(want)
+        assert set(r.licenses) == want, text[r.doc_id]
+    assert some

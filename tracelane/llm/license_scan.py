@@ -1,11 +1,13 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, words only), and a normalised sentence that a
-known licence sentence covers becomes that sentence's identifier; in an unknown sentence over several lines each
-line is tried. The identifiers of a text, in order, are then
-matched against the ordered rules: a rule names a licence and the identifiers that must follow each other;
-unknown sentences end a run, except that ``gap`` of them in a row are let through. At a place the longest rule
-wins, then the first in the list; matches don't overlap.
+A text is cut into sentences. Each is normalised (lower case, words only, the thing that it is about as "it") and
+looked up in a map from known licence sentences to their identifiers; sentences with open places are looked up by
+their first three words. A sentence or line can also name a licence: "... licensed under the X", "X License" alone,
+"X licensed", or an SPDX tag, whose licences are looked up in a map of names. In an unknown sentence over several
+lines each line is tried. The identifiers of a text, in order, are then matched against the ordered rules: a rule
+names a licence and the identifiers that must follow each other; unknown sentences end a run, except that ``gap`` of
+them in a row are let through. At a place the longest rule wins, then the first in the list; matches don't overlap.
+Rights that are merely reserved count only where no licence is found.
 
 Null or empty texts, and texts without a known sentence, have no match and get empty lists. Texts are scanned
 whole. Other columns stay; those named like a result get the suffix ``_in``.
@@ -15,115 +17,45 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tracelane.llm import license_texts
 from tracelane.llm.common import by_bytes, renamed_clashes, tidy
 
 BATCH_BYTES, GAP = 1 << 20, 1
 
-# Known licence sentences, as patterns over normalised sentences (lower-case words, single spaces).
-SENTENCES = {
-    "mit-released": r"(?:this \w+ is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit licen[sc]e",
-    "mit-name": r"(?:the )?mit licen[sc]e",
-    "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*",
-    "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": r"the software is provided as is (?:without warranty of any kind|and the author disclaims all warranties) .*",
-    "no-liability": r"in no event shall the authors or copyright holders be liable for any claim .*",
-    "apache-licensed": r"(?:this \w+ is )?licensed under (?:the )?apache licen[sc]e version 2 0(?: the license)?",
-    "apache-compliance": r"you may not use this file except in compliance with the license",
-    "apache-copy": r"you may obtain a copy of the license at(?: .*)?",
-    "apache-basis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*",
-    "apache-limits": r"see the license for the specific language governing permissions and limitations under the license",
-    "gpl3-licensed": r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e version 3(?: or (?:any )?later(?: version)?)?",
-    "gpl2-licensed": r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e version 2(?: or (?:any )?later(?: version)?)?",
-    "gpl-free": r"this \w+ is free software",
-    "gpl-redistribute": r"(?:this \w+ is free software )?you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation(?: .*)?",
-    "lgpl-redistribute": r"(?:this \w+ is free software )?you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation(?: .*)?",
-    "agpl-redistribute": r"(?:this \w+ is free software )?you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation(?: .*)?",
-    "gpl-hope": r"this \w+ is distributed in the hope that it will be useful but without any warranty(?: .*)?",
-    "gpl-implied": r"without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-details": r"see the gnu general public license for more details",
-    "lgpl-details": r"see the gnu lesser general public license for more details",
-    "agpl-details": r"see the gnu affero general public license for more details",
-    "lgpl-licensed": r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?gnu lesser general public licen[sc]e(?: version (?:2 1|3))?",
-    "agpl-licensed": r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?gnu affero general public licen[sc]e(?: version 3)?",
-    "mpl-subject": r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0",
-    "bsd-redistribution": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*",
-    "bsd-source": r"(?:\d )?redistributions of source code must retain the above copyright notice .*",
-    "bsd-binary": r"(?:\d )?redistributions in binary form must reproduce the above copyright notice .*",
-    "bsd-endorse": r"(?:\d )?neither the name of .* may be used to endorse or promote products derived from this software .*",
-    "isc-grant": r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted .*",
-    "unlicense": r"this is free and unencumbered software released into the public domain",
-    "public-domain": r"(?:this \w+ is )?(?:released into|dedicated to|in) the public domain",
-    "cc0": r"(?:this \w+ is )?(?:licensed|released) under (?:the )?(?:creative commons|cc) ?(?:zero|0)(?: 1 0)?(?: universal)?",
-    "cc0-dedicated": r"to the extent possible under law .* (?:has|have) (?:dedicated|waived) all copyright and related (?:and|or) neighbou?ring rights to .*",
-    "cc-by": r"(?:this \w+ is )?(?:licensed|released) under (?:a |the )?(?:creative commons attribution|cc by)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
-    "cc-by-sa": r"(?:this \w+ is )?(?:licensed|released) under (?:a |the )?(?:creative commons attribution sharealike|cc by sa)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
-    "cc-by-nc": r"(?:this \w+ is )?(?:licensed|released) under (?:a |the )?(?:creative commons attribution noncommercial|cc by nc)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
-    "cc-by-nd": r"(?:this \w+ is )?(?:licensed|released) under (?:a |the )?(?:creative commons attribution noderivatives|cc by nd)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
-    "all-rights": r"(?:copyright .* )?all rights reserved",
-}
-
-# Ordered rules, a licence and the sentences that make it.
-RULES = [
-    ("MIT", ("mit-name", "mit-grant", "mit-notice", "as-is", "no-liability")),
-    ("MIT", ("mit-grant", "mit-notice", "as-is", "no-liability")),
-    ("MIT", ("mit-grant", "mit-notice", "as-is")),
-    ("MIT", ("mit-grant", "mit-notice")),
-    ("Apache-2.0", ("apache-licensed", "apache-compliance", "apache-copy", "apache-basis", "apache-limits")),
-    ("Apache-2.0", ("apache-licensed", "apache-compliance", "apache-copy")),
-    ("GPL-3.0", ("gpl3-licensed", "gpl-free", "gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-details")),
-    ("GPL-3.0", ("gpl3-licensed", "gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-details")),
-    ("GPL-3.0", ("gpl3-licensed", "gpl-redistribute", "gpl-hope", "gpl-details")),
-    ("GPL", ("gpl-free", "gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-details")),
-    ("GPL", ("gpl-free", "gpl-redistribute", "gpl-hope")),
-    ("GPL", ("gpl-redistribute", "gpl-hope", "gpl-implied", "gpl-details")),
-    ("GPL", ("gpl-redistribute", "gpl-hope", "gpl-details")),
-    ("GPL", ("gpl-redistribute", "gpl-hope")),
-    ("LGPL", ("gpl-free", "lgpl-redistribute", "gpl-hope", "gpl-implied", "lgpl-details")),
-    ("LGPL", ("gpl-free", "lgpl-redistribute", "gpl-hope")),
-    ("LGPL", ("lgpl-redistribute", "gpl-hope")),
-    ("AGPL-3.0", ("gpl-free", "agpl-redistribute", "gpl-hope", "gpl-implied", "agpl-details")),
-    ("AGPL-3.0", ("gpl-free", "agpl-redistribute", "gpl-hope")),
-    ("AGPL-3.0", ("agpl-redistribute", "gpl-hope")),
-    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
-    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
-    ("ISC", ("isc-grant", "as-is")),
-    ("MIT", ("mit-released",)),
-    ("MIT", ("mit-name",)),
-    ("Apache-2.0", ("apache-licensed",)),
-    ("GPL-3.0", ("gpl3-licensed",)),
-    ("GPL-2.0", ("gpl2-licensed",)),
-    ("LGPL", ("lgpl-licensed",)),
-    ("AGPL-3.0", ("agpl-licensed",)),
-    ("MPL-2.0", ("mpl-subject",)),
-    ("ISC", ("isc-grant",)),
-    ("Unlicense", ("unlicense",)),
-    ("Public-Domain", ("public-domain",)),
-    ("CC0-1.0", ("cc0",)),
-    ("CC0-1.0", ("cc0-dedicated",)),
-    ("CC-BY-4.0", ("cc-by",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc",)),
-    ("CC-BY-ND-4.0", ("cc-by-nd",)),
-    ("Proprietary", ("all-rights",)),
-]
-
 # Every known sentence has one of these; between words there may be any marks or line breaks.
-_CUE = re.compile(r"licen[sc]|permission|copyright|warrant|liab|redistribut|free[^a-z0-9]+software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|endorse|creative[^a-z0-9]+commons|cc[^a-z0-9]*(?:by|zero|0)", re.IGNORECASE)
-_END = re.compile(r"(?<=[.!?;:])(?!(?<=\b[vV]\.)\s+\d)[\"')\]]*\s+|\n\s*\n")
+_CUE = re.compile(r"licen[sc]|permi[st]|copyright|warrant|redistribut|free[^a-z0-9]+software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|endorse|liab|misrepresent|source[^a-z0-9]+(?:distribution|version)|advertising|anyone[^a-z0-9]+is[^a-z0-9]+free|creative[^a-z0-9]+commons|mpl|hope[^a-z0-9]+that|wtf|you[^a-z0-9]+want|confidential|prohibited", re.IGNORECASE)
+# The same, as parts of words, for whole texts.
+_HINTS = ("licen", "permi", "copyright", "warrant", "redistribut", "software", "domain", "reserved", "endorse", "liab", "misrepresent", "source", "advertising", "anyone", "creative", "mpl", "hope", "wtf", "want", "confidential", "prohibited")
+_END = re.compile(r"(?<=[.!?])[\"')\]]*(?:[ \t]*\n\s*|[ \t]+(?!\d)|[^\S \t\n]\s*)|\n[ \t]*(?:[#*/;%<>!-]+[ \t]*)?\n")
+_SHORT = re.compile(r"(?:^|[^a-z0-9.])(?:v|ver|no|inc|ltd|corp|co|e\.g|i\.e|[a-z])\.$|(?:^|\n)[^a-z0-9\n]*[a-z0-9]{1,2}\.$", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+")
+_VERSION = re.compile(r"\bv(?=\d)")
 _LINE = re.compile(r"[^\n]+")
+_SPDX = re.compile(r"spdx-license-identifier:\s*([^\n*]+)", re.IGNORECASE)
+_THIS = re.compile(rf"\bthis (?:free software |font |source code )?(?:{'|'.join(license_texts.THINGS)})\b")
+_VERB = re.compile(r"^(?:\w+ ){0,9}?(?:licensed|released|distributed|available|provided|published|covered|offered|shared|redistributed|is|are) under (?:the |a |an |terms |of |conditions |and |either )*")
+_MONTH = r"(?:january|february|march|april|may|june|july|august|september|october|november|december)"
+_DATE = re.compile(rf" (?:\d{{1,2}} {_MONTH}|{_MONTH}(?: \d{{1,2}}(?:st|nd|rd|th)?)?) \d{{4}}$")
+_DROPPED = {"the", "license", "licenses", "version", "v", "agreement"}
+#: Words that may follow a licence's name in a sentence.
+_AFTER = {"see", "for", "which", "you", "with", "in", "as", "and", "or", "by", "at", "unless", "a", "is", "found", "available", "copyright", "c", "http", "https", "is", "terms"}
+LONGEST_NAME = 14
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the sentences: they end at a sentence mark before white space (not in 'v. 2'), or at an empty line."""
+    """(start, end) of the sentences: they end at a sentence mark before white space, but not after an abbreviation or
+    the number of a list, nor before a digit; or at a line that is empty but for comment marks."""
     at = 0
     for m in _END.finditer(text):
+        if text[m.start()] != "\n" and _SHORT.search(text, max(0, m.start() - 8), m.start()):
+            continue
         if m.start() > at:
             yield at, m.start()
         at = m.end()
@@ -131,33 +63,88 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def normal(sentence: str) -> str:
+    """Words of a sentence, without the number of a list before it."""
+    words = _WORD.findall(_VERSION.sub("v ", sentence.lower().replace("licence", "license")))
+    if len(words) > 3 and (words[0].isdigit() or len(words[0]) == 1 and words[0] != "a"):
+        words = words[1:]
+    return _THIS.sub("this it", " ".join(words))
+
+
+def name_key(words: list[str]) -> list[str]:
+    """Words of a licence's name without those that don't tell licences apart; gplv3 is gpl 3."""
+    return re.sub(r"\b([al]?gpl|mpl|epl)v?(\d)", r"\1 \2", " ".join(w for w in words if w not in _DROPPED)).split()
+
+
 class Recogniser:
-    def __init__(self, known: dict[str, str], rules: list[tuple[str, tuple[str, ...]]], gap: int) -> None:
-        self.known = [(name, re.compile(p)) for name, p in known.items()]
-        self.cue = _CUE if known is SENTENCES else re.compile("")  # the caller's own sentences may hold any words
+    """known: (id, words) of the sentences; rules: (licence, ids); names: licence by name (own sentences have none)."""
+
+    def __init__(self, known: list[tuple[str, str]] | None = None, rules: list[tuple[str, tuple[str, ...]]] | None = None, gap: int = GAP) -> None:
+        self.cue = _CUE if known is None else re.compile("")  # the caller's own sentences may hold any words
+        self.names = license_texts.known_names() if known is None else {}
+        self.exact: dict[str, str] = {}
+        self.open: dict[tuple[str, ...], list[tuple[re.Pattern, str]]] = {}
+        for name, words in license_texts.known_sentences() if known is None else known:
+            if "..." in words:
+                first = tuple(words.split("...")[0].split()[:3])
+                self.open.setdefault(first, []).append((re.compile(re.escape(words).replace(r"\ \.\.\.\ ", " (?:.* )?").replace(r"\ \.\.\.", "(?: .*)?").replace(r"\.\.\.\ ", "(?:.* )?")), name))
+            else:
+                self.exact.setdefault(words, name)
         self.gap = gap
         self.by_first: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
-        for licence, ids in sorted(rules, key=lambda r: -len(r[1])):
+        for licence, ids in sorted(rules if rules is not None else license_texts.known_rules(), key=lambda r: -len(r[1])):
             self.by_first.setdefault(ids[0], []).append((licence, ids))
 
-    def identify(self, sentence: str) -> str | None:
+    def named(self, words: list[str]) -> str | None:
+        """The licence whose name these words are, or begin with before a word that may follow it."""
+        key = name_key(words)
+        for n in range(min(len(key), LONGEST_NAME), 0, -1):
+            licence = self.names.get(" ".join(key[:n]))
+            if licence:
+                return licence if n == len(key) or key[n] in _AFTER else None
+        return None
+
+    def mention(self, words: str) -> str | None:
+        """The licence that a sentence or line names."""
+        under = _VERB.match(words)
+        if under:
+            return self.named(words[under.end() :].split())
+        title = _DATE.sub("", words).split()
+        if len(title) <= LONGEST_NAME and ("license" in title or "unlicense" in title or title[:2] == ["creative", "commons"]):
+            return self.names.get(" ".join(name_key(title)))
+        if title and title[-1] == "licensed":
+            return next((x for n in range(1, 6) if (x := self.names.get(" ".join(name_key(title[-1 - n : -1]))))), None)
+        return None
+
+    def identify(self, sentence: str) -> list[str]:
+        """The identifiers of a sentence: of a known sentence its own, of a name the licence after under:."""
         if not self.cue.search(sentence):
-            return None
-        words = " ".join(_WORD.findall(sentence.lower()))
-        return next((name for name, p in self.known if p.fullmatch(words)), None)
+            return []
+        tag = _SPDX.search(sentence) if self.names else None
+        if tag:
+            named = (self.named(normal(re.sub(r"[-+]", lambda m: " or later" if m[0] == "+" else " ", x)).split()) for x in re.split(r"[()]|\b(?:AND|OR|WITH)\b", tag[1]) if x.strip())
+            return [f"under:{x}" for x in named if x]
+        words = normal(sentence)
+        found = self.exact.get(words) or next((name for p, name in self.open.get(tuple(words.split()[:3]), self.open.get(tuple(words.split()[:1]), ())) if p.fullmatch(words)), None)
+        if found:
+            return [found]
+        if self.names and (licence := self.mention(words)):
+            return [f"under:{licence}"]
+        return []
 
     def scan(self, text: str) -> tuple[list[str], list[tuple[str, int, int]]]:
         """Identifiers in order, and (licence, start, end) of the matches."""
-        if not self.cue.search(text):
-            return [], []
+        if self.cue is _CUE:
+            low = text.lower()
+            if not any(h in low for h in _HINTS) or not self.cue.search(text):
+                return [], []
         found = []
         for k, span in enumerate(sentences(text)):
-            if name := self.identify(text[span[0] : span[1]]):
-                found.append((k, name, span))
-            elif "\n" in text[span[0] : span[1]]:  # a heading or a lone line without a sentence mark
+            names = self.identify(text[span[0] : span[1]])
+            if not names and "\n" in text[span[0] : span[1]]:  # a heading or a lone line without a sentence mark
                 for m in _LINE.finditer(text, *span):
-                    if name := self.identify(m[0]):
-                        found.append((k, name, m.span()))
+                    found += [(k, name, m.span()) for name in self.identify(m[0])]
+            found += [(k, name, span) for name in names]
         matches, i = [], 0
         while i < len(found):
             for licence, ids in self.by_first.get(found[i][1], ()):
@@ -166,14 +153,24 @@ class Recogniser:
                     matches.append((licence, run[0][2][0], run[-1][2][1]))
                     i += len(ids) - 1
                     break
+            else:
+                if found[i][1].startswith("under:"):
+                    matches.append((found[i][1][6:], *found[i][2]))
             i += 1
+        if any(m[0] not in license_texts.WEAK for m in matches):
+            matches = [m for m in matches if m[0] not in license_texts.WEAK]
         return [name for _, name, _ in found], matches
 
 
-def with_licenses(df: DataFrame, text: str = "text", known: dict[str, str] | None = None, rules: list | None = None, gap: int = GAP, keep_text: bool = False) -> DataFrame:
-    """df with sentence_ids (known sentences in order), licenses (sorted, distinct) and matches (license, start, end
-    in characters)."""
-    known, rules = known or SENTENCES, rules or RULES
+@lru_cache(maxsize=1)
+def standard(gap: int) -> Recogniser:
+    return Recogniser(gap=gap)
+
+
+def with_licenses(df: DataFrame, text: str = "text", known: list[tuple[str, str]] | None = None, rules: list | None = None, gap: int = GAP, keep_text: bool = False) -> DataFrame:
+    """df with sentence_ids (known sentences and names in order), licenses (sorted, distinct) and matches (license,
+    start, end in characters). known and rules: own sentences, (id, words as normalised, ... for any words), and rules
+    for them instead of the standard ones."""
     results = ("sentence_ids", "licenses", "matches")
     df = renamed_clashes(df, results, keep=[text])
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
@@ -184,7 +181,7 @@ def with_licenses(df: DataFrame, text: str = "text", known: dict[str, str] | Non
     spans = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = Recogniser(known, rules, gap)
+        use = standard(gap) if known is None else Recogniser(known, rules or [], gap)
         for table in by_bytes(batches, text, BATCH_BYTES):
             found = [use.scan(t) for t in pc.fill_null(table[text], "").to_pylist()]
             out = table.select(names).append_column("sentence_ids", pa.array([i for i, _ in found], pa.list_(pa.string())))
