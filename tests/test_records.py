@@ -21,8 +21,8 @@ def lit(x):
 
 
 def test_units(spark):
-    got = one(spark, a=co.duration_ms(lit("1.25"), lit("s")), b=co.duration_ms(lit(750000), lit("us")), c=co.duration_ms(lit(10000000), lit("ns")), d=co.duration_ms(lit(5), path=lit("x.latency_s")), e=co.duration_ms(lit(5)), f=co.duration_ms(lit(True)))
-    assert got == {"a": 1250.0, "b": pytest.approx(750.0), "c": pytest.approx(10.0), "d": 5000.0, "e": 5.0, "f": None}
+    got = one(spark, a=co.duration_ms(lit("1.25"), lit("s")), b=co.duration_ms(lit(750000), lit("us")), c=co.duration_ms(lit(10000000), lit("ns")), d=co.duration_ms(lit(5), path=lit("x.latency_s")), e=co.duration_ms(lit(5)), f=co.duration_ms(lit(True)), g=co.duration_ms(lit(5), lit(" Secs ")), h=co.duration_ms(lit(5000), lit("µs")), i=co.duration_ms(lit(5), lit("parsec"), lit("x_s")), j=co.duration_ms(lit(5), path=lit("x-s")))
+    assert got == {"a": 1250.0, "b": pytest.approx(750.0), "c": pytest.approx(10.0), "d": 5000.0, "e": 5.0, "f": None, "g": 5000.0, "h": pytest.approx(5.0), "i": 5000.0, "j": 5.0}
 
 
 def test_nanoseconds_stay_exact(spark):
@@ -42,8 +42,10 @@ def test_ratios_need_both_sides(spark):
 
 
 def test_errors(spark):
-    got = one(spark, a=co.error_present(lit("[]")), b=co.error_present(lit("{}")), c=co.error_present(lit(None).cast("string"), lit("timeout")), d=co.error_category(lit('{"message":"late\\nmore"}')), e=co.error_category(lit("x" * 300)))
+    got = one(spark, a=co.error_present(lit("[]")), b=co.error_present(lit("{}")), c=co.error_present(lit(None).cast("string"), lit(" Failed")), d=co.error_category(lit('{"message":"late\\nmore"}')), e=co.error_category(lit("x" * 300)))
     assert got == {"a": True, "b": False, "c": True, "d": "late", "e": "x" * 200}
+    got = one(spark, a=co.error_present(lit(None).cast("string"), lit("timeout")), b=co.error_category(lit("x"), lit(" Failed ")), c=co.error_category(lit('{"other":1}')), d=co.error_category(lit("a\nb")), e=co.error_present(lit("none")), f=co.error_present(lit(" ")), g=co.error_category(lit(" ")))
+    assert got == {"a": False, "b": "failed", "c": "error_present", "d": "a\nb", "e": False, "f": True, "g": "error_present"}
 
 
 FORMS = {"abc": "root", "abc::sa:agent_001": "subagent_main", "abc::sa:agent:fa:000": "fanout", "abc::sa:agent:aux:000": "auxiliary", "abc::sa:agent:wg:001_002": "worker_group", "abc::fa:000": "fanout", "abc::aux:000": "auxiliary"}
@@ -56,6 +58,64 @@ def test_conversation_ids(spark):
     assert got["abc::sa:agent:fa:000"].path == "abc::sa:agent" and got["abc::fa:000"].path == "abc"
 
 
+# conversation id: (root, suffix, class, rule, path)
+PARSED = {
+    "abc": ("abc", "root", "root", "identity", "abc"),
+    " abc ": ("abc", "root", "root", "identity", "abc"),
+    "abc::sa:agent_001": ("abc", "::sa:agent_001", "subagent_main", "split_before_first_sa", "abc::sa:agent_001"),
+    "abc::sa:agent:FA:000": ("abc", "::sa:agent:FA:000", "fanout", "split_before_first_sa", "abc::sa:agent"),
+    "abc::sa:": ("abc", "::sa:", "unknown", "split_before_first_sa", None),
+    "abc::sa::x": ("abc", "::sa::x", "unknown", "split_before_first_sa", "abc::sa:x"),
+    "::sa:x": (None, "::sa:x", "unknown", "invalid_empty_root_before_sa", None),
+    "abc::fa:003": ("abc", "::fa:003", "fanout", "split_direct_fanout_suffix", "abc"),
+    "abc::aux:1": ("abc", "::aux:1", "auxiliary", "split_direct_auxiliary_suffix", "abc"),
+    "a::wg:1::fa:2": ("a::wg:1", "::fa:2", "fanout", "split_direct_fanout_suffix", "a::wg:1"),
+    "::fa:1": ("::fa:1", "root", "root", "identity", "::fa:1"),
+    "": (None, None, "unknown", "missing_conversation_id", None),
+    None: (None, None, "unknown", "missing_conversation_id", None),
+}
+
+
+def test_parsed_conversation_ids(spark):
+    df = spark.createDataFrame([(k,) for k in PARSED], "c string")
+    got = df.select("c", ids.root_id("c"), ids.branch_suffix("c"), ids.branch_class("c"), ids.root_rule("c"), ids.branch_path("c")).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == PARSED
+
+
+ROOTS = {
+    "abc": ["abc"], "abc__replay_7": ["abc__replay_7", "abc"], "abc#dup-2": ["abc#dup-2", "abc"], "abc|repeat3": ["abc|repeat3", "abc"], "abc__DUP_2_3": ["abc__DUP_2_3", "abc"], "abc::session:9": ["abc::session:9", "abc"],
+    "abc__worker-a_b": ["abc__worker-a_b", "abc"], "abc#instance4": ["abc#instance4", "abc"], "abc__copy": ["abc__copy"], "abc__replay_": ["abc__replay_"], "__dup1": ["__dup1"], "abc__replayx!": ["abc__replayx!"], "::sa:x": [], None: [],
+}
+
+
+def test_candidate_roots(spark):
+    df = spark.createDataFrame([(k,) for k in ROOTS], "c string").select("c", ids.candidate_roots("c").alias("x"))
+    assert {r.c: [x.root for x in r.x] for r in df.collect()} == ROOTS
+
+
+NAMES = {
+    "agentic_conc8_x": ("raw_agentic", 8), "bmk-agentic-conc16": ("aggregated_agentic", 16), "bmkagentic": ("aggregated_agentic", None), "x_agentic_8conc": ("raw_agentic", 8), "server_logs_c8": ("server_log", 8), "results_bmk": ("run_summary", None),
+    "run-stats": ("run_summary", None), "concurrency-4.c_4": ("other", 4), "c.8": ("other", 8), "conc8_16concurrent": ("other", None), "users16": ("other", None), "abc8": ("other", None), "conc0": ("other", None), "conc008": ("other", 8), "": ("other", None), None: ("other", None),
+}
+
+
+def test_artifact_names(spark):
+    df = spark.createDataFrame([(k,) for k in NAMES], "c string").select("c", ids.artifact_category("c"), ids.name_concurrency("c"))
+    assert {r[0]: tuple(r[1:]) for r in df.collect()} == NAMES
+
+
+COUNTED = {
+    "batch_size=8 Batch-Size: 9": [("batch_size", 8.0, True), ("batch_size", 9.0, True)], "running-requests=7": [("running_requests", 7.0, True)], "num_running_reqs: 3.5": [("running_requests", 3.5, True)],
+    "max waiting reqs: 4": [("configured_max_waiting_requests", 4.0, False)], "max-running-requests=9 running requests = 2": [("configured_max_running_requests", 9.0, False), ("running_requests", 2.0, True)],
+    "tokens=5 token_usage: 0.25 num_tokens=-1": [("token_load", 5.0, True), ("token_load", -1.0, True), ("token_usage", 0.25, True)], "xrunning_requests=1 queue_reqs=2": [], "": [], None: None,
+}
+
+
+def test_counters(spark):
+    df = spark.createDataFrame([(k,) for k in COUNTED], "c string").select("c", tx.counters("c").alias("x"))
+    assert {r.c: r.x and [tuple(x) for x in r.x] or r.x for r in df.collect()} == COUNTED
+
+
 def test_replay_suffix_needs_a_known_root(spark):
     df = spark.createDataFrame([("abc__replay_7::sa:a",), (None,)], "c string")
     known = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
@@ -72,8 +132,8 @@ def test_explicit_root_wins(spark):
 
 
 def test_names(spark):
-    got = one(spark, a=ids.name_concurrency(lit("run-conc8-raw")), b=ids.name_concurrency(lit("conc8_users4")), c=ids.name_concurrency(lit("none")), d=ids.artifact_category(lit("agg_profile")), e=ids.path_concurrency(lit("/x/conc2/y/c4/f.json")))
-    assert got == {"a": 8, "b": None, "c": None, "d": "aggregate", "e": 4}
+    got = one(spark, a=ids.name_concurrency(lit("run-conc8-raw")), b=ids.name_concurrency(lit("conc8_users4")), c=ids.name_concurrency(lit("none")), d=ids.artifact_category(lit("bmk_agentic_x")), e=ids.path_concurrency(lit("/x/conc2/y/c4/f.json")))
+    assert got == {"a": 8, "b": 8, "c": None, "d": "aggregated_agentic", "e": 4}
 
 
 GOOD = {"benchmark_phase": "profiling", "error_present": False, "was_cancelled": False, "input_tokens": 100.0, "output_tokens": 11.0, "ttft_ms": 100.0, "e2e_ms": 600.0, "itl_ms": 50.0}
@@ -191,7 +251,7 @@ def test_bootstrap_is_repeatable(spark):
 
 def test_scheduler_lines(spark):
     got = one(spark, c=tx.counters(lit("\x1b[31mmax_running_requests=200 running_requests=7 waiting_reqs: 2 running_requests=7\x1b[0m")), d=tx.completion(lit("2024-01-01T00:00:00Z request completed x_request_id=ab-1 prefill_worker=p0 decode_worker=d1")), e=tx.queue_wait(lit("x_request_id=ab-1 wait_ms=13932")), f=tx.line_stamp(lit("at 2024-01-01T00:00:00.5Z x")))
-    assert sorted((r.name, r.value, r.observed) for r in got["c"]) == [("max_running_requests", 200, False), ("running_requests", 7, True), ("waiting_reqs", 2, True)]
+    assert sorted((r.name, r.value, r.observed) for r in got["c"]) == [("configured_max_running_requests", 200, False), ("running_requests", 7, True), ("waiting_requests", 2, True)]
     assert got["d"].decode_worker == "d1" and got["e"].wait_ms == 13932 and got["f"] == "2024-01-01T00:00:00.5Z"
 
 

@@ -66,7 +66,7 @@ def test_contexts_of_all_requests(spark, data):
 
 def test_invalid_intervals(spark):
     df = lanes(spark, (0, 10), (10, 10), (20, 15), (30, None))
-    assert [r.reason for r in df.orderBy("id").select(iv.invalid_reason().alias("reason")).collect()] == [None, "nonpositive_duration", "nonpositive_duration", "missing_end"]
+    assert [r.reason for r in df.orderBy("id").select(iv.invalid_reason().alias("reason")).collect()] == [None, "nonpositive_request_interval", "nonpositive_request_interval", "missing_request_end_ns"]
     assert iv.contexts(df, ["lane"], "id").count() == 1
 
 
@@ -79,6 +79,21 @@ def test_overlaps(spark, width):
     assert iv.self_overlap_count(a.withColumn("k", F.lit(1)), ["k"], "s", "e").first().n_overlapping == 0
 
 
+def test_buckets_flags_and_verdicts(spark):
+    from tracelane.operators import matching, rollups
+
+    df = spark.createDataFrame([(-1,), (0,), (1,), (2,), (32,), (33,), (2048,), (2049,), (None,)], "x long")
+    assert [r[0] for r in df.select(rollups.length_bucket("x")).collect()] == [None, "1", "1", "2-32", "2-32", "33-128", "513-2048", ">2048", None]
+    assert [r[0] for r in df.select(rollups.load_bucket("x")).collect()] == [None, "1-4", "1-4", "1-4", "25+", "25+", "25+", "25+", None]
+    df = spark.createDataFrame([(-1.0,), (31999.5,), (32000.0,), (128000.0,), (200000.0,), (256000.0,), (float("nan"),)], "x double")
+    assert [r[0] for r in df.select(rollups.input_bucket("x")).collect()] == ["<32k", "<32k", "32-64k", "128-192k", "192-256k", "256k+", None]
+    df = spark.createDataFrame([(9, 3), (4, 1), (5, 5), (5, 0), (2, None)], "n_requests long, n_sessions long")
+    assert [r[0] for r in df.select(rollups.quality_flag()).collect()] == ["ok", "low_request_count;single_session_num_group_unvalidated", "session_num_unique_per_profiled_row", "missing_session_num_group", "low_request_count;missing_session_num_group"]
+    assert [r[0] for r in df.select(rollups.sparse_status("n_sessions")).collect()] == ["comparative_sample_size_available", "suppressed_n_lt_3_descriptive_only", "comparative_sample_size_available", "suppressed_n_lt_3_descriptive_only", "suppressed_n_lt_3_descriptive_only"]
+    df = spark.createDataFrame([(True, True), (True, False), (None, False), (True, None), (None, None)], "p boolean, t boolean")
+    assert [r[0] for r in df.select(matching.match_validation(F.col("p"), F.col("t"))).collect()] == ["high_confidence_exact", "key_match_validation_conflict", "key_match_validation_conflict", "key_match_validation_missing", "key_match_validation_missing"]
+
+
 def test_clipping(spark):
     df = spark.createDataFrame([(0, 5), (4, 12), (20, 30)], "s long, e long")
     assert [tuple(r) for r in iv.clipped(df, "s", "e", 3, 10).orderBy("s").collect()] == [(3, 5), (4, 10)]
@@ -93,7 +108,7 @@ def test_rank_grids(spark):
     equal, off = [1] * 8, [1] * 7 + [2]
     df = gauges(spark, [equal, off])
     v = rk.validation(df, ["worker"], ["slice"], "rank", "v", 8).first()
-    assert (v.equal_ratio, v.max_spread, v.status) == (0.5, 1.0, "aligned")
+    assert (v.equal_ratio, v.max_spread, v.status) == (0.5, 1.0, "exact_all_rank_timestamp_alignment")
     d = {r.slice: r.value for r in rk.deduplicated(df, ["worker", "slice"], "rank", "v", 8).collect()}
     assert d == {0: 1.0, 1: None}
     s = {r.slice: r.value for r in rk.shard_sum(gauges(spark, [equal, [1] * 7]), ["worker", "slice"], "rank", "v", 8).collect()}

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 # Spellings of truth and falsehood.
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y"), ("false", "0", "no", "n", "", "none", "null")
 # Milliseconds in each unit name.
-UNIT_MS = {"ns": 1e-6, "nanosecond": 1e-6, "nanoseconds": 1e-6, "us": 1e-3, "microsecond": 1e-3, "microseconds": 1e-3, "ms": 1.0, "millisecond": 1.0, "milliseconds": 1.0, "s": 1e3, "sec": 1e3, "second": 1e3, "seconds": 1e3}
+UNIT_MS = {"ns": 1e-6, "nanosecond": 1e-6, "nanoseconds": 1e-6, "us": 1e-3, "µs": 1e-3, "microsecond": 1e-3, "microseconds": 1e-3, "ms": 1.0, "millisecond": 1.0, "milliseconds": 1.0, "s": 1e3, "sec": 1e3, "secs": 1e3, "second": 1e3, "seconds": 1e3}
 # Error statuses and what an absent error looks like.
-ERROR_STATUS = ("error", "failed", "failure", "timeout", "cancelled", "canceled")
-NO_ERROR = ("", "false", "none", "null", "0", "{}")
+ERROR_STATUS = ("error", "failed", "failure", "cancelled", "canceled")
+NO_ERROR = ("", "0", "none", "null", "false", "False", "{}")
 # Fields of an error object, first one wins.
-ERROR_FIELDS = ("type", "error_type", "code", "class", "status", "message", "error")
+ERROR_FIELDS, SOME_ERROR = ("type", "error_type", "code", "class", "status", "message", "error"), "error_present"
 
 
 def as_column(c: Column | str) -> Column:
@@ -77,11 +77,17 @@ def path_unit(path: Column | str) -> Column:
     case = None
     for unit in ("ns", "us", "ms", "s"):
         words = "|".join(sorted((u for u, ms in UNIT_MS.items() if ms == UNIT_MS[unit]), key=len, reverse=True))
-        hit = p.rlike(rf"(^|[._\-])({words})($|[._\-])")
+        hit = p.rlike(rf"(^|[._])({words})($|[._])")
         case = F.when(hit, unit) if case is None else case.when(hit, unit)
     return case
 
 
+def known_unit(unit: Column | str) -> Column:
+    """The unit in lower case if it is one, else null."""
+    u = F.lower(F.trim(as_column(unit).cast("string")))
+    return F.when(u.isin(*UNIT_MS), u)
+
+
 def unit_factor(unit: Column | str) -> Column:
     """Milliseconds in a unit; an unknown or missing unit counts as milliseconds."""
     u = F.lower(F.trim(as_column(unit)))
@@ -91,7 +97,7 @@ def unit_factor(unit: Column | str) -> Column:
 
 def duration_ms(value: Column | str, unit: Column | str | None = None, path: Column | str | None = None) -> Column:
     """A duration in milliseconds by its sibling unit, else by its path."""
-    named = text_or_null(unit) if unit is not None else F.lit(None).cast("string")
+    named = known_unit(unit) if unit is not None else F.lit(None).cast("string")
     from_path = path_unit(path) if path is not None else F.lit(None).cast("string")
     return number(value) * unit_factor(F.coalesce(named, from_path))
 
@@ -101,7 +107,7 @@ def epoch_ns(value: Column | str, unit: Column | str | None = None, path: Column
     double; others are scaled by unit, by path, or by size (below 1e11 s, 1e14 ms, 1e17 us)."""
     x = F.trim(as_column(value).cast("string"))
     exact = F.when(x.rlike(r"^[+-]?\d+$"), x.try_cast("long"))
-    u = F.coalesce(F.lower(text_or_null(unit)) if unit is not None else F.lit(None).cast("string"), path_unit(path) if path is not None else F.lit(None).cast("string"))
+    u = F.coalesce(known_unit(unit) if unit is not None else F.lit(None).cast("string"), path_unit(path) if path is not None else F.lit(None).cast("string"))
     d, size = number(x), F.abs(number(x))
     by_size = F.when(size < 1e11, 1_000_000_000).when(size < 1e14, 1_000_000).when(size < 1e17, 1_000).otherwise(1)
     scale = F.when(u.isNull(), by_size).otherwise((unit_factor(u) * 1e6).cast("long"))
@@ -111,14 +117,17 @@ def epoch_ns(value: Column | str, unit: Column | str | None = None, path: Column
 
 def error_present(error: Column | str, status: Column | str | None = None) -> Column:
     """Whether an error field (text or JSON text) or a status says that the request failed."""
-    e = F.lower(F.trim(as_column(error).cast("string")))
+    e = as_column(error).cast("string")
     bad = e.isNotNull() & ~e.isin(*NO_ERROR)
     return bad if status is None else bad | F.coalesce(F.lower(F.trim(as_column(status))).isin(*ERROR_STATUS), F.lit(False))
 
 
 def error_category(error: Column | str, status: Column | str | None = None) -> Column:
-    """The status, else the first telling field of an error object, else its text: first line, 200 characters."""
+    """The status in lower case, else the first telling field of an error object (its first line), else the error's
+    text, 200 characters of it."""
     e = as_column(error).cast("string")
-    fields = [text_or_null(F.get_json_object(e, f"$.{f}")) for f in ERROR_FIELDS]
-    first = F.coalesce(*([text_or_null(status)] if status is not None else []), *(F.when(F.trim(e).startswith("{"), f) for f in fields), text_or_null(e), F.lit("unspecified_error"))
-    return F.when(error_present(error, status), F.substring(F.split_part(first, F.lit("\n"), F.lit(1)), 1, 200))
+    value = lambda f: F.get_json_object(e, f"$.{f}")
+    fields = F.coalesce(*(F.when(value(f) != "", F.split_part(value(f), F.lit("\n"), F.lit(1))) for f in ERROR_FIELDS), F.lit(SOME_ERROR))
+    said = F.when(F.trim(e).startswith("{"), fields).otherwise(text_or_null(e))
+    first = F.coalesce(*([F.lower(text_or_null(status))] if status is not None else []), F.substring(said, 1, 200), F.lit(SOME_ERROR))
+    return F.when(error_present(error, status), first)

@@ -7,44 +7,85 @@ from pyspark.sql import functions as F
 
 from tracelane.functions.coerce import as_column, number, text_or_null
 
-AGENT, BRANCHES = "::sa:", {"fa": "fanout", "aux": "auxiliary", "wg": "worker_group"}
+# The mark of an agent, the marks of branches with their class and the rule that finds them, other rules.
+AGENT = "::sa:"
+BRANCHES = (("fa", "fanout", "split_direct_fanout_suffix"), ("aux", "auxiliary", "split_direct_auxiliary_suffix"), ("wg", "worker_group", "split_direct_worker_group_suffix"))
+AGENT_RULE, EMPTY_RULE, SELF_RULE, MISSING_RULE = "split_before_first_sa", "invalid_empty_root_before_sa", "identity", "missing_conversation_id"
+# Suffixes of replayed and copied roots, with the rules' names.
+ROOT_SUFFIXES = (
+    ("strip_replay_suffix", r"(?i)(?:::|__|[#|])(?:replay|instance|session|worker|copy|dup)(?:[:_\-]?[a-z0-9])+$"),
+    ("strip_loader_dup_suffix", r"(?i)(?:__|[#|])(?:dup|repeat)(?:[_\-]?\d)+$"),
+)
+# Words for a concurrency in a name.
+CONCURRENCY = r"(?:conc(?:urrency)?|concurrent)"
+
+
+def _before(c: Column, mark: str) -> Column:
+    """What stands before the first mark; null if there is no mark or nothing before it."""
+    head = F.split_part(c, F.lit(mark), F.lit(1))
+    return F.when(c.contains(mark) & (head != ""), head)
+
+
+def _by_branch(c: Column, pick) -> list[tuple[Column, Column]]:
+    """(condition, result) for each branch mark that stands directly on a root."""
+    return [(_before(c, f"::{mark}:").isNotNull(), pick(f"::{mark}:", name, rule)) for mark, name, rule in BRANCHES]
+
+
+def _first(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    out = F.when(*cases[0])
+    for test, result in cases[1:]:
+        out = out.when(test, result)
+    return out.otherwise(otherwise)
 
 
 def root_id(conversation: Column | str) -> Column:
-    """The id before an agent suffix, else before the first branch suffix, else the id itself; trimmed."""
+    """The id before an agent suffix (null if nothing stands there), else before a branch suffix, else the id itself."""
     c = text_or_null(conversation)
-    return F.when(c.contains(AGENT), F.split_part(c, F.lit(AGENT), F.lit(1))).otherwise(F.regexp_replace(c, "::(fa|aux|wg):.*$", ""))
+    return _first([(c.contains(AGENT), _before(c, AGENT)), *_by_branch(c, lambda mark, *_: _before(c, mark))], c)
 
 
 def root_rule(conversation: Column | str) -> Column:
     """How root_id found its answer."""
     c = text_or_null(conversation)
-    return F.when(c.isNull(), "missing").when(c.contains(AGENT), "agent_suffix").when(c.rlike("::(fa|aux|wg):"), "branch_suffix").otherwise("identity")
+    agent = F.when(_before(c, AGENT).isNotNull(), AGENT_RULE).otherwise(EMPTY_RULE)
+    return _first([(c.isNull(), F.lit(MISSING_RULE)), (c.contains(AGENT), agent), *_by_branch(c, lambda mark, name, rule: F.lit(rule))], F.lit(SELF_RULE))
+
+
+def branch_suffix(conversation: Column | str) -> Column:
+    """What follows the root, with its mark; root for a root, null for a missing id."""
+    c = text_or_null(conversation)
+    cut = lambda mark: F.substr(c, F.position(F.lit(mark), c))
+    return _first([(c.isNull(), F.lit(None).cast("string")), (c.contains(AGENT), cut(AGENT)), *_by_branch(c, lambda mark, *_: cut(mark))], F.lit("root"))
 
 
 def branch_class(conversation: Column | str) -> Column:
     """root, subagent_main, fanout, auxiliary, worker_group or unknown, from the suffix."""
-    c = F.lower(text_or_null(conversation))
-    tail = F.when(c.contains(AGENT), F.regexp_extract(c, "::sa:(.*)$", 1)).otherwise(F.regexp_extract(c, "::((?:fa|aux|wg):.*)$", 1))
-    case = F.when(c.isNull(), "unknown")
-    for mark, name in BRANCHES.items():
-        case = case.when(tail.rlike(f"(^|:){mark}:"), name)
-    return case.when(c.contains(AGENT), "subagent_main").otherwise("root")
+    c = text_or_null(conversation)
+    suffix = F.lower(branch_suffix(c))
+    agent = _first([(suffix.contains(f":{mark}:"), F.lit(name)) for mark, name, _ in BRANCHES], F.when(suffix.rlike("^::sa:[^:]"), "subagent_main").otherwise("unknown"))
+    return _first([(c.isNull(), F.lit("unknown")), (c.contains(AGENT), F.when(_before(c, AGENT).isNull(), "unknown").otherwise(agent)), *_by_branch(c, lambda mark, name, rule: F.lit(name))], F.lit("root"))
 
 
-def branch_path(conversation: Column | str) -> Column:
-    """The id without what follows the agent's id: the path of the source branch."""
+def branch_path(conversation: Column | str, root: Column | str | None = None) -> Column:
+    """The path of the source branch: the root (the given one, if there is one) with the agent's id, without what
+    follows that; null without a root or an agent's id."""
     c = text_or_null(conversation)
-    agent = F.regexp_replace(F.regexp_extract(c, "::sa:(.*)$", 1), "(?i):(fa|aux|wg):.*$", "")
-    return F.when(c.contains(AGENT), F.concat(root_id(c), F.lit(AGENT), agent)).otherwise(root_id(c))
+    source = F.coalesce(text_or_null(root), root_id(c)) if root is not None else root_id(c)
+    marks = "|".join(mark for mark, *_ in BRANCHES)
+    agent = F.regexp_replace(F.regexp_replace(F.regexp_extract(c, "::sa:(.*)$", 1), f"(?i):({marks}):.*$", ""), "^:+|:+$", "")
+    return F.when(c.isNull(), None).when(~c.contains(AGENT), source).when(agent != "", F.concat(source, F.lit(AGENT), agent))
 
 
 def candidate_roots(conversation: Column | str) -> Column:
-    """Ids under which the root may be known: itself, without a replay suffix, without a copy suffix; in order."""
+    """(root, rule) under which the root may be known, in order: itself, without a replay suffix, without a copy
+    suffix; a root stands once, and none is empty."""
     root = root_id(conversation)
-    replay = F.regexp_replace(root, r"__replay_\d+$", "")
-    copy = F.regexp_replace(replay, r"__dup_?\d+$", "")
-    return F.array_distinct(F.array(root, replay, copy))
+    found = F.array(F.struct(root.alias("root"), root_rule(conversation).alias("rule")))
+    for rule, pattern in ROOT_SUFFIXES:
+        cut = F.regexp_replace(root, pattern, "")
+        new = (cut != "") & ~F.array_contains(F.transform(found, lambda x: x["root"]), cut)
+        found = F.when(new, F.array_append(found, F.struct(cut.alias("root"), F.lit(rule).alias("rule")))).otherwise(found)
+    return F.when(root.isNotNull(), found).otherwise(F.slice(found, 1, 0))
 
 
 def joined_key(*columns: Column | str, missing: str = "<null>") -> Column:
@@ -70,14 +111,14 @@ def same_number(a: Column | str, b: Column | str, tolerance: float = 1e-9) -> Co
 
 def resolve_roots(df: DataFrame, known: DataFrame, conversation: str = "conversation_id", explicit: str | None = None) -> DataFrame:
     """df with root_trace_id (the explicit one if given, else the first candidate that is known, else the primary
-    one), root_known and root_source. known: one column of ids."""
+    one), root_known and root_source (metadata, or the rule that gave the root). known: one column of ids."""
     ids = known.select(F.col(known.columns[0]).alias("known_")).where("known_ is not null").distinct()
     candidates = df.select(F.col(conversation).alias("conv_")).distinct().select("conv_", F.posexplode(candidate_roots("conv_")).alias("pos_", "cand_"))
-    best = candidates.join(ids, F.col("cand_") == F.col("known_")).groupBy("conv_").agg(F.min_by("cand_", "pos_").alias("best_"))
+    best = candidates.join(ids, F.col("cand_.root") == F.col("known_")).groupBy("conv_").agg(F.min_by("cand_", "pos_").alias("best_"))
     out = df.join(best, F.col(conversation).eqNullSafe(F.col("conv_")), "left")
     given = text_or_null(explicit) if explicit else F.lit(None).cast("string")
-    out = out.withColumn("root_trace_id", F.coalesce(given, "best_", root_id(conversation)))
-    out = out.withColumn("root_source", F.when(given.isNotNull(), "metadata").when(F.col("best_").isNotNull(), "known_id").otherwise(root_rule(conversation)))
+    out = out.withColumn("root_trace_id", F.coalesce(given, "best_.root", root_id(conversation)))
+    out = out.withColumn("root_source", F.when(given.isNotNull(), "metadata").otherwise(F.coalesce("best_.rule", root_rule(conversation))))
     return out.withColumn("root_known", F.col("best_").isNotNull()).drop("conv_", "best_")
 
 
@@ -94,17 +135,23 @@ def resolve_prefixes(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def artifact_category(name: Column | str) -> Column:
-    """aggregate before raw, then logs, metrics and the rest, by words in an artifact's name."""
-    n = F.lower(as_column(name))
-    return F.when(n.isNull(), "unknown").when(n.rlike("agg|summary|results"), "aggregate").when(n.rlike("raw|profile|export"), "raw").when(n.rlike("log"), "logs").when(n.rlike("metric"), "metrics").otherwise("other")
+    """The kind of an artifact by its name; aggregates come before raw records, whose word they hold too."""
+    n = F.replace(F.lower(F.trim(as_column(name))), F.lit("-"), F.lit("_"))
+    word = lambda w: n.rlike(f"(^|_){w}(_|$)")
+    # Categories and the words that tell them
+    return (
+        F.when(word("bmk_?agentic"), "aggregated_agentic").when(word("agentic"), "raw_agentic").when(n.contains("server") & n.contains("log"), "server_log")
+        .when(n.contains("results_bmk") | n.contains("run_stats"), "run_summary").otherwise("other")
+    )
 
 
 def name_concurrency(name: Column | str) -> Column:
-    """The concurrency in a name (conc8, c8, concurrency-8); null if there is none or names disagree."""
-    n = F.lower(as_column(name))
-    patterns = (r"conc(?:urrency)?[-_=]?(\d+)", r"(?:^|[-_/])c(\d+)(?:$|[-_./])", r"users?[-_=]?(\d+)")
-    found = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(n, F.lit(p), 1) for p in patterns))))
-    return F.when(F.size(found) == 1, F.element_at(found, 1).try_cast("int"))
+    """The concurrency in a name (conc8, 8conc or c8 between marks); null if there is none or names disagree."""
+    n = F.lower(F.trim(as_column(name)))
+    patterns = (rf"(?<![a-z0-9]){CONCURRENCY}[_.-]?(\d+)(?!\d)", rf"(?<![a-z0-9])(\d+)[_.-]?{CONCURRENCY}(?![a-z0-9])", r"(?:^|[_.-])c[_.-]?(\d+)(?:$|[_.-])")
+    texts = F.flatten(F.array(*(F.regexp_extract_all(n, F.lit(p), 1) for p in patterns)))
+    found = F.array_distinct(F.filter(F.transform(texts, lambda x: x.try_cast("int")), lambda x: x > 0))
+    return F.when(F.size(found) == 1, F.element_at(found, 1))
 
 
 def path_concurrency(path: Column | str) -> Column:

@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 from tracelane.functions.coerce import as_column, number, text_or_null
 
-# Configured limits and observed counters in scheduler lines, and marks in front-end lines.
-CONFIGURED = r"\b(max_(?:running_requests|queued_requests|num_seqs|batch_size))\s*[=:]\s*(\d+)"
-OBSERVED = r"(?<![a-z_])(running_requests|running_reqs|waiting_requests|waiting_reqs|queue_reqs)\s*[=:]\s*(\d+)"
+# Fixed values: (name, observed, words) of the counters in scheduler lines; a word's parts are joined by nothing, _, a
+# blank or -, and a configured limit (max) is no observation.
+COUNTERS = (
+    ("configured_max_running_requests", False, r"\bmax[_ -]?running[_ -]?(?:reqs|requests)"),
+    ("configured_max_waiting_requests", False, r"\bmax[_ -]?waiting[_ -]?(?:reqs|requests)"),
+    ("running_requests", True, r"(?<!max_)(?<!max-)(?<!max )\b(?:num[_ -]?)?running[_ -]?(?:reqs|requests)"),
+    ("waiting_requests", True, r"(?<!max_)(?<!max-)(?<!max )\b(?:num[_ -]?)?waiting[_ -]?(?:reqs|requests)"),
+    ("batch_size", True, r"\bbatch[_ -]?size"),
+    ("token_load", True, r"\b(?:num[_ -]?)?tokens?"),
+    ("token_usage", True, r"\btoken[_ -]?usage"),
+)
+COUNT = r"\s*[:=]\s*([-+]?\d+(?:\.\d+)?)"
+# Marks in front-end lines.
 COMPLETED = r"request completed.*?x_request_id=([\w-]+).*?prefill_worker=([\w-]+).*?decode_worker=([\w-]+)"
 QUEUED = r"x_request_id=([\w-]+).*?wait_ms=(\d+(?:\.\d+)?)"
 STAMP = r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?Z?)"
@@ -36,11 +46,8 @@ def same_label(a: Column | str, b: Column | str, aliases: tuple[tuple[str, str],
 def counters(line: Column | str) -> Column:
     """(name, value, observed) of the scheduler counters in a line: configured limits are not observations."""
     x = F.lower(F.regexp_replace(as_column(line), ANSI, ""))
-    pair = lambda pattern, seen: F.transform(
-        F.arrays_zip(F.regexp_extract_all(x, F.lit(pattern), 1).alias("n"), F.regexp_extract_all(x, F.lit(pattern), 2).alias("v")),
-        lambda p: F.struct(p["n"].alias("name"), p["v"].cast("long").alias("value"), F.lit(seen).alias("observed")),
-    )
-    return F.array_distinct(F.concat(pair(CONFIGURED, False), pair(OBSERVED, True)))
+    each = lambda name, seen, words: F.transform(F.regexp_extract_all(x, F.lit(words + COUNT), 1), lambda v: F.struct(F.lit(name).alias("name"), v.cast("double").alias("value"), F.lit(seen).alias("observed")))
+    return F.array_distinct(F.flatten(F.array(*(each(*c) for c in COUNTERS))))
 
 
 def completion(line: Column | str) -> Column:

@@ -14,7 +14,8 @@ GROUPS = ("root", "subagent", "unknown")
 
 def invalid_reason(start: str = "request_start_ns", end: str = "request_end_ns") -> Column:
     s, e = F.col(start), F.col(end)
-    return F.when(s.isNull(), "missing_start").when(e.isNull(), "missing_end").when(e <= s, "nonpositive_duration")
+    # reasons
+    return F.when(s.isNull(), "missing_request_start_ns").when(e.isNull(), "missing_request_end_ns").when(e <= s, "nonpositive_request_interval")
 
 
 def branch_group(c: str) -> Column:

@@ -63,14 +63,11 @@ def match_turns(df: DataFrame, source: DataFrame) -> DataFrame:
     return out.withColumn("match_class", match_class(F.col("loader_matched"), F.col("input_same"), F.col("turn_matched"), F.col("branch_known"), F.col("root_known")))
 
 
-def match_validation(path_same: Column, input_same: Column, turn_same: Column) -> Column:
-    """conflict if any check fails, high_confidence if all pass, else missing."""
-    checks = [path_same, input_same, turn_same]
-    bad, good = F.lit(False), F.lit(True)
-    for c in checks:
-        bad = bad | F.coalesce(~c, F.lit(False))
-        good = good & F.coalesce(c, F.lit(False))
-    return F.when(bad, "conflict").when(good, "high_confidence").otherwise("missing")
+def match_validation(path_same: Column, turn_same: Column) -> Column:
+    """An exact key match judged by whether source paths and turn indexes agree too (null: one side lacks it)."""
+    bad, good = (F.coalesce(x, F.lit(False)) for x in (~path_same | ~turn_same, path_same & turn_same))
+    # verdicts
+    return F.when(bad, "key_match_validation_conflict").when(good, "high_confidence_exact").otherwise("key_match_validation_missing")
 
 
 def presence_matrix(universe: DataFrame, observed: DataFrame, key: str, column: str, values: list) -> DataFrame:

@@ -38,11 +38,17 @@ def shard_sum(df: DataFrame, keys: Sequence[str], rank: str, value: str, expecte
 
 
 def validation(df: DataFrame, series: Sequence[str], slice_keys: Sequence[str], rank: str, value: str, expected: int) -> DataFrame:
-    """For each series: slices, complete ones, those where all ranks agree, the largest spread, and a status."""
+    """For each series: slices, complete ones, those where all ranks agree, the largest spread, and a status. Rows
+    whose slice has a null key count for the number of ranks only."""
     each = slices(df, [*series, *slice_keys], rank, value, expected)
+    known = F.lit(True)
+    for k in slice_keys:
+        known = known & F.col(k).isNotNull()
+    each = each.withColumn("complete", F.col("complete") & known) if slice_keys else each
     equal = F.col("complete") & (F.col("low") == F.col("high"))
-    out = each.groupBy(*series).agg(F.count("*").alias("n_slices"), F.count_if("complete").alias("n_complete"), F.count_if(equal).alias("n_equal"), F.max(F.when(F.col("complete"), F.col("high") - F.col("low"))).alias("max_spread"), F.max("n_ranks").alias("most_ranks"))
-    status = F.when(F.col("most_ranks") != expected, "rank_count_mismatch").when(F.col("n_complete") == F.col("n_slices"), "aligned").when(F.col("n_complete") > 0, "partially_aligned").otherwise("not_aligned")
+    out = each.groupBy(*series).agg(F.count_if(known).alias("n_slices"), F.count_if("complete").alias("n_complete"), F.count_if(equal).alias("n_equal"), F.max(F.when(F.col("complete"), F.col("high") - F.col("low"))).alias("max_spread"), F.max("n_ranks").alias("most_ranks"))
+    # statuses
+    status = F.when(F.col("most_ranks") != expected, "rank_count_mismatch").when(F.col("n_slices") == 0, "no_timeslices").when(F.col("n_complete") == F.col("n_slices"), "exact_all_rank_timestamp_alignment").otherwise("partial_rank_timestamp_alignment")
     return out.withColumns({"equal_ratio": ratio("n_equal", "n_complete"), "status": status})
 
 

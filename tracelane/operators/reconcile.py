@@ -14,10 +14,11 @@ from tracelane.functions.text import same_label
 # Absolute and relative tolerance by kind of metric, first pattern that fits a metric's name.
 TOLERANCES = (
     ("derived_.*tokens", 1.0, 0.0),
-    (".*(count|requests|gpus|tokens)$", 0.0, 0.0),
-    (".*_ms$", 1.0, 0.01),
-    (".*(tps|throughput|duration|_s)$", 0.1, 0.02),
-    (".*", 1e-9, 0.0),
+    (".*(count|tokens)", 0.0, 0.0),
+    (".*_ms", 1.0, 0.01),
+    (".*_tps", 0.1, 0.02),
+    ("duration_s", 0.1, 0.02),
+    (".*", 1e-9, 1e-9),
 )
 # Paths under which a published result names each metric; the unit they come in.
 PUBLISHED = {
@@ -47,7 +48,7 @@ def compared(df: DataFrame, metric: str = "metric", raw: str = "raw_value", publ
     """df with differences and status: pass within either tolerance, else mismatch; not_comparable without both."""
     a, r = tolerance(metric)
     gap = F.abs(F.col(raw) - F.col(published))
-    rel = ratio(gap, F.abs(F.col(published)))
+    rel = F.when(gap == 0, 0.0).otherwise(ratio(gap, F.abs(F.col(published))))
     ok = (gap <= a) | F.coalesce(rel <= r, F.lit(False))
     status = F.when(F.col(raw).isNull() | F.col(published).isNull(), "not_comparable").when(ok, "pass").otherwise("mismatch")
     note = F.when(F.col(raw).isNull(), "no recomputed value").when(F.col(published).isNull(), "no published value").when(~ok, "outside both tolerances")

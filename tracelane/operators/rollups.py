@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +41,11 @@ def with_status(summary: DataFrame, counts: DataFrame, keys: Sequence[str]) -> D
     return summary.join(right, on, "left").drop(*(f"{k}_r" for k in keys))
 
 
-def quality_flag(n: str = "n_requests", sessions: str = "n_sessions", errors: str = "n_errors", few: int = 5) -> Column:
-    """Warnings about a group joined by semicolons, or ok."""
-    flags = F.concat_ws(";", F.when(F.col(n) < few, "few_requests"), F.when(F.col(sessions) <= 1, "single_session"), F.when(F.col(errors) > 0, "has_errors"))
+def quality_flag(n: str = "n_requests", sessions: str = "n_sessions", few: int = 5) -> Column:
+    """Warnings about a group of n requests in so many session groups, joined by semicolons, or ok."""
+    k, m = F.col(n), F.coalesce(F.col(sessions), F.lit(0))
+    # flags
+    flags = F.concat_ws(";", F.when(k < few, "low_request_count"), F.when(m < 1, "missing_session_num_group").when(m == 1, "single_session_num_group_unvalidated"), F.when((k > 0) & (m == k), "session_num_unique_per_profiled_row"))
     return F.when(flags == "", "ok").otherwise(flags)
 
 
@@ -116,25 +118,34 @@ def quantile_table(df: DataFrame, keys: Sequence[str], columns: Sequence[str], q
     return agg.select(*keys, stack.alias("x")).select(*keys, "x.*")
 
 
+# The upper ends of buckets and their labels.
+LENGTHS = ((1, "1"), (32, "2-32"), (128, "33-128"), (512, "129-512"), (2048, "513-2048"), (None, ">2048"))
+INPUTS = ((32_000, "<32k"), (64_000, "32-64k"), (128_000, "64-128k"), (192_000, "128-192k"), (256_000, "192-256k"), (None, "256k+"))
+LOADS = ((4, "1-4"), (8, "5-8"), (12, "9-12"), (16, "13-16"), (24, "17-24"), (None, "25+"))
+
+
+def _bucket(x: Column, ends: tuple[tuple[int | None, str], ...], below: Callable[[Column, int], Column]) -> Column:
+    case = F.when(x.isNull() | F.isnan(x.cast("double")), None)
+    for end, label in ends:
+        case = case.otherwise(label) if end is None else case.when(below(x, end), label)
+    return case
+
+
 def length_bucket(c: str) -> Column:
-    """Right-closed buckets of output length; below 0 is none."""
-    x, case = F.col(c), None
-    for low, high in ((0, 1), (2, 32), (33, 128), (129, 512), (513, 2048)):
-        test = (x >= 0) & (x <= high) if case is None else x <= high
-        case = F.when(test, f"{low}-{high}") if case is None else case.when((x >= 0) & test, f"{low}-{high}")
-    return case.when(x > 2048, ">2048")
+    """Right-closed buckets of output length, 0 in the first; below 0 is none."""
+    x = F.col(c)
+    return F.when(x >= 0, _bucket(x, LENGTHS, lambda v, end: v <= end))
 
 
 def input_bucket(c: str) -> Column:
     """Left-closed buckets of input size."""
-    x = F.col(c)
-    return F.when(x < 0, None).when(x < 32_000, "<32k").when(x < 64_000, "32k-64k").when(x < 128_000, "64k-128k").when(x < 256_000, "128k-256k").when(x.isNotNull(), "256k+")
+    return _bucket(F.col(c), INPUTS, lambda v, end: v < end)
 
 
 def load_bucket(c: str) -> Column:
-    """Right-closed buckets of requests in flight."""
+    """Right-closed buckets of requests in flight, 0 in the first; below 0 is none."""
     x = F.col(c)
-    return F.when(x < 1, None).when(x <= 4, "1-4").when(x <= 8, "5-8").when(x <= 12, "9-12").when(x <= 16, "13-16").when(x <= 24, "17-24").when(x > 24, "25+")
+    return F.when(x >= 0, _bucket(x, LOADS, lambda v, end: v <= end))
 
 
 def time_bin(at: Column | str, start: Column | str, width: int) -> Column:
@@ -145,7 +156,7 @@ def time_bin(at: Column | str, start: Column | str, width: int) -> Column:
 
 def sparse_status(n: str, least: int = 3) -> Column:
     """Whether a group has enough samples for its rate to be compared."""
-    return F.when(F.col(n).isNull(), "missing").when(F.col(n) < least, "sparse").otherwise("comparable")
+    return F.when(F.coalesce(F.col(n) < least, F.lit(True)), f"suppressed_n_lt_{least}_descriptive_only").otherwise("comparative_sample_size_available")
 
 
 def ratio_groups(df: DataFrame, group: str, flag: str = "comparable") -> tuple[DataFrame, DataFrame]:

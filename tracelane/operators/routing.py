@@ -53,8 +53,8 @@ def routing_share(df: DataFrame, worker: str) -> DataFrame:
 
 def counter_summary(counters: DataFrame, names: Sequence[str]) -> DataFrame:
     """The largest value of each named counter among observations; configured limits don't count, and a counter that
-    was never observed is Unknown, not zero. counters: name, value, observed."""
+    was never observed is Unknown, not zero; others are Evidence. counters: name, value, observed."""
     seen = counters.where("observed").groupBy("name").agg(F.max("value").alias("largest"), F.count("*").alias("n"))
     wanted = counters.sparkSession.createDataFrame([(n,) for n in names], "name string")
     out = wanted.join(seen, "name", "left").na.fill(0, ["n"])
-    return out.withColumn("status", F.when(F.col("largest").isNull(), "Unknown").otherwise("observed"))
+    return out.withColumn("status", F.when(F.col("largest").isNull(), "Unknown").otherwise("Evidence"))

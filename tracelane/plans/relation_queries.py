@@ -238,12 +238,13 @@ def source_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT conv_id, turn, 'run_' || role || '-conc' || (conv_id % 4 + 1) || CASE WHEN turn % 3 = 0 THEN '-agg' WHEN turn % 3 = 1 THEN '_raw' ELSE '' END || CASE WHEN turn = 5 THEN '/c9/' ELSE '' END AS name FROM conversations)
-SELECT conv_id, turn, CASE WHEN contains(name, '-agg') THEN 'aggregate' WHEN contains(name, '_raw') THEN 'raw' ELSE 'other' END AS category, CASE WHEN turn <> 5 OR conv_id % 4 + 1 = 9 THEN CAST(conv_id % 4 + 1 AS INTEGER) END AS concurrency FROM n""")
+WITH n AS (SELECT conv_id, turn, 'run_' || role || CASE WHEN conv_id % 2 = 0 THEN '-conc' || (conv_id % 4 + 1) ELSE '_' || (conv_id % 4 + 1) || 'conc' END || CASE turn % 4 WHEN 0 THEN '-bmk_agentic' WHEN 1 THEN '_agentic' WHEN 2 THEN '-server-logs' ELSE '-run-stats' END || CASE WHEN turn = 5 THEN '.c-9' ELSE '' END AS name FROM conversations)
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'aggregated_agentic' WHEN 1 THEN CASE WHEN turn = 5 THEN 'other' ELSE 'raw_agentic' END WHEN 2 THEN 'server_log' ELSE 'run_summary' END AS category, CASE WHEN turn <> 5 OR conv_id % 4 + 1 = 9 THEN CAST(conv_id % 4 + 1 AS INTEGER) END AS concurrency FROM n""")
 def artifact_names(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    kind = F.when(F.col("turn") % 3 == 0, "-agg").when(F.col("turn") % 3 == 1, "_raw").otherwise("")
-    name = F.concat(F.lit("run_"), "role", F.lit("-conc"), (F.col("conv_id") % 4 + 1).cast("string"), kind, F.when(F.col("turn") == 5, "/c9/").otherwise(""))
+    kind, n = F.element_at(F.array(*map(F.lit, ("-bmk_agentic", "_agentic", "-server-logs", "-run-stats"))), (F.col("turn") % 4 + 1).cast("int")), (F.col("conv_id") % 4 + 1).cast("string")
+    conc = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("-conc"), n)).otherwise(F.concat(F.lit("_"), n, F.lit("conc")))
+    name = F.concat(F.lit("run_"), "role", conc, kind, F.when(F.col("turn") == 5, ".c-9").otherwise(""))
     return c.select("conv_id", "turn", ids.artifact_category(name).alias("category"), ids.name_concurrency(name).alias("concurrency"))
 
 

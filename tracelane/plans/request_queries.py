@@ -72,8 +72,8 @@ def replay_instances(spark: SparkSession, d: str) -> DataFrame:
 
 @query(request_sql("""
 SELECT s.*, n_records, n_errors, n_cancelled, n_excluded,
-  CASE WHEN concat_ws(';', CASE WHEN n_requests < 5 THEN 'few_requests' END, CASE WHEN n_sessions <= 1 THEN 'single_session' END, CASE WHEN n_errors > 0 THEN 'has_errors' END) = '' THEN 'ok'
-    ELSE concat_ws(';', CASE WHEN n_requests < 5 THEN 'few_requests' END, CASE WHEN n_sessions <= 1 THEN 'single_session' END, CASE WHEN n_errors > 0 THEN 'has_errors' END) END AS quality
+  coalesce(nullif(concat_ws(';', CASE WHEN n_requests < 5 THEN 'low_request_count' END, CASE n_sessions WHEN 0 THEN 'missing_session_num_group' WHEN 1 THEN 'single_session_num_group_unvalidated' END,
+    CASE WHEN n_sessions = n_requests THEN 'session_num_unique_per_profiled_row' END), ''), 'ok') AS quality
 FROM s LEFT JOIN c USING (concurrency, root_trace_id)""", f"""
 s AS (SELECT concurrency, root_trace_id, count(DISTINCT session_num) AS n_sessions, {measures_sql()} FROM p GROUP BY ALL),
 c AS (SELECT concurrency, root_trace_id, count(*) AS n_records, count(*) FILTER (error_present) AS n_errors, count(*) FILTER (was_cancelled) AS n_cancelled, count(exclusion_reason) AS n_excluded FROM r GROUP BY ALL)"""))
@@ -148,14 +148,14 @@ def top_ids(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-_BUCKETS = "CASE WHEN {0} >= 0 AND {0} <= 1 THEN '0-1' WHEN {0} >= 0 AND {0} <= 32 THEN '2-32' WHEN {0} >= 0 AND {0} <= 128 THEN '33-128' WHEN {0} >= 0 AND {0} <= 512 THEN '129-512' WHEN {0} >= 0 AND {0} <= 2048 THEN '513-2048' WHEN {0} > 2048 THEN '>2048' END"
+_BUCKETS = "CASE WHEN {0} >= 0 AND {0} <= 1 THEN '1' WHEN {0} >= 0 AND {0} <= 32 THEN '2-32' WHEN {0} >= 0 AND {0} <= 128 THEN '33-128' WHEN {0} >= 0 AND {0} <= 512 THEN '129-512' WHEN {0} >= 0 AND {0} <= 2048 THEN '513-2048' WHEN {0} > 2048 THEN '>2048' END"
 
 
 @query(request_sql(f"""
 SELECT output_bucket, input_bucket, load_bucket, count(*) AS n, round(avg(ttft_ms), 8) AS mean_ttft_ms FROM (
   SELECT ttft_ms, {_BUCKETS.format('(output_tokens * 300)')} AS output_bucket,
-    CASE WHEN input_tokens * 3000 < 0 THEN NULL WHEN input_tokens * 3000 < 32000 THEN '<32k' WHEN input_tokens * 3000 < 64000 THEN '32k-64k' WHEN input_tokens * 3000 < 128000 THEN '64k-128k' WHEN input_tokens * 3000 < 256000 THEN '128k-256k' WHEN input_tokens IS NOT NULL THEN '256k+' END AS input_bucket,
-    CASE WHEN input_tokens < 1 THEN NULL WHEN input_tokens <= 4 THEN '1-4' WHEN input_tokens <= 8 THEN '5-8' WHEN input_tokens <= 12 THEN '9-12' WHEN input_tokens <= 16 THEN '13-16' WHEN input_tokens <= 24 THEN '17-24' WHEN input_tokens > 24 THEN '25+' END AS load_bucket
+    CASE WHEN input_tokens * 3000 < 32000 THEN '<32k' WHEN input_tokens * 3000 < 64000 THEN '32-64k' WHEN input_tokens * 3000 < 128000 THEN '64-128k' WHEN input_tokens * 3000 < 192000 THEN '128-192k' WHEN input_tokens * 3000 < 256000 THEN '192-256k' WHEN input_tokens IS NOT NULL THEN '256k+' END AS input_bucket,
+    CASE WHEN input_tokens < 0 THEN NULL WHEN input_tokens <= 4 THEN '1-4' WHEN input_tokens <= 8 THEN '5-8' WHEN input_tokens <= 12 THEN '9-12' WHEN input_tokens <= 16 THEN '13-16' WHEN input_tokens <= 24 THEN '17-24' WHEN input_tokens > 24 THEN '25+' END AS load_bucket
   FROM p) GROUP BY ALL"""))
 def buckets(spark: SparkSession, d: str) -> DataFrame:
     g = good(spark, d).withColumns({"o": F.col("output_tokens") * 300, "i": F.col("input_tokens") * 3000})
@@ -172,7 +172,7 @@ def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(request_sql("""
 SELECT record_ordinal, CASE WHEN contains(conversation_id, '::sa:') THEN split_part(conversation_id, '::sa:', 1) ELSE regexp_replace(conversation_id, '::(fa|aux|wg):.*$', '') END AS root_id,
-  CASE WHEN contains(conversation_id, '::sa:') THEN 'agent_suffix' WHEN regexp_matches(conversation_id, '::(fa|aux|wg):') THEN 'branch_suffix' ELSE 'identity' END AS rule,
+  CASE WHEN contains(conversation_id, '::sa:') THEN CASE WHEN split_part(conversation_id, '::sa:', 1) = '' THEN 'invalid_empty_root_before_sa' ELSE 'split_before_first_sa' END WHEN regexp_matches(conversation_id, '.::fa:') THEN 'split_direct_fanout_suffix' WHEN regexp_matches(conversation_id, '.::aux:') THEN 'split_direct_auxiliary_suffix' WHEN regexp_matches(conversation_id, '.::wg:') THEN 'split_direct_worker_group_suffix' ELSE 'identity' END AS rule,
   CASE WHEN regexp_matches(conversation_id, ':fa:') THEN 'fanout' WHEN regexp_matches(conversation_id, ':aux:') THEN 'auxiliary' WHEN regexp_matches(conversation_id, ':wg:') THEN 'worker_group' WHEN contains(conversation_id, '::sa:') THEN 'subagent_main' ELSE 'root' END AS branch,
   CASE WHEN contains(conversation_id, '::sa:') THEN split_part(conversation_id, '::sa:', 1) || '::sa:' || regexp_replace(split_part(conversation_id, '::sa:', 2), ':(fa|aux|wg):.*$', '') ELSE regexp_replace(conversation_id, '::(fa|aux|wg):.*$', '') END AS path
 FROM r"""))
@@ -183,14 +183,14 @@ def conversation_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(request_sql("""
 SELECT concurrency, rule, count(*) AS n, count(DISTINCT conversation_id) AS n_conversations FROM (
-  SELECT concurrency, conversation_id, CASE WHEN contains(conversation_id, '::sa:') THEN 'agent_suffix' WHEN regexp_matches(conversation_id, '::(fa|aux|wg):') THEN 'branch_suffix' ELSE 'identity' END AS rule FROM r) GROUP BY ALL"""))
+  SELECT concurrency, conversation_id, CASE WHEN contains(conversation_id, '::sa:') THEN CASE WHEN split_part(conversation_id, '::sa:', 1) = '' THEN 'invalid_empty_root_before_sa' ELSE 'split_before_first_sa' END WHEN regexp_matches(conversation_id, '.::fa:') THEN 'split_direct_fanout_suffix' WHEN regexp_matches(conversation_id, '.::aux:') THEN 'split_direct_auxiliary_suffix' WHEN regexp_matches(conversation_id, '.::wg:') THEN 'split_direct_worker_group_suffix' ELSE 'identity' END AS rule FROM r) GROUP BY ALL"""))
 def normalization_rules(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).groupBy("concurrency", ids.root_rule("conversation_id").alias("rule")).agg(F.count("*").alias("n"), F.count_distinct("conversation_id").alias("n_conversations"))
 
 
 @query(request_sql("""
 SELECT c.conv, coalesce(CASE WHEN s.a IS NOT NULL THEN c.root WHEN s2.a IS NOT NULL THEN c.cut END, c.root) AS root_trace_id, (s.a IS NOT NULL OR s2.a IS NOT NULL) AS root_known,
-  CASE WHEN s.a IS NOT NULL OR s2.a IS NOT NULL THEN 'known_id' WHEN contains(c.conv, '::sa:') THEN 'agent_suffix' ELSE 'identity' END AS root_source
+  CASE WHEN s.a IS NULL AND s2.a IS NOT NULL THEN 'strip_replay_suffix' WHEN contains(c.conv, '::sa:') THEN 'split_before_first_sa' ELSE 'identity' END AS root_source
 FROM (SELECT conv, root, regexp_replace(root, '__replay_\\d+$', '') AS cut FROM (
     SELECT DISTINCT root_trace_id || CASE WHEN user_id % 2 = 0 THEN '__replay_' || (user_id % 5) ELSE '' END || CASE WHEN user_id % 3 = 0 THEN '::sa:x' ELSE '' END AS conv, root_trace_id || CASE WHEN user_id % 2 = 0 THEN '__replay_' || (user_id % 5) ELSE '' END AS root FROM r)) c
 LEFT JOIN u s ON s.a = c.root LEFT JOIN u s2 ON s2.a = c.cut""", "u AS (SELECT DISTINCT root_trace_id AS a FROM r WHERE user_id % 7 <> 0)"))

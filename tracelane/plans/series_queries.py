@@ -63,7 +63,7 @@ def all_request_contexts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("record_ordinal", "before_start", "at_start", "before_end")
 
 
-@query(request_sql("SELECT CASE WHEN request_start_ns IS NULL THEN 'missing_start' WHEN request_end_ns IS NULL THEN 'missing_end' WHEN request_end_ns <= request_start_ns THEN 'nonpositive_duration' ELSE 'valid' END AS reason, count(*) AS n FROM r GROUP BY ALL"))
+@query(request_sql("SELECT CASE WHEN request_start_ns IS NULL THEN 'missing_request_start_ns' WHEN request_end_ns IS NULL THEN 'missing_request_end_ns' WHEN request_end_ns <= request_start_ns THEN 'nonpositive_request_interval' ELSE 'valid' END AS reason, count(*) AS n FROM r GROUP BY ALL"))
 def interval_validity(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).groupBy(F.coalesce(iv.invalid_reason(), F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -91,7 +91,7 @@ def _gauges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(request_sql("""
 SELECT worker, count(*) AS n_slices, count(*) FILTER (n_ranks = 5 AND n = 5) AS n_complete, count(*) FILTER (n_ranks = 5 AND n = 5 AND low = high) AS n_equal, max(high - low) FILTER (n_ranks = 5 AND n = 5) AS max_spread,
-  CASE WHEN max(n_ranks) <> 5 THEN 'rank_count_mismatch' WHEN count(*) FILTER (n_ranks = 5 AND n = 5) = count(*) THEN 'aligned' WHEN count(*) FILTER (n_ranks = 5 AND n = 5) > 0 THEN 'partially_aligned' ELSE 'not_aligned' END AS status FROM sl GROUP BY worker""", _WK))
+  CASE WHEN max(n_ranks) <> 5 THEN 'rank_count_mismatch' WHEN count(*) FILTER (n_ranks = 5 AND n = 5) = count(*) THEN 'exact_all_rank_timestamp_alignment' ELSE 'partial_rank_timestamp_alignment' END AS status FROM sl GROUP BY worker""", _WK))
 def rank_validation(spark: SparkSession, d: str) -> DataFrame:
     return rk.validation(_gauges(spark, d), ["worker"], ["slice"], "rank", "v", 5).select("worker", "n_slices", "n_complete", "n_equal", "max_spread", "status")
 
@@ -164,7 +164,7 @@ def field_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH raw AS (SELECT l_orderkey AS k, sum(l_extendedprice * (1 - l_discount)) AS total_ms, count(*)::DOUBLE AS requests FROM lineitem GROUP BY ALL), pub AS (SELECT o_orderkey AS k, o_totalprice AS total_ms, (o_orderkey % 7)::DOUBLE AS requests FROM orders),
 a AS (SELECT coalesce(raw.k, pub.k) AS k, m AS metric, CASE m WHEN 'total_ms' THEN raw.total_ms ELSE raw.requests END AS x, CASE m WHEN 'total_ms' THEN pub.total_ms ELSE pub.requests END AS y FROM raw FULL JOIN pub ON raw.k = pub.k, (SELECT unnest(['total_ms', 'requests']) AS m)),
-s AS (SELECT metric, CASE WHEN x IS NULL OR y IS NULL THEN 'not_comparable' WHEN metric = 'total_ms' AND (abs(x - y) <= 1 OR coalesce(abs(x - y) / nullif(abs(y), 0) <= .01, false)) OR metric = 'requests' AND abs(x - y) <= 0 THEN 'pass' ELSE 'mismatch' END AS validation_status FROM a)
+s AS (SELECT metric, CASE WHEN x IS NULL OR y IS NULL THEN 'not_comparable' WHEN metric = 'total_ms' AND (abs(x - y) <= 1 OR coalesce(abs(x - y) / nullif(abs(y), 0) <= .01, false)) OR metric = 'requests' AND (abs(x - y) <= 1e-9 OR abs(x - y) <= 1e-9 * abs(y)) THEN 'pass' ELSE 'mismatch' END AS validation_status FROM a)
 SELECT metric, validation_status, count(*) AS n FROM s GROUP BY ALL""")
 def reconciliation(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total_ms"), F.count("*").cast("double").alias("requests"))

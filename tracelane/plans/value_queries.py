@@ -68,7 +68,7 @@ ERRORS = (None, "", "{}", "boom\nsecond line", '{"type":"Timeout","message":"lat
 
 @query(f"""
 SELECT present, category, count(*) AS n FROM (SELECT coalesce(e IS NOT NULL AND lower(trim(e)) NOT IN ('', 'false', 'none', 'null', '0', '{{}}'), false) AS present,
-  CASE e WHEN 'boom' || chr(10) || 'second line' THEN 'boom' WHEN '{{"type":"Timeout","message":"late"}}' THEN 'Timeout' WHEN '{{"message":"only"}}' THEN 'only' WHEN '[]' THEN '[]' END AS category
+  CASE e WHEN 'boom' || chr(10) || 'second line' THEN e WHEN '{{"type":"Timeout","message":"late"}}' THEN 'Timeout' WHEN '{{"message":"only"}}' THEN 'only' WHEN '[]' THEN '[]' END AS category
   FROM (SELECT {_pick_sql(ERRORS, 'event_id').replace(chr(92) + 'n', "' || chr(10) || '")} AS e FROM events)) GROUP BY ALL""")
 def error_classes(spark: SparkSession, d: str) -> DataFrame:
     e = _pick(ERRORS, F.col("event_id"))
@@ -161,7 +161,7 @@ def gauge_labels(spark: SparkSession, d: str) -> DataFrame:
     return r.select("record_ordinal", value.alias("chosen"), field.alias("field"), tx.bin_scope(field).alias("scope"), tx.component(comp).alias("component"), tx.rank_label(F.when(i % 2 == 0, (i % 4).cast("string")), F.lit("1")).alias("rank_name"))
 
 
-@query(request_sql("SELECT concurrency, max(CASE WHEN x > 5 THEN 'comparable' WHEN x IS NULL THEN 'missing' ELSE 'sparse' END) AS state, count(*) AS n FROM (SELECT concurrency, root_trace_id, count(itl_ms) AS x FROM p GROUP BY ALL) GROUP BY concurrency, x > 5"))
+@query(request_sql("SELECT concurrency, max(CASE WHEN x > 5 THEN 'comparative_sample_size_available' ELSE 'suppressed_n_lt_6_descriptive_only' END) AS state, count(*) AS n FROM (SELECT concurrency, root_trace_id, count(itl_ms) AS x FROM p GROUP BY ALL) GROUP BY concurrency, x > 5"))
 def sparse_suppression(spark: SparkSession, d: str) -> DataFrame:
     g = rq.profiled(requests(spark, d)).groupBy("concurrency", "root_trace_id").agg(F.count("itl_ms").alias("x"))
     return g.groupBy("concurrency", (F.col("x") > 5).alias("b")).agg(F.max(rollups.sparse_status("x", 6)).alias("state"), F.count("*").alias("n")).drop("b")
@@ -174,12 +174,12 @@ def whole_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(request_sql("""
-SELECT CAST(b.i AS INTEGER) AS bucket_no, b.b AS bucket, coalesce(s.n, 0) AS n, s.m AS mean_ttft_ms FROM (SELECT unnest(range(0, 5)) AS i, unnest(['<32k', '32k-64k', '64k-128k', '128k-256k', '256k+']) AS b) b
-LEFT JOIN (SELECT CASE WHEN input_tokens * 1000 < 32000 THEN '<32k' WHEN input_tokens * 1000 < 64000 THEN '32k-64k' WHEN input_tokens * 1000 < 128000 THEN '64k-128k' END AS bucket, count(*) AS n, round(avg(ttft_ms), 8) AS m FROM p GROUP BY ALL) s ON s.bucket = b.b"""))
+SELECT CAST(b.i AS INTEGER) AS bucket_no, b.b AS bucket, coalesce(s.n, 0) AS n, s.m AS mean_ttft_ms FROM (SELECT unnest(range(0, 6)) AS i, unnest(['<32k', '32-64k', '64-128k', '128-192k', '192-256k', '256k+']) AS b) b
+LEFT JOIN (SELECT CASE WHEN input_tokens * 1000 < 32000 THEN '<32k' WHEN input_tokens * 1000 < 64000 THEN '32-64k' WHEN input_tokens * 1000 < 128000 THEN '64-128k' WHEN input_tokens * 1000 < 192000 THEN '128-192k' END AS bucket, count(*) AS n, round(avg(ttft_ms), 8) AS m FROM p GROUP BY ALL) s ON s.bucket = b.b"""))
 def input_buckets(spark: SparkSession, d: str) -> DataFrame:
     g = rq.profiled(requests(spark, d)).withColumn("i", F.col("input_tokens") * 1000)
     s = g.groupBy(rollups.input_bucket("i").alias("bucket")).agg(F.count("*").alias("n"), F.avg("ttft_ms").alias("mean_ttft_ms"))
-    return rounded(rollups.with_all_buckets(s, "bucket", ["<32k", "32k-64k", "64k-128k", "128k-256k", "256k+"], ["n"]).select("bucket_no", "bucket", "n", "mean_ttft_ms"))
+    return rounded(rollups.with_all_buckets(s, "bucket", [label for _, label in rollups.INPUTS], ["n"]).select("bucket_no", "bucket", "n", "mean_ttft_ms"))
 
 
 @query(request_sql("""
@@ -189,13 +189,13 @@ def cache_ratios(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rollups.cache_summary(g, ["concurrency"]))
 
 
-@query("""SELECT name, largest, coalesce(n, 0) AS n, CASE WHEN largest IS NULL THEN 'Unknown' ELSE 'observed' END AS status FROM (SELECT unnest(['running_requests', 'waiting_reqs', 'queue_reqs']) AS name) LEFT JOIN (
-  SELECT 'running_requests' AS name, max(event_id % 40) AS largest, count(*) AS n FROM events UNION ALL SELECT 'waiting_reqs', max(event_id % 7), count(*) FROM events) USING (name)""")
+@query("""SELECT name, largest, coalesce(n, 0) AS n, CASE WHEN largest IS NULL THEN 'Unknown' ELSE 'Evidence' END AS status FROM (SELECT unnest(['running_requests', 'waiting_requests', 'batch_size', 'token_usage']) AS name) LEFT JOIN (
+  SELECT 'running_requests' AS name, max(event_id % 40)::DOUBLE AS largest, count(*) AS n FROM events UNION ALL SELECT 'waiting_requests', max(event_id % 7), count(*) FROM events UNION ALL SELECT 'token_usage', 0.25 + max(event_id % 3), count(*) FROM events) USING (name)""")
 def observed_counters(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
-    line = F.concat(F.lit("max_running_requests=200 running_requests="), (i % 40).cast("string"), F.lit(" waiting_reqs: "), (i % 7).cast("string"))
+    line = F.concat(F.lit("max_running_requests=200 running_requests="), (i % 40).cast("string"), F.lit(" num-waiting reqs: "), (i % 7).cast("string"), F.lit(" token usage: "), (i % 3).cast("string"), F.lit(".25"))
     x = table(spark, d, "events").select(F.explode(tx.counters(line)).alias("c")).select("c.*")
-    return routing.counter_summary(x, ["running_requests", "waiting_reqs", "queue_reqs"])
+    return routing.counter_summary(x, ["running_requests", "waiting_requests", "batch_size", "token_usage"])
 
 
 @query("""
