@@ -131,3 +131,17 @@ def test_warc_query(spark, data):
     out = queries.op8_warc(spark, data)
     want = spark.read.parquet(f"{data}/pages.parquet").select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"))
     assert out.select("page_id", "payload_bytes").exceptAll(want).count() == 0 and out.count() == want.count()
+
+
+def test_records_beyond_the_limit_are_gaps():
+    for zipped, why in ((True, "gzip: too large"), (False, "block too large")):
+        whole = b"".join(archive(3, zipped))
+        found = list(warc.read_archive(whole, max_record_bytes=100))
+        assert [(f[0], f[1], f[2], f[4]) for f in found] == [(0, len(whole), None, why)]
+
+
+def test_marks_are_found_across_chunks():
+    record = archive(1, False)[0]
+    for shift in range(-8, 3):
+        data = b"x" * ((1 << 20) + shift) + record
+        assert [(f[0], f[2] is None) for f in warc.read_archive(data)] == [(0, True), ((1 << 20) + shift, False)]

@@ -229,9 +229,8 @@ def _rest(members: DataFrame, group: list[str], least: float) -> DataFrame:
     return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = WORDS, sketches: int = SKETCHES, least: int = LEAST) -> DataFrame:
-    """One row for each id: the id, class_id (the smallest id of its class), class_size and kept (id = class_id).
-    Rows whose id is null are left out."""
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = WORDS, sketches: int = SKETCHES, least: int = LEAST) -> DataFrame:
+    """id and class_id (the smallest id of its class) of each id that isn't null."""
     with scratch() as keep:
         signed = staged(signatures(df.where(F.col(key).isNotNull()), key, text, words, sketches, least), "signatures")
         # nulls come first in Spark's order, so an id's row without words would win over others: they come last here
@@ -283,7 +282,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
 
         reps = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
         classed = keep(staged(documents.join(reps, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id")), "classes"))
-        sizes = keep(staged(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes"))  # apart, so that the join can be split where a class is large
+    return classed
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row for each id: the id, class_id (the smallest id of its class), class_size and kept (id = class_id).
+    Rows whose id is null are left out."""
+    classed = classes(df, key, text, **how)
+    sizes = staged(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")  # apart, so that the join can be split where a class is large
     return classed.join(sizes.hint("merge"), "class_id").select(F.col("id").alias(key), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
@@ -306,7 +312,7 @@ def first_of_each_class(df: DataFrame, key: str = "doc_id", text: str = "text",
     """df without the rows of documents that are not the first of their class, and of each repeated id the row whose
     text its class was decided by."""
     name = free_name(df, "drop_")
-    drop = near_duplicates(df, key, text, **how).where(~F.col("kept")).select(F.col(key).alias(name))
+    drop = classes(df, key, text, **how).where(F.col("id") != F.col("class_id")).select(F.col("id").alias(name))
     left = df.join(drop, F.col(key) == F.col(name), "left_anti")
     known = left.where(F.col(key).isNotNull())
     repeated = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(name)).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(name).hint("merge")

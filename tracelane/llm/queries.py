@@ -56,7 +56,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    found = warc.read_warc(spark, path, payloads=False).where(F.col("record_type").isin("response", "revisit"))
+    found = warc.read_warc(spark, path, payloads=False)
+    kind = F.when(F.col("kind") == "gap", F.raise_error(F.concat(F.lit("damage in "), "archive", F.lit(": "), "reason"))).otherwise(F.col("record_type"))
+    found = found.withColumn("record_type", kind).where(F.col("record_type").isin("response", "revisit"))
     return found.select(warc.page_number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 

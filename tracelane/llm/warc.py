@@ -4,10 +4,11 @@ Writing: a Python data source writes one gzip member for each record, and rolls
 ``archive_bytes``. Every task attempt writes files of its own; only those of attempts that Spark accepted are
 moved into the folder, so lost executors and repeated attempts leave no stray archive.
 
-Reading: archives come in through ``binaryFile``. At each place the reader expects a gzip member or, in plain
-archives, a version line. A member must inflate, pass its CRC, hold one well-formed record and match the
-record's block digest. After a failed check the reader searches for the next valid member or version line,
-goes on from there, and returns the bytes between as a ``gap`` row with the reason: nothing is skipped silently.
+Reading: Spark lists the archives, and each task streams its own from the file system, so no more than one record is
+held; a record of more than ``max_record_bytes`` counts as damaged. At each place the reader expects a gzip member
+or, in plain archives, a version line. A member must inflate, pass its CRC, hold one well-formed record and match
+the record's block digest. After a failed check the reader searches for the next valid member or version line, goes
+on from there, and returns the bytes between as a ``gap`` row with the reason: nothing is skipped silently.
 
 Null payload counts as empty. Rows with equal payloads of at least ``min_revisit_bytes`` bytes: those with the
 smallest id are responses, the others revisit it (rows that repeat the smallest id are all responses; a null id
@@ -19,12 +20,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import posixpath
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +38,8 @@ from tracelane.llm.common import tidy
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES, MAX_RECORD_BYTES = 16 << 20, 512 << 20
+CHUNK, HEADER_BYTES = 1 << 16, 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -114,10 +118,12 @@ class WarcWriter(DataSourceArrowWriter):
             fs.delete_dir(posixpath.join(root, "_attempts"))
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, _ = _fs(self.path)
+        fs, root = _fs(self.path)
         for m in messages:
             for p in m.paths if m else []:
                 fs.delete_file(p)
+        if fs.get_file_info(posixpath.join(root, "_attempts")).is_file is False:
+            fs.delete_dir(posixpath.join(root, "_attempts"))
 
 
 class WarcSource(DataSource):
@@ -132,13 +138,15 @@ class WarcSource(DataSource):
 
 
 def revisits(df: DataFrame, key: str, payload: str, min_revisit_bytes: int = 0) -> DataFrame:
-    """id, url, payload, first_id and revisit of each row. Payloads meet by digest; the smallest id of each digest
-    is found by a grouped minimum, and the join back can be split where one digest has very many rows."""
-    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col("url").cast("string").alias("url"), body.cast("binary").alias("payload"), F.sha1(body.cast("binary")).alias("digest"))
-    firsts = df.select(F.col(key).cast("long").alias("id"), F.sha1(body.cast("binary")).alias("digest")).groupBy("digest").agg(F.min("id").alias("first_id"))
-    other = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")) & (F.octet_length("payload") >= min_revisit_bytes)
-    return rows.join(firsts, "digest").select("id", "url", "payload", "first_id", other.alias("revisit"))
+    """id, url, payload, first_id and revisit of each row. Only ids and digests are grouped by digest, where one may have
+    very many rows; payloads meet their verdict by id and digest."""
+    body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col("url").cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
+    pairs = df.select(F.col(key).cast("long").alias("id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size")).distinct()
+    firsts = pairs.groupBy("digest").agg(F.min("id").alias("first_id"))
+    other = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")) & (F.col("size") >= min_revisit_bytes)
+    verdicts = pairs.join(firsts, "digest").select(F.col("id").alias("id_"), F.col("digest").alias("digest_"), "first_id", other.alias("revisit"))
+    return rows.join(verdicts, F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))).select("id", "url", "payload", "first_id", "revisit")
 
 
 def write_warc(df: DataFrame, path: str, key: str = "page_id", payload: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> None:
@@ -174,43 +182,91 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
     return headers, stop + 4, end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at a place and where it ends; ValueError if it is cut short or fails its checks."""
-    d, view, parts = zlib.decompressobj(31), memoryview(data), []
-    try:
-        while not d.eof and at < len(data):
-            parts.append(d.decompress(view[at : at + (1 << 16)]))
-            at += min(1 << 16, len(data) - at)
-    except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
-    if not d.eof:
-        raise ValueError("gzip: cut short")
-    return b"".join(parts), at - len(d.unused_data)
+class Archive:
+    """An archive to be read at any place, whose size is known."""
 
+    def __init__(self, data: bytes | BinaryIO, size: int | None = None, max_record_bytes: int = MAX_RECORD_BYTES) -> None:
+        self.file = io.BytesIO(data) if isinstance(data, bytes) else data
+        self.size = len(data) if isinstance(data, bytes) else size
+        self.most = max_record_bytes
 
-def read_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
-    """(offset, length, headers, block, "") of each sound record, (offset, length, None, b"", reason) of each gap."""
+    def read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
 
-    def sound(at: int) -> tuple[int, dict[str, str], bytes]:
-        if data[at : at + 3] == b"\x1f\x8b\x08":
-            whole, end = inflate(data, at)
+    def inflate(self, at: int) -> tuple[bytes, int]:
+        """The gzip member at a place and where it ends; ValueError if it is cut short, too large or fails its checks."""
+        d, parts, held = zlib.decompressobj(31), [], 0
+        self.file.seek(at)
+        try:
+            while not d.eof and (chunk := self.file.read(CHUNK)):
+                at += len(chunk)
+                while chunk and not d.eof:
+                    parts.append(d.decompress(chunk, 1 << 22))
+                    held += len(parts[-1])
+                    if held > self.most:
+                        raise ValueError("gzip: too large")
+                    chunk = d.unconsumed_tail
+        except zlib.error as e:
+            raise ValueError(f"gzip: {e}") from None
+        if not d.eof:
+            raise ValueError("gzip: cut short")
+        return b"".join(parts), at - len(d.unused_data)
+
+    def plain(self, at: int) -> bytes:
+        """The bytes of the record at a place, by its own length."""
+        head = self.read(at, HEADER_BYTES)
+        if not _VERSION.match(head):
+            raise ValueError("no version line")
+        stop = head.find(b"\r\n\r\n")
+        length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", head[: stop + 2], re.IGNORECASE)
+        if stop < 0:
+            raise ValueError("headers don't end")
+        if not length:
+            raise ValueError("no content length")
+        if int(length[1]) > self.most:
+            raise ValueError("block too large")
+        return self.read(at, stop + 8 + int(length[1]))
+
+    def sound(self, at: int) -> tuple[int, dict[str, str], bytes]:
+        """End, headers and block of the record at a place; ValueError with the reason if it is unsound."""
+        if self.read(at, 3) == b"\x1f\x8b\x08":
+            whole, end = self.inflate(at)
             headers, block, stop = parse_record(whole)
             if stop != len(whole):
                 raise ValueError("more than one record in a member")
             return end, headers, whole[block : stop - 4]
-        headers, block, end = parse_record(data, at)
-        return end, headers, data[block : end - 4]
+        data = self.plain(at)
+        headers, block, stop = parse_record(data)
+        return at + stop, headers, data[block : stop - 4]
 
+    def next_mark(self, at: int) -> int:
+        """The first place from here on where a member or a version line may begin, else the end."""
+        while at < self.size:
+            data = self.read(at, 1 << 20)
+            found = _MARK.search(data)
+            if found:
+                return at + found.start()
+            if at + len(data) >= self.size or not data:
+                break
+            at += len(data) - 6  # a mark may lie across
+        return self.size
+
+
+_MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+
+
+def read_archive(data: bytes | BinaryIO, size: int | None = None, max_record_bytes: int = MAX_RECORD_BYTES) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """(offset, length, headers, block, "") of each sound record, (offset, length, None, b"", reason) of each gap."""
+    archive = Archive(data, size, max_record_bytes)
     at, gap, reason = 0, None, ""
-    mark = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
-    while at < len(data):
+    while at < archive.size:
         try:
-            end, headers, block = sound(at)
+            end, headers, block = archive.sound(at)
         except ValueError as e:
             if gap is None:
                 gap, reason = at, str(e)
-            found = mark.search(data, at + 1)
-            at = found.start() if found else len(data)
+            at = archive.next_mark(at + 1)
             continue
         if gap is not None:
             yield gap, at - gap, None, b"", reason
@@ -218,13 +274,13 @@ def read_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None,
         yield at, end - at, headers, block, ""
         at = end
     if gap is not None:
-        yield gap, len(data) - gap, None, b"", reason
+        yield gap, archive.size - gap, None, b"", reason
 
 
 READ = "archive string, offset long, length long, kind string, reason string, record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to string, payload binary"
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
     """A row for each record and each quarantined gap (kind record or gap) of all archives below a path.
 
     payload_digest and payload_length are computed from a response's own bytes; a revisit's are its headers'.
@@ -233,27 +289,30 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in READ.split(", ")]
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for name, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 rows, held = [], 0
-                for at, size, headers, block, reason in read_archive(content.as_buffer().to_pybytes()):
-                    if headers is None:
-                        rows.append((name, at, size, "gap", reason, *[None] * 7))
-                        continue
-                    kind = headers.get("warc-type", "")
-                    payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
-                    digest, length = base32_sha1(payload), len(payload)
-                    if kind == "revisit":
-                        digest, length = headers.get("warc-payload-digest", "")[5:], int(headers.get("x-payload-length") or 0)
-                    rows.append((name, at, size, "record", "", headers.get("warc-record-id"), kind, headers.get("warc-target-uri"), digest, length, headers.get("warc-refers-to"), payload if payloads and kind != "revisit" else None))
-                    held += len(payload)
-                    if held > 1 << 22:
-                        yield _batch(rows, names)
-                        rows, held = [], 0
+                fs, place = _fs(name)
+                with fs.open_input_file(place) as file:
+                    for at, size, headers, block, reason in read_archive(file, length, max_record_bytes):
+                        if headers is None:
+                            rows.append((name, at, size, "gap", reason, *[None] * 7))
+                            continue
+                        kind = headers.get("warc-type", "")
+                        payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
+                        digest, n = base32_sha1(payload), len(payload)
+                        if kind == "revisit":
+                            digest, n = headers.get("warc-payload-digest", "")[5:], int(headers.get("x-payload-length") or 0)
+                        rows.append((name, at, size, "record", "", headers.get("warc-record-id"), kind, headers.get("warc-target-uri"), digest, n, headers.get("warc-refers-to"), payload if payloads and kind != "revisit" else None))
+                        held += len(payload)
+                        if held > 1 << 22:
+                            yield _batch(rows, names)
+                            rows, held = [], 0
                 if rows:
                     yield _batch(rows, names)
 
+    # path and length alone: Spark lists the files but doesn't read them; each is a task of its own at most
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(tidy(read), READ)
+    return files.select("path", "length").mapInArrow(tidy(read), READ)
 
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
