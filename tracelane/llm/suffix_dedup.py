@@ -20,8 +20,8 @@ follow these are compared by their bytes too, round by round, until none is left
 in the tests). So a collision costs time, not text.
 
 Equal strings of one block are sent once, with a mark, so a string that fills a third of the table costs one entry
-for each block. The passes over the table don't grow with it: a bucket is at most 4/3 of the input, so there are
-13 at most, and slices, and with them tasks, grow instead.
+for each block. The passes over the table don't grow with it: a bucket is at most 7/4 of the texts, so there are
+10 at most, and slices, and with them tasks, grow instead.
 
 Null text counts as empty. Matches never cross documents; rows with equal text repeat each other. Removal is by
 bytes: what is left of a character cut in two is dropped from the kept text, but not from its digest.
@@ -414,6 +414,13 @@ def _joined_back(blocks: DataFrame, back: DataFrame, name: str) -> DataFrame:
     return blocks.join(back.groupBy("block").agg(F.collect_list(F.struct("slice", "a", "b")).alias(name)), "block", "left")
 
 
+def marked(places: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places, and the one after the last, whether it is among these."""
+    out = np.zeros(n + 1, bool)
+    out[places] = True
+    return out
+
+
 def _runs(places: np.ndarray) -> bytes:
     """Sorted places as runs: pairs of first and end."""
     if not len(places):
@@ -473,7 +480,7 @@ def _cut_repeats(df, text, length, period, keep_text, block_bytes, per_task, tex
 
     left = keep(staged(_joined_back(text_columns, shared, "shared").mapInArrow(tidy(remain), "block long, n long, runs binary, data binary"), "suffixes"))
     n_left = left.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-n_left * SENT_BYTES * 3 // max(1, n_bytes * 4)))
+    buckets = max(1, -(-n_left * SENT_BYTES * 4 // max(1, n_bytes * 7)))
     parts = max(8, -(-n_left // buckets // per_task))
 
     # 2. the suffix buckets
@@ -510,15 +517,18 @@ def _cut_repeats(df, text, length, period, keep_text, block_bytes, per_task, tex
         of = Classes(classes)
         back = _answers(batch, i, "sorted")
         shared, open_ = (of.answered(parts * buckets, back, n) for n in "ab")
-        sure, now, asked = of.of_places(shared & ~open_), of.of_places(open_), None
-        for r in range(rounds + 1):
+        sure, now = of.of_places(shared & ~open_), of.of_places(open_)
+        for r in range(rounds):
             asked = Strings(raw, at[now], length, classes[now], plan[r][0])
-            if r < rounds:
-                sure |= _isin(at, asked.answered(answers.get(r, {}), "a"))
-                after = _isin(at, asked.answered(answers.get(r, {}), "b") + 1)  # these follow a class of several strings
+            sure |= marked(asked.answered(answers.get(r, {}), "a"), len(raw))[at]
+            several = asked.answered(answers.get(r, {}), "b")  # places of strings whose class has others
+            now = np.zeros(len(at), bool)
+            if len(several):
+                after = marked(several + 1, len(raw))[at]
                 now = of.of_places(of.any_of((after & of.of_places(shared & ~open_))[of.order]))
                 open_ |= of.any_of(now[of.order])
                 sure &= ~now
+        asked = Strings(raw, at[now], length, classes[now], plan[rounds][0]) if rounds < len(plan) else None
         return at[sure], asked
 
     def by_round(batch: pa.RecordBatch, i: int) -> dict[int, dict[int, dict]]:
@@ -545,8 +555,7 @@ def _cut_repeats(df, text, length, period, keep_text, block_bytes, per_task, tex
                 _sorted_strings(answered().mapInArrow(tidy(send), _ddl(_STRINGS)), length).withColumn("round", F.lit(r)).write.mode("append").parquet(texts)
         n_open = spark.read.schema(f"{_BACK}, round int").parquet(texts).where(F.col("round") == r).agg(F.sum("n")).first()[0] or 0
     rounds = len(plan)
-    plan.append((8, 8))
-    back = answered() if rounds else found.withColumn("back", F.lit(None).cast("array<struct<round int, slice int, a binary, b binary>>"))
+    back = found.join(spark.read.schema(f"{_BACK}, round int").parquet(texts).groupBy("block").agg(F.collect_list(F.struct("round", "slice", "a", "b")).alias("back")), "block", "left") if rounds else found.withColumn("back", F.lit(None).cast("array<struct<round int, slice int, a binary, b binary>>"))
 
     fields = blocks.schema["rows"].dataType.elementType.fields
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
