@@ -13,6 +13,12 @@ def exact_percentile(c: Column | str, q: float | list[float]) -> Column:
     return F.percentile(number(c), q if isinstance(q, float) else F.array(*map(F.lit, q)))
 
 
+def exact_percentiles(c: Column | str, qs: list[float]) -> list[Column]:
+    """Several percentiles of one column, read from one aggregate: the values are held and sorted once."""
+    every = exact_percentile(c, qs)
+    return [F.try_element_at(every, F.lit(i + 1)) for i in range(len(qs))]
+
+
 def sum_or_zero(c: Column | str) -> Column:
     return F.coalesce(F.sum(as_column(c)), F.lit(0))
 

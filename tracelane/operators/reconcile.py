@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.functions.aggregates import exact_percentile
+from tracelane.functions.aggregates import exact_percentile, exact_percentiles
 from tracelane.functions.coerce import ratio, text_or_null
 from tracelane.functions.text import same_label
 
@@ -34,6 +34,9 @@ PUBLISHED = {
 }
 
 
+PERCENTILES = [0.5, 0.9, 0.95, 0.99]
+
+
 def tolerance(metric: str) -> tuple[Column, Column]:
     """The absolute and relative tolerance of a metric."""
     absolute = relative = None
@@ -72,7 +75,7 @@ def raw_aggregates(df: DataFrame, keys: Sequence[str] = ("concurrency",), gpus:
     itl = F.when(F.col("itl_ms") > 0, F.col("itl_ms"))
     stats = []
     for name, c in (("ttft", F.col("ttft_ms")), ("e2e", F.col("e2e_ms")), ("itl", itl)):
-        stats += [F.avg(c).alias(f"mean_{name}_ms"), F.min(c).alias(f"min_{name}_ms"), F.max(c).alias(f"max_{name}_ms"), *(exact_percentile(c, q).alias(f"p{round(q * 100)}_{name}_ms") for q in (0.5, 0.9, 0.95, 0.99))]
+        stats += [F.avg(c).alias(f"mean_{name}_ms"), F.min(c).alias(f"min_{name}_ms"), F.max(c).alias(f"max_{name}_ms"), *(p.alias(f"p{round(q * 100)}_{name}_ms") for q, p in zip(PERCENTILES, exact_percentiles(c, PERCENTILES), strict=True))]
     span = (F.max("request_end_ns") - F.min("request_start_ns")) / F.lit(1e9)
     out = df.groupBy(*keys).agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("total_input_tokens"), F.sum("output_tokens").alias("total_output_tokens"), F.avg("input_tokens").alias("mean_input_tokens"), F.avg("output_tokens").alias("mean_output_tokens"), *stats, span.alias("duration_s"), *([exact_percentile(gpus, 0.5).alias("gpus")] if gpus else []))
     positive = F.when(F.col("duration_s") > 0, F.col("duration_s"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.functions.aggregates import distinct_with_null, exact_percentile, token_weighted_itl, wall_seconds
+from tracelane.functions.aggregates import distinct_with_null, exact_percentile, exact_percentiles, token_weighted_itl, wall_seconds
 from tracelane.functions.coerce import ratio, truth
 
 QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
@@ -18,7 +18,7 @@ def measures(latencies: Sequence[str] = ("ttft_ms", "e2e_ms", "itl_ms"), zero_su
     total = (lambda c: F.coalesce(F.sum(c), F.lit(0.0))) if zero_sums else F.sum
     out = [F.count("*").alias("n_requests"), total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens")]
     for c in latencies:
-        out += [exact_percentile(c, q).alias(f"{c.removesuffix('_ms')}_{name}_ms") for name, q in QUANTILES.items()]
+        out += [p.alias(f"{c.removesuffix('_ms')}_{name}_ms") for name, p in zip(QUANTILES, exact_percentiles(c, [*QUANTILES.values()]), strict=True)]
     span = wall_seconds("request_start_ns", "request_end_ns")
     return [*out, token_weighted_itl().alias("weighted_itl_ms"), span.alias("wall_s"), F.when(span > 0, ratio(F.sum("output_tokens"), span)).alias("output_tps"), (F.sum("e2e_ms") / 1000).alias("summed_wall_s")]
 

@@ -55,13 +55,13 @@ def unique_key_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SOURCE = """
-src AS (SELECT root_trace_id, turn_index AS outer_i, min(conversation_id) AS path, min(input_tokens) AS si, min(output_tokens) AS so FROM r WHERE record_ordinal % 3 <> 0 GROUP BY ALL HAVING count(*) = 1),
+src AS (SELECT root_trace_id, turn_index AS outer_i, min(conversation_id) AS path, min(input_tokens) AS si, min(output_tokens) AS so FROM r WHERE value < 40 GROUP BY ALL HAVING count(*) = 1),
 q AS (SELECT record_ordinal, root_trace_id, turn_index, conversation_id, CASE WHEN record_ordinal % 2 = 0 THEN root_trace_id END AS sid, CAST(input_tokens AS DOUBLE) AS it, output_tokens AS ot FROM r)"""
 
 
 def _turn_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = requests(spark, d)
-    src = r.where("record_ordinal % 3 <> 0").groupBy("root_trace_id", "turn_index").agg(F.count("*").alias("n"), F.min("conversation_id").alias("source_conversation_path"), F.min("input_tokens").alias("source_input_tokens"), F.min("output_tokens").alias("source_output_tokens")).where("n = 1")
+    src = r.where("value < 40").groupBy("root_trace_id", "turn_index").agg(F.count("*").alias("n"), F.min("conversation_id").alias("source_conversation_path"), F.min("input_tokens").alias("source_input_tokens"), F.min("output_tokens").alias("source_output_tokens")).where("n = 1")
     src = src.select("root_trace_id", "source_conversation_path", F.col("turn_index").alias("source_branch_request_index"), F.col("turn_index").alias("source_outer_request_index"), F.lit(None).cast("long").alias("source_inner_request_index"), "source_input_tokens", "source_output_tokens", F.lit("root").alias("source_branch_type"))
     req = r.select("record_ordinal", "root_trace_id", "turn_index", F.col("conversation_id").alias("request_path"), F.when(F.col("record_ordinal") % 2 == 0, F.col("root_trace_id")).alias("source_trace_id"), F.col("turn_index").alias("source_outer_idx"), F.lit(None).cast("long").alias("source_inner_idx"), "input_tokens", "output_tokens")
     return req, src
@@ -79,11 +79,11 @@ def turn_matching(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT n_a, n_b, n_both, n_a - n_both AS only_a, n_b - n_both AS only_b, n_both / n_either AS jaccard FROM (
-  SELECT (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey % 2 = 0) AS n_a, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_quantity > 40) AS n_b,
-    (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)) AS n_both,
-    (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)) AS n_either)""")
+  SELECT (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderstatus = 'F') AS n_a, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_quantity > 40) AS n_b,
+    (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)) AS n_both,
+    (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)) AS n_either)""")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey")
+    a = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
     return matching.set_sizes(a, table(spark, d, "lineitem").where("l_quantity > 40").select("l_orderkey"))
 
 

@@ -193,11 +193,11 @@ SELECT c.conv, coalesce(CASE WHEN s.a IS NOT NULL THEN c.root WHEN s2.a IS NOT N
   CASE WHEN s.a IS NULL AND s2.a IS NOT NULL THEN 'strip_replay_suffix' WHEN contains(c.conv, '::sa:') THEN 'split_before_first_sa' ELSE 'identity' END AS root_source
 FROM (SELECT conv, root, regexp_replace(root, '__replay_\\d+$', '') AS cut FROM (
     SELECT DISTINCT root_trace_id || CASE WHEN user_id % 2 = 0 THEN '__replay_' || (user_id % 5) ELSE '' END || CASE WHEN user_id % 3 = 0 THEN '::sa:x' ELSE '' END AS conv, root_trace_id || CASE WHEN user_id % 2 = 0 THEN '__replay_' || (user_id % 5) ELSE '' END AS root FROM r)) c
-LEFT JOIN u s ON s.a = c.root LEFT JOIN u s2 ON s2.a = c.cut""", "u AS (SELECT DISTINCT root_trace_id AS a FROM r WHERE user_id % 7 <> 0)"))
+LEFT JOIN u s ON s.a = c.root LEFT JOIN u s2 ON s2.a = c.cut""", "u AS (SELECT 't' || c_custkey AS a FROM customer WHERE c_mktsegment <> 'BUILDING')"))
 def resolved_roots(spark: SparkSession, d: str) -> DataFrame:
     r = requests(spark, d)
     conv = F.concat("root_trace_id", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("__replay_"), (F.col("user_id") % 5).cast("string"))).otherwise(""), F.when(F.col("user_id") % 3 == 0, "::sa:x").otherwise(""))
-    known = r.where("user_id % 7 <> 0").select("root_trace_id")
+    known = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("id"))
     out = ids.resolve_roots(r.select(conv.alias("conv")).distinct(), known, "conv")
     return out.select("conv", "root_trace_id", "root_known", "root_source")
 
@@ -227,9 +227,9 @@ def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
 SELECT c.concurrency, coalesce(n_requests, 0) AS n_requests, coalesce(n_roots, 0) AS n_roots, coalesce(n_known_roots, 0) AS n_known_roots, (SELECT count(DISTINCT a) FROM u) AS n_universe, round(coalesce(n_known_roots, 0) / (SELECT count(DISTINCT a) FROM u), 8) AS coverage
 FROM (SELECT concurrency FROM p WHERE concurrency IS NOT NULL UNION SELECT unnest([1, 2, 8, 16])) c
 LEFT JOIN (SELECT concurrency, count(*) AS n_requests, count(DISTINCT root_trace_id) AS n_roots FROM p GROUP BY ALL) s USING (concurrency)
-LEFT JOIN (SELECT concurrency, count(DISTINCT root_trace_id) AS n_known_roots FROM p WHERE root_trace_id IN (SELECT a FROM u) GROUP BY ALL) k USING (concurrency)""", "u AS (SELECT 't' || c_custkey AS a FROM customer WHERE c_custkey % 3 = 0)"))
+LEFT JOIN (SELECT concurrency, count(DISTINCT root_trace_id) AS n_known_roots FROM p WHERE root_trace_id IN (SELECT a FROM u) GROUP BY ALL) k USING (concurrency)""", "u AS (SELECT 't' || c_custkey AS a FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD'))"))
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("a"))
+    u = table(spark, d, "customer").where("c_mktsegment IN ('BUILDING', 'HOUSEHOLD')").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("a"))
     return rounded(rollups.coverage_summary(good(spark, d), u, [1, 2, 8, 16]))
 
 
@@ -255,17 +255,17 @@ def model_composition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(request_sql("""
 SELECT concurrency, count(*) AS n_requests, count(DISTINCT p.root_trace_id) AS n_roots, count(DISTINCT CASE WHEN a IS NOT NULL THEN p.root_trace_id END) AS n_matched_roots, round(avg(CASE WHEN a IS NOT NULL THEN 1 ELSE 0 END), 8) AS match_rate
-FROM p LEFT JOIN (SELECT DISTINCT 't' || c_custkey AS a FROM customer WHERE c_custkey % 3 = 0) ON a = p.root_trace_id GROUP BY ALL"""))
+FROM p LEFT JOIN (SELECT DISTINCT 't' || c_custkey AS a FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD')) ON a = p.root_trace_id GROUP BY ALL"""))
 def mapping_summary(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("a"))
+    known = table(spark, d, "customer").where("c_mktsegment IN ('BUILDING', 'HOUSEHOLD')").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("a"))
     m = matching.member_flag(good(spark, d), "root_trace_id", known, "hit")
     return rounded(m.groupBy("concurrency").agg(F.count("*").alias("n_requests"), F.count_distinct("root_trace_id").alias("n_roots"), F.count_distinct(F.when(F.col("hit"), F.col("root_trace_id"))).alias("n_matched_roots"), F.avg(F.col("hit").cast("int")).alias("match_rate")))
 
 
 @query(request_sql("""
-SELECT root_trace_id, conversation_id, count(*) AS n FROM r WHERE root_trace_id NOT IN (SELECT 't' || c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY ALL ORDER BY n DESC, root_trace_id, conversation_id LIMIT 100"""))
+SELECT root_trace_id, conversation_id, count(*) AS n FROM r WHERE root_trace_id NOT IN (SELECT 't' || c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD')) GROUP BY ALL ORDER BY n DESC, root_trace_id, conversation_id LIMIT 100"""))
 def unmatched_examples(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("a"))
+    known = table(spark, d, "customer").where("c_mktsegment IN ('BUILDING', 'HOUSEHOLD')").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("a"))
     m = matching.member_flag(requests(spark, d), "root_trace_id", known, "hit").where("not hit")
     return m.groupBy("root_trace_id", "conversation_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root_trace_id", "conversation_id").limit(100)
 

@@ -23,6 +23,7 @@ def query(sql: str | None):
     return add
 
 
+DAY_NS = 86_400_000_000_000
 _ST = """
 iv AS (SELECT concurrency, request_start_ns AS s, request_end_ns AS e, CASE WHEN source_branch_type IS NULL OR trim(source_branch_type) = '' THEN 'unknown' WHEN source_branch_type = 'root' THEN 'root' ELSE 'subagent' END AS g FROM r WHERE request_end_ns > request_start_ns),
 ch AS (SELECT concurrency, at_ns, sum(x) AS x, sum(x) FILTER (g = 'root') AS xr, sum(x) FILTER (g = 'subagent') AS xs FROM (SELECT concurrency, s AS at_ns, 1 AS x, g FROM iv UNION ALL SELECT concurrency, e, -1, g FROM iv) GROUP BY ALL),
@@ -31,7 +32,7 @@ st AS (SELECT concurrency, at_ns, CAST(sum(x) OVER w AS BIGINT) AS in_flight, CA
 
 @query(request_sql("SELECT * FROM st", _ST))
 def in_flight_states(spark: SparkSession, d: str) -> DataFrame:
-    out = iv.states(requests(spark, d), ["concurrency"], chunk_ns=86_400_000_000_000)
+    out = iv.states(requests(spark, d), ["concurrency"], chunk_ns=DAY_NS)
     return out.select("concurrency", "at_ns", "in_flight", "in_flight_root", "in_flight_subagent", "until_ns")
 
 
@@ -42,25 +43,30 @@ FROM (SELECT concurrency, in_flight, CAST(until_ns - at_ns AS DOUBLE) AS d FROM
   SELECT concurrency, """ + ", ".join(f"min(in_flight) FILTER (run >= {q} * total - 1e-9 * total) AS p{round(q * 100)}" for q in (.5, .9, .95, .99)) + """ FROM (
     SELECT concurrency, in_flight, sum(w) OVER (PARTITION BY concurrency ORDER BY in_flight) AS run, sum(w) OVER (PARTITION BY concurrency) AS total FROM (SELECT concurrency, in_flight, sum(CAST(until_ns - at_ns AS DOUBLE)) AS w FROM st WHERE until_ns IS NOT NULL GROUP BY ALL)) GROUP BY ALL) q USING (concurrency) GROUP BY ALL""", _ST))
 def in_flight_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = iv.load_summary(iv.state_intervals(requests(spark, d), ["concurrency"]), ["concurrency"])
+    s = iv.load_summary(iv.state_intervals(requests(spark, d), ["concurrency"], chunk_ns=DAY_NS), ["concurrency"])
     return rounded(s.withColumn("observed_s", F.round("observed_s", 4)))
 
 
-@query(request_sql("""
-SELECT record_ordinal, CAST((SELECT count(*) FROM iv b WHERE b.concurrency = a.concurrency AND b.s < a.s AND b.e > a.s) AS BIGINT) AS before_start, CAST((SELECT count(*) FROM iv b WHERE b.concurrency = a.concurrency AND b.s <= a.s AND b.e > a.s) AS BIGINT) AS at_start,
-  CAST((SELECT count(*) FROM iv b WHERE b.concurrency = a.concurrency AND b.s < a.e AND (b.e > a.e OR (b.e = a.e AND b.o >= a.record_ordinal))) AS BIGINT) AS before_end
-FROM (SELECT record_ordinal, concurrency, request_start_ns AS s, request_end_ns AS e FROM r WHERE request_end_ns > request_start_ns AND record_ordinal % 5 = 0) a""", "iv AS (SELECT concurrency, record_ordinal AS o, request_start_ns AS s, request_end_ns AS e FROM r WHERE request_end_ns > request_start_ns AND record_ordinal % 5 = 0)"))
+# running numbers of starts and ends up to each time of a lane
+_CONTEXTS = """
+va AS (SELECT record_ordinal, concurrency, request_start_ns AS s, request_end_ns AS e, row_number() OVER (PARTITION BY concurrency, request_end_ns ORDER BY record_ordinal) AS nth FROM r WHERE request_end_ns > request_start_ns),
+pt AS (SELECT concurrency, t, sum(a) AS a, sum(b) AS b FROM (SELECT concurrency, s AS t, 1 AS a, 0 AS b FROM va UNION ALL SELECT concurrency, e, 0, 1 FROM va) GROUP BY ALL),
+cu AS (SELECT *, sum(a) OVER w AS aa, sum(b) OVER w AS bb FROM pt WINDOW w AS (PARTITION BY concurrency ORDER BY t))"""
+_CONTEXTS_SQL = """
+SELECT record_ordinal, CAST(x.aa - x.a - x.bb AS BIGINT) AS before_start, CAST(x.aa - x.bb AS BIGINT) AS at_start, CAST(y.aa - y.a - (y.bb - y.b) - nth + 1 AS BIGINT) AS before_end
+FROM va JOIN cu x ON x.concurrency = va.concurrency AND x.t = s JOIN cu y ON y.concurrency = va.concurrency AND y.t = e"""
+
+
+@query(request_sql(_CONTEXTS_SQL, _CONTEXTS))
 def request_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """A fifth of the lanes' requests, chosen as one lane of load: the SQL compares every two of them."""
-    r = requests(spark, d).where("record_ordinal % 5 = 0")
-    return iv.contexts(r, ["concurrency"], "record_ordinal").select("record_ordinal", "before_start", "at_start", "before_end")
+    c = iv.contexts(requests(spark, d), ["concurrency"], "record_ordinal", chunk_ns=DAY_NS)
+    return c.select("record_ordinal", "before_start", "at_start", "before_end")
 
 
-@query(None)
+@query(request_sql(_CONTEXTS_SQL, _CONTEXTS))
 def all_request_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """The contexts of all requests, over whole lanes."""
-    c = iv.contexts(requests(spark, d), ["concurrency"], "record_ordinal", chunk_ns=86_400_000_000_000)
-    return c.select("record_ordinal", "before_start", "at_start", "before_end")
+    """The same under its earlier name."""
+    return request_contexts(spark, d)
 
 
 @query(request_sql("SELECT CASE WHEN request_start_ns IS NULL THEN 'missing_request_start_ns' WHEN request_end_ns IS NULL THEN 'missing_request_end_ns' WHEN request_end_ns <= request_start_ns THEN 'nonpositive_request_interval' ELSE 'valid' END AS reason, count(*) AS n FROM r GROUP BY ALL"))
@@ -258,7 +264,7 @@ _LINE = "'2024-01-01T00:00:' || lpad((event_id % 60)::VARCHAR, 2, '0') || 'Z max
 
 @query(f"""WITH l AS (SELECT event_id, {_LINE} AS line FROM events)
 SELECT name, observed, count(*) AS n, max(value) AS largest FROM (
-  SELECT 'max_running_requests' AS name, false AS observed, 200 AS value FROM l UNION ALL SELECT 'running_requests', true, event_id % 40 FROM l UNION ALL SELECT 'waiting_reqs', true, event_id % 7 FROM l WHERE event_id % 3 = 0) GROUP BY ALL""")
+  SELECT 'configured_max_running_requests' AS name, false AS observed, 200::DOUBLE AS value FROM l UNION ALL SELECT 'running_requests', true, event_id % 40 FROM l UNION ALL SELECT 'waiting_requests', true, event_id % 7 FROM l WHERE event_id % 3 = 0) GROUP BY ALL""")
 def scheduler_counters(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     line = F.concat(F.lit("2024-01-01T00:00:"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit("Z max_running_requests=200 running_requests="), (i % 40).cast("string"), F.when(i % 3 == 0, F.concat(F.lit(" waiting_reqs: "), (i % 7).cast("string"))).otherwise(""))
