@@ -186,8 +186,7 @@ class PieceCoder:
         if got is None:
             got = self.old.get(key)
             if got is None:
-                pairs = self.neighbours
-                cuts = [i for i in range(1, len(key)) if key[i - 1 : i + 1] not in pairs]  # no merge crosses these
+                cuts = self.cuts(key)
                 if cuts:
                     got = self.joined([key[a:b] for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True)])
                 elif key[:1] == "\n" and self.lines_apart:
@@ -200,10 +199,20 @@ class PieceCoder:
                 self.young[key] = got
         return got
 
+    def cuts(self, key: str) -> list[int]:
+        """Places between characters that no piece joins, so no merge crosses them: all of a long word, of a short one
+        those before its last characters (marks, mostly), whose rest other words share."""
+        pairs, end = self.neighbours, len(key)
+        if end > KEPT_CHARS:
+            return [i for i in range(1, end) if key[i - 1 : i + 1] not in pairs]
+        while end > 2 and key[end - 2 : end] not in pairs:
+            end -= 1
+        return list(range(end, len(key)))
+
     def joined(self, parts: list[str]) -> tuple[bytes, str, bytes]:
         """What a word gives that falls into these parts; only the first bears the word's mark or line end."""
         made = {c: self.given(self.word_ids(c)) for c in set(parts[1:])}
-        ids, decimal, tokens = zip(self.known(parts[0]), *map(made.__getitem__, parts[1:]), strict=True)
+        ids, decimal, tokens = zip(self.young.get(parts[0]) or self.known(parts[0]), *map(made.__getitem__, parts[1:]), strict=True)
         return b"".join(ids), "".join(decimal), b"".join(tokens)
 
     def keys_of(self, word: str) -> list[str]:
