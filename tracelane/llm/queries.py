@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane.llm import ann, chat_format, decontaminate, language_id, license_scan, near_dedup, piece_coding, suffix_dedup, token_counts, warc
+from tracelane.llm import ann, chat_format, decontaminate, language_id, license_scan, near_dedup, piece_coding, quality_rules, suffix_dedup, token_counts, warc
 from tracelane.llm.common import shared_dir
 from tracelane.session import ship
 
@@ -73,9 +73,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.with_language(docs.select("doc_id", "text", language_id.held_out().alias("held_out")), profiles)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """failed_rules as comma-joined text."""
+    found = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_decontamination, op3_near_dedup, op4_nearest_neighbours, op5_license_scan, op6_chat_format, op7_suffix_dedup, op8_warc, op9_piece_coding, op10_language_id)
+    for f in (op1_token_counts, op2_decontamination, op3_near_dedup, op4_nearest_neighbours, op5_license_scan, op6_chat_format, op7_suffix_dedup, op8_warc, op9_piece_coding, op10_language_id, op12_quality_rules)
 }
 
 # DuckDB numbers the letters of base32 from the 160 bits of the digest in groups of five.
@@ -85,7 +91,37 @@ list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTU
     (get_bit(CAST(unhex(d) AS BIT), CAST(i * 5 + b AS INTEGER)) << CAST(4 - b AS INTEGER))), 'sum') + 1)::BIGINT, 1)), 'string_agg', '')
 """
 
+
+def _quality_sql() -> str:
+    """The threshold table as SQL."""
+    rules = []
+    for r in quality_rules.RULES:
+        tests = [f"1000 * {r.part} < {r.least} * {r.whole}"] * (r.least is not None) + [f"1000 * {r.part} > {r.most} * {r.whole}"] * (r.most is not None)
+        rules.append(f"CASE WHEN {r.whole} > 0 AND ({' OR '.join(tests)}) THEN '{r.name}' END")
+    stop = ", ".join(f"'{w}'" for w in quality_rules.stop_words())
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x FROM t),
+places AS (SELECT doc_id, s, w[s:s + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) > 2)),
+again AS (SELECT doc_id, s FROM places JOIN (SELECT doc_id, g FROM places GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
+repeats AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS k FROM again) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(list_filter(w, lambda v: v IN ({stop}))) AS BIGINT) AS n_stop_words,
+    CAST(len(list_filter(x, lambda v: regexp_matches(v, '^[\x20\x09-\x0D]*[-*•●‣]'))) AS BIGINT) AS n_bullet_lines,
+    CAST(len(list_filter(x, lambda v: regexp_matches(v, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_ellipsis_lines
+  FROM w LEFT JOIN repeats USING (doc_id)),
+judged AS (
+  SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEAT_PERCENT} * n_words AS base_failed, concat_ws(',', {', '.join(rules)}) AS failed_rules
+  FROM counts)
+SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM judged
+"""
+
+
 ORACLE_SQL = {
+    "op12_quality_rules": _quality_sql(),
     "op2_decontamination": r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
