@@ -172,16 +172,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 LOWER, IN_WORD = _tables()
+IN_TERM = IN_WORD.copy()  # without digits
+IN_TERM[48:58] = False
 
 
-def split_words(raw: np.ndarray, off: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+def split_words(raw: np.ndarray, off: np.ndarray, in_word: np.ndarray = IN_WORD) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the texts with A-Z lowered, and where each text's words begin.
+    in_word: which bytes, once lowered, words are made of.
 
     Every byte of a character beyond ASCII is 0x80 or more, so classes of bytes are classes of characters.
     Returns a dictionary array over all words in order and n+1 word offsets.
     """
     low = LOWER[raw]
-    inside = IN_WORD[low]
+    inside = in_word[low]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = off[:-1][off[:-1] < len(raw)]

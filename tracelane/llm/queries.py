@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane.llm import ann, chat_format, decontaminate, language_id, license_scan, near_dedup, piece_coding, quality_rules, suffix_dedup, token_counts, warc
+from tracelane.llm import ann, chat_format, decontaminate, divergence, language_id, license_scan, near_dedup, piece_coding, quality_rules, suffix_dedup, token_counts, warc
 from tracelane.llm.common import shared_dir
 from tracelane.session import ship
 
@@ -79,9 +79,13 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_decontamination, op3_near_dedup, op4_nearest_neighbours, op5_license_scan, op6_chat_format, op7_suffix_dedup, op8_warc, op9_piece_coding, op10_language_id, op12_quality_rules)
+    for f in (op1_token_counts, op2_decontamination, op3_near_dedup, op4_nearest_neighbours, op5_license_scan, op6_chat_format, op7_suffix_dedup, op8_warc, op9_piece_coding, op10_language_id, op12_quality_rules, op13_divergence_audit)
 }
 
 # DuckDB numbers the letters of base32 from the 160 bits of the digest in groups of five.
@@ -122,6 +126,31 @@ SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM judged
 
 ORACLE_SQL = {
     "op12_quality_rules": _quality_sql(),
+    "op13_divergence_audit": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+words AS (SELECT d, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1) // (coalesce(n, 0) + v) AS BIGINT) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (c + 1) // (sum(c) OVER (PARTITION BY lang) + v) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM counts GROUP BY ALL) JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS s FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200
+""",
     "op2_decontamination": r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
