@@ -75,7 +75,7 @@ def duck(data):
     return con
 
 
-@pytest.mark.parametrize("name", ["op12_quality_rules", "op13_divergence_audit"])
+@pytest.mark.parametrize("name", ["op11_ranked_search", "op12_quality_rules", "op13_divergence_audit"])
 def test_query_equals_its_sql(spark, duck, data, name):
     from tracelane.llm import queries
 

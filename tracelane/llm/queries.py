@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane.llm import ann, chat_format, decontaminate, divergence, language_id, license_scan, near_dedup, piece_coding, quality_rules, suffix_dedup, token_counts, warc
+from tracelane.llm import ann, chat_format, decontaminate, divergence, language_id, license_scan, near_dedup, piece_coding, quality_rules, ranked_search, suffix_dedup, token_counts, warc
 from tracelane.llm.common import shared_dir
 from tracelane.session import ship
 
@@ -73,6 +73,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.with_language(docs.select("doc_id", "text", language_id.held_out().alias("held_out")), profiles)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.ranked(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """failed_rules as comma-joined text."""
     found = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -85,7 +90,7 @@ def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_decontamination, op3_near_dedup, op4_nearest_neighbours, op5_license_scan, op6_chat_format, op7_suffix_dedup, op8_warc, op9_piece_coding, op10_language_id, op12_quality_rules, op13_divergence_audit)
+    for f in (op1_token_counts, op2_decontamination, op3_near_dedup, op4_nearest_neighbours, op5_license_scan, op6_chat_format, op7_suffix_dedup, op8_warc, op9_piece_coding, op10_language_id, op11_ranked_search, op12_quality_rules, op13_divergence_audit)
 }
 
 # DuckDB numbers the letters of base32 from the 160 bits of the digest in groups of five.
@@ -125,6 +130,23 @@ SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM judged
 
 
 ORACLE_SQL = {
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+tf AS (SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole),
+scores AS (
+  SELECT item_id, d, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN weights USING (term), whole GROUP BY item_id, d, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+""",
     "op12_quality_rules": _quality_sql(),
     "op13_divergence_audit": r"""
 WITH d AS (
