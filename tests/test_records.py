@@ -249,10 +249,14 @@ def test_bootstrap_is_repeatable(spark):
     assert a == b and a.n_clusters == 5 and a.ci_low <= a.median_ratio <= a.ci_high
 
 
+COMPLETED = '2026-08-08T04:51:24.454472Z request completed request_id=a1b2-c3 x_request_id="d4e5-f6" prefill_worker_id=2787 decode_worker_id=2792'
+WAITED = '2026-08-08T04:51:25.454472Z dynamo_kv_router::scheduling::queue: refreshed overlap scores after long queue wait request_id="a1b2-c3" wait_ms=13932'
+
+
 def test_scheduler_lines(spark):
-    got = one(spark, c=tx.counters(lit("\x1b[31mmax_running_requests=200 running_requests=7 waiting_reqs: 2 running_requests=7\x1b[0m")), d=tx.completion(lit("2024-01-01T00:00:00Z request completed x_request_id=ab-1 prefill_worker=p0 decode_worker=d1")), e=tx.queue_wait(lit("x_request_id=ab-1 wait_ms=13932")), f=tx.line_stamp(lit("at 2024-01-01T00:00:00.5Z x")))
+    got = one(spark, c=tx.counters(lit("\x1b[31mmax_running_requests=200 running_requests=7 waiting_reqs: 2 running_requests=7\x1b[0m")), d=tx.completion(lit(COMPLETED)), e=tx.queue_wait(lit(WAITED)), f=tx.line_stamp(lit("at 2024-01-01T00:00:00.5Z x")))
     assert sorted((r.name, r.value, r.observed) for r in got["c"]) == [("configured_max_running_requests", 200, False), ("running_requests", 7, True), ("waiting_requests", 2, True)]
-    assert got["d"].decode_worker == "d1" and got["e"].wait_ms == 13932 and got["f"] == "2024-01-01T00:00:00.5Z"
+    assert tuple(got["d"]) == ("a1b2-c3", "d4e5-f6", "2787", "2792") and tuple(got["e"]) == ("a1b2-c3", 13932.0) and got["f"] == "2024-01-01T00:00:00.5Z"
 
 
 def test_labels(spark):

@@ -196,15 +196,6 @@ def test_reconciliation(spark):
     assert tuple(got) == ("pass_alias_equivalent", "not_comparable")
 
 
-def test_published_results(spark):
-    a = {"conc": 8, "model": "m", "num_prefill_gpu": 8, "num_decode_gpu": 8, "num_requests_successful": 10, "mean_input_tokens": 12.30005, "request_metrics": {"ttft": {"mean": 1.5}, "itl": {"mean": 30, "unit": "ms"}}}
-    df = spark.createDataFrame([("f1", json.dumps(a)), ("f2", json.dumps({**a, "conc": 4})), ("f3", json.dumps({**a, "conc": 4}))], "path string, value string")
-    p = rc.derived_totals(rc.published_values(df)).orderBy("path").first()
-    assert (p.gpus, p.mean_ttft_ms, p.mean_itl_ms, p.derived_input_tokens, p.derived_input_tokens_note) == (16.0, 1500.0, 30.0, pytest.approx(123.0005), "mean_input_tokens x requests")
-    got = {r.path: r.selection_status for r in rc.chosen_candidates(rc.published_values(df)).collect()}
-    assert got == {"f1": "selected", "f2": "ambiguous_published_candidates", "f3": "ambiguous_published_candidates"}
-
-
 def test_schema_inventory(spark):
     rows = [{"a": {"value": 1, "unit": "s"}, "l": [1], "n": None}, {"a": {"value": 3, "unit": "ms"}, "e": {}}, {"A_": {"b": {"c": "x"}}}]
     flat = si.flattened(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "id int, v string"), ["id"], "v")
@@ -216,16 +207,24 @@ def test_schema_inventory(spark):
 
 
 def test_log_archives_and_routing(spark, tmp_path):
-    text = "\x1b[32m2024-01-01T00:00:01Z request completed x_request_id=r1 prefill_worker=p0 decode_worker=d1\x1b[0m\n2024-01-01T00:00:00Z x_request_id=r1 wait_ms=13932\n\xff\n".encode("latin-1")
+    done = '2026-08-08T04:51:24.454472Z request completed request_id=a1b2-c3 x_request_id="d4e5-f6" prefill_worker_id=2787 decode_worker_id=2792'
+    wait = '2026-08-08T04:51:25.454472Z dynamo_kv_router::scheduling::queue: refreshed overlap scores after long queue wait request_id="a1b2-c3" wait_ms=13932'
+    text = f"\x1b[32m{done}\x1b[0m\n{wait}\n\xff\n".encode("latin-1")
     with tarfile.open(tmp_path / "logs.tar.gz", "w:gz") as tar:
-        for name in ("a/front.out", "a/skip.txt"):
+        for name in ("./worker-8_frontend_0.out", "a/skip.txt"):
             info = tarfile.TarInfo(name)
             info.size = len(text)
             tar.addfile(info, io.BytesIO(text))
     lines = files.log_lines(spark, str(tmp_path))
     assert lines.count() == 3
-    r = routing.routed(spark.createDataFrame([("r1",), ("r2",)], "x_request_id string"), lines).orderBy("x_request_id").collect()
-    assert (r[0].decode_worker, r[0].first_wait_ms, r[0].n_checkpoints, r[1].decode_worker) == ("d1", 13932.0, 1, None)
+    r = routing.routed(spark.createDataFrame([("d4e5-f6",), ("r2",)], "x_request_id string"), lines).orderBy("x_request_id").collect()
+    assert (r[0].prefill_worker, r[0].decode_worker, r[0].max_wait_ms, r[0].n_checkpoints, r[1].decode_worker) == ("2787", "2792", 13932.0, 1, None)
+    assert (r[0].routing_match_status, r[1].routing_match_status, r[0].queue_checkpoint_source_file, r[0].queue_checkpoint_source_line) == ("exact", "unmatched", "./worker-8_frontend_0.out", 2)
+    twice = lines.unionByName(lines)
+    assert routing.completions(twice).count() == 0
+    with pytest.raises(Exception, match="several completions of d4e5-f6"):
+        routing.completions(twice, strict=True).collect()
+    assert routing.completions(lines.withColumn("member", F.lit("other.out"))).count() == 0
 
 
 def test_named_objects(spark, tmp_path):
@@ -239,6 +238,24 @@ def test_named_objects(spark, tmp_path):
         files.named_objects(spark, str(path), ["absent"]).collect()
 
 
+@pytest.mark.parametrize("size", ["1000", "70", "100000"])
+def test_named_objects_across_splits(spark, tmp_path, size):
+    want = {f"m:{k}": {"text": 'a "quoted } { [ \\\\" ' * (k % 4), "n": [[k], {"deep": {"er": k}}], "é": "x" * (k * 13)} for k in range(20)}
+    path = tmp_path / "metrics.json"
+    path.write_text(json.dumps({"summary": {"phase_time_ranges": {"profiling": {"start_ns": 1784630947472644248, "end_ns": 5}}}, "metrics": {**want, "m:3": want["m:3"], "other": {"m:5": {"late": 1}}}, "end": {"m:1": {"later": 2}}}, indent=2))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {r.name: json.loads(r.value) for r in files.named_objects(spark, str(path), list(want)).collect()}
+        begins = {r.name for r in files.named_objects(spark, str(path), ["m:1", "oth", "zz"], prefix=True).collect()}
+        window = tuple(files.phase_window(spark, str(path)).first())
+        assert tuple(files.phase_window(spark, str(path), "warmup").first()) == (None, None)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and begins == {"m:1", "other", *(f"m:1{k}" for k in range(10))} and window == (1784630947472644248, 5)
+
+
 def test_ragged_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text('comment\nName,Type,Note\na,gauge,x\nb\nc,"ga,uge",y,more,"z ""q"""\n\n')
     got = files.ragged_csv(numbered(spark, str(tmp_path)), "Name,", ["name", "type", "note"]).orderBy("line_no").collect()

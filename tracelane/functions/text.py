@@ -19,10 +19,12 @@ COUNTERS = (
     ("token_usage", True, r"\btoken[_ -]?usage"),
 )
 COUNT = r"\s*[:=]\s*([-+]?\d+(?:\.\d+)?)"
-# Marks in front-end lines.
-COMPLETED = r"request completed.*?x_request_id=([\w-]+).*?prefill_worker=([\w-]+).*?decode_worker=([\w-]+)"
-QUEUED = r"x_request_id=([\w-]+).*?wait_ms=(\d+(?:\.\d+)?)"
-STAMP = r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?Z?)"
+# Front-end lines. A completion names the router's id, the client's and two workers; a checkpoint of a
+# long wait names the router's id only.
+ID = r"[0-9a-f-]+"
+COMPLETED = rf'(?i)request completed request_id=({ID}).*?x_request_id="({ID})".*?prefill_worker_id=(\d+)\s+decode_worker_id=(\d+)'
+QUEUED = rf'(?i)dynamo_kv_router::scheduling::queue: refreshed overlap scores after long queue wait\s+request_id="({ID})"\s+wait_ms=(\d+)'
+STAMP = r"(\d{4}-\d{2}-\d{2}T[^\s]+Z)"
 ANSI = r"\x1b\[[0-9;]*[A-Za-z]"
 
 
@@ -51,17 +53,18 @@ def counters(line: Column | str) -> Column:
 
 
 def completion(line: Column | str) -> Column:
-    """(request_id, prefill_worker, decode_worker) of a completion line, else null."""
+    """(router_request_id, x_request_id, prefill_worker, decode_worker) of a completion line, else null."""
     x = F.regexp_replace(as_column(line), ANSI, "")
-    got = [F.regexp_extract(x, COMPLETED, i) for i in (1, 2, 3)]
-    return F.when(got[0] != "", F.struct(got[0].alias("request_id"), got[1].alias("prefill_worker"), got[2].alias("decode_worker")))
+    names = ("router_request_id", "x_request_id", "prefill_worker", "decode_worker")
+    got = [F.regexp_extract(x, COMPLETED, i) for i in range(1, 5)]
+    return F.when(got[0] != "", F.struct(*(g.alias(n) for g, n in zip(got, names, strict=True))))
 
 
 def queue_wait(line: Column | str) -> Column:
-    """(request_id, wait_ms) of a queue checkpoint line, else null."""
+    """(router_request_id, wait_ms) of a checkpoint line, else null."""
     x = F.regexp_replace(as_column(line), ANSI, "")
     rid, wait = F.regexp_extract(x, QUEUED, 1), F.regexp_extract(x, QUEUED, 2)
-    return F.when(rid != "", F.struct(rid.alias("request_id"), number(wait).alias("wait_ms")))
+    return F.when(rid != "", F.struct(rid.alias("router_request_id"), number(wait).alias("wait_ms")))
 
 
 def line_stamp(line: Column | str) -> Column:

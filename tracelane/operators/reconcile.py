@@ -20,19 +20,6 @@ TOLERANCES = (
     ("duration_s", 0.1, 0.02),
     (".*", 1e-9, 1e-9),
 )
-# Paths under which a published result names each metric; the unit they come in.
-PUBLISHED = {
-    "requests": (("num_requests_successful", "successful_requests", "completed"), "count"),
-    "mean_ttft_ms": (("mean_ttft_ms", "request_metrics.ttft.mean", "mean_ttft"), "time"),
-    "p50_ttft_ms": (("median_ttft_ms", "request_metrics.ttft.p50", "p50_ttft"), "time"),
-    "p95_ttft_ms": (("p95_ttft_ms", "request_metrics.ttft.p95"), "time"),
-    "mean_itl_ms": (("mean_itl_ms", "request_metrics.itl.mean"), "time"),
-    "mean_e2e_ms": (("mean_e2el_ms", "request_metrics.request_latency.mean"), "time"),
-    "mean_input_tokens": (("mean_input_tokens", "request_metrics.input_sequence_length.mean"), "count"),
-    "mean_output_tokens": (("mean_output_tokens", "request_metrics.output_sequence_length.mean"), "count"),
-    "output_tps": (("output_throughput", "output_token_throughput"), "rate"),
-}
-
 
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
 
@@ -83,25 +70,6 @@ def raw_aggregates(df: DataFrame, keys: Sequence[str] = ("concurrency",), gpus:
     return out.withColumn("output_tps_per_gpu", ratio("output_tps", "gpus")) if gpus else out
 
 
-def published_values(results: DataFrame, json: str = "value") -> DataFrame:
-    """Metrics read from published results (one JSON object in each row) by ordered paths. Nested times are seconds
-    unless a sibling unit says otherwise; flat _ms ones are milliseconds."""
-    at = lambda p: F.get_json_object(F.col(json), f"$.{p}").try_cast("double")
-    out = {}
-    for metric, (paths, kind) in PUBLISHED.items():
-        values = []
-        for p in paths:
-            v = at(p)
-            if kind == "time" and not p.endswith("_ms"):
-                unit = F.get_json_object(F.col(json), f"$.{p.rpartition('.')[0]}.unit") if "." in p else F.lit(None).cast("string")
-                v = v * F.when(F.lower(unit) == "ms", 1.0).otherwise(1000.0)
-            values.append(v)
-        out[metric] = F.coalesce(*values)
-    gpu = lambda side: at(f"num_{side}_gpu")
-    known = F.coalesce(at("num_gpus"), F.when(gpu("prefill").isNotNull() | gpu("decode").isNotNull(), F.coalesce(gpu("prefill"), F.lit(0.0)) + F.coalesce(gpu("decode"), F.lit(0.0))))
-    return results.withColumns({"concurrency": F.coalesce(at("conc"), at("concurrency")).cast("int"), "model": F.get_json_object(F.col(json), "$.model"), "gpus": known, **out})
-
-
 def derived_totals(df: DataFrame) -> DataFrame:
     """Token totals as the mean times the successful requests, with how they were derived."""
     out = {}
@@ -111,20 +79,13 @@ def derived_totals(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def chosen_candidates(candidates: DataFrame, path: str = "path") -> DataFrame:
-    """One published result for each concurrency: more than one file or object is ambiguous and none is chosen."""
-    seen = candidates.groupBy("concurrency").agg(F.count_distinct(path).alias("n_files"), F.count("*").alias("n_objects"))
-    status = F.when(F.col("n_files") > 1, "ambiguous_published_candidates").when(F.col("n_objects") > 1, "ambiguous_result_objects").otherwise("selected")
-    return candidates.join(seen.withColumn("selection_status", status), "concurrency")
-
-
 def matching_artifacts(candidates: DataFrame, artifacts: DataFrame, path: str = "path") -> DataFrame:
     """Candidates with the one artifact whose name is a part of their path; several or none give a null with a reason.
     The inventory is one row for each artifact of a run, joined by exact path parts."""
     parts = candidates.select(path).distinct().withColumn("part_", F.explode(F.split(path, "/")))
     found = parts.join(artifacts.select(F.col("artifact_name").alias("part_"), "artifact_id"), "part_").groupBy(path).agg(F.count_distinct("artifact_id").alias("n_artifacts"), F.min("artifact_id").alias("a_"))
     out = candidates.join(found, path, "left").na.fill(0, ["n_artifacts"])
-    return out.withColumns({"artifact_id": F.when(F.col("n_artifacts") == 1, F.col("a_")), "artifact_status": F.when(F.col("n_artifacts") == 1, "matched").when(F.col("n_artifacts") == 0, "not_found").otherwise("ambiguous")}).drop("a_")
+    return out.withColumns({"artifact_id": F.when(F.col("n_artifacts") == 1, F.col("a_")), "artifact_status": F.when(F.col("n_artifacts") == 1, "unambiguous").when(F.col("n_artifacts") == 0, "unmatched").otherwise("ambiguous")}).drop("a_")
 
 
 def inventory_check(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:

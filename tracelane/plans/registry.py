@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelane.plans import relation_queries, request_queries, series_queries, value_queries
+from tracelane.plans import intake_queries, relation_queries, request_queries, series_queries, value_queries
 
-FAMILIES = (request_queries, relation_queries, series_queries, value_queries)
+FAMILIES = (intake_queries, request_queries, relation_queries, series_queries, value_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in FAMILIES for k, v in f.Q.items()}
 ORACLE_SQL: dict[str, str] = {k: v for f in FAMILIES for k, v in f.SQL.items()}

@@ -186,16 +186,6 @@ def raw_aggregates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rc.raw_aggregates(profiled(requests(spark, d))).select("concurrency", "requests", "total_input_tokens", "mean_output_tokens", "mean_itl_ms", "p99_ttft_ms", "duration_s", "output_tps"))
 
 
-@query("""
-SELECT conc AS concurrency, n_files, n_objects, CASE WHEN n_files > 1 THEN 'ambiguous_published_candidates' WHEN n_objects > 1 THEN 'ambiguous_result_objects' ELSE 'selected' END AS selection_status, mean_ttft_ms, gpus FROM (
-  SELECT o_orderkey % 5000 AS conc, count(DISTINCT o_custkey) OVER (PARTITION BY o_orderkey % 5000) AS n_files, count(*) OVER (PARTITION BY o_orderkey % 5000) AS n_objects, round(o_totalprice * 1000, 4) AS mean_ttft_ms, (o_orderkey % 8 + 2)::DOUBLE AS gpus FROM orders)""")
-def published_candidates(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    js = F.to_json(F.struct((F.col("o_orderkey") % 5000).alias("conc"), F.struct(F.struct(F.col("o_totalprice").alias("mean")).alias("ttft")).alias("request_metrics"), (F.col("o_orderkey") % 8).alias("num_prefill_gpu"), F.lit(2).alias("num_decode_gpu")))
-    c = rc.chosen_candidates(rc.published_values(o.select(F.col("o_custkey").cast("string").alias("path"), js.alias("value"))))
-    return c.select(F.col("concurrency").cast("long").alias("concurrency"), "n_files", "n_objects", "selection_status", F.round("mean_ttft_ms", 4).alias("mean_ttft_ms"), "gpus")
-
-
 @query("""SELECT coalesce(c, o) AS id, CASE WHEN c IS NULL THEN 'missing' WHEN o IS NULL THEN 'unexpected' ELSE 'present' END AS status FROM (SELECT DISTINCT c_custkey AS c FROM customer) FULL JOIN (SELECT DISTINCT o_custkey + 5 AS o FROM orders) ON c = o""")
 def inventory_check(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))

@@ -101,21 +101,23 @@ def routing_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
+    """events as front-end lines: of six, four complete a request and two are checkpoints of a router's id."""
     i = F.col("event_id")
-    rid, stamp = F.concat(F.lit("req-"), (i % 3000).cast("string")), F.concat(F.lit("2024-01-01T00:00:"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit("Z "))
-    done = F.concat(stamp, F.lit("request completed x_request_id="), rid, F.lit(" prefill_worker=p"), (i % 2).cast("string"), F.lit(" decode_worker=d"), (i % 3).cast("string"))
-    wait = F.concat(stamp, F.lit("\x1b[32mqueued\x1b[0m x_request_id="), rid, F.lit(" wait_ms="), (i % 97).cast("string"))
-    return table(spark, d, "events").select(F.when((i < 3000) | (i == 4000), done).otherwise(wait).alias("line"))
+    client, router = F.format_string("c-%x", i), F.format_string("a-%x", F.floor(i / 6) * 6)
+    stamp = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z "))
+    done = F.concat(stamp, F.lit("request completed request_id="), F.format_string("a-%x", i), F.lit(' model=m x_request_id="'), F.when(i % 97 == 0, F.lit("c-0")).otherwise(client), F.lit('" prefill_worker_id='), (F.col("user_id") % 7).cast("string"), F.lit(" decode_worker_id="), (F.col("user_id") % 11).cast("string"))
+    wait = F.concat(stamp, F.lit('\x1b[32mINFO\x1b[0m dynamo_kv_router::scheduling::queue: refreshed overlap scores after long queue wait request_id="'), router, F.lit('" wait_ms='), F.floor(F.col("value") * 100).cast("string"))
+    return table(spark, d, "events").select(F.when(i % 6 < 4, done).otherwise(wait).alias("line"))
 
 
 @query("""
-WITH l AS (SELECT event_id AS i, event_id % 3000 AS rid FROM events), c AS (SELECT rid, min(i) AS i FROM l WHERE i < 3000 OR i = 4000 GROUP BY rid HAVING count(*) = 1),
-q AS (SELECT rid, count(*) AS n, min(i % 97)::DOUBLE AS lo, max(i % 97)::DOUBLE AS hi, arg_min(i % 97, (i % 60, i % 97))::DOUBLE AS f FROM l WHERE NOT (i < 3000 OR i = 4000) GROUP BY rid)
-SELECT k AS request_no, 'p' || (c.i % 2) AS prefill_worker, 'd' || (c.i % 3) AS decode_worker, q.n AS n_checkpoints, q.lo AS min_wait_ms, q.hi AS max_wait_ms, q.f AS first_wait_ms
-FROM (SELECT unnest(range(0, 3500)) AS k) LEFT JOIN c ON c.rid = k LEFT JOIN q ON q.rid = k""")
+WITH c AS (SELECT 'a-' || printf('%x', event_id) AS router, CASE WHEN event_id % 97 = 0 THEN 'c-0' ELSE 'c-' || printf('%x', event_id) END AS client, user_id FROM events WHERE event_id % 6 < 4 QUALIFY count(*) OVER (PARTITION BY client) = 1),
+q AS (SELECT 'a-' || printf('%x', event_id // 6 * 6) AS router, count(*) AS n, min(w) AS lo, max(w) AS hi, arg_min(w, (ts, w)) AS f FROM (SELECT *, floor(value * 100) AS w FROM events) WHERE event_id % 6 >= 4 GROUP BY ALL)
+SELECT event_id AS request_no, (user_id % 7)::VARCHAR AS prefill_worker, (user_id % 11)::VARCHAR AS decode_worker, router AS router_request_id, n AS n_checkpoints, lo AS min_wait_ms, hi AS max_wait_ms, f AS first_wait_ms, CASE WHEN router IS NULL THEN 'unmatched' ELSE 'exact' END AS routing_match_status
+FROM (SELECT event_id FROM events) e LEFT JOIN (SELECT * FROM c LEFT JOIN q USING (router)) ON client = 'c-' || printf('%x', event_id)""")
 def request_routing(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.range(3500).select(F.col("id").alias("request_no"), F.concat(F.lit("req-"), F.col("id").cast("string")).alias("x_request_id"))
-    return routing.routed(asked, _log(spark, d)).select("request_no", "prefill_worker", "decode_worker", "n_checkpoints", "min_wait_ms", "max_wait_ms", "first_wait_ms")
+    asked = table(spark, d, "events").select(F.col("event_id").alias("request_no"), F.format_string("c-%x", "event_id").alias("x_request_id"))
+    return routing.routed(asked, _log(spark, d)).select("request_no", "prefill_worker", "decode_worker", "router_request_id", "n_checkpoints", "min_wait_ms", "max_wait_ms", "first_wait_ms", "routing_match_status")
 
 
 @query("""SELECT doc_id AS record_ordinal, row_number() OVER (PARTITION BY lang, n_chars, source ORDER BY doc_id) > 1 AS seen_before FROM documents""")
@@ -131,7 +133,7 @@ def derived_token_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, CASE WHEN n = 1 THEN a END AS artifact_id, CASE coalesce(n, 0) WHEN 1 THEN 'matched' WHEN 0 THEN 'not_found' ELSE 'ambiguous' END AS artifact_status FROM pages LEFT JOIN (
+SELECT page_id, CASE WHEN n = 1 THEN a END AS artifact_id, CASE coalesce(n, 0) WHEN 1 THEN 'unambiguous' WHEN 0 THEN 'unmatched' ELSE 'ambiguous' END AS artifact_status FROM pages LEFT JOIN (
   SELECT page_id AS p, count(DISTINCT c_custkey) AS n, min(c_custkey)::VARCHAR AS a FROM pages, customer WHERE list_contains(string_split(url, '/'), (c_custkey % 900)::VARCHAR) GROUP BY page_id) ON p = page_id""")
 def artifact_matching(spark: SparkSession, d: str) -> DataFrame:
     art = table(spark, d, "customer").select((F.col("c_custkey") % 900).cast("string").alias("artifact_name"), F.col("c_custkey").cast("string").alias("artifact_id"))

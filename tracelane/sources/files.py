@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import re
 import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.utils import AnalysisException
 
 from tracelane.functions.text import ANSI
@@ -94,75 +94,100 @@ def _lines(archive: str, member: str, rows: list[tuple[int, str]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([archive] * len(rows)), pa.array([member] * len(rows)), pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["archive", "member", "line_no", "line"])
 
 
-def object_text(lines: Iterator[str], name: str) -> str | None:
-    """The JSON text of the first object under a key, read line by line: braces outside strings are counted."""
-    begin = re.compile(rf'^\s*"{re.escape(name)}"\s*:\s*(\{{.*)', re.DOTALL)
-    parts: list[str] = []
-    depth, quoted, skip = 0, False, False
-    for line in lines:
-        if not parts:
-            found = begin.match(line)
-            if not found:
-                continue
-            line = found[1]
-        for i, ch in enumerate(line):
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = ch == "\\", ch != '"'
-            elif ch == '"':
-                quoted = True
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if depth == 0:
-                    return "".join(parts) + line[: i + 1]
-        parts.append(line)
-    return None
-
-
-class Named(InputPartition):
-    def __init__(self, name: str) -> None:
-        self.name = name
-
-
-class NamedObjects(DataSourceReader):
-    """Reads each wanted object of a pretty-printed JSON file in a task of its own, without parsing the rest."""
-
-    def __init__(self, path: str, names: list[str]) -> None:
-        self.path, self.names = path, names
-
-    def partitions(self) -> list[Named]:
-        return [Named(n) for n in self.names]
-
-    def read(self, partition: Named) -> Iterator[tuple]:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        with system.open_input_stream(path) as raw, io.TextIOWrapper(raw, "utf-8") as lines:
-            found = object_text(lines, partition.name)
-        if found is None:
-            raise ValueError(f"{self.path} has no object {partition.name}")
-        json.loads(found)
-        yield partition.name, found
-
-
-class NamedObjectSource(DataSource):
-    """``spark.read.format("json_objects")``: options path and names (a JSON list of keys)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "json_objects"
-
-    def schema(self) -> str:
-        return "name string, value string"
-
-    def reader(self, schema: T.StructType) -> NamedObjects:
-        return NamedObjects(self.options["path"], json.loads(self.options["names"]))
-
-
-def named_objects(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    spark.dataSource.register(NamedObjectSource)
-    return spark.read.format("json_objects").option("names", json.dumps(list(names))).load(path)
+_STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"')
+_OPENS = re.compile(r'^\s*"((?:[^"\\]|\\.)*)"\s*:\s*\{')
+
+
+def _split_scan(lines: Iterator[str], wanted: Callable[[str], bool]) -> dict:
+    """What one split says without knowing the others: its lines, its change of depth, where each new lowest depth was
+    reached, and the wanted keys with their depth and last line (None: in a later split). Depths are relative. A JSON
+    string holds no raw line end, so that every line begins outside of strings."""
+    depth, lowest, n = 0, 0, 0
+    falls: list[tuple[int, int]] = []
+    found: list[list] = []
+    open_: list[int] = []
+    for n, line in enumerate(lines, 1):
+        plain = _STRINGS.sub("", line)
+        key = _OPENS.match(line)
+        if key and wanted(json.loads(f'"{key[1]}"')):
+            open_.append(len(found))
+            found.append([json.loads(f'"{key[1]}"'), n, depth, None])
+        depth += plain.count("{") + plain.count("[") - plain.count("}") - plain.count("]")
+        while open_ and depth <= found[open_[-1]][2]:
+            found[open_.pop()][3] = n
+        if depth < lowest:
+            lowest = depth
+            falls.append((depth, n))
+    return {"n": n, "delta": depth, "falls": falls, "found": found}
+
+
+def _spans(splits: list[tuple[int, dict]]) -> list[tuple[str, int, int, int, int]]:
+    """(name, first split, its line, last split, its line) of the wanted objects of one file: depths of the splits before
+    are summed, and an object that its own split doesn't end ends where a later one first falls to its depth."""
+    before = list(itertools.accumulate((s["delta"] for _, s in splits), initial=0))
+    out = []
+    for k, (at, s) in enumerate(splits):
+        for name, line, depth, end in s["found"]:
+            last = (at, end) if end is not None else next(((b, n) for j, (b, t) in enumerate(splits[k + 1 :], k + 1) for d, n in t["falls"] if before[j] + d <= before[k] + depth), None)
+            if last is None:
+                raise ValueError(f"object {name} has no end")
+            out.append((name, at, line, *last))
+    return out
+
+
+def named_objects(spark: SparkSession, path: str, names: Sequence[str], prefix: bool = False) -> DataFrame:
+    """name and value (JSON text) of the first object under each wanted key of a pretty-printed JSON file, of whatever
+    size and at whatever depth. prefix: every key that begins with one of names is wanted.
+
+    The file is read twice, whatever the number of names, and by many tasks: once for the depth at which each split
+    begins and for the wanted keys, once for their text. The driver gets some numbers for each split. An object wanted
+    must fit into a task; a name that isn't there is an error, unless it is a prefix.
+    """
+    exact, starts = frozenset(names), tuple(names)
+    wanted = (lambda key: key.startswith(starts)) if prefix else exact.__contains__
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+
+    def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[str]]]:
+        rows = ((f, a, v) for b in batches for f, a, v in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+        for key, part in itertools.groupby(rows, key=lambda r: r[:2]):
+            yield key, (r[2] for r in part)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, at), part in by_split(batches):
+            yield pa.RecordBatch.from_pydict({"file": [file], "at": [at], "said": [json.dumps(_split_scan(part, wanted))]}, pa.schema([("file", pa.string()), ("at", pa.int64()), ("said", pa.string())]))
+
+    files: dict[str, list[tuple[int, dict]]] = {}
+    for r in lines.mapInArrow(scan, "file string, at long, said string").toLocalIterator():
+        files.setdefault(r.file, []).append((r.at, json.loads(r.said)))
+    first: dict[str, tuple] = {}
+    for file in sorted(files):
+        for span in sorted(_spans(sorted(files[file], key=lambda x: x[0])), key=lambda x: x[1:3]):
+            first.setdefault(span[0], (file, *span[1:]))
+    if not prefix and exact - set(first):
+        raise ValueError(f"{path} has no object {', '.join(sorted(exact - set(first)))}")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, at), part in by_split(batches):
+            held = {name: s for name, s in first.items() if s[0] == file and s[1] <= at <= s[3]}
+            texts: dict[str, list[str]] = {name: [] for name in held}
+            for n, line in enumerate(part if held else (), 1):
+                for name, (_, a, from_line, b, to_line) in held.items():
+                    if (at, n) >= (a, from_line) and (at, n) <= (b, to_line):
+                        texts[name].append(_OPENS.sub("{", line, count=1) if (at, n) == (a, from_line) else line)
+            for name, text in texts.items():
+                if text:
+                    yield pa.RecordBatch.from_pydict({"name": [name], "at": [at], "text": ["\n".join(text)]}, pa.schema([("name", pa.string()), ("at", pa.int64()), ("text", pa.string())]))
+
+    pieces = lines.mapInArrow(cut, "name string, at long, text string").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+    value = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
+    return pieces.select("name", F.regexp_replace(value, r"(?s)\}[^}]*$", "}").alias("value"))
+
+
+def phase_window(spark: SparkSession, path: str, phase: str = "profiling") -> DataFrame:
+    """start_ns and end_ns of a phase from the summary object of a metrics file: one row, nulls for an absent phase."""
+    v = F.try_parse_json("value")
+    at = lambda side: F.try_variant_get(v, f"$.phase_time_ranges.{phase}.{side}_ns", "long").alias(f"{side}_ns")
+    return named_objects(spark, path, ["summary"]).select(at("start"), at("end"))
 
 
 SERIES = "struct<description:string, series:array<struct<endpoint_url:string, labels:map<string,string>, stats:map<string,double>, timeslices:array<struct<start_ns:bigint, end_ns:bigint, avg:double, last:double, max:double, min:double>>>>>"

@@ -2,50 +2,135 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane.functions.coerce import duration_ms, epoch_ns, error_category, error_present, integral, number, text_or_null, truth
-from tracelane.functions.ids import branch_class, branch_path, path_concurrency, root_id
+from tracelane.functions.coerce import SOME_ERROR, duration_ms, epoch_ns, error_category, error_present, finite, number, text_or_null, truth, whole
+from tracelane.functions.ids import branch_class, branch_path, path_concurrency, root_id, root_rule
+from tracelane.operators.aliases import resolved
 from tracelane.operators.requests import decode_itl
-from tracelane.sources.lines import first_field, good_records, numbered
+from tracelane.sources.lines import good_records, numbered
 
-# Names of a profile's fields; the first one present wins.
+# The names under which a record may have each field, the first one that fits decides.
 TEXTS = {
-    "conversation_id": ("metadata.conversation_id", "conversation_id"), "worker_id": ("metadata.worker_id", "worker_id"), "benchmark_phase": ("metadata.benchmark_phase", "benchmark_phase", "phase"),
-    "source_trace_id": ("metadata.source_trace_id", "source_trace_id"), "x_request_id": ("metadata.x_request_id", "x_request_id"), "x_correlation_id": ("metadata.x_correlation_id",),
-}
+    "conversation_id": ("conversation_id", "conversationid", "trace_id", "traceid"),
+    "source_trace_id": ("source_trace_id", "source_traceid", "source_root_trace_id"),
+    "benchmark_phase": ("benchmark_phase", "phase", "request_phase", "benchmarkphase"),
+    "worker_id": ("worker_id", "worker", "server_id", "replica_id"),
+    "correlation_id": ("x_correlation_id", "correlation_id", "request_correlation_id"),
+    "raw_status": ("status", "request_status", "result_status"),
+    "x_request_id": ("x_request_id",),
+}
 LONGS = {
-    "session_num": ("metadata.session_num", "session_num"), "turn_index": ("metadata.turn_index", "turn_index"),
-    "source_outer_idx": ("metadata.source_outer_idx", "source_outer_idx"), "source_inner_idx": ("metadata.source_inner_idx", "source_inner_idx"),
-}
-TIMES = {"request_start_ns": ("metadata.request_start_ns", "request_start_ns"), "request_ack_ns": ("metadata.request_ack_ns", "request_ack_ns"), "request_end_ns": ("metadata.request_end_ns", "request_end_ns")}
-TOKENS = {"input_tokens": ("input_sequence_length", "input_tokens"), "output_tokens": ("output_sequence_length", "output_tokens"), "prompt_tokens": ("usage_prompt_tokens",), "cached_tokens": ("usage_prompt_cache_read_tokens",)}
-DURATIONS = {"ttft_ms": ("time_to_first_token", "ttft"), "e2e_ms": ("request_latency", "e2e_latency"), "itl_exported_ms": ("inter_token_latency", "itl"), "decode_ms": ("decode_duration",)}
-
-
-def canonical(records: DataFrame) -> DataFrame:
-    """Canonical requests from variant records (column record). Metrics come wrapped as {value, unit} or plain."""
-    r = F.col("record")
-    metric = lambda names, leaf: first_field(r, [f"metrics.{n}.{leaf}" for n in names])
-    plain = lambda names: first_field(r, [f"metrics.{n}" for n in names])
-    value = lambda names: F.coalesce(metric(names, "value"), plain(names))
-    out = records.withColumns({c: text_or_null(first_field(r, p)) for c, p in TEXTS.items()})
-    out = out.withColumns({c: integral(first_field(r, p)) for c, p in LONGS.items()})
-    out = out.withColumns({c: epoch_ns(first_field(r, p), F.lit("ns")) for c, p in TIMES.items()})
-    out = out.withColumns({c: number(value(p)) for c, p in TOKENS.items()})
-    out = out.withColumns({c: duration_ms(value(p), metric(p, "unit")) for c, p in DURATIONS.items()})
-    error = F.coalesce(F.expr("to_json(try_variant_get(record, '$.error', 'variant'))"), F.lit(None).cast("string"))
-    error = F.when(error != "null", F.regexp_replace(error, '^"(.*)"$', "$1"))
+    "source_outer_idx": ("source_outer_idx", "source_outer_index", "source_request_outer_index"),
+    "source_inner_idx": ("source_inner_idx", "source_inner_index", "source_request_inner_index"),
+    "session_num": ("session_num", "session", "session_id", "replay_session"),
+    "turn_index": ("turn_index", "turn", "request_index", "request_num", "request_number"),
+}
+TIMES = {
+    "request_start_ns": ("request_start_ns", "request_start_time_ns", "start_ns", "start_time_ns"),
+    "request_ack_ns": ("request_ack_ns", "request_ack_time_ns", "ack_ns", "ack_time_ns"),
+    "request_end_ns": ("request_end_ns", "request_end_time_ns", "end_ns", "end_time_ns"),
+    "cancellation_time_ns": ("cancellation_time_ns", "cancel_time_ns", "cancelled_at_ns"),
+}
+NUMBERS = {
+    "input_tokens": ("input_sequence_length", "input_tokens", "input_token_count", "isl", "prompt_tokens"),
+    "output_tokens": ("output_sequence_length", "output_tokens", "output_token_count", "osl", "completion_tokens"),
+    "theoretical_prefix_cache_hit": ("theoretical_prefix_cache_hit", "prefix_cache_hit", "cache_hit_rate"),
+}
+DURATIONS = {
+    "ttft_ms": ("ttft_ms", "time_to_first_token_ms", "time_to_first_token", "ttft"),
+    "e2e_ms": ("e2e_ms", "request_latency_ms", "request_latency", "end_to_end_latency_ms", "end_to_end_latency", "latency_ms"),
+    "itl_ms": ("itl_ms", "inter_token_latency_ms", "inter_token_latency", "tpot_ms", "time_per_output_token_ms"),
+}
+CANCELLED = ("was_cancelled", "cancelled", "is_cancelled", "canceled", "is_canceled")
+ERROR = ("error", "error_message", "exception", "failure", "failed")
+# Names of the fields of the second study. An input sequence length is no logical prompt length there.
+EXTRA_NUMBERS = {
+    "logical_prompt_tokens": ("logical_prompt_tokens", "logical_prompt_token_count", "dynamo_frontend_input_sequence_tokens"),
+    "usage_prompt_tokens": ("usage_prompt_tokens",),
+    "cache_read_tokens": ("usage_prompt_cache_read_tokens", "usage.prompt_cache_read_tokens", "prompt_cache_read_tokens", "cache_read_tokens", "cached_tokens", "cache_hit_tokens", "logical_kv_load_tokens"),
+    "cache_write_tokens": ("cache_write_tokens", "cache_creation_input_tokens", "prompt_cache_write_tokens", "store_tokens", "kv_store_tokens"),
+    "mtp_draft_tokens": ("mtp_draft_tokens", "draft_tokens", "speculative_draft_tokens", "num_draft_tokens"),
+    "mtp_accepted_tokens": ("mtp_accepted_tokens", "accepted_tokens", "speculative_accepted_tokens", "num_accepted_tokens"),
+    "mtp_acceptance_length": ("mtp_acceptance_length", "acceptance_length", "accepted_length", "speculative_acceptance_length"),
+    "mtp_acceptance_rate": ("mtp_acceptance_rate", "acceptance_rate", "speculative_acceptance_rate"),
+}
+EXTRA_DURATIONS = {"decode_duration_ms": ("decode_duration",), "full_decode_duration_ms": ("full_decode_duration",)}
+EXTRA_LENGTHS = {"input_sequence_length": NUMBERS["input_tokens"][:-1], "output_sequence_length": NUMBERS["output_tokens"][:-1]}
+GLOB = "profile_export*.jsonl"
+#: What a record doesn't say itself: where it was read and what the run was.
+CONTEXT = {"github_run_id": "string", "artifact_id": "string", "artifact_name": "string", "concurrency": "int", "target_model": "string", "target_precision": "string", "target_hardware": "string", "target_gpu_count": "bigint", "framework": "string"}
+
+
+def canonical(records: DataFrame, json_text: str = "value", extended: bool = True) -> DataFrame:
+    """Canonical requests from JSON objects, one in each row, whatever names the exporter gave their fields.
+
+    Every column of CONTEXT is there, null where records has none. raw_<field>_field is the path that a latency came
+    from. extended: the second study's fields too, each with its path, and the inter-token latency from the decode
+    duration where the record has none. No record is dropped and no missing value is filled.
+    """
+    fields = {**TEXTS, **LONGS, **TIMES, **NUMBERS, **DURATIONS, "was_cancelled": CANCELLED, "error": ERROR}
+    fields |= {**EXTRA_NUMBERS, **EXTRA_DURATIONS, **EXTRA_LENGTHS} if extended else {}
+    own = [c for c in records.columns if c not in (json_text, "record")]
+    out = resolved(records, json_text, fields, objects=("error",), keep=own)
+    value, path, unit = (lambda f, part=part: F.col(f"found.{f}.{part}") for part in ("value", "path", "unit"))
+    duration = lambda f: duration_ms(value(f), unit(f), path(f))
+    made: dict[str, Column] = {c: F.lit(None).cast(t) for c, t in CONTEXT.items() if c not in own}
+    made |= {c: text_or_null(value(c)) for c in TEXTS} | {c: whole(value(c)) for c in LONGS} | {c: epoch_ns(value(c), path=path(c)) for c in TIMES}
+    made |= {c: number(value(c)) for c in NUMBERS} | {c: duration(c) for c in DURATIONS} | {f"raw_{c.removesuffix('_ms')}_field": path(c) for c in DURATIONS}
+    said = F.col("found.error.kind").isin("boolean", "number")
+    error, status = F.when(~said, value("error")), text_or_null(value("raw_status"))
+    flagged = said & F.coalesce(truth(value("error")), F.lit(False))
+    exported = value("itl_ms").isNotNull()
+    made |= {
+        "was_cancelled": truth(value("was_cancelled")), "error_present": F.coalesce(error_present(error, status), F.lit(False)) | flagged,
+        "error_category": F.coalesce(error_category(error, status), F.when(flagged, F.coalesce(F.lower(status), F.lit(SOME_ERROR)))),
+        "source_metric_name": F.when(exported, "inter_token_latency"), "itl_interpretation": F.when(exported, "request-level ITL/TPOT metric"),
+    }
+    out = out.withColumns(made)
+    if extended:
+        more = {c: number(value(c)) for c in EXTRA_NUMBERS} | {c: duration(c) for c in EXTRA_DURATIONS} | {"status": status, "raw_status_field": path("raw_status")}
+        more |= {f"raw_{c}_field": path(c) for c in (*EXTRA_NUMBERS, *EXTRA_DURATIONS, *EXTRA_LENGTHS)}
+        more |= {"input_sequence_length": F.col("input_tokens"), "output_sequence_length": F.col("output_tokens"), "prompt_tokens": number(value("usage_prompt_tokens")), "cached_tokens": number(value("cache_read_tokens")), "decode_ms": duration("decode_duration_ms")}
+        out = out.withColumns(more)
+        derived = decode_itl("decode_duration_ms", "output_tokens", "itl_ms")
+        by_decode = finite("itl_ms").isNull() & derived.isNotNull()
+        out = out.withColumns({
+            "raw_itl_field": F.when(by_decode, F.concat(F.lit("derived:"), "raw_decode_duration_ms_field", F.lit("/(output_sequence_length-1)"))).otherwise(F.col("raw_itl_field")),
+            "source_metric_name": F.when(by_decode, "decode_duration").otherwise(F.col("source_metric_name")),
+            "itl_interpretation": F.when(by_decode, "request-level ITL derived from decode_duration/(output_sequence_length-1)").otherwise(F.col("itl_interpretation")),
+            "itl_ms": derived,
+        })
+    given = F.col("source_trace_id").isNotNull()
     out = out.withColumns({
-        "error_present": F.coalesce(error_present(error), F.lit(False)), "error_category": error_category(error), "was_cancelled": F.coalesce(truth(first_field(r, ["metadata.was_cancelled", "was_cancelled"])), F.lit(False)),
-        "itl_ms": decode_itl("decode_ms", "output_tokens", "itl_exported_ms"), "root_trace_id": root_id("conversation_id"), "branch_type": branch_class("conversation_id"), "request_path": branch_path("conversation_id"),
+        "root_trace_id": F.coalesce("source_trace_id", root_id("conversation_id")), "branch_type": branch_class("conversation_id"), "request_path": branch_path("conversation_id"),
+        "root_trace_id_provenance": F.when(given, "metadata.source_trace_id").otherwise("conversation_id_normalization"),
+        "normalization_rule": F.when(given, "explicit_metadata_source_trace_id").otherwise(root_rule("conversation_id")),
     })
-    return out.drop("record", "itl_exported_ms")
+    return out.drop("found")
+
+
+def read_profiles(spark: SparkSession, path: str, artifacts: DataFrame | None = None, environment: Mapping[str, object] | None = None, extended: bool = True, glob: str = GLOB) -> DataFrame:
+    """All profile_export.jsonl (or files of another name pattern) below a path as canonical requests, with file and line number.
 
+    artifacts (artifact_id, artifact_name, concurrency): the run's inventory; a file's artifact is found by its path.
+    Without one, and where it leaves the concurrency open, that of the path counts. environment: values for columns of
+    CONTEXT. Lines that are no JSON objects are left out; lines.issues gives them.
+    """
+    from tracelane.operators.reconcile import profile_context
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """All profile_export.jsonl below a path as canonical requests, with file, line number and the path's concurrency."""
-    lines = numbered(spark, path, recursive=True, glob="profile_export*.jsonl")
-    out = canonical(good_records(lines).drop("value"))
-    return out.withColumnsRenamed({"file_path": "source_file_path", "line_no": "record_ordinal"}).withColumn("concurrency", path_concurrency("source_file_path"))
+    lines = numbered(spark, path, recursive=True, glob=glob)
+    records = good_records(lines).withColumnsRenamed({"file_path": "source_file_path", "line_no": "record_ordinal"})
+    known = path_concurrency("source_file_path")
+    if artifacts is not None:
+        files = records.select("source_file_path").distinct()
+        inventory = artifacts.select("artifact_id", "artifact_name", F.col("concurrency").cast("int").alias("concurrency"))
+        context = profile_context(files, inventory, "source_file_path").select("source_file_path", "artifact_id").join(inventory.dropDuplicates(["artifact_id"]), "artifact_id", "left")
+        records = records.join(context, "source_file_path", "left")
+        known = F.coalesce("concurrency", known)
+    records = records.withColumn("concurrency", known)
+    records = records.withColumns({c: F.lit(v).cast(CONTEXT[c]) for c, v in (environment or {}).items()})
+    return canonical(records, extended=extended)

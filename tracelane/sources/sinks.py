@@ -27,24 +27,58 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def _remove(fs, path) -> None:
+    if fs.exists(path) and not fs.delete(path, True):
+        raise OSError(f"{path} could not be deleted")
+
+
+def _places(spark: SparkSession, path: str):
+    """The file system, and a swap's folders: the table, the finished new one and the one that was there."""
+    path = path.rstrip("/")
+    (fs, table), (_, new), (_, old) = (_hadoop(spark, path + suffix) for suffix in ("", ".swap-new", ".swap-old"))
+    return fs, table, new, old
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Complete a swap that was cut short. A table beside the target is complete from the moment that it has the name
+    .swap-new, so from then on it is the table: the old one goes aside, the new one takes its name, the old one goes."""
+    fs, table, new, old = _places(spark, path)
+    if fs.exists(new):
+        if fs.exists(table):
+            _remove(fs, old)
+            _rename(fs, table, old)
+        _rename(fs, new, table)
+    elif fs.exists(old) and not fs.exists(table):
+        _rename(fs, old, table)
+    _remove(fs, old)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table at path, also while a swap is cut short: the new one if it is complete, else the one that was there."""
+    fs, table, new, old = _places(spark, path)
+    return spark.read.parquet(str(next((p for p in (new, table, old) if fs.exists(p)), table)))
+
+
 def write_parquet(df: DataFrame, path: str, schema: T.StructType | None = None) -> None:
-    """Write beside the target, then swap by renaming: a failed write leaves the table that was there."""
+    """Write beside the target, then swap by renaming. A failed write leaves the table that was there; a swap that
+    fails on its way leaves a table that read_table reads and that recover, or the next write, completes. One writer
+    at a time."""
     spark = df.sparkSession
+    recover(spark, path)
     building = f"{path.rstrip('/')}.building-{uuid.uuid4().hex[:8]}"
-    fs, new = _hadoop(spark, building)
+    fs, made = _hadoop(spark, building)
     try:
         (conformed(df, schema) if schema else df).write.option("compression", "zstd").parquet(building)
     except Exception:
-        fs.delete(new, True)
+        fs.delete(made, True)
         raise
-    _, target = _hadoop(spark, path)
-    _, old = _hadoop(spark, f"{building}-old")
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, old)
-    fs.rename(new, target)
-    if had:
-        fs.delete(old, True)
+    _rename(fs, made, _places(spark, path)[2])
+    recover(spark, path)
 
 
 def write_empty(spark: SparkSession, path: str, schema: T.StructType, missing: str = "empty") -> None:
