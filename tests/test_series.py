@@ -348,3 +348,16 @@ def test_attach_by_ordinal(spark):
     assert out == {1: "a", 2: "b", 3: None}
     with pytest.raises(Exception, match="times differ"):
         routing.attach_by_ordinal(df, raw, "ordinal", ["rid"], ("t", "raw_t"), 100).collect()
+
+
+def test_worker_verdicts_and_inventory(spark):
+    rows = [("p", m, r, s, 1.0 if m == "a" else float(s)) for m in ("a", "b") for r in range(2) for s in range(3)] + [("q", "a", r, 0, 1.0) for r in range(2)] + [("u", m, r, 0, float(r) if m == "b" else 1.0) for m in ("a", "b") for r in range(2)]
+    g = spark.createDataFrame(rows, "worker string, metric string, rank int, slice int, v double")
+    checks = rk.validation(g, ["worker", "metric"], ["slice"], "rank", "v", 2)
+    got = {r.worker: r for r in rk.worker_verdicts(checks, "worker", "metric", ["a", "b"], 2, True).collect()}
+    assert (got["p"].verdict, got["p"].status, got["p"].evidence) == ("validated_duplicate_worker_gauge", "Validated reconstruction", "a: ranks=2/2; complete=1.0; exact=1.0 | b: ranks=2/2; complete=1.0; exact=1.0")
+    assert (got["q"].verdict, got["q"].status) == ("unresolved", "Unknown") and "missing:b" in got["q"].evidence and got["u"].verdict == "unresolved"
+    assert rk.worker_verdicts(checks, "worker", "metric", ["a"], 2, False).where("verdict = 'likely_duplicate_worker_gauge' AND status = 'Strong inference'").count() == 3
+    csv = spark.createDataFrame([(1, "m", "Histogram", "d", "5"), (2, "sglang:num_running_reqs", "gauge", None, "nan"), (3, "skip", "gauge", "x", "1")], "line_no int, M string, T string, D string, avg string")
+    m = rk.metric_inventory(csv, ["m", "sglang:num_running_reqs"], {"metric": "M", "type": "T", "description": "D", "avg": "avg"}).orderBy("line_no").collect()
+    assert [(r.component, r.avg, r.worker) for r in m] == [("csv_histogram_labels_unparsed", None, None), ("unlabeled", None, None)] and m[1].meaning.startswith("explicit SGLang running-request gauge")

@@ -78,16 +78,47 @@ def first_number(fields: dict[str, Column | str]) -> tuple[Column, Column]:
     return F.coalesce(*values), F.coalesce(*named)
 
 
+# What a selected statistic of an exported bin stands for.
+BIN_SCOPES = {
+    "avg": "selected raw avg field from exported one-second scheduler occupancy bins",
+    "last": "selected raw last field from exported scheduler occupancy bins",
+    "max": "selected raw max field from exported scheduler occupancy bins",
+    "value": "selected raw value field from exported scheduler occupancy bins",
+}
+OTHER_SCOPE, NOT_A_MAXIMUM = "exported scheduler occupancy-bin field with unresolved selected statistic", "; not an instantaneous unique-request maximum."
+# What server metrics count, by name, by the beginning of a name, and otherwise.
+METRIC_SCOPES = {
+    "sglang:num_running_reqs": "explicit SGLang running-request gauge; rank-export scope, not summed",
+    "sglang:num_queue_reqs": "explicit SGLang queue/waiting-request gauge; rank-export scope, not summed",
+    "sglang:queue_time_seconds": "explicit SGLang aggregate queue-time histogram; not request-correlated to profile TTFT",
+}
+FRONTENDS, FRONTEND_SCOPE = ("dynamo_frontend", "dynamo_request_plane"), "Dynamo frontend/request-plane metric; separate from profile interval overlap and SGLang running"
+CAPACITY_SCOPE, ANY_SCOPE = "configured capacity metric; not observed scheduler running", "public AIPerf server-metrics aggregate; retain component/rank scope"
+HISTOGRAM_SCOPE = "AIPerf histogram row with shifted compact-CSV label schema; use JSON export for component/rank and histogram estimates."
+HISTOGRAM_COMPONENT, UNLABELED = "csv_histogram_labels_unparsed", "unlabeled"
+SERIES_SCOPE = "AIPerf public server-metrics profiling export; explicit SGLang metric"
+
+
 def bin_scope(field: Column | str) -> Column:
-    """What a time-slice value of a field stands for."""
+    """What a time-slice value of a field stands for; no bin's statistic is a count of requests at one moment."""
     f = as_column(field)
-    return F.when(f == "avg", "mean within the exported bin").when(f == "last", "last sample of the exported bin").when(f.isin("min", "max"), F.concat(f, F.lit("imum within the exported bin"))).otherwise("field not exported")
+    said = F.lit(OTHER_SCOPE)
+    for name, text in BIN_SCOPES.items():
+        said = F.when(f == name, text).otherwise(said)
+    return F.concat(said, F.lit(NOT_A_MAXIMUM))
+
 
+def component(label: Column | str) -> Column:
+    """The component of a series by its label: a backend decodes, others keep their name, none is unlabeled."""
+    x = F.nullif(as_column(label).cast("string"), F.lit(""))
+    return F.when(x == "backend", "decode").otherwise(F.coalesce(x, F.lit(UNLABELED)))
 
-def component(c: Column | str) -> Column:
-    """prefill, decode, frontend or unknown; a plain backend decodes."""
-    x = F.lower(text_or_null(c))
-    return F.when(x.contains("prefill"), "prefill").when(x.rlike("decode|backend"), "decode").when(x.rlike("front|router"), "frontend").otherwise("unknown")
+
+def metric_component(label: Column | str, worker_type: Column | str, metric: Column | str) -> Column:
+    """The component of a metric's row: its label, else the worker's type, else the front end by the metric's name."""
+    x, kind, m = text_or_null(label), text_or_null(worker_type), F.coalesce(as_column(metric), F.lit(""))
+    front = F.when(F.greatest(*(m.startswith(p) for p in FRONTENDS)), "frontend")
+    return F.coalesce(F.when(x == "backend", "decode").otherwise(x), kind, front, F.lit(UNLABELED))
 
 
 def rank_label(tp: Column | str, dp: Column | str) -> Column:
@@ -96,6 +127,28 @@ def rank_label(tp: Column | str, dp: Column | str) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("_", part("tp", tp), part("dp", dp)), F.lit("")), F.lit("unranked"))
 
 
+def rank_names(**ranks: Column | str) -> Column:
+    """name=value of every rank that is known, joined by semicolons in the order given; null if none is."""
+    parts = [F.when(text_or_null(c).isNotNull(), F.concat(F.lit(f"{n}="), text_or_null(c))) for n, c in ranks.items()]
+    return F.nullif(F.concat_ws(";", *parts), F.lit(""))
+
+
+def metric_meaning(metric: Column | str, description: Column | str) -> Column:
+    """What a server metric counts: known ones by name, then configured capacities, then its own description."""
+    m, d = F.coalesce(as_column(metric), F.lit("")), text_or_null(description)
+    said = F.when(F.greatest(*(m.startswith(p) for p in FRONTENDS)), FRONTEND_SCOPE).when(F.coalesce(F.lower(d).contains("capacity"), F.lit(False)) | m.contains("max_num"), CAPACITY_SCOPE).otherwise(F.coalesce(d, F.lit(ANY_SCOPE)))
+    for name, text in METRIC_SCOPES.items():
+        said = F.when(m == name, text).otherwise(said)
+    return said
+
+
+def series_scope(of: Column | str) -> Column:
+    """How far the values of a component's series may be taken."""
+    c = as_column(of)
+    own = F.concat(F.lit(SERIES_SCOPE + "; "), c, F.lit(" endpoint/rank-series scope. Values across rank exports are not summed into a worker or cluster count."))
+    return F.when(c.isin("prefill", "decode"), own).otherwise(SERIES_SCOPE + "; component scope unavailable.")
+
+
 def metric_scope(name: Column | str, worker: Column | str, rank: Column | str) -> Column:
     return F.concat_ws("/", as_column(name), F.coalesce(text_or_null(worker), F.lit("all")), F.coalesce(text_or_null(rank), F.lit("all")))
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelane.functions import text
 from tracelane.functions.aggregates import correlation
-from tracelane.functions.coerce import finite, ratio
+from tracelane.functions.coerce import finite, number, ratio, text_or_null
 from tracelane.operators.rollups import time_bin
 
 
@@ -77,10 +78,55 @@ def missing_by_rank(df: DataFrame, series: Sequence[str], slice_keys: Sequence[s
     return own.join(all_, list(series)).select(*series, rank, (F.col("n_all") - F.col("n_own")).alias("n_missing"))
 
 
-def duplicate_verdict(semantic: Column, n_equal: Column, n_complete: Column) -> Column:
-    """Whether rank gauges repeat one worker's value: only if that is what they mean and all complete slices agree."""
-    exact = (n_complete > 0) & (n_equal == n_complete)
-    return F.when(n_complete.isNull() | (n_complete == 0), "unknown").when(semantic & exact, "duplicate").when(exact, "equal_but_unproven").otherwise("distinct")
+# Verdicts on rank gauges and how sure each is.
+DUPLICATE, LIKELY, UNRESOLVED = "validated_duplicate_worker_gauge", "likely_duplicate_worker_gauge", "unresolved"
+CERTAINTY = {DUPLICATE: "Validated reconstruction", LIKELY: "Strong inference", UNRESOLVED: "Unknown"}
+
+
+def duplicate_verdict(semantic: Column, equal: Column) -> Column:
+    """Whether rank gauges repeat one worker's value: validated only if that is what they mean and all ranks agree;
+    agreement alone makes it likely, anything else (also null) leaves it open."""
+    return F.when(semantic & equal, DUPLICATE).when(equal, LIKELY).otherwise(UNRESOLVED)
+
+
+def worker_verdicts(checks: DataFrame, worker: str, metric: str, required: Sequence[str], expected: int, semantic: Column | bool) -> DataFrame:
+    """For each worker of checks (validation by worker and metric): rank_equality_validated, verdict, status and
+    evidence. Every required metric must be there, from the expected ranks, complete in all slices and equal in all."""
+    one = lambda c: F.abs(F.col(c) - 1) <= 1e-12
+    c = checks.withColumns({"complete_ratio_": ratio("n_complete", "n_slices"), "equal_ratio_": ratio("n_equal", "n_complete")})
+    good = F.coalesce((F.col("most_ranks") == expected) & one("complete_ratio_") & one("equal_ratio_"), F.lit(False))
+    shown = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("None"))
+    said = F.concat(F.col(metric), F.lit(": ranks="), shown("most_ranks"), F.lit(f"/{expected}; complete="), shown("complete_ratio_"), F.lit("; exact="), shown("equal_ratio_"))
+    by_metric = c.groupBy(worker).agg(F.map_from_entries(F.collect_list(F.when(F.col(metric).isin(*required), F.struct(F.col(metric), F.struct(good.alias("good"), said.alias("said")))))).alias("m_"))
+    found = [F.try_element_at("m_", F.lit(m)) for m in required]
+    equal = F.lit(True)
+    for f in found:
+        equal = equal & F.coalesce(f["good"], F.lit(False))
+    evidence = F.concat_ws(" | ", *(F.coalesce(f["said"], F.lit(f"missing:{m}")) for m, f in zip(required, found, strict=True)))
+    verified = semantic if isinstance(semantic, Column) else F.lit(semantic)
+    out = by_metric.withColumns({"required_metrics": F.lit(";".join(required)), "source_semantics_verified": verified, "rank_equality_validated": equal, "verdict": duplicate_verdict(verified, equal), "evidence": evidence}).drop("m_")
+    status = F.lit(None).cast("string")
+    for verdict, sure in CERTAINTY.items():
+        status = F.when(F.col("verdict") == verdict, sure).otherwise(status)
+    return out.withColumn("status", status)
+
+
+def metric_inventory(rows: DataFrame, wanted: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Selected metrics of a ragged metrics CSV (see files.ragged_csv) with component, worker, rank, meaning, unit and
+    statistics. A histogram's row has its labels and statistics elsewhere than the header says, so both stay null and
+    its component says so. columns: what the file calls metric, type, description, unit, endpoint, component,
+    worker_type, worker and each of avg, min, max, p50, p90, p95, dp_rank, tp_rank, pp_rank; absent ones are null."""
+    at = lambda n: F.col(columns[n]) if n in columns else F.lit(None).cast("string")
+    histogram = F.lower(F.coalesce(at("type"), F.lit(""))) == "histogram"
+    unless = lambda c: F.when(~histogram, c)
+    stats = {n: unless(finite(number(at(n)))) for n in ("avg", "min", "max", "p50", "p90", "p95")}
+    picked = rows.where(at("metric").isin(*wanted))
+    return picked.select(
+        F.when(histogram, text.HISTOGRAM_COMPONENT).otherwise(text.metric_component(at("component"), at("worker_type"), at("metric"))).alias("component"),
+        unless(F.coalesce(text_or_null(at("worker")), text_or_null(at("endpoint")))).alias("worker"), unless(text.rank_names(dp_rank=at("dp_rank"), tp_rank=at("tp_rank"), pp_rank=at("pp_rank"))).alias("rank"),
+        *([F.col("line_no")] if "line_no" in rows.columns else []), at("metric").alias("metric"), F.when(histogram, text.HISTOGRAM_SCOPE).otherwise(text.metric_meaning(at("metric"), at("description"))).alias("meaning"),
+        text_or_null(at("unit")).alias("unit"), *(c.alias(n) for n, c in stats.items()),
+    )
 
 
 def binned(df: DataFrame, keys: Sequence[str], at: str, start: int, width: int, value: str) -> DataFrame:

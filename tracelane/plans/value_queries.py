@@ -143,7 +143,7 @@ def artifact_matching(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(request_sql("""
-SELECT worker, CASE WHEN n = 0 THEN 'unknown' WHEN eq = n AND worker % 2 = 0 THEN 'duplicate' WHEN eq = n THEN 'equal_but_unproven' ELSE 'distinct' END AS verdict FROM (
+SELECT worker, CASE WHEN n = 0 OR eq < n THEN 'unresolved' WHEN worker % 2 = 0 THEN 'validated_duplicate_worker_gauge' ELSE 'likely_duplicate_worker_gauge' END AS verdict FROM (
   SELECT worker, count(*) FILTER (k = 5) AS n, count(*) FILTER (k = 5 AND lo = hi) AS eq FROM (SELECT user_id AS worker, request_start_ns // 604800000000000 AS s, count(DISTINCT event_type) AS k, min(CASE WHEN user_id % 5 = 0 THEN 1 ELSE input_tokens END) AS lo, max(CASE WHEN user_id % 5 = 0 THEN 1 ELSE input_tokens END) AS hi FROM r GROUP BY ALL) GROUP BY worker)"""))
 def duplicate_gauges(spark: SparkSession, d: str) -> DataFrame:
     g = requests(spark, d).groupBy(F.col("user_id").alias("worker"), F.expr("request_start_ns div 604800000000000").alias("slice"), F.col("event_type").alias("rank"))
@@ -151,16 +151,54 @@ def duplicate_gauges(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda c: F.when(F.col("worker") % 5 == 0, 1.0).otherwise(F.col(c))
     each = low.groupBy("worker", "slice").agg(F.count_distinct("rank").alias("k"), F.min(pick("v")).alias("lo"), F.max(pick("w")).alias("hi"))
     s = each.groupBy("worker").agg(F.count_if(F.col("k") == 5).alias("n"), F.count_if((F.col("k") == 5) & (F.col("lo") == F.col("hi"))).alias("eq"))
-    return s.select("worker", rk.duplicate_verdict(F.col("worker") % 2 == 0, F.col("eq"), F.col("n")).alias("verdict"))
+    return s.select("worker", rk.duplicate_verdict(F.col("worker") % 2 == 0, (F.col("n") > 0) & (F.col("eq") == F.col("n"))).alias("verdict"))
 
 
-@query(request_sql("""SELECT record_ordinal, coalesce(v, w) AS chosen, CASE WHEN v IS NOT NULL THEN 'avg' WHEN w IS NOT NULL THEN 'last' END AS field, CASE WHEN v IS NOT NULL THEN 'mean within the exported bin' WHEN w IS NOT NULL THEN 'last sample of the exported bin' ELSE 'field not exported' END AS scope,
-  CASE WHEN record_ordinal % 3 = 0 THEN 'prefill' WHEN record_ordinal % 3 = 1 THEN 'decode' ELSE 'unknown' END AS component, CASE WHEN record_ordinal % 2 = 0 THEN 'tp' || (record_ordinal % 4) || '_dp1' ELSE 'dp1' END AS rank_name FROM (SELECT record_ordinal, ttft_ms AS v, itl_ms AS w FROM r)"""))
+@query(request_sql("""SELECT record_ordinal, coalesce(v, w) AS chosen, CASE WHEN v IS NOT NULL THEN 'avg' WHEN w IS NOT NULL THEN 'last' END AS field,
+  CASE WHEN v IS NOT NULL THEN 'selected raw avg field from exported one-second scheduler occupancy bins' WHEN w IS NOT NULL THEN 'selected raw last field from exported scheduler occupancy bins' ELSE 'exported scheduler occupancy-bin field with unresolved selected statistic' END || '; not an instantaneous unique-request maximum.' AS scope,
+  (['prefill', 'decode', 'unlabeled', 'Planner'])[record_ordinal % 4 + 1] AS component, CASE WHEN record_ordinal % 2 = 0 THEN 'tp' || (record_ordinal % 4) || '_dp1' ELSE 'dp1' END AS rank_name,
+  'AIPerf public server-metrics profiling export; explicit SGLang metric; ' || CASE WHEN record_ordinal % 4 < 2 THEN (['prefill', 'decode'])[record_ordinal % 4 + 1] || ' endpoint/rank-series scope. Values across rank exports are not summed into a worker or cluster count.' ELSE 'component scope unavailable.' END AS series FROM (SELECT record_ordinal, ttft_ms AS v, itl_ms AS w FROM r)"""))
 def gauge_labels(spark: SparkSession, d: str) -> DataFrame:
     r, i = requests(spark, d), F.col("record_ordinal")
     value, field = tx.first_number({"avg": "ttft_ms", "last": "itl_ms"})
-    comp = F.when(i % 3 == 0, "Prefill-worker").when(i % 3 == 1, "backend").otherwise(" ")
-    return r.select("record_ordinal", value.alias("chosen"), field.alias("field"), tx.bin_scope(field).alias("scope"), tx.component(comp).alias("component"), tx.rank_label(F.when(i % 2 == 0, (i % 4).cast("string")), F.lit("1")).alias("rank_name"))
+    comp = tx.component(_pick(("prefill", "backend", "", "Planner"), i))
+    return r.select("record_ordinal", value.alias("chosen"), field.alias("field"), tx.bin_scope(field).alias("scope"), comp.alias("component"), tx.rank_label(F.when(i % 2 == 0, (i % 4).cast("string")), F.lit("1")).alias("rank_name"), tx.series_scope(comp).alias("series"))
+
+
+@query(request_sql("""
+SELECT worker, good AS rank_equality_validated, CASE WHEN NOT good THEN 'unresolved' WHEN worker % 2 = 0 THEN 'validated_duplicate_worker_gauge' ELSE 'likely_duplicate_worker_gauge' END AS verdict,
+  CASE WHEN NOT good THEN 'Unknown' WHEN worker % 2 = 0 THEN 'Validated reconstruction' ELSE 'Strong inference' END AS status, CASE WHEN other THEN 2 ELSE 1 END AS n_metrics FROM (
+  SELECT worker, bool_or(metric = 'b') AS other, coalesce(count(*) FILTER (ranks = 2 AND slices = whole AND whole = eq) = 2, false) AS good FROM (
+    SELECT worker, metric, max(k) AS ranks, count(*) AS slices, count(*) FILTER (k = 2 AND n = 2) AS whole, count(*) FILTER (k = 2 AND n = 2 AND lo = hi) AS eq FROM (
+      SELECT worker, metric, slice, count(*) AS k, count(v) AS n, min(v) AS lo, max(v) AS hi FROM (
+        SELECT user_id AS worker, 'a' AS metric, concurrency % 2 AS rank, request_start_ns // 2419200000000000 AS slice, max(CASE WHEN user_id % 3 = 0 THEN 1 ELSE input_tokens END) AS v FROM r GROUP BY ALL
+        UNION ALL SELECT user_id, 'b', concurrency % 2, request_start_ns // 2419200000000000, 7 FROM r WHERE user_id % 4 > 0 GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY worker)"""))
+def worker_gauge_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Two gauges of two ranks for each user; a fourth of the users lacks the second gauge."""
+    g = requests(spark, d).groupBy(F.col("user_id").alias("worker"), (F.col("concurrency") % 2).alias("rank"), F.expr("request_start_ns div 2419200000000000").alias("slice")).agg(F.max("input_tokens").alias("m"))
+    a = g.select("worker", F.lit("a").alias("metric"), "rank", "slice", F.when(F.col("worker") % 3 == 0, 1.0).otherwise(F.col("m")).alias("v"))
+    b = g.where(F.col("worker") % 4 > 0).select("worker", F.lit("b").alias("metric"), "rank", "slice", F.lit(7.0).alias("v"))
+    checks = rk.validation(a.unionByName(b), ["worker", "metric"], ["slice"], "rank", "v", 2)
+    v = rk.worker_verdicts(checks, "worker", "metric", ["a", "b"], 2, F.col("worker") % 2 == 0)
+    return v.select("worker", "rank_equality_validated", "verdict", "status", F.when(F.col("evidence").contains("missing:b"), 1).otherwise(2).alias("n_metrics"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'csv_histogram_labels_unparsed' WHEN p_partkey % 5 = 0 THEN 'decode' WHEN p_partkey % 5 = 1 THEN 'worker' WHEN p_partkey % 2 = 0 THEN 'frontend' ELSE 'unlabeled' END AS component,
+  CASE WHEN p_partkey % 3 > 0 THEN CASE WHEN p_partkey % 7 = 0 THEN 'host' ELSE 'w' || p_partkey % 4 END END AS worker, CASE WHEN p_partkey % 3 > 0 THEN 'dp_rank=' || p_partkey % 8 || CASE WHEN p_partkey % 2 = 0 THEN ';pp_rank=0' ELSE '' END END AS rank,
+  CASE WHEN p_partkey % 3 = 0 THEN 'histogram' WHEN p_partkey % 2 = 0 THEN 'Dynamo frontend/request-plane metric; separate from profile interval overlap and SGLang running' WHEN p_partkey % 11 = 0 THEN 'configured capacity metric; not observed scheduler running' ELSE 'public AIPerf server-metrics aggregate; retain component/rank scope' END AS meaning,
+  CASE WHEN p_partkey % 3 > 0 THEN p_size::DOUBLE END AS max, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 2 = 0 THEN p_size / 2 END AS avg FROM part""")
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    p = table(spark, d, "part").select(
+        i.alias("p_partkey"), F.when(i % 2 == 0, "dynamo_frontend_x").otherwise("sglang:x").alias("Metric"), F.when(i % 3 == 0, "Histogram").otherwise("gauge").alias("Type"), F.when(i % 11 == 0, "Queue Capacity").alias("Description"), F.lit("host").alias("Endpoint"),
+        F.when(i % 5 == 0, "backend").otherwise(" ").alias("dynamo_component"), F.when(i % 5 == 1, "worker").alias("worker_type"), F.when(i % 7 > 0, F.concat(F.lit("w"), text(i % 4))).alias("worker_id"), text(i % 8).alias("dp_rank"), F.when(i % 2 == 0, "0").alias("pp_rank"),
+        text(F.col("p_size")).alias("max"), F.when(i % 2 == 0, text(F.col("p_size") / 2)).otherwise("nan").alias("avg"),
+    )
+    names = {"metric": "Metric", "type": "Type", "description": "Description", "endpoint": "Endpoint", "component": "dynamo_component", "worker": "worker_id", **{c: c for c in ("worker_type", "dp_rank", "pp_rank", "max", "avg")}}
+    m = rk.metric_inventory(p.withColumnRenamed("p_partkey", "line_no"), ["dynamo_frontend_x", "sglang:x"], names)
+    return m.select(F.col("line_no").alias("p_partkey"), "component", "worker", "rank", F.when(F.col("component") == tx.HISTOGRAM_COMPONENT, "histogram").otherwise(F.col("meaning")).alias("meaning"), "max", "avg")
 
 
 @query(request_sql("SELECT concurrency, max(CASE WHEN x > 5 THEN 'comparative_sample_size_available' ELSE 'suppressed_n_lt_6_descriptive_only' END) AS state, count(*) AS n FROM (SELECT concurrency, root_trace_id, count(itl_ms) AS x FROM p GROUP BY ALL) GROUP BY concurrency, x > 5"))
