@@ -3,12 +3,13 @@
 Pivots are a sample of the vectors, picked by a hash of the id: about 9 * sqrt(n) of n vectors, 256 to ``PIVOTS``
 (4096), and never more than a quarter. A vector is represented by its ``nearest`` nearest pivots, nearest first.
 Vectors are dealt to blocks by a hash of their id; in a block every pivot has an inverted file: the vectors that have
-it, and at which place. A query visits the files of its own nearest pivots only and adds up the footrule distance (the
-sum of differences of place, a missing pivot standing at the last place + 1) of the vectors posted there. Over all
-blocks about ``rerank`` vectors (or 18 * sqrt(n), if that is more) that are nearest by footrule are ranked again by
-the exact measure on the original vectors, each block taking its share and a quarter more, ``LEAST`` at least, ties
-included; the blocks' best are merged. Equal vectors have equal scores, so copies are ranked by id alone. A table of
-no more than ``rerank`` vectors is searched exactly; ``exact_nearest`` does so for any.
+it, and at which place. The files are made once and stored with the index. A query visits the files of its own nearest
+pivots only and adds up the footrule distance (the sum of differences of place, a missing pivot standing at the last
+place + 1) of the vectors posted there. Over all blocks about ``rerank`` vectors (or 18 * sqrt(n), if that is more, but
+never more than half of the table) that are nearest by footrule are ranked again by the exact measure on the original
+vectors, each block taking its share and a quarter more, ``LEAST`` at least, ties included; the blocks' best are merged.
+So the index decides at every size. Equal vectors have equal scores, so copies are ranked by id alone.
+``exact_nearest`` ranks every vector by the exact measure.
 
 Nearness is the largest inner product in double precision, ties to the smaller id; products beyond its range are
 infinite, and one that is no number is ranked last. For pivots, vectors get one more component that brings them to the
@@ -62,23 +63,28 @@ def permutations(x: np.ndarray, pivots: np.ndarray, largest: float, nearest: int
     return np.take_along_axis(first, order, 1).astype(np.int16)
 
 
+def posted(places: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's inverted files one after another: the vectors that have each pivot, nearest - place for each, and where
+    each pivot's file begins."""
+    nearest = places.shape[1]
+    order = np.argsort(places.ravel(), kind="stable")
+    edge = np.searchsorted(places.ravel()[order], np.arange(pivots + 1))
+    return (order // nearest).astype(np.int32), (nearest - order % nearest).astype(np.int16), edge.astype(np.int64)
+
+
 class InvertedFiles:
-    """A block's inverted files: for each pivot the vectors that have it and nearest - place for each."""
+    """The stored files of a block of n vectors."""
 
-    def __init__(self, places: np.ndarray, pivots: int) -> None:
-        n, self.nearest = places.shape
-        order = np.argsort(places.ravel(), kind="stable")
-        edge = np.searchsorted(places.ravel()[order], np.arange(pivots + 1))
-        weight = (self.nearest - order % self.nearest).astype(np.int16)
-        self.files = [((order[a:b] // self.nearest).astype(np.int32), weight[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        self.n = n
+    def __init__(self, who: np.ndarray, weight: np.ndarray, edge: np.ndarray, n: int) -> None:
+        self.who, self.weight, self.edge, self.n = who, weight, edge, n
+        self.nearest = len(who) // max(n, 1)
 
     def footrule(self, query: np.ndarray) -> np.ndarray:
         """Distances of all vectors to the query's permutation."""
         shared = np.zeros(self.n, np.int32)
         for place, pivot in enumerate(query):
-            who, weight = self.files[pivot]
-            shared[who] += np.minimum(weight, self.nearest - place)
+            a, b = self.edge[pivot], self.edge[pivot + 1]
+            shared[self.who[a:b]] += np.minimum(self.weight[a:b], self.nearest - place)
         return self.nearest * (self.nearest + 1) - 2 * shared
 
 
@@ -107,7 +113,9 @@ class Pivots:
 
 
 def _packed(rows: DataFrame, per_block: int, pivots: Pivots, nearest: int, query: bool) -> DataFrame:
-    """Blocks of at most per_block rows of one dimension: block, dim, and as bytes ids, vectors and permutations."""
+    """Blocks of at most per_block rows of one dimension: block, dim, and as bytes ids and vectors, with a query's
+    permutations (places) or the vectors' inverted files (who, weight, edge)."""
+    names = ["places"] if query else ["who", "weight", "edge"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,7 +128,8 @@ def _packed(rows: DataFrame, per_block: int, pivots: Pivots, nearest: int, query
             ids, x = (np.concatenate(v) for v in zip(*held.pop(dim), strict=True))
             made += 1
             places = permutations(x, pivots.vectors[dim], pivots.norms[dim], nearest, query)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([dim], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids, x, places))], names=["block", "dim", "ids", "vectors", "places"])
+            last = (places,) if query else posted(places, len(pivots.vectors[dim]))
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([dim], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids, x, *last))], names=["block", "dim", "ids", "vectors", *names])
 
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -134,7 +143,7 @@ def _packed(rows: DataFrame, per_block: int, pivots: Pivots, nearest: int, query
         for dim in list(held):
             yield flush(dim)
 
-    return rows.mapInArrow(tidy(pack), "block long, dim int, ids binary, vectors binary, places binary")
+    return rows.mapInArrow(tidy(pack), f"block long, dim int, ids binary, vectors binary, {', '.join(f'{n} binary' for n in names)}")
 
 
 def nearest_vectors(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, pivots: int = PIVOTS, nearest: int = NEAREST, rerank: int | None = RERANK) -> DataFrame:
@@ -149,7 +158,7 @@ def nearest_vectors(df: DataFrame, is_query: Column, key: str = "vec_id", vector
     pairs = index.select("block", "dim").join(asked.select("q_block", "dim"), "dim").select("block", "q_block")  # numbers only
     grid = pairs.join(asked.drop("dim"), "q_block").join(index, "block")  # queries move, the index is shuffled once
     sizes = {dim: len(v) for dim, v in chosen.vectors.items()}
-    shares = {dim: 1.0 if rerank is None or n <= rerank else 1.25 * max(rerank, 18 * n**0.5) / n for dim, n in chosen.counts.items()}
+    shares = {dim: 1.0 if rerank is None else 1.25 * min(max(rerank, 18 * n**0.5) / n, 0.5) for dim, n in chosen.counts.items()}
     return _merged(grid.mapInArrow(tidy(_searcher(sizes, shares, k, nearest)), "query_id long, ids array<long>, scores array<double>"), k)
 
 
@@ -177,7 +186,7 @@ def _searcher(pivots: dict[int, int], shares: dict[int, float], k: int, nearest:
                 ids, x = get("ids", np.int64), get("vectors", np.float64).reshape(-1, dim)
                 q_ids, q = get("q_ids", np.int64), get("q_vectors", np.float64).reshape(-1, dim)
                 width = min(nearest, pivots[dim])
-                files = InvertedFiles(get("places", np.int16).reshape(-1, width), pivots[dim])
+                files = InvertedFiles(get("who", np.int32), get("weight", np.int16), get("edge", np.int64), len(ids))
                 own = get("q_places", np.int16).reshape(-1, width)
                 largest = np.sqrt((x * x).sum(1).max())
                 most = min(len(ids), max(k + 1, LEAST, int(np.ceil(shares[dim] * len(ids)))))
