@@ -45,7 +45,7 @@ from tracelane.llm.common import IN_WORD, arrow_schema, by_bytes, flat_text, lis
 
 BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 HEADS, SLACK, LOOKUPS = 100, 50, 1 << 20
-#: Postings of one bucket of documents in phase 2.
+#: Postings of one bucket of documents in phase 2, of which there are as many as shuffle partitions at least.
 BUCKET = 1 << 19
 _ITEM_TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -203,7 +203,7 @@ def _kth(sums: DataFrame, k: int) -> dict[int, int]:
 
 def _candidates(asked: DataFrame, items: Items, k: int, total: int, bucket: int) -> DataFrame:
     """Phase 2: item, row, partial (sum of what the lists gave) and upper (bound) of documents not ruled out."""
-    buckets = max(1, total // bucket)
+    buckets = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // bucket)
     sent = asked.sparkSession.sparkContext.broadcast(items)
     dealt_schema = "bucket int, t int, rows array<bigint>, impacts array<int>"
     dealt_want = arrow_schema(T._parse_datatype_string(dealt_schema))
