@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelane.functions.aggregates import correlation, spearman
+from tracelane.functions.aggregates import correlation
+from tracelane.operators.order_statistics import rank_correlation
 
 
 def spearman_all_and_each(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """rho over all rows (key 'all') and for each key."""
     each = df.select(F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias("scope"), x, y)
     whole = df.select(F.lit("all").alias("scope"), x, y)
-    return spearman(whole.unionByName(each), ["scope"], x, y)
+    return rank_correlation(whole.unionByName(each), ["scope"], x, y)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracelane.functions.arrays import common_prefix, fingerprint
 from tracelane.functions.coerce import ratio
@@ -94,16 +97,21 @@ def walk(line: str) -> Iterator[tuple]:
         yield tuple(r)
 
 
-def flatten(lines: DataFrame, column: str = "value") -> DataFrame:
-    """A row for each request of each trace (one JSON text in each row), by walk(). A malformed trace is an error."""
+def flatten(lines: DataFrame, column: str = "value", batch_rows: int = 8192) -> DataFrame:
+    """A row for each request of each trace (one JSON text in each row), by walk(), in Arrow batches of batch_rows. A
+    malformed trace is an error, a blank text is none. A trace must fit into a task, its rows needn't."""
+    want = to_arrow_schema(FLAT)
 
-    @F.udtf(returnType=FLAT)
-    class Walk:
-        def eval(self, line: str) -> Iterator[tuple]:
-            if line is not None and line.strip():
-                yield from walk(line)
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), want, strict=True)], schema=want)
 
-    return lines.lateralJoin(Walk(F.col(column).outer())).drop(*lines.columns)
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (x for b in batches for x in b.column(0).to_pylist() if x is not None and x.strip())
+        rows = (r for text in texts for r in walk(text))
+        while held := list(itertools.islice(rows, batch_rows)):
+            yield made(held)
+
+    return lines.select(F.col(column).cast("string")).mapInArrow(walked, FLAT)
 
 
 def branch_state(flat: DataFrame, branch: list[str] | None = None) -> DataFrame:

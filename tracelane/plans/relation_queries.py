@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelane.functions import ids
-from tracelane.functions.aggregates import spearman
 from tracelane.functions.arrays import fingerprint
-from tracelane.operators import keys, matching, pairing, relations, requests as rq, rollups
+from tracelane.operators import keys, matching, order_statistics, pairing, relations, requests as rq, rollups
 from tracelane.plans.adapter import request_sql, requests, rounded, table
 
 Q: dict = {}
@@ -196,7 +195,7 @@ def cache_relationship(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def spearman_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return relations.with_p_value(spearman(good(spark, d), ["concurrency"], "input_tokens", "ttft_ms"))
+    return relations.with_p_value(order_statistics.rank_correlation(good(spark, d), ["concurrency"], "input_tokens", "ttft_ms"))
 
 
 @query(request_sql("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelane.functions import ids
 from tracelane.functions.aggregates import distinct_with_null, first_known, token_weighted_itl
-from tracelane.operators import matching, requests as rq, rollups
+from tracelane.operators import order_statistics, matching, requests as rq, rollups
 from tracelane.plans.adapter import measures_sql, request_sql, requests, rounded, table
 
 Q: dict = {}
@@ -167,7 +167,7 @@ SELECT concurrency, metric, q, round(value, 8) AS value FROM (
   SELECT concurrency, unnest(['ttft_ms', 'e2e_ms', 'itl_ms']) AS metric, unnest([quantile_cont(ttft_ms, [.5, .9, .99]), quantile_cont(e2e_ms, [.5, .9, .99]), quantile_cont(itl_ms, [.5, .9, .99])]) AS v FROM p GROUP BY concurrency),
   LATERAL (SELECT unnest([.5, .9, .99])::DOUBLE AS q, unnest(v) AS value)"""))
 def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rollups.quantile_table(good(spark, d), ["concurrency"], ["ttft_ms", "e2e_ms", "itl_ms"], [0.5, 0.9, 0.99]))
+    return rounded(order_statistics.quantiles(good(spark, d), ["concurrency"], ["ttft_ms", "e2e_ms", "itl_ms"], [0.5, 0.9, 0.99]))
 
 
 @query(request_sql("""

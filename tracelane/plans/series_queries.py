@@ -223,7 +223,10 @@ def cache_shape(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tr.cache_shape(_turn_state(spark, d), ["role"]))
 
 
-@query(None)
+@query("""
+SELECT 'c' || conv_id AS root_trace_id, count(role) AS n_requests, 1::BIGINT AS n_containers, count(*) FILTER (role <> 'user') AS n_subagent_requests, CAST(sum(length(text)) FILTER (role IS NOT NULL) AS BIGINT) AS input_tokens, CAST(nullif(3 * count(role), 0) AS BIGINT) AS output_tokens,
+  max(length(text)) FILTER (role IS NOT NULL) AS max_input_tokens, min(turn::DOUBLE) FILTER (role IS NOT NULL) AS first_t, max(turn::DOUBLE) FILTER (role IS NOT NULL) AS last_t, coalesce(string_agg(DISTINCT role, ';' ORDER BY role), '') AS models, (max(turn) FILTER (role IS NOT NULL) - min(turn) FILTER (role IS NOT NULL))::DOUBLE AS span_s
+FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id""")
 def flattened_traces(spark: SparkSession, d: str) -> DataFrame:
     """Traces built from conversations: the user's turns at the top, the others in an agent's list."""
     c = table(spark, d, "conversations")
