@@ -6,7 +6,7 @@ compatible pair with the last token of the prefix before it (two tokens are comp
 text gives just these two). Ids are then recovered backwards from the end of the word.
 
 Words: no piece of such a model has a space mark after another character, so a text falls apart before each
-run of marks; words repeat, and each worker keeps what those it met lately gave (2 * ``CACHE`` words at most).
+run of marks; words repeat, and each worker keeps what those it met lately gave (2 * ``CACHE`` words at most, from task to task).
 A character that is no piece is written as its UTF-8 bytes; it merges with nothing.
 
 Null text counts as empty: no ids, empty decoded text. Texts may hold anything, the space mark too (it decodes
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tracelane.llm.common import by_bytes, renamed_clashes, tidy
 
 MARK = "▁"
-CACHE = 80_000
+CACHE = 160_000
 BATCH_BYTES = 1 << 20
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: A word longer than this is not kept in the cache.
@@ -288,6 +288,5 @@ def with_pieces(df: DataFrame, model_path: str, text: str = "text", results: tup
             for r in results:
                 out = out.append_column(r, pa.array(made[r], kinds.get(r, pa.string())))
             yield from out.to_batches()
-        use.young, use.old = {}, {}  # the worker lives on
 
     return df.mapInArrow(tidy(code), schema)
