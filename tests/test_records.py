@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +251,22 @@ def test_bootstrap_is_repeatable(spark):
     assert a == b and a.n_clusters == 5 and a.ci_low <= a.median_ratio <= a.ci_high
 
 
+def test_bootstrap_against_copies(spark):
+    """Every draw as a copy of its cluster's rows; ties, ranges of few values, a cluster with most rows."""
+    rows = [(g, f"c{(k * k) % 11 if k % 3 else 4}", float((k * 37) % 90 + 1)) for g in (1, 2) for k in range(150 * g)]
+    df = spark.createDataFrame([*rows, (1, None, 5.0), (3, "c", None)], "g int, c string, v double")
+    got = {r.g: r for r in pairing.bootstrap_ratio(df, "c", "v", ["g"], 40, width=4).collect()}
+    assert set(got) == {1, 2}
+    for g, r in got.items():
+        names = sorted({c for h, c, _ in rows if h == g})
+        medians = []
+        for rep in range(40):
+            drawn = [names[int(hashlib.md5(f"7|{g}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % len(names)] for slot in range(len(names))]
+            medians.append(np.median([v for name in drawn for h, c, v in rows if (h, c) == (g, name)]))
+        want = (sum(h == g for h, _, _ in rows), len(names), np.median([v for h, _, v in rows if h == g]), *np.quantile(medians, [0.025, 0.975]))
+        assert tuple(r)[1:] == pytest.approx(want)
+
+
 COMPLETED = '2026-08-08T04:51:24.454472Z request completed request_id=a1b2-c3 x_request_id="d4e5-f6" prefill_worker_id=2787 decode_worker_id=2792'
 WAITED = '2026-08-08T04:51:25.454472Z dynamo_kv_router::scheduling::queue: refreshed overlap scores after long queue wait request_id="a1b2-c3" wait_ms=13932'
 

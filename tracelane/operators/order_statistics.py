@@ -31,19 +31,24 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(other, _same(keys, "_r_"), how).drop(*(f"{k}_r_" for k in keys))
 
 
-def placed(df: DataFrame, keys: Sequence[str], value: str, width: int = WIDTH) -> DataFrame:
-    """keys, value, n (its rows), before_n (rows of the group with a smaller value) and all_n (the group's rows with a
-    value). Nulls don't count."""
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+def with_ranges(df: DataFrame, counts: DataFrame, keys: Sequence[str], value: str, width: int = WIDTH) -> DataFrame:
+    """df with range_, the value range of its group that a row falls in; counts holds each value of each group once."""
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("d_"))
     classes = F.greatest(F.lit(width), F.expr(f"d_ div {RANGES}"))
     # a group that needs no cut has no border, and its rows stay in range 0
     large = sizes.where(F.col("d_") > width)
     borders = _joined(counts.select(*keys, value), large, keys).where(F.pmod(F.xxhash64(value), classes) == 0)
     borders = borders.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("borders_"))
-    cut = _joined(counts, borders, keys, "left")
-    cut = cut.withColumn("range_", F.coalesce(F.size(F.filter("borders_", lambda b: b < F.col(value))), F.lit(0))).drop("borders_")
+    cut = _joined(df, borders, keys, "left")
+    return cut.withColumn("range_", F.coalesce(F.size(F.filter("borders_", lambda b: b < F.col(value))), F.lit(0))).drop("borders_")
+
+
+def placed(df: DataFrame, keys: Sequence[str], value: str, width: int = WIDTH) -> DataFrame:
+    """keys, value, n (its rows), before_n (rows of the group with a smaller value) and all_n (the group's rows with a
+    value). Nulls don't count."""
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    cut = with_ranges(counts, counts, keys, value, width)
     sums = cut.groupBy(*keys, "range_").agg(F.sum("n").alias("sum_"))
     group = Window.partitionBy(*keys)
     sums = sums.withColumns({"first_": F.sum("sum_").over(group.orderBy("range_")) - F.col("sum_"), "all_n": F.sum("sum_").over(group)}).drop("sum_")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tracelane.functions.aggregates import exact_percentile, first_known
 from tracelane.functions.coerce import ratio
+from tracelane.operators import order_statistics
+from tracelane.session import checkpointed
 
 
 def collapse(df: DataFrame, keys: Sequence[str], medians: Sequence[str], firsts: Sequence[str] = (), order: str = "record_ordinal") -> DataFrame:
@@ -103,22 +105,45 @@ def compare_systems(a: DataFrame, b: DataFrame, key: str, metrics: Sequence[str]
     return out.withColumns({"ratio": ratio("right_value", "left_value"), "worker_normalized_ratio": ratio(F.col("right_value") / workers[1], F.col("left_value") / workers[0])})
 
 
-def bootstrap_ratio(df: DataFrame, cluster: str, value: str, keys: Sequence[str], replicates: int = 1000, seed: int = 7) -> DataFrame:
+def bootstrap_ratio(df: DataFrame, cluster: str, value: str, keys: Sequence[str], replicates: int = 1000, seed: int = 7, width: int = 256) -> DataFrame:
     """Median ratio for each key with a 95 % interval from resampling whole clusters with replacement.
 
-    Draws are hashes of (seed, key, replicate, slot), so they are the same on every cluster and in SQL. A row counts
-    as often as its cluster is drawn: weights replace copies, so a replicate's median is read from distinct values.
-    Null and non-positive ratios go first.
+    Draws are hashes of (seed, key, replicate, slot), so they are the same on every cluster and in SQL. Each cluster
+    gets one list of the replicates that drew it, once for each draw. Its rows are counted by value range first: sums
+    by replicate and range tell which range holds a replicate's median, and only the values of that range are then
+    counted one by one. What is shuffled for a replicate depends on the ranges (``width`` values or more each), not on
+    the rows. Null and non-positive ratios go first, and so do rows without a cluster.
     """
-    rows = df.where(F.col(value) > 0).select(*keys, cluster, F.col(value).cast("double").alias("v_"))
-    clusters = rows.select(*keys, cluster).distinct().withColumn("i_", F.row_number().over(Window.partitionBy(*keys).orderBy(cluster)) - 1)
-    counts = clusters.groupBy(*keys).agg(F.count("*").alias("c_"))
-    slots = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("c_") - 1).cast("int"))))
+    keys = list(keys)
+    rows = df.where((F.col(value) > 0) & F.col(cluster).isNotNull()).select(*keys, cluster, F.col(value).cast("double").alias("v_"))
+    cells = checkpointed(rows.groupBy(*keys, cluster, "v_").agg(F.count("*").alias("n_")))
+    clusters = order_statistics.placed(cells.select(*keys, cluster).distinct(), keys, cluster).select(*keys, cluster, F.col("before_n").alias("i_"), F.col("all_n").alias("c_"))
+    cells = order_statistics.with_ranges(cells, cells.select(*keys, "v_").distinct(), keys, "v_", width)
+
+    slots = clusters.select(*keys, "c_", F.col("i_").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("rep").cast("string"), F.col("slot").cast("string"))
-    drawn = slots.withColumn("i_", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("c_")))
-    times = drawn.groupBy(*keys, "rep", "i_").agg(F.count("*").alias("times"))
-    picked = times.join(clusters, [*keys, "i_"]).join(rows, [*keys, cluster])
-    medians = picked.groupBy(*keys, "rep").agg(F.percentile("v_", 0.5, F.col("times")).alias("m_"))
-    limits = medians.groupBy(*keys).agg(F.percentile("m_", F.array(F.lit(0.025), F.lit(0.975))).alias("q_"))
-    point = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(cluster).alias("n_clusters"), F.percentile("v_", 0.5).alias("median_ratio"))
-    return point.join(limits, list(keys)).select(*keys, "n_rows", "n_clusters", "median_ratio", F.col("q_")[0].alias("ci_low"), F.col("q_")[1].alias("ci_high"))
+    drawn = slots.select(*keys, "rep", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("c_")).alias("i_"))
+    lists = drawn.groupBy(*keys, "i_").agg(F.collect_list("rep").alias("reps"))
+    once = F.array(F.lit(-1))  # replicate -1 is the table itself
+    lists = clusters.join(lists, [*keys, "i_"], "left").select(*keys, cluster, F.concat(once, F.coalesce("reps", F.array().cast("array<int>"))).alias("reps"))
+    lists = checkpointed(lists)
+
+    by_range = cells.groupBy(*keys, cluster, "range_").agg(F.sum("n_").alias("n_")).join(lists, [*keys, cluster])
+    sums = by_range.select(*keys, "range_", "n_", F.explode("reps").alias("rep")).groupBy(*keys, "rep", "range_").agg(F.sum("n_").alias("n_"))
+    each = Window.partitionBy(*keys, "rep")
+    sums = sums.withColumns({"first_": F.sum("n_").over(each.orderBy("range_")) - F.col("n_"), "all_": F.sum("n_").over(each)})
+    low, high = F.floor((F.col("all_") - 1) / 2), F.ceil((F.col("all_") - 1) / 2)
+    holds = lambda place: (F.col("first_") <= place) & (place < F.col("first_") + F.col("n_"))
+    middle = sums.where(holds(low) | holds(high)).select(*keys, "rep", "range_", "first_", "all_")
+
+    near = cells.join(middle.select(*keys, "range_").distinct(), [*keys, "range_"], "left_semi").join(lists, [*keys, cluster])
+    near = near.select(*keys, "range_", "v_", "n_", F.explode("reps").alias("rep")).groupBy(*keys, "rep", "range_", "v_").agg(F.sum("n_").alias("n_"))
+    upto = F.sum("n_").over(Window.partitionBy(*keys, "rep", "range_").orderBy("v_"))
+    near = near.join(middle, [*keys, "rep", "range_"]).withColumn("first_", F.col("first_") + upto - F.col("n_"))
+    at = lambda place: F.max(F.when(holds(place), F.col("v_")))
+    medians = near.groupBy(*keys, "rep").agg(((at(low) + at(high)) / 2).alias("m_"), F.max("all_").alias("all_"))
+    whole = F.col("rep") == -1
+    limits = F.percentile(F.when(~whole, F.col("m_")), F.array(F.lit(0.025), F.lit(0.975)))
+    out = medians.groupBy(*keys).agg(F.max(F.when(whole, F.col("all_"))).alias("n_rows"), F.max(F.when(whole, F.col("m_"))).alias("median_ratio"), limits.alias("q_"))
+    out = out.join(lists.groupBy(*keys).agg(F.count("*").alias("n_clusters")), keys)
+    return out.select(*keys, "n_rows", "n_clusters", "median_ratio", F.col("q_")[0].alias("ci_low"), F.col("q_")[1].alias("ci_high"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelane.operators import published as pb
 from tracelane.plans.adapter import table
+from tracelane.session import new_folder
 from tracelane.sources import build, profiles
 from tracelane.sources.sinks import read_table
 
@@ -26,14 +25,6 @@ def query(sql: str | None):
     return add
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _json(**fields) -> Column:
     return F.to_json(F.struct(*((F.lit(v) if isinstance(v, (str, int, bool)) else v).alias(k) for k, v in fields.items())), {"ignoreNullFields": "false"})
 
@@ -103,7 +94,7 @@ WITH {SPELLED_SQL}, r AS (
 SELECT concurrency, coalesce(exclusion_reason, 'profiled') AS state, count(*) AS n FROM r GROUP BY ALL""")
 def built_requests(spark: SparkSession, d: str) -> DataFrame:
     """Profiles written as files of four concurrencies, built into tables, and counted from those."""
-    raw, out = shared(spark, "profiles"), shared(spark, "requests")
+    raw, out = new_folder(spark, "profiles"), new_folder(spark, "requests")
     lines = spelled_profiles(table(spark, d, "events")).select("value", (F.col("event_id") % 4 + 1).alias("conc"))
     for c in range(1, 5):
         lines.where(F.col("conc") == c).select("value").write.text(f"{raw}/conc{c}/raw_agentic")

@@ -167,7 +167,7 @@ def system_comparison(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pairing.compare_systems(side(1), side(2), "root_trace_id", ["n", "tokens", "ttft"], (2, 4)))
 
 
-REPS, SEED = 100, 7
+REPS, SEED = 1000, 7
 
 
 @query(request_sql(f"""
