@@ -120,7 +120,9 @@ def bootstrap_ratio(df: DataFrame, cluster: str, value: str, keys: Sequence[str]
     clusters = order_statistics.placed(cells.select(*keys, cluster).distinct(), keys, cluster).select(*keys, cluster, F.col("before_n").alias("i_"), F.col("all_n").alias("c_"))
     cells = order_statistics.with_ranges(cells, cells.select(*keys, "v_").distinct(), keys, "v_", width)
 
-    slots = clusters.select(*keys, "c_", F.col("i_").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    # few small rows become many: they are dealt before, which AQE would take back without a number
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = clusters.repartition(tasks, *keys, "i_").select(*keys, "c_", F.col("i_").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("rep").cast("string"), F.col("slot").cast("string"))
     drawn = slots.select(*keys, "rep", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("c_")).alias("i_"))
     lists = drawn.groupBy(*keys, "i_").agg(F.collect_list("rep").alias("reps"))
@@ -128,15 +130,15 @@ def bootstrap_ratio(df: DataFrame, cluster: str, value: str, keys: Sequence[str]
     lists = clusters.join(lists, [*keys, "i_"], "left").select(*keys, cluster, F.concat(once, F.coalesce("reps", F.array().cast("array<int>"))).alias("reps"))
     lists = checkpointed(lists)
 
-    by_range = cells.groupBy(*keys, cluster, "range_").agg(F.sum("n_").alias("n_")).join(lists, [*keys, cluster])
+    by_range = cells.groupBy(*keys, cluster, "range_").agg(F.sum("n_").alias("n_")).repartition(tasks, *keys, cluster).join(lists, [*keys, cluster])
     sums = by_range.select(*keys, "range_", "n_", F.explode("reps").alias("rep")).groupBy(*keys, "rep", "range_").agg(F.sum("n_").alias("n_"))
     each = Window.partitionBy(*keys, "rep")
     sums = sums.withColumns({"first_": F.sum("n_").over(each.orderBy("range_")) - F.col("n_"), "all_": F.sum("n_").over(each)})
     low, high = F.floor((F.col("all_") - 1) / 2), F.ceil((F.col("all_") - 1) / 2)
     holds = lambda place: (F.col("first_") <= place) & (place < F.col("first_") + F.col("n_"))
-    middle = sums.where(holds(low) | holds(high)).select(*keys, "rep", "range_", "first_", "all_")
+    middle = checkpointed(sums.where(holds(low) | holds(high)).select(*keys, "rep", "range_", "first_", "all_"))
 
-    near = cells.join(middle.select(*keys, "range_").distinct(), [*keys, "range_"], "left_semi").join(lists, [*keys, cluster])
+    near = cells.join(middle.select(*keys, "range_").distinct(), [*keys, "range_"], "left_semi").repartition(tasks, *keys, cluster).join(lists, [*keys, cluster])
     near = near.select(*keys, "range_", "v_", "n_", F.explode("reps").alias("rep")).groupBy(*keys, "rep", "range_", "v_").agg(F.sum("n_").alias("n_"))
     upto = F.sum("n_").over(Window.partitionBy(*keys, "rep", "range_").orderBy("v_"))
     near = near.join(middle, [*keys, "rep", "range_"]).withColumn("first_", F.col("first_") + upto - F.col("n_"))
