@@ -227,6 +227,24 @@ def test_log_archives_and_routing(spark, tmp_path):
     assert routing.completions(lines.withColumn("member", F.lit("other.out"))).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["tar", "tar.gz", "tar.bz2"])
+def test_large_log_archives_in_blocks(spark, tmp_path, kind):
+    """The same rows from blocks as from whole archives: empty members, long lines, a directory, a last line without an
+    end, names of more than 100 characters, two archives."""
+    texts = {"a.log": "".join(f"{k} \x1b[31mred\x1b[0m\n" for k in range(3000)), "empty.out": "", f"{'d' * 120}/b.out": "x" * 5000 + "\nlast", "skip.txt": "no\n", "c.out": "\r\n\r\n"}
+    for name in ("one, [two]", "three"):
+        with tarfile.open(tmp_path / f"{name}.{kind}", f"w:{kind[4:]}") as tar:
+            tar.addfile(tarfile.TarInfo("folder.log/") if name == "three" else tarfile.TarInfo("x.bin"))
+            for member, text in texts.items():
+                info = tarfile.TarInfo(member)
+                info.size = len(text)
+                tar.addfile(info, io.BytesIO(text.encode()))
+    whole, blocks = (sorted(map(tuple, files.log_lines(spark, str(tmp_path), whole_bytes=n).collect())) for n in (1 << 30, 0))
+    assert whole == blocks and len(whole) == 2 * (3000 + 2 + 2)
+    want = [(m, k, t.replace("\x1b[31m", "").replace("\x1b[0m", "").rstrip("\r")) for m, text in texts.items() if m.endswith(("log", "out")) for k, t in enumerate(text.removesuffix("\n").split("\n") if text else [], 1)]
+    assert sorted(x[1:] for x in whole if "three" in x[0]) == sorted(want)
+
+
 def test_named_objects(spark, tmp_path):
     series = {"description": "br{ace \"q\" }", "series": [{"endpoint_url": "u", "labels": {"worker": "w"}, "stats": {"avg": 1.0, "p50_estimate": 2.0}, "timeslices": [{"start_ns": 0, "end_ns": 5, "avg": 1.5}]}]}
     path = tmp_path / "metrics.json"

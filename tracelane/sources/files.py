@@ -10,6 +10,7 @@ import tarfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,32 +67,74 @@ def ragged_csv(lines: DataFrame, header_prefix: str, columns: Sequence[str]) ->
     return body.withColumn("cells", plain).select("line_no", *(at(i).alias(c) for i, c in enumerate(columns[:-1])), last.alias(columns[-1]))
 
 
-def log_lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".out", ".log")) -> DataFrame:
+BLOCK, WHOLE_BYTES = 512, 64 << 20
+
+
+class _Blocks(io.RawIOBase):
+    """A stream over blocks that an iterator gives; it holds one block and what is asked for."""
+
+    def __init__(self, blocks: Iterator[bytes]):
+        self.blocks, self.rest = blocks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        self.rest = self.rest or next(self.blocks, b"")
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _archive_lines(name: str, data: io.RawIOBase, suffixes: tuple[str, ...]) -> Iterator[tuple[str, str, int, str]]:
+    """The lines of an archive's log members, member by member, never going back."""
+    with tarfile.open(fileobj=io.BufferedReader(data, 1 << 20), mode="r|*") as tar:
+        for member in tar:
+            if member.isfile() and member.name.endswith(suffixes):
+                for k, raw in enumerate(tar.extractfile(member), 1):
+                    yield name, member.name, k, re.sub(ANSI, "", raw.decode("utf-8", "replace").rstrip("\r\n"))
+
+
+def log_lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".out", ".log"), whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """archive, member, line_no and line of the log members of tar archives; colour codes go, bad bytes are replaced.
-    An archive is read by one task as a stream of its members."""
+    An archive is read by one task from its first member to its last, since a member's place follows from those before.
+    Up to whole_bytes its content is one value; a larger one (.tar, .tar.gz, .tar.bz2), of any size, comes in blocks of
+    512 bytes, of which few are held. Other large archives are an error."""
+    schema = "archive string, member string, line_no long, line string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content.as_buffer()), mode="r:*") as tar:
-                    for member in tar:
-                        if not member.isfile() or not member.name.endswith(suffixes):
-                            continue
-                        rows: list[tuple[int, str]] = []
-                        for k, raw in enumerate(tar.extractfile(member), 1):
-                            rows.append((k, re.sub(ANSI, "", raw.decode("utf-8", "replace").rstrip("\r\n"))))
-                            if len(rows) == 10_000:
-                                yield _lines(name, member.name, rows)
-                                rows = []
-                        if rows:
-                            yield _lines(name, member.name, rows)
+                found = _archive_lines(name, io.BytesIO(content.as_buffer()), suffixes)
+                while rows := list(itertools.islice(found, 10_000)):
+                    yield _lines(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar*").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInArrow(read, "archive string, member string, line_no long, line string")
+    out = files.where(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(read, schema)
+    for row in files.where(F.col("length") > whole_bytes).select("path").toLocalIterator():  # names, not contents
+        if not row.path.endswith((".tar", ".tar.gz", ".tar.bz2")):
+            raise ValueError(f"no stream of blocks from {row.path}")
+        out = out.unionByName(spark.createDataFrame(_streamed(spark, row.path, suffixes), schema))
+    return out
+
+
+def _streamed(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> RDD:
+    """Rows of one archive, read as fixed blocks in one split; Spark decompresses on the way."""
+    plain = re.sub(r"([\[\]{}*?\\])", r"\\\1", path)  # the setting holds patterns, between commas
+    conf = {
+        "fixedlengthinputformat.record.length": str(BLOCK),
+        "mapreduce.input.fileinputformat.split.minsize": str((1 << 63) - 1),
+        "mapreduce.input.fileinputformat.inputdir": re.sub(r"([\\,])", r"\\\1", plain),
+    }
+    blocks = spark.sparkContext.newAPIHadoopRDD(
+        "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf
+    )
+    return blocks.mapPartitions(lambda part: _archive_lines(path, _Blocks(bytes(b) for _, b in part), suffixes))
 
 
-def _lines(archive: str, member: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([archive] * len(rows)), pa.array([member] * len(rows)), pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["archive", "member", "line_no", "line"])
+def _lines(rows: list[tuple[str, str, int, str]]) -> pa.RecordBatch:
+    archives, members, numbers, texts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(archives), pa.array(members), pa.array(numbers, pa.int64()), pa.array(texts)], names=["archive", "member", "line_no", "line"])
 
 
 _STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"')
