@@ -118,6 +118,39 @@ def brute_profile(texts: list[str], size: int) -> list[str]:
     return count
 
 
+def test_languages_equal_a_plain_ranking(spark, data):
+    """Every document against profiles and distances in plain Python, ties and odd texts included."""
+    from binascii import crc32
+    from collections import Counter
+
+    size = language_id.PROFILE
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-k, t, "en" if k % 2 else None) for k, t in enumerate([*ODD, "ŁŽ" * 500, "abc cba bac", "q", "1 2"], 1)], docs.schema)
+    docs = docs.unionByName(odd)
+    rows = docs.collect()
+
+    def first(gram: str) -> tuple:
+        return ({3: 0, 1: 1, 2: 2}[len(gram)], [ord(c) * (-1 if len(gram) == 3 else 1) for c in gram.replace(" ", "\0")])
+
+    def top(count) -> list[str]:
+        return sorted(count, key=lambda g: (-count[g], first(g)))[:size]
+
+    sums: dict = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and crc32(str(r.doc_id).encode()) % 3 != 1 and (count := brute_profile([r.text], size)):
+            sums.setdefault(r.lang, Counter()).update(count)
+    ranks = {of: {g: k for k, g in enumerate(top(count))} for of, count in sums.items()}
+    want = {}
+    for r in rows:
+        own = top(brute_profile([r.text or ""], size))
+        away = {of: sum(abs(rank[g] - k) if g in rank else size for k, g in enumerate(own)) for of, rank in ranks.items()}
+        best = min(sorted(away), key=away.get)
+        want[r.doc_id] = (best, pytest.approx(1 - away[best] / (size * len(own)))) if own else ("und", 0.0)
+    got = language_id.with_language(docs, language_id.learn_profiles(docs.where(~language_id.held_out()))).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in got} == want
+
+
 def test_grams_equal_a_plain_count():
     import numpy as np
 

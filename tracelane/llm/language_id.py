@@ -8,7 +8,8 @@ profile lacks. The nearest language wins, ties to the first in order.
 Letters are lowered and every other character is a word edge, so n-grams never cross words; an edge counts as
 a letter of bigrams and trigrams. A document that is null or has no letter gets ``und`` with score 0. Training
 rows with null language, null text or no letter teach nothing; with no training row left every document gets
-``und``. Ranks of equally frequent n-grams follow the n-grams' code points.
+``und``. Of equally frequent n-grams those of three come first, from the highest code points down, then single
+letters, then those of two, both from the lowest up.
 """
 
 from __future__ import annotations
