@@ -145,3 +145,16 @@ def test_marks_are_found_across_chunks():
     for shift in range(-8, 3):
         data = b"x" * ((1 << 20) + shift) + record
         assert [(f[0], f[2] is None) for f in warc.read_archive(data)] == [(0, True), ((1 << 20) + shift, False)]
+
+
+@pytest.mark.parametrize("size", [(1 << 20) - 40, 1 << 20, (3 << 20) + 7])
+def test_long_headers_read_alike_plain_and_zipped(size):
+    """Headers longer than one read of the file; without their end the record is a gap and the next one is found."""
+    long = warc.record([("WARC-Type", "metadata"), ("X-Long", "h" * size)], b"block")
+    short = warc.record([("WARC-Type", "metadata")], b"next")
+    for data in (long + short, gzip.compress(long) + gzip.compress(short)):
+        found = list(warc.read_archive(data))
+        assert [(f[2] is None, f[3]) for f in found] == [(False, b"block"), (False, b"next")] and len(found[0][2]["x-long"]) == size
+    cut = long.split(b"\r\nWARC-Block", 1)[0]
+    assert [f[4] for f in warc.read_archive(cut)] == ["headers don't end"]
+    assert [(f[2] is None, f[3]) for f in warc.read_archive(cut + short)][-1] == (False, b"next")

@@ -218,7 +218,11 @@ class Archive:
         head = self.read(at, HEADER_BYTES)
         if not _VERSION.match(head):
             raise ValueError("no version line")
-        stop = head.find(b"\r\n\r\n")
+        stop, size = head.find(b"\r\n\r\n"), HEADER_BYTES
+        while stop < 0 and len(head) == size and size < self.most:  # long headers: read on, each time twice as much
+            size = min(2 * size, self.most)
+            head = self.read(at, size)
+            stop = head.find(b"\r\n\r\n")
         length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", head[: stop + 2], re.IGNORECASE)
         if stop < 0:
             raise ValueError("headers don't end")
