@@ -7,12 +7,14 @@ import itertools
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracelane.llm import ann, decontaminate, near_dedup, queries, suffix_dedup
+from tracelane.llm.common import scratch, staged
 from tracelane.llm.components import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -91,6 +93,19 @@ def test_cut_keeps_other_columns_and_text(spark):
 
 def test_cut_of_an_empty_table(spark):
     assert suffix_dedup.cut_repeats(docs(spark, []).select("doc_id", "text")).count() == 0
+
+
+def test_suffix_folders_go_with_the_result(spark):
+    """Nothing but the kept result stays in the shared folder, suffix buckets and compared strings included."""
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {p.name for p in base.iterdir()}
+    passage = "".join(chr(97 + k * k % 26) + str(k) for k in range(120))
+    with scratch() as keep:
+        kept = keep(staged(suffix_dedup.cut_repeats(docs(spark, [passage + " a", "b " + passage, "c"]).select("doc_id", "text")), "result"))
+        during = {p.name.split("-")[0] for p in base.iterdir() if p.name not in before}
+    assert {"classes", "compared"} <= during
+    assert {p.name.split("-")[0] for p in base.iterdir() if p.name not in before} == {"result"}
+    assert kept.where("n_removed > 0").count() == 2
     assert cut(spark, [None]) == brute_cut([None], 200)
 
 

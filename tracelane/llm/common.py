@@ -52,11 +52,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
+    return registered(spark.read.schema(df.schema).parquet(path), path)
+
+
+def registered(df: DataFrame, path: str) -> DataFrame:
+    """df, which reads a folder of shared_dir that was written in parts, to be deleted as staged tables are."""
+    df._staged_at = path
     if _scratch:
-        _scratch[-1].append(out)
-    return out
+        _scratch[-1].append(df)
+    return df
 
 
 def discard(*tables: DataFrame) -> None:

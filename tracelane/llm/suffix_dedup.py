@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array, mix, renamed_clashes, scratch, shared_dir, shuffles_dropped, staged, struct_of, tidy
+from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array, mix, registered, renamed_clashes, scratch, shared_dir, shuffles_dropped, staged, struct_of, tidy
 
 LENGTH, PERIOD = 200, 133
 BLOCK_BYTES = 2 << 20
@@ -504,7 +504,7 @@ def _cut_repeats(df, text, length, period, keep_text, block_bytes, per_task, tex
 
         with shuffles_dropped(spark):
             _sorted_suffixes(left.select("block", "runs", "data").mapInArrow(tidy(sort_bucket), _ddl(_SUFFIXES))).write.mode("append").parquet(path)
-    sorted_ = spark.read.schema(_BACK).parquet(path)
+    sorted_ = keep(registered(spark.read.schema(_BACK).parquet(path), path))
     found = _joined_back(left.select("block", "runs", "data"), sorted_, "sorted")
 
     # strings compared by their bytes: round by round, and in parts where they are many times the input
@@ -555,6 +555,8 @@ def _cut_repeats(df, text, length, period, keep_text, block_bytes, per_task, tex
                 _sorted_strings(answered().mapInArrow(tidy(send), _ddl(_STRINGS)), length).withColumn("round", F.lit(r)).write.mode("append").parquet(texts)
         n_open = spark.read.schema(f"{_BACK}, round int").parquet(texts).where(F.col("round") == r).agg(F.sum("n")).first()[0] or 0
     rounds = len(plan)
+    if rounds:
+        keep(registered(spark.read.schema(f"{_BACK}, round int").parquet(texts), texts))
     back = found.join(spark.read.schema(f"{_BACK}, round int").parquet(texts).groupBy("block").agg(F.collect_list(F.struct("round", "slice", "a", "b")).alias("back")), "block", "left") if rounds else found.withColumn("back", F.lit(None).cast("array<struct<round int, slice int, a binary, b binary>>"))
 
     fields = blocks.schema["rows"].dataType.elementType.fields
