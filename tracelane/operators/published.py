@@ -48,6 +48,8 @@ PARTS = {
     "mean_input": ("request_metrics.tokens.input.mean",), "mean_output": ("request_metrics.tokens.output_actual.mean",),
 }
 IN_SECONDS, SECOND_UNITS = "request_metrics.latency", ("s", "sec", "seconds")
+# Four units in the last place of a double, relative to it.
+ROUNDING = 2.0**-50
 # Labels that name one model.
 MODEL_ALIASES = (("GLM-5.2 FP8", "zai-org/GLM-5.2-FP8"),)
 # What is said of metrics and of choices that weren't made.
@@ -206,7 +208,8 @@ def validated(raw: DataFrame, published: DataFrame, path: str = "path") -> DataF
     """Every metric of every concurrency on either side: values or labels, differences, tolerances, validation_status
     (pass, pass_alias_equivalent, mismatch, not_comparable, or why nothing was chosen) and validation_note.
 
-    raw: recomputed; published: chosen. Nothing absent passes."""
+    raw: recomputed; published: chosen. Nothing absent passes. A difference equal to a tolerance passes, whatever the
+    rounding of the doubles it is between; where the tolerance is 0, only equal values do."""
     more = ["selection_status", "selection_note", "candidate_file_count", "candidate_object_count", "candidate_source_paths", path]
     a = _long(raw, "raw").drop("raw_derivation")
     b = _long(published, "published", more).withColumnsRenamed({"key_": "p_", "metric": "m_"})
@@ -217,7 +220,9 @@ def validated(raw: DataFrame, published: DataFrame, path: str = "path") -> DataF
     gap = F.abs(F.col("raw_value") - F.col("published_value"))
     away = F.when(F.col("published_value") != 0, gap / F.abs("published_value")).when(gap == 0, 0.0)
     most, share = tolerances(F.col("metric"), F.col("published_value_derivation").isNotNull())
-    near = (gap <= F.coalesce(most, F.lit(0.0))) | F.coalesce(away <= F.coalesce(share, F.lit(0.0)), F.lit(False))
+    # 4.9 - 3.9 is a little more than 1 in doubles: what is within a tolerance may exceed it by the rounding of its terms
+    rounding = ROUNDING * F.greatest(F.abs("raw_value"), F.abs("published_value"))
+    near = (gap == 0) | ((most > 0) & (gap <= most + rounding)) | ((share > 0) & (gap <= share * F.abs("published_value") + rounding))
     x, y = text_or_null("raw_label"), text_or_null("published_label")
     labels = F.when(x.isNull() | y.isNull(), "not_comparable").when(same_label(x, y), "pass").when((F.col("metric") == "target_model") & same_label(x, y, MODEL_ALIASES), "pass_alias_equivalent").otherwise("mismatch")
     numbers = F.when(gap.isNull(), "not_comparable").when(near, "pass").otherwise("mismatch")
