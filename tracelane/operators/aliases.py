@@ -3,15 +3,18 @@
 A record is flattened to leaves: dotted paths with scalars, lists as JSON text with sorted keys. An alias fits a whole
 path, else the last name of a path, else the name before a closing ``value`` or ``val``, each without case and
 punctuation; of several paths the record's first one counts, and the first alias that fits anything decides, also when
-it finds null. Records are read once, whatever the number of fields and aliases.
+it finds null. Records are read once, whatever the number of fields and aliases, and aliases are looked up once for all
+records that have the same paths.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: What is known of a field: its text, its path, the text of its unit and the kind of its value.
 FOUND = T.StructType([T.StructField(n, T.StringType()) for n in ("value", "path", "unit", "kind")])
 _NAMES: dict[str, str] = {}
+#: Paths of record shapes that a task keeps at most, and those of one record more.
+SHAPE_PATHS = 50_000
 
 
 def plain_name(name: str) -> str:
@@ -47,10 +52,10 @@ def leaves(record: object) -> dict[str, object]:
 
 
 class Leaves:
-    """The leaves of one record with what aliases may fit."""
+    """The leaves of one record with what aliases may fit. flat: record is its leaves already."""
 
-    def __init__(self, record: object) -> None:
-        self.flat = leaves(record)
+    def __init__(self, record: object, flat: bool = False) -> None:
+        self.flat = record if flat else leaves(record)
         self.tiers: tuple[dict[str, str], ...] = ({}, {}, {})
         for path in self.flat:
             whole, last, parent = self.tiers
@@ -64,20 +69,51 @@ class Leaves:
     def path(self, aliases: Sequence[str]) -> str | None:
         return next((tier[a] for a in aliases for tier in self.tiers if a in tier), None)
 
-    def unit(self, path: str, near: bool) -> object:
-        """The unit beside a metric's value; near: beside any field, found like an alias."""
+    def unit_path(self, path: str, near: bool) -> str | None:
+        """Where the unit beside a metric's value would be; near: beside any field, found like an alias."""
         above = path.rpartition(".")[0]
         if near:
-            return self.flat.get(self.path([plain_name(f"{above or path}.unit")]) or "")
-        return self.flat.get(f"{above}.unit") if path.endswith((".value", ".val")) else None
+            return self.path([plain_name(f"{above or path}.unit")]) or ""
+        return f"{above}.unit" if path.endswith((".value", ".val")) else None
+
+    def unit(self, path: str, near: bool) -> object:
+        return self.flat.get(self.unit_path(path, near))
+
 
+class Shape:
+    """Where the fields are in all records with the same paths in the same order: for each field its place among the
+    leaves, its path and the place of its unit; and the same path and unit for the fields that may be whole objects."""
 
-def _text(v: object) -> str | None:
-    return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
+    def __init__(self, paths: Sequence[str], fields: Mapping[str, Sequence[str]], objects: Sequence[str], near: bool) -> None:
+        at = Leaves(dict.fromkeys(paths), flat=True)
+        place = {p: k for k, p in enumerate(paths)}
+        unit = lambda p: place.get(at.unit_path(p, near))
+        found = {f: at.path(aliases) for f, aliases in fields.items()}
+        self.leaves = [(f, place[p], p, unit(p)) for f, p in found.items() if p is not None]
+        self.objects = [(f, place.get(found[f]), unit(f)) for f in objects if f in fields]
 
 
-def _kind(v: object) -> str:
-    return "null" if v is None else "text" if isinstance(v, str) else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "object"
+_KINDS: dict[type, tuple[str, Callable[[object], str | None]]] = {
+    type(None): ("null", lambda v: v), str: ("text", lambda v: v), bool: ("boolean", json.dumps), int: ("number", int.__repr__), float: ("number", lambda v: repr(v) if math.isfinite(v) else json.dumps(v)),
+}
+_OBJECT = ("object", lambda v: json.dumps(v, ensure_ascii=False))
+
+
+def _structs(found: Mapping[str, list[list]], none: np.ndarray, kind: pa.StructType) -> pa.StructArray:
+    """One struct for each row, with a struct for each field: found says what is known of which rows; a field that isn't
+    there is of the kind null, and none marks the rows without a record."""
+    n, nulls, columns = len(none), pa.nulls(len(none), pa.string()), []
+    absent = pa.StructArray.from_arrays([nulls, nulls, nulls, pa.array(["null"]).take(pa.array(np.zeros(n, np.int64)))], fields=list(kind.field(0).type))
+    for f in kind:
+        known = found[f.name]
+        if not known:
+            columns.append(absent)
+            continue
+        at = np.zeros(n, np.int64)
+        at[known[0]] = np.arange(1, len(known[0]) + 1)
+        parts = [pa.array([first, *column], pa.string()).take(pa.array(at)) for first, column in zip((None, None, None, "null"), known[1:], strict=True)]
+        columns.append(pa.StructArray.from_arrays(parts, fields=list(f.type)))
+    return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array(none))
 
 
 def resolved(df: DataFrame, json_text: str, fields: Mapping[str, Sequence[str]], objects: Sequence[str] = (), near_units: bool = False, split: Callable[[object], list] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
@@ -91,22 +127,25 @@ def resolved(df: DataFrame, json_text: str, fields: Mapping[str, Sequence[str]],
     kept = [c for c in (df.columns if keep is None else keep)]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("object_no", T.IntegerType()), T.StructField("found", T.StructType([T.StructField(f, FOUND) for f in fields]))])
     want = to_arrow_schema(schema)
-
-    def look(record: object) -> dict:
-        at = Leaves(record)
-        out = {}
-        for f, aliases in plain.items():
-            path = at.path(aliases)
-            v = at.flat[path] if path is not None else None
-            if v is None and f in objects and isinstance(record, dict) and isinstance(record.get(f), (dict, list)):
-                path, v = f, record[f]
-            unit = at.unit(path, near_units) if path is not None else None
-            out[f] = {"value": _text(v), "path": path, "unit": unit if isinstance(unit, str) else None, "kind": _kind(v)}
-        return out
+    shapes: dict[tuple[str, ...], Shape] = {}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, numbers, found = [], [], []
+            take, numbers = [], []
+            found: dict[str, list[list]] = {f: [] for f in fields}  # of each field: rows and what is known in them
+
+            def put(f: str, row: int, v: object, path: str, unit: object) -> None:
+                columns = found[f]
+                if not columns:
+                    columns.extend([] for _ in range(5))
+                kind, text = _KINDS.get(type(v), _OBJECT)
+                at, texts, paths, units, kinds = columns
+                at.append(row)
+                texts.append(text(v))
+                paths.append(path)
+                units.append(unit if isinstance(unit, str) else None)
+                kinds.append(kind)
+
             for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 try:
                     record = json.loads(text) if text is not None else None
@@ -114,16 +153,31 @@ def resolved(df: DataFrame, json_text: str, fields: Mapping[str, Sequence[str]],
                     record = None
                 parts = [record] if split is None else split(record)
                 for n, part in enumerate(parts):
+                    row = len(take)
                     take.append(k)
                     numbers.append(n)
-                    found.append(look(part))
+                    flat = leaves(part)
+                    paths, values = tuple(flat), list(flat.values())
+                    shape = shapes.get(paths)
+                    if shape is None:
+                        if sum(map(len, shapes)) > SHAPE_PATHS:
+                            shapes.clear()
+                        shape = shapes[paths] = Shape(paths, plain, objects, near_units)
+                    whole = {}
+                    if isinstance(part, dict):
+                        whole = {f: unit for f, place, unit in shape.objects if (place is None or values[place] is None) and isinstance(part.get(f), (dict, list))}
+                    for f, place, path, unit in shape.leaves:
+                        if f not in whole:
+                            put(f, row, values[place], path, None if unit is None else values[unit])
+                    for f, unit in whole.items():
+                        put(f, row, part[f], f, None if unit is None else values[unit])
                 if not parts:
                     take.append(k)
                     numbers.append(None)
-                    found.append(None)
             picked = batch.take(pa.array(take, pa.int64()))
             columns = [picked.column(i).cast(want.field(i).type) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(found, want.field("found").type)], schema=want)
+            none = np.array([n is None for n in numbers], bool)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), _structs(found, none, want.field("found").type)], schema=want)
 
     out = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{json_text}`").cast("string").alias("json_text_")).mapInArrow(rows, schema)
     return out if split is not None else out.drop("object_no")
