@@ -16,6 +16,7 @@ ROOT_SUFFIXES = (
     ("strip_replay_suffix", r"(?i)(?:::|__|[#|])(?:replay|instance|session|worker|copy|dup)(?:[:_\-]?[a-z0-9])+$"),
     ("strip_loader_dup_suffix", r"(?i)(?:__|[#|])(?:dup|repeat)(?:[_\-]?\d)+$"),
 )
+UUID = r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}"
 # Words for a concurrency in a name.
 CONCURRENCY = r"(?:conc(?:urrency)?|concurrent)"
 
@@ -146,8 +147,9 @@ def artifact_category(name: Column | str) -> Column:
 
 
 def name_concurrency(name: Column | str) -> Column:
-    """The concurrency in a name (conc8, 8conc or c8 between marks); null if there is none or names disagree."""
-    n = F.lower(F.trim(as_column(name)))
+    """The concurrency in a name (conc8, 8conc or c8 between marks); null if there is none or names disagree. A UUID, as
+    Spark puts into the names of its files, says nothing: -c817- may be a part of it."""
+    n = F.regexp_replace(F.lower(F.trim(as_column(name))), UUID, "")
     patterns = (rf"(?<![a-z0-9]){CONCURRENCY}[_.-]?(\d+)(?!\d)", rf"(?<![a-z0-9])(\d+)[_.-]?{CONCURRENCY}(?![a-z0-9])", r"(?:^|[_.-])c[_.-]?(\d+)(?:$|[_.-])")
     texts = F.flatten(F.array(*(F.regexp_extract_all(n, F.lit(p), 1) for p in patterns)))
     found = F.array_distinct(F.filter(F.transform(texts, lambda x: x.try_cast("int")), lambda x: x > 0))

@@ -50,7 +50,8 @@ def build_requests(spark: SparkSession, raw: str, out: str, artifacts: DataFrame
     n_files = _profile_files(spark, raw, glob)
     if not n_files and missing == "error":
         raise FileNotFoundError(f"no {glob} below {raw}")
-    rows = classified(read_profiles(spark, raw, artifacts, environment, glob=glob), **how) if n_files else empty_requests(spark)
+    faults = Observation("faults")
+    rows = classified(read_profiles(spark, raw, artifacts, environment, glob=glob, bad=faults), **how) if n_files else empty_requests(spark)
     count = Observation("requests")
     rows = rows.observe(count, F.count(F.lit(1)).alias("all"), F.count_if("is_profiled_valid").alias("profiled"), F.count_if(~F.col("is_profiled_valid")).alias("excluded"), F.count_if("is_exact_duplicate").alias("duplicates"))
     write_parquet(rows, f"{out}/requests_all.parquet")
@@ -61,9 +62,9 @@ def build_requests(spark: SparkSession, raw: str, out: str, artifacts: DataFrame
     profiled = read_table(spark, f"{out}/requests_profiled.parquet").count()
     if profiled != seen["profiled"] or seen["profiled"] + seen["excluded"] != seen["all"]:
         raise ValueError(f"{profiled} profiled requests were written, {seen} were seen")
-    bad = issues(numbered(spark, raw, recursive=True, glob=glob)).select("file_path", "line_no", "issue") if n_files else None
-    n_bad = bad.count() if bad is not None else 0
-    if n_bad:
+    n_bad = faults.get["n"] if n_files else 0
+    if n_bad:  # only then are the lines read again
+        bad = issues(numbered(spark, raw, recursive=True, glob=glob)).select("file_path", "line_no", "issue")
         write_parquet(bad, f"{out}/request_issues.parquet")
     status = {
         "raw_root": raw, "output_dir": out, "profile_export_count": n_files, "all_record_count": seen["all"], "profiled_record_count": seen["profiled"], "excluded_record_count": seen["excluded"],

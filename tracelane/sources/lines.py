@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,7 @@ def numbered(spark: SparkSession, path: str | list[str], recursive: bool = False
     splits = raw.groupBy("file_path", "at_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_"))
     before = Window.partitionBy("file_path").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0)))
-    out = raw.join(splits, ["file_path", "at_"])
+    out = raw.join(F.broadcast(splits), ["file_path", "at_"])  # a few numbers for each split; no line is shuffled
     return out.select("file_path", (F.col("id_") - F.col("first_") + F.col("before_") + 1).alias("line_no"), "value")
 
 
@@ -26,8 +26,7 @@ def json_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """lines that aren't blank, with record (variant) and issue: malformed_json, not_an_object or null. strict: a line
     with an issue is an error that names its place."""
     out = lines.where(F.trim("value") != "").withColumn("record", F.try_parse_json("value"))
-    is_object = F.expr("schema_of_variant(record)").startswith("OBJECT")
-    issue = F.when(F.col("record").isNull(), "malformed_json").when(~is_object, "not_an_object")
+    issue = F.when(F.col("record").isNull(), "malformed_json").when(~F.col("value").rlike(r"^\s*\{"), "not_an_object")
     out = out.withColumn("issue", issue)
     if strict:
         where = F.concat(F.col("issue"), F.lit(" at "), *( [F.col("file_path"), F.lit(":"), F.col("line_no").cast("string")] if "line_no" in lines.columns else [F.substring("value", 1, 80)]))
@@ -35,8 +34,11 @@ def json_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
-def good_records(lines: DataFrame) -> DataFrame:
-    return json_lines(lines).where("issue is null").drop("issue")
+def good_records(lines: DataFrame, bad: Observation | None = None) -> DataFrame:
+    """The lines that are JSON objects. bad: counts the others on the way, as n."""
+    out = json_lines(lines)
+    out = out.observe(bad, F.count_if(F.col("issue").isNotNull()).alias("n")) if bad is not None else out
+    return out.where("issue is null").drop("issue")
 
 
 def issues(lines: DataFrame) -> DataFrame:

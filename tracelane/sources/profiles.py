@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracelane.functions.coerce import SOME_ERROR, duration_ms, epoch_ns, error_category, error_present, finite, number, text_or_null, truth, whole
@@ -113,17 +113,17 @@ def canonical(records: DataFrame, json_text: str = "value", extended: bool = Tru
     return out.drop("found")
 
 
-def read_profiles(spark: SparkSession, path: str, artifacts: DataFrame | None = None, environment: Mapping[str, object] | None = None, extended: bool = True, glob: str = GLOB) -> DataFrame:
+def read_profiles(spark: SparkSession, path: str, artifacts: DataFrame | None = None, environment: Mapping[str, object] | None = None, extended: bool = True, glob: str = GLOB, bad: Observation | None = None) -> DataFrame:
     """All profile_export.jsonl (or files of another name pattern) below a path as canonical requests, with file and line number.
 
     artifacts (artifact_id, artifact_name, concurrency): the run's inventory; a file's artifact is found by its path.
     Without one, and where it leaves the concurrency open, that of the path counts. environment: values for columns of
-    CONTEXT. Lines that are no JSON objects are left out; lines.issues gives them.
+    CONTEXT. Lines that are no JSON objects are left out and, with bad, counted; lines.issues gives them.
     """
     from tracelane.operators.reconcile import profile_context
 
     lines = numbered(spark, path, recursive=True, glob=glob)
-    records = good_records(lines).withColumnsRenamed({"file_path": "source_file_path", "line_no": "record_ordinal"})
+    records = good_records(lines, bad).withColumnsRenamed({"file_path": "source_file_path", "line_no": "record_ordinal"})
     known = path_concurrency("source_file_path")
     if artifacts is not None:
         files = records.select("source_file_path").distinct()
