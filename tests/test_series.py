@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelane.operators import intervals as iv, ranks as rk, reconcile as rc, relations, routing, schema_inventory as si, traces as tr
+from tracelane.operators import intervals as iv, pairing, ranks as rk, reconcile as rc, relations, routing, schema_inventory as si, traces as tr
 from tracelane.sources import files, sinks
 from tracelane.sources.lines import numbered
 
@@ -379,3 +379,18 @@ def test_worker_verdicts_and_inventory(spark):
     csv = spark.createDataFrame([(1, "m", "Histogram", "d", "5"), (2, "sglang:num_running_reqs", "gauge", None, "nan"), (3, "skip", "gauge", "x", "1")], "line_no int, M string, T string, D string, avg string")
     m = rk.metric_inventory(csv, ["m", "sglang:num_running_reqs"], {"metric": "M", "type": "T", "description": "D", "avg": "avg"}).orderBy("line_no").collect()
     assert [(r.component, r.avg, r.worker) for r in m] == [("csv_histogram_labels_unparsed", None, None), ("unlabeled", None, None)] and m[1].meaning.startswith("explicit SGLang running-request gauge")
+
+
+def test_draws_are_dealt_in_lists_not_one_by_one(spark):
+    from hashlib import md5
+
+    rows = [("a", 1, k, 7) for k in range(7)] + [("b", 2, k, 3) for k in range(3)]
+    clusters = spark.createDataFrame(rows, "g string, h int, i_ long, c_ long")
+    lists = pairing._drawn(clusters.coalesce(1), ["g", "h"], 50, 3)
+    got = lists.collect()
+    assert len(got) == 10  # one list for each cluster of a batch, not one row for each of 500 draws
+    want = {}
+    for g, h, slot, c in rows:
+        for rep in range(50):
+            want.setdefault((g, h, int(md5(f"3|{g}|{h}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % c), []).append(rep)
+    assert {(r.g, r.h, r.i_): sorted(r.reps) for r in got} == {k: sorted(v) for k, v in want.items()}

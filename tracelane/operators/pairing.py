@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracelane.functions.aggregates import exact_percentile, first_known
 from tracelane.functions.coerce import ratio
@@ -105,6 +110,39 @@ def compare_systems(a: DataFrame, b: DataFrame, key: str, metrics: Sequence[str]
     return out.withColumns({"ratio": ratio("right_value", "left_value"), "worker_normalized_ratio": ratio(F.col("right_value") / workers[1], F.col("left_value") / workers[0])})
 
 
+#: Draws that a task sorts at a time.
+DRAWS = 1 << 20
+
+
+def _drawn(clusters: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """keys, i_ and reps: the replicates that drew cluster i_ of c_, in lists that together hold every draw once. Slot
+    i_ of replicate rep draws the first four bytes of md5(seed|keys|rep|slot), modulo c_. About a million draws are
+    sorted at a time, so that what is shuffled is lists, not draws."""
+    schema = T.StructType([*(clusters.schema[k] for k in keys), T.StructField("i_", T.LongType()), T.StructField("reps", T.ArrayType(T.IntegerType()))])
+    want, n = to_arrow_schema(schema), len(keys)
+    middles = [b"|%d|" % rep for rep in range(replicates)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, DRAWS // replicates)
+        for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            heads, slots, sizes = (part.column(n + k).to_pylist() for k in range(3))
+            ends = zip([h.encode() for h in heads], [b"%d" % slot for slot in slots], strict=True)
+            words = b"".join([md5(head + m + slot).digest()[:4] for head, slot in ends for m in middles])
+            groups = {h: row for row, h in enumerate(heads)}  # of each group one row, which has its keys
+            group = np.repeat([groups[h] for h in heads], replicates)
+            drawn = np.frombuffer(words, ">u4").astype(np.int64) % np.repeat(sizes, replicates)
+            order = np.lexsort((drawn, group))
+            group, drawn = group[order], drawn[order]
+            first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (drawn[1:] != drawn[:-1])])
+            reps = np.tile(np.arange(replicates, dtype=np.int32), part.num_rows)[order]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(reps)].astype(np.int32)), pa.array(reps), type=want.field("reps").type)
+            own = part.take(pa.array(group[first]))
+            yield pa.RecordBatch.from_arrays([*(own.column(k).cast(want.field(k).type) for k in range(n)), pa.array(drawn[first]), lists], schema=want)
+
+    head = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    return clusters.select(*keys, head.alias("head_"), "i_", "c_").mapInArrow(draw, schema)
+
+
 def bootstrap_ratio(df: DataFrame, cluster: str, value: str, keys: Sequence[str], replicates: int = 1000, seed: int = 7, width: int = 256) -> DataFrame:
     """Median ratio for each key with a 95 % interval from resampling whole clusters with replacement.
 
@@ -122,10 +160,7 @@ def bootstrap_ratio(df: DataFrame, cluster: str, value: str, keys: Sequence[str]
 
     # few small rows become many: they are dealt before, which AQE would take back without a number
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = clusters.repartition(tasks, *keys, "i_").select(*keys, "c_", F.col("i_").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("rep").cast("string"), F.col("slot").cast("string"))
-    drawn = slots.select(*keys, "rep", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("c_")).alias("i_"))
-    lists = drawn.groupBy(*keys, "i_").agg(F.collect_list("rep").alias("reps"))
+    lists = _drawn(clusters.repartition(tasks, *keys, "i_"), keys, replicates, seed).groupBy(*keys, "i_").agg(F.flatten(F.collect_list("reps")).alias("reps"))
     once = F.array(F.lit(-1))  # replicate -1 is the table itself
     lists = clusters.join(lists, [*keys, "i_"], "left").select(*keys, cluster, F.concat(once, F.coalesce("reps", F.array().cast("array<int>"))).alias("reps"))
     lists = checkpointed(lists)
