@@ -154,6 +154,13 @@ def test_chunks_keep_columns_and_name_clashes(spark):
         assert [(out[i].doc, out[i]["items"]) for i in range(3)] == [("mine", 0), ("mine", 1), ("mine", 2)]
 
 
+def test_a_task_of_decontamination_needs_one_python_worker(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    out = decontaminate.decontaminated(docs(spark, ["a b c d", "x", None]).drop("block"), bench, keep_text=True)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.text, r.n_hit) for r in out.collect()) == [(0, "a b c d", 3), (1, "x", 0), (2, None, 0)]
+
+
 def test_phrases_never_cross_documents(spark):
     item = "a b c d e f g h i j k l m"
     out = decontaminate.decontaminated(docs(spark, ["a b c d e f g", "h i j k l m", item]).coalesce(1).drop("block"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()

@@ -388,3 +388,29 @@ def test_a_worker_keeps_the_words_of_a_large_text(monkeypatch):
     first = use.encode(text)
     monkeypatch.setattr(use, "word_ids", None)  # nothing is encoded anew
     assert use.encode(text) == first
+
+
+def test_a_worker_lets_go_of_what_other_operators_keep():
+    from tracelane.llm import common
+
+    def work(batches):
+        yield piece_coding.coder.cache_info().currsize
+
+    piece_coding.coder(MODEL)
+    work.__module__ = piece_coding.__name__
+    assert list(common.tidy(work)(iter(()))) == [1]  # the operator's own task finds it
+    work.__module__ = language_id.__name__
+    assert list(common.tidy(work)(iter(()))) == [0]
+
+
+def test_a_kept_word_is_little_more_than_itself_and_its_ids():
+    import tracemalloc
+
+    own = piece_coding.PieceCoder(MODEL)
+    text = " ".join(f"word{k}" for k in range(50_000))
+    own.encode(text[:1000])
+    tracemalloc.start()
+    own.encode(text)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(own.young) >= 50_000 and held < 250 * len(own.young)

@@ -87,18 +87,48 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
             _scratch[-1].extend(kept)
 
 
+_kept: dict[str, list] = {}
+
+
+def kept(most: int) -> Callable[[Callable], Callable]:
+    """lru_cache for what a Python worker keeps from task to task. It goes when a task of another operator (module)
+    begins in the worker: workers live as long as the application, and each would hold what every operator keeps."""
+
+    def keep(make: Callable) -> Callable:
+        found = functools.lru_cache(maxsize=most)(make)
+        _kept.setdefault(make.__module__, []).append(found)
+        return found
+
+    return keep
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _let_go(but: str) -> None:
+    """Drop what modules but one keep in this worker."""
+    held = [f for module, found in _kept.items() if module != but for f in found if f.cache_info().currsize]
+    for f in held:
+        f.cache_clear()
+    if held:
+        _trim()
+
+
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """work, after which the Python worker gives the memory it no longer uses back to the system: workers live on
-    from task to task and would keep the most that any of them took."""
+    """work, before which the Python worker lets go of what other operators keep in it, and after which it gives the
+    memory it no longer uses back to the system: workers live on from task to task and would keep the most that any of
+    them took."""
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
+        _let_go(work.__module__)
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            _trim()
 
     return run
 

@@ -22,7 +22,7 @@ chunk the index is read once for each, and only the hits of the documents that h
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +39,7 @@ BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
 #: Postings of rarest terms looked at together in one block.
 BUDGET = 1 << 20
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _POSTINGS = [("doc_starts", T.IntegerType()), ("counts", T.IntegerType()), ("positions", T.IntegerType())]
 
 
@@ -193,10 +194,10 @@ def chunks(benchmark: DataFrame, item: str, text: str, n: int) -> Iterator[list[
 _FOUND = [T.StructField("block", T.StringType()), T.StructField("doc", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def search(index: DataFrame, phrases: Phrases, slop: int | None = None, only_hits: bool = False) -> DataFrame:
+def search(index: DataFrame, phrases: Phrases, slop: int | None = None, only_hits: bool = False, then: tuple[Work, T.StructType] | None = None) -> DataFrame:
     """A row for each document: row (a struct of its columns), block, doc (its place in the block), n_words, hits (flat
     pairs of first word and end, merged) and items. slop: proximity matches instead of exact phrases. only_hits:
-    documents that have one, without row."""
+    documents that have one, without row. then: what is made of these rows at once, and its schema."""
     sent = index.sparkSession.sparkContext.broadcast(phrases)
     rows = [] if only_hits else [T.StructField("row", index.schema["rows"].dataType.elementType)]
     schema = T.StructType([*rows, *_FOUND])
@@ -237,11 +238,19 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None = None, only_hit
                 yield made.filter(pa.array([bool(x) for x in items], pa.bool_())) if only_hits else made
 
     columns = ["block", "doc_starts", "terms", "counts", "positions", *([] if only_hits else ["rows"])]
-    return index.select(*columns).mapInArrow(tidy(match), schema)
+    if then is None:
+        return index.select(*columns).mapInArrow(tidy(match), schema)
+    made, result = then  # in the same Python worker: a second mapInArrow would be a second worker for each task
 
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return made(match(batches))
 
-def _verdicts(found: DataFrame, fields: list[T.StructField], threshold: int) -> DataFrame:
-    """Counts and digest from hits (a list of merged pairs, or of several such lists joined) and items."""
+    return index.select(*columns).mapInArrow(tidy(both), result)
+
+
+def _verdicts(fields: list[T.StructField], threshold: int) -> tuple[Work, T.StructType]:
+    """Makes counts and digest from row, n_words, hits (a list of merged pairs, or of several such lists joined) and
+    items; and the schema of the result."""
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
     want = arrow_schema(schema)
 
@@ -262,30 +271,29 @@ def _verdicts(found: DataFrame, fields: list[T.StructField], threshold: int) ->
             out = [*batch.column("row").flatten(), words, hit, pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), bad]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, want, strict=True)], schema=want)
 
-    return found.select("row", "n_words", "hits", "items").mapInArrow(tidy(judge), schema)
+    return judge, schema
 
 
 def contamination(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, threshold: int = 20, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """For each indexed document its columns and n_words, n_hit, n_items (items with a phrase in it), items_sha256
     (of their ids sorted as strings) and contaminated: n_hit > 0 and threshold * n_hit >= n_words."""
-    rows = index.schema["rows"].dataType.elementType
+    judge, schema = _verdicts(index.schema["rows"].dataType.elementType.fields, threshold)
     size = benchmark.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
     if n == 1:
-        found = search(index, Phrases.of(next(chunks(benchmark, item, text, 1)), window))
-    else:
-        if not hasattr(index, "_staged_at"):
-            index = staged(index, "postings")  # blocks must bear the same names in every search
-        hits = None
-        for items in chunks(benchmark, item, text, n):
-            part = search(index, Phrases.of(items, window), only_hits=True)
-            hits = part if hits is None else hits.unionByName(part)
-        # no document has more hits or items than the benchmark gives it: one list for each chunk and document
-        hits = hits.groupBy("block", "doc").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-        documents = search(index, Phrases.of([], window)).drop("hits", "items")
-        none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
-        found = documents.join(hits, ["block", "doc"], "left").select("row", "n_words", none("hits"), none("items"))
-    return _verdicts(found, rows.fields, threshold)
+        return search(index, Phrases.of(next(chunks(benchmark, item, text, 1)), window), then=(judge, schema))
+    if not hasattr(index, "_staged_at"):
+        index = staged(index, "postings")  # blocks must bear the same names in every search
+    hits = None
+    for items in chunks(benchmark, item, text, n):
+        part = search(index, Phrases.of(items, window), only_hits=True)
+        hits = part if hits is None else hits.unionByName(part)
+    # no document has more hits or items than the benchmark gives it: one list for each chunk and document
+    hits = hits.groupBy("block", "doc").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    documents = search(index, Phrases.of([], window)).drop("hits", "items")
+    none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
+    found = documents.join(hits, ["block", "doc"], "left").select("row", "n_words", none("hits"), none("items"))
+    return found.mapInArrow(tidy(judge), schema)
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keep_text: bool = False, **how) -> DataFrame:

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tracelane.llm import license_texts
-from tracelane.llm.common import by_bytes, renamed_clashes, tidy
+from tracelane.llm.common import by_bytes, kept, renamed_clashes, tidy
 
 BATCH_BYTES, GAP = 1 << 20, 1
 
@@ -162,7 +161,7 @@ class Recogniser:
         return [name for _, name, _ in found], matches
 
 
-@lru_cache(maxsize=1)
+@kept(1)
 def standard(gap: int) -> Recogniser:
     return Recogniser(gap=gap)
 

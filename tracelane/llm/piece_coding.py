@@ -6,7 +6,8 @@ compatible pair with the last token of the prefix before it (two tokens are comp
 text gives just these two). Ids are then recovered backwards from the end of the word.
 
 Words: no piece of such a model has a space mark after another character, so a text falls apart before each
-run of marks; words repeat, and each worker keeps what those it met lately gave (2 * ``CACHE`` words at most, from task to task).
+run of marks; words repeat, and each worker keeps the ids of those it met lately (2 * ``CACHE`` words at most, from task
+to task of this operator). Their digits and texts are looked up for a batch at a time.
 A character that is no piece is written as its UTF-8 bytes; it merges with nothing.
 
 Null text counts as empty: no ids, empty decoded text. Texts may hold anything, the space mark too (it decodes
@@ -19,7 +20,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelane.llm.common import by_bytes, renamed_clashes, tidy
+from tracelane.llm.common import by_bytes, kept, list_array, renamed_clashes, tidy
 
 MARK = "▁"
 #: Words of one generation. On the check input 25,000 of a megabyte's 156,000 words were not kept with 160,000, 15,000 with 400,000.
@@ -79,11 +79,12 @@ class PieceCoder:
         self.odd = {w for w, parts in self.halves.items() if any(len(x) > 1 and self.score[x] <= self.score[w] for x in parts)}
         self.edges: dict[tuple[int, int], list[tuple[str, float]]] = {}
         self.automaton.make_automaton()
-        self.young: dict[str, tuple[bytes, str, bytes]] = {}
-        self.old: dict[str, tuple[bytes, str, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.lines_apart = self.byte_id[10] >= 0 and not any("\n" in p for p in self.ids)
-        self.digits = [str(i) for i in range(model.get_piece_size())]
+        self.digits = pa.array([b"%d" % i for i in range(model.get_piece_size())], pa.large_binary())
+        self.surfaces = pa.array(self.surface, pa.large_binary())
 
     @staticmethod
     def _pieces_like_library(model, text: str) -> list[str]:
@@ -176,13 +177,13 @@ class PieceCoder:
             end -= length[end]
         return tuple(reversed(out))
 
-    def given(self, ids: tuple[int, ...]) -> tuple[bytes, str, bytes]:
-        return array("i", ids).tobytes(), "".join([self.digits[i] + "," for i in ids]), b"".join([self.surface[i] for i in ids])
+    @staticmethod
+    def given(ids: tuple[int, ...]) -> bytes:
+        return array("i", ids).tobytes()
 
-    def known(self, key: str) -> tuple[bytes, str, bytes]:
-        """What a word (key: the word without its first mark; or a line end and what follows it) gives: its ids as
-        four bytes each, as decimal text with a comma after each, and the text of its tokens. Words are kept in two
-        generations, the older dropped when the younger is full."""
+    def known(self, key: str) -> bytes:
+        """The ids of a word (key: the word without its first mark; or a line end and what follows it) as four bytes
+        each. Words are kept in two generations, the older dropped when the younger is full."""
         got = self.young.get(key)
         if got is None:
             got = self.old.get(key)
@@ -210,11 +211,10 @@ class PieceCoder:
             end -= 1
         return list(range(end, len(key)))
 
-    def joined(self, parts: list[str]) -> tuple[bytes, str, bytes]:
-        """What a word gives that falls into these parts; only the first bears the word's mark or line end."""
+    def joined(self, parts: list[str]) -> bytes:
+        """The ids of a word that falls into these parts; only the first bears the word's mark or line end."""
         made = {c: self.given(self.word_ids(c)) for c in set(parts[1:])}
-        ids, decimal, tokens = zip(self.young.get(parts[0]) or self.known(parts[0]), *map(made.__getitem__, parts[1:]), strict=True)
-        return b"".join(ids), "".join(decimal), b"".join(tokens)
+        return b"".join([self.young.get(parts[0]) or self.known(parts[0]), *map(made.__getitem__, parts[1:])])
 
     def keys_of(self, word: str) -> list[str]:
         """A word cut before its line ends, which are pieces of their own if the model has none with a line end."""
@@ -223,19 +223,19 @@ class PieceCoder:
         first, *rest = word.split("\n")
         return [first, *("\n" + x for x in rest)]
 
-    def parts(self, text: str) -> list[tuple[bytes, str, bytes]]:
-        """What each word of the text gives, in order."""
+    def packed(self, text: str) -> bytes:
+        """The ids of the text as four bytes each."""
         if not text:
-            return []
+            return b""
         if self.lines_apart and text[0] != " " and "  " not in text and " \n" not in text and MARK not in text:
             keys = text.replace("\n", " \n").split(" ")  # single spaces: each word bears one mark
         else:
             keys = [k for w in _WORD.findall(MARK + text.replace(" ", MARK)) for k in self.keys_of(w[1:])]
         young = self.young
-        return [young.get(k) or self.known(k) for k in keys]
+        return b"".join([young.get(k) or self.known(k) for k in keys])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([p[0] for p in self.parts(text)]), np.int32).tolist()
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.text(b"".join(map(self.surface.__getitem__, ids)))
@@ -246,7 +246,7 @@ class PieceCoder:
         return (tokens[1:] if tokens[:1] == b" " else tokens).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@kept(2)
 def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
@@ -269,22 +269,18 @@ def with_pieces(df: DataFrame, model_path: str, text: str = "text", results: tup
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(model_path)
         for table in by_bytes(batches, text, batch_bytes):
-            made: dict[str, list] = {r: [] for r in results}
-            for value in pc.fill_null(table[text], "").to_pylist():
-                parts = use.parts(value)
-                ids, decimal, tokens = ("".join(x) if i == 1 else b"".join(x) for i, x in enumerate(zip(*parts, strict=True))) if parts else (b"", "", b"")
-                if "n_tokens" in made:
-                    made["n_tokens"].append(len(ids) // 4)
-                if "ids" in made:
-                    made["ids"].append(np.frombuffer(ids, np.int32))
-                if "ids_sha256" in made:
-                    made["ids_sha256"].append(hashlib.sha256(decimal[:-1].encode()).hexdigest())
-                if "decoded" in made or "decoded_sha256" in made:
-                    back = use.text(tokens)
-                    if "decoded" in made:
-                        made["decoded"].append(back)
-                    if "decoded_sha256" in made:
-                        made["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
+            packed = [use.packed(value) for value in pc.fill_null(table[text], "").to_pylist()]
+            made: dict[str, list] = {"n_tokens": [len(x) // 4 for x in packed]}
+            ids, at = pa.array(np.frombuffer(b"".join(packed), np.int32)), np.cumsum([0, *made["n_tokens"]])
+            told = lambda of, mark: pc.binary_join(list_array(of.take(ids), at), pa.scalar(mark, pa.large_binary()))  # noqa: B023, E731
+            if "ids" in results:
+                made["ids"] = [np.frombuffer(x, np.int32) for x in packed]
+            if "ids_sha256" in results:
+                made["ids_sha256"] = [hashlib.sha256(x.as_buffer()).hexdigest() for x in told(use.digits, b",")]
+            if "decoded" in results or "decoded_sha256" in results:
+                made["decoded"] = [use.text(x) for x in told(use.surfaces, b"").to_pylist()]
+            if "decoded_sha256" in results:
+                made["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in made["decoded"]]
             out = table.select(names)
             for r in results:
                 out = out.append_column(r, pa.array(made[r], kinds.get(r, pa.string())))

@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelane.llm.common import by_bytes, renamed_clashes, tidy
+from tracelane.llm.common import by_bytes, kept, renamed_clashes, tidy
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 BATCH_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
 
 
-@lru_cache(maxsize=4)
+@kept(4)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
