@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,16 @@ def test_a_task_of_decontamination_needs_one_python_worker(spark):
     assert sorted((r.doc_id, r.text, r.n_hit) for r in out.collect()) == [(0, "a b c d", 3), (1, "x", 0), (2, None, 0)]
 
 
+def test_an_index_is_written_and_read_block_by_block(spark):
+    """Spark decodes a whole row group at once; a block is about as large as a text here."""
+    bench = spark.createDataFrame([(1, "x y"), (2, "y z")], "item_id long, text string")
+    df = docs(spark, ["a b c " * 200_000, "x y " + "a b c " * 200_000, "a b c " * 200_000 + "y z"]).drop("block").coalesce(1)
+    for out in (decontaminate.decontaminated(df, bench, keep_text=True), decontaminate.contamination(decontaminate.build_index(df), bench, chunk_bytes=70)):
+        assert sorted((r.doc_id, r.n_words, r.n_hit) for r in out.select("doc_id", "n_words", "n_hit").collect()) == [(0, 600_000, 0), (1, 600_002, 2), (2, 600_002, 2)]
+        groups = [m.row_group(k).num_rows for f in out.inputFiles() if "postings" in f for m in [pq.read_metadata(f.removeprefix("file:").replace("//", "/"))] for k in range(m.num_row_groups)]
+        assert groups == [1, 1, 1]
+
+
 def test_phrases_never_cross_documents(spark):
     item = "a b c d e f g h i j k l m"
     out = decontaminate.decontaminated(docs(spark, ["a b c d e f g", "h i j k l m", item]).coalesce(1).drop("block"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()

@@ -46,12 +46,17 @@ def shuffles_dropped(spark: SparkSession):
 _scratch: list[list[DataFrame]] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and executors can be lost."""
+#: For tables whose rows are blocks of megabytes. Spark decodes up to 4096 rows of a row group at once, and Parquet's writer
+#: first looks at how much it holds after 100 rows: a task would hold hundreds of blocks, as many as its share of the input has.
+LARGE_ROWS = {"parquet.block.row.count.limit": "1"}
+
+
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut and executors can be lost. options: of the writer."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     with shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     return registered(spark.read.schema(df.schema).parquet(path), path)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelane.llm.common import arrow_schema, by_bytes, flat_text, list_array, renamed_clashes, split_words, staged, struct_of, tidy
+from tracelane.llm.common import LARGE_ROWS, arrow_schema, by_bytes, flat_text, list_array, renamed_clashes, split_words, staged, struct_of, tidy
 
 WINDOW = 13
 BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
@@ -283,7 +283,7 @@ def contamination(index: DataFrame, benchmark: DataFrame, item: str = "item_id",
     if n == 1:
         return search(index, Phrases.of(next(chunks(benchmark, item, text, 1)), window), then=(judge, schema))
     if not hasattr(index, "_staged_at"):
-        index = staged(index, "postings")  # blocks must bear the same names in every search
+        index = staged(index, "postings", **LARGE_ROWS)  # blocks must bear the same names in every search
     hits = None
     for items in chunks(benchmark, item, text, n):
         part = search(index, Phrases.of(items, window), only_hits=True)
@@ -298,4 +298,4 @@ def contamination(index: DataFrame, benchmark: DataFrame, item: str = "item_id",
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keep_text: bool = False, **how) -> DataFrame:
     """Index df in the shared folder and judge every document."""
-    return contamination(staged(build_index(df, text, keep_text), "postings"), benchmark, **how)
+    return contamination(staged(build_index(df, text, keep_text), "postings", **LARGE_ROWS), benchmark, **how)
