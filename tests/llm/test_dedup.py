@@ -172,6 +172,20 @@ def test_an_index_is_written_and_read_block_by_block(spark):
         assert groups == [1, 1, 1]
 
 
+def test_the_pipeline_reads_its_index_block_by_block(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "a b c d e f g h i j k l m"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = "x y z " * 200_000
+    df = docs(spark, [long, long + item, item]).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).coalesce(1)
+    out = corpus_pipeline.decontamination_stage(spark, df, str(tmp_path))
+    assert {r.doc_id: r.text for r in out.collect()} == {0: long, 1: long + item}
+    for f in out.inputFiles():
+        m = pq.read_metadata(f.removeprefix("file:").replace("//", "/"))
+        assert m.num_rows > 1 and all(m.row_group(k).num_rows == 1 for k in range(m.num_row_groups))
+
+
 def test_phrases_never_cross_documents(spark):
     item = "a b c d e f g h i j k l m"
     out = decontaminate.decontaminated(docs(spark, ["a b c d e f g", "h i j k l m", item]).coalesce(1).drop("block"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
