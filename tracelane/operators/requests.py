@@ -74,14 +74,17 @@ def excluded(df: DataFrame, **how) -> DataFrame:
     return with_reasons(df, **how).where(F.col("exclusion_reason").isNotNull())
 
 
-def mark_duplicates(df: DataFrame, order: str = "record_ordinal") -> DataFrame:
+def mark_duplicates(df: DataFrame, order: str = "record_ordinal", parts: int | None = None) -> DataFrame:
     """df with is_exact_duplicate: another row, earlier in order, says the same in all columns but the origin's.
 
-    Rows meet by a hash of what they say and are compared in full, so wide rows are not sorted as a whole.
+    Rows meet by a hash of what they say and are compared in full, so wide rows are not sorted as a whole. parts: how
+    many partitions they meet in, for a caller that knows how much there is; Spark's number by default.
     """
     said = [c for c in df.columns if c not in ORIGIN and not c.startswith("raw_")]
-    w = Window.partitionBy(F.xxhash64(*said), *said).orderBy(F.col(order).asc_nulls_last())
-    return df.withColumn("is_exact_duplicate", F.row_number().over(w) > 1)
+    df = df.withColumn("said_", F.xxhash64(*said))
+    df = df.repartition(parts, "said_") if parts else df
+    w = Window.partitionBy("said_", *said).orderBy(F.col(order).asc_nulls_last())
+    return df.withColumn("is_exact_duplicate", F.row_number().over(w) > 1).drop("said_")
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,12 +19,15 @@ EXCLUSIONS = (
     "github_run_id", "artifact_id", "artifact_name", "concurrency", "conversation_id", "source_trace_id", "source_outer_idx", "source_inner_idx", "root_trace_id", "root_trace_id_provenance", "session_num", "turn_index",
     "record_ordinal", "source_file_path", "benchmark_phase", "error_present", "was_cancelled", "input_tokens", "output_tokens", "ttft_ms", "e2e_ms", "itl_ms", "is_exact_duplicate", "exclusion_reason",
 )
+#: Bytes of profiles, as text, whose requests one task sorts to find duplicates: at most, and where Spark's number of
+#: partitions would do, at least. As a row a request takes several times its text.
+MOST_TEXT, LEAST_TEXT = 16 << 20, 1 << 20
 
 
-def classified(requests: DataFrame, **how) -> DataFrame:
+def classified(requests: DataFrame, parts: int | None = None, **how) -> DataFrame:
     """Canonical requests with exact duplicates marked (not excluded by that), exclusion_reason, is_profiled_valid,
-    derived metrics and identity."""
-    out = with_reasons(mark_duplicates(requests), **how)
+    derived metrics and identity. parts: as mark_duplicates says."""
+    out = with_reasons(mark_duplicates(requests, parts=parts), **how)
     return add_identity(add_metrics(out.withColumn("is_profiled_valid", F.col("exclusion_reason").isNull())))
 
 
@@ -33,11 +37,20 @@ def empty_requests(spark: SparkSession) -> DataFrame:
     return classified(canonical(none))
 
 
-def _profile_files(spark: SparkSession, path: str, glob: str) -> int:
+def _profile_files(spark: SparkSession, path: str, glob: str) -> tuple[int, int]:
+    """How many files there are and their bytes."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return 0
-    return len(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).inputFiles())
+        return 0, 0
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    return len(files.inputFiles()), int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _parts(spark: SparkSession, n_bytes: int) -> int:
+    """Partitions for requests of so many bytes of text. Spark would join partitions by their compressed bytes, which
+    say little of what a sort of wide rows holds."""
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / LEAST_TEXT))
+    return max(1, least, math.ceil(n_bytes / MOST_TEXT))
 
 
 def build_requests(spark: SparkSession, raw: str, out: str, artifacts: DataFrame | None = None, environment: Mapping[str, object] | None = None, missing: str = "empty", glob: str = GLOB, **how) -> dict:
@@ -47,11 +60,11 @@ def build_requests(spark: SparkSession, raw: str, out: str, artifacts: DataFrame
     counts were observed while it was written and must agree with both. No profile is a state of its own (missing:
     empty writes empty tables, error raises), never a table of zeros. Returns the status.
     """
-    n_files = _profile_files(spark, raw, glob)
+    n_files, n_bytes = _profile_files(spark, raw, glob)
     if not n_files and missing == "error":
         raise FileNotFoundError(f"no {glob} below {raw}")
     faults = Observation("faults")
-    rows = classified(read_profiles(spark, raw, artifacts, environment, glob=glob, bad=faults), **how) if n_files else empty_requests(spark)
+    rows = classified(read_profiles(spark, raw, artifacts, environment, glob=glob, bad=faults), parts=_parts(spark, n_bytes), **how) if n_files else empty_requests(spark)
     count = Observation("requests")
     rows = rows.observe(count, F.count(F.lit(1)).alias("all"), F.count_if("is_profiled_valid").alias("profiled"), F.count_if(~F.col("is_profiled_valid")).alias("excluded"), F.count_if("is_exact_duplicate").alias("duplicates"))
     write_parquet(rows, f"{out}/requests_all.parquet")
