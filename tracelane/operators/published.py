@@ -135,21 +135,23 @@ def chosen(results: DataFrame, path: str = "path") -> DataFrame:
     that of one known artifact is not chosen."""
     r = F.col("recognized")
     linked = "artifact_match_status" in results.columns
-    status = F.coalesce("artifact_match_status", F.lit("unambiguous")) if linked else F.lit("unambiguous")
     columns = [c for c in results.columns if c not in ("concurrency", "recognized")]
+    # taken only where one object is recognized, so any object's will do; a column each, so that unread ones aren't shuffled
+    one = [F.any_value(F.when(r, F.col(c)), True).alias(f"one_{c}_") for c in columns]
     seen = results.groupBy("concurrency").agg(
         F.count_distinct(F.when(r, F.col(path))).alias("candidate_file_count"), F.count_if(r).alias("candidate_object_count"),
         F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(r, F.col(path)))), "; "), F.lit("")).alias("recognized_paths_"), F.nullif(F.array_join(F.array_sort(F.collect_set(path)), "; "), F.lit("")).alias("all_paths_"),
-        F.min_by(F.when(r, F.struct(*columns, status.alias("status_"))), F.when(r, F.struct(path, "object_no"))).alias("one_"),
+        *one,
     )
-    by_artifact = F.when(F.col("one_.status_") == "ambiguous", "ambiguous_artifact_context").when(F.col("one_.status_") != "unambiguous", "unmatched_artifact_context")
+    status = F.coalesce("one_artifact_match_status_", F.lit("unambiguous")) if linked else F.lit("unambiguous")
+    by_artifact = F.when(status == "ambiguous", "ambiguous_artifact_context").when(status != "unambiguous", "unmatched_artifact_context")
     n_files, n_objects = F.col("candidate_file_count"), F.col("candidate_object_count")
     seen = seen.withColumns({
         "candidate_source_paths": F.coalesce("recognized_paths_", "all_paths_"),
         "selection_status": F.when(n_objects == 0, "no_recognized_published_metrics").when((n_files > 1) | (n_objects > 1), "ambiguous_published_candidates").otherwise(by_artifact),
         "selection_note": F.when(n_objects == 0, SELECTION_NOTES["no_recognized_published_metrics"]).when(n_files > 1, SELECTION_NOTES["several_files"]).when(n_objects > 1, SELECTION_NOTES["several_objects"]).when(by_artifact.isNotNull(), SELECTION_NOTES["artifact"]),
     })
-    take = [F.when(F.col("selection_status").isNull(), F.col(f"one_.{c}")).alias(c) for c in columns]
+    take = [F.when(F.col("selection_status").isNull(), F.col(f"one_{c}_")).alias(c) for c in columns]
     return seen.select("concurrency", "candidate_file_count", "candidate_object_count", "candidate_source_paths", "selection_status", "selection_note", *take)
 
 
