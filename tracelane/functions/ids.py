@@ -146,17 +146,32 @@ def artifact_category(name: Column | str) -> Column:
     )
 
 
-def name_concurrency(name: Column | str) -> Column:
-    """The concurrency in a name (conc8, 8conc or c8 between marks); null if there is none or names disagree. A UUID, as
-    Spark puts into the names of its files, says nothing: -c817- may be a part of it."""
-    n = F.regexp_replace(F.lower(F.trim(as_column(name))), UUID, "")
+def _plain(name: Column) -> Column:
+    """name in lower case without UUIDs, as Spark puts into the names of its files: -c817- may be a part of one."""
+    return F.regexp_replace(F.lower(F.trim(name)), UUID, "")
+
+
+def _concurrencies(plain: Column) -> Column:
+    """The concurrencies that a plain name says, each once."""
     patterns = (rf"(?<![a-z0-9]){CONCURRENCY}[_.-]?(\d+)(?!\d)", rf"(?<![a-z0-9])(\d+)[_.-]?{CONCURRENCY}(?![a-z0-9])", r"(?:^|[_.-])c[_.-]?(\d+)(?:$|[_.-])")
-    texts = F.flatten(F.array(*(F.regexp_extract_all(n, F.lit(p), 1) for p in patterns)))
-    found = F.array_distinct(F.filter(F.transform(texts, lambda x: x.try_cast("int")), lambda x: x > 0))
-    return F.when(F.size(found) == 1, F.element_at(found, 1))
+    texts = F.flatten(F.array(*(F.regexp_extract_all(plain, F.lit(p), 1) for p in patterns)))
+    return F.array_distinct(F.filter(F.transform(texts, lambda x: x.try_cast("int")), lambda x: x > 0))
+
+
+def _first_concurrency(names: Column) -> Column:
+    """The concurrency of the first of several names that has one. A step over a list reads the step before once, where
+    nested expressions would match the same patterns again."""
+    found = F.transform(F.transform(names, _plain), _concurrencies)
+    return F.try_element_at(F.filter(found, lambda x: F.size(x) == 1), F.lit(1))[0]
+
+
+def name_concurrency(name: Column | str) -> Column:
+    """The concurrency in a name (conc8, 8conc or c8 between marks); null if there is none or names disagree. A UUID
+    says nothing."""
+    return _first_concurrency(F.array(as_column(name)))
 
 
 def path_concurrency(path: Column | str) -> Column:
     """The concurrency of the innermost path part that has one."""
     parts = F.reverse(F.split(as_column(path), "/"))
-    return F.try_element_at(F.filter(F.transform(parts, name_concurrency), lambda x: x.isNotNull()), F.lit(1))
+    return _first_concurrency(F.filter(parts, lambda x: F.lower(x).contains("c") & x.rlike("[0-9]")))  # no others have one

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: What is known of a field: its text, its path, the text of its unit and the kind of its value.
-FOUND = T.StructType([T.StructField(n, T.StringType()) for n in ("value", "path", "unit", "kind")])
+PARTS = ("value", "path", "unit", "kind")
 _NAMES: dict[str, str] = {}
 #: Paths of record shapes that a task keeps at most, and those of one record more.
 SHAPE_PATHS = 50_000
@@ -40,14 +40,21 @@ def plain_name(name: str) -> str:
 
 def leaves(record: object) -> dict[str, object]:
     """Dotted paths and their scalars, in the record's order; an empty object has none."""
+    plain = lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True) if isinstance(v, list) else v
+    if not isinstance(record, dict):
+        return {"": plain(record)}
     out: dict[str, object] = {}
-    todo: list[tuple[str, object]] = [("", record)]
-    while todo:
-        path, v = todo.pop()
-        if isinstance(v, dict):
-            todo += [(f"{path}.{k}" if path else k, c) for k, c in reversed(v.items())]
+    open_ = [("", iter(record.items()))]
+    while open_:
+        above, items = open_[-1]
+        for k, v in items:
+            path = above + k
+            if isinstance(v, dict):
+                open_.append((f"{path}." if path else "", iter(v.items())))
+                break
+            out[path] = plain(v) if isinstance(v, list) else v
         else:
-            out[path] = json.dumps(v, ensure_ascii=False, sort_keys=True) if isinstance(v, list) else v
+            open_.pop()
     return out
 
 
@@ -93,69 +100,83 @@ class Shape:
         self.objects = [(f, place.get(found[f]), unit(f)) for f in objects if f in fields]
 
 
+class Alike:
+    """The records of a batch that have one shape and the same whole objects. values: what their fields and the units of
+    those need of each record, whole objects after the leaves."""
+
+    def __init__(self, shape: Shape, n_paths: int, whole: Mapping[str, int | None]) -> None:
+        self.fields = [x for x in shape.leaves if x[0] not in whole] + [(f, n_paths + k, f, unit) for k, (f, unit) in enumerate(whole.items())]
+        self.places = sorted({k for _, place, _, unit in self.fields for k in (place, unit) if k is not None})
+        self.rows: list[int] = []
+        self.values: list[list] = []
+
+    def known(self) -> Iterator[tuple[str, Sequence, str, Sequence | None]]:
+        """For each field: its values, their path and what stands where their units would."""
+        columns = dict(zip(self.places, zip(*self.values, strict=True), strict=True))
+        for f, place, path, unit in self.fields:
+            yield f, columns[place], path, None if unit is None else columns[unit]
+
+
 _KINDS: dict[type, tuple[str, Callable[[object], str | None]]] = {
     type(None): ("null", lambda v: v), str: ("text", lambda v: v), bool: ("boolean", json.dumps), int: ("number", int.__repr__), float: ("number", lambda v: repr(v) if math.isfinite(v) else json.dumps(v)),
 }
 _OBJECT = ("object", lambda v: json.dumps(v, ensure_ascii=False))
 
 
+def _parts(names: Sequence[str], values: Sequence, path: str, units: Sequence | None) -> list[list]:
+    """The named PARTS of values that stand at one path."""
+    kinds = {t: _KINDS.get(t, _OBJECT) for t in set(map(type, values))}
+    made = {
+        "value": lambda: [*map(next(iter(kinds.values()))[1], values)] if len(kinds) == 1 else [kinds[type(v)][1](v) for v in values], "path": lambda: [path] * len(values),
+        "unit": lambda: [u if isinstance(u, str) else None for u in units] if units else [None] * len(values), "kind": lambda: [kinds[type(v)][0] for v in values],
+    }
+    return [made[n]() for n in names]
+
+
 def _structs(found: Mapping[str, list[list]], none: np.ndarray, kind: pa.StructType) -> pa.StructArray:
     """One struct for each row, with a struct for each field: found says what is known of which rows; a field that isn't
     there is of the kind null, and none marks the rows without a record."""
-    n, nulls, columns = len(none), pa.nulls(len(none), pa.string()), []
-    absent = pa.StructArray.from_arrays([nulls, nulls, nulls, pa.array(["null"]).take(pa.array(np.zeros(n, np.int64)))], fields=list(kind.field(0).type))
+    n, columns = len(none), []
+    blank = {p: pa.repeat(pa.scalar("null" if p == "kind" else None, pa.string()), n) for p in PARTS}
     for f in kind:
-        known = found[f.name]
-        if not known:
-            columns.append(absent)
-            continue
-        at = np.zeros(n, np.int64)
-        at[known[0]] = np.arange(1, len(known[0]) + 1)
-        parts = [pa.array([first, *column], pa.string()).take(pa.array(at)) for first, column in zip((None, None, None, "null"), known[1:], strict=True)]
+        names, known = [p.name for p in f.type], found[f.name]
+        if known:
+            at = np.zeros(n, np.int64)
+            at[known[0]] = np.arange(1, len(known[0]) + 1)
+            parts = [pa.array(["null" if p == "kind" else None, *column], pa.string()).take(pa.array(at)) for p, column in zip(names, known[1:], strict=True)]
+        else:
+            parts = [blank[p] for p in names]
         columns.append(pa.StructArray.from_arrays(parts, fields=list(f.type)))
     return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array(none))
 
 
-def resolved(df: DataFrame, json_text: str, fields: Mapping[str, Sequence[str]], objects: Sequence[str] = (), near_units: bool = False, split: Callable[[object], list] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+def resolved(df: DataFrame, json_text: str, fields: Mapping[str, Sequence[str]], objects: Sequence[str] = (), near_units: bool = False, split: Callable[[object], list] | None = None, keep: Sequence[str] | None = None, parts: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """df with a column found: for each field value, path, unit and kind (text, number, boolean, object, null).
 
     objects: fields that, if nothing else fits, may be a whole object of that name at the top of the record. split: gives
     the records of one JSON text, each a row of its own; df then gets object_no (from 0, null for a text that is no JSON
-    or has none). keep: columns of df to keep, all by default. A text that isn't JSON gives a row of nulls.
+    or has none). keep: columns of df to keep, all by default. parts: those of PARTS that found has of a field, all for
+    fields that it doesn't name; what nobody reads is then neither made nor moved. A text that isn't JSON gives a row of
+    nulls.
     """
     plain = {f: [plain_name(a) for a in aliases] for f, aliases in fields.items()}
+    wanted = {f: tuple((parts or {}).get(f, PARTS)) for f in fields}
     kept = [c for c in (df.columns if keep is None else keep)]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("object_no", T.IntegerType()), T.StructField("found", T.StructType([T.StructField(f, FOUND) for f in fields]))])
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("object_no", T.IntegerType()), T.StructField("found", T.StructType([T.StructField(f, T.StructType([T.StructField(p, T.StringType()) for p in wanted[f]])) for f in fields]))])
     want = to_arrow_schema(schema)
     shapes: dict[tuple[str, ...], Shape] = {}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, numbers = [], []
-            found: dict[str, list[list]] = {f: [] for f in fields}  # of each field: rows and what is known in them
-
-            def put(f: str, row: int, v: object, path: str, unit: object) -> None:
-                columns = found[f]
-                if not columns:
-                    columns.extend([] for _ in range(5))
-                kind, text = _KINDS.get(type(v), _OBJECT)
-                at, texts, paths, units, kinds = columns
-                at.append(row)
-                texts.append(text(v))
-                paths.append(path)
-                units.append(unit if isinstance(unit, str) else None)
-                kinds.append(kind)
-
+            alike: dict[tuple, Alike] = {}
             for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 try:
                     record = json.loads(text) if text is not None else None
                 except ValueError:
                     record = None
-                parts = [record] if split is None else split(record)
-                for n, part in enumerate(parts):
-                    row = len(take)
-                    take.append(k)
-                    numbers.append(n)
+                records = [record] if split is None else split(record)
+                for n, part in enumerate(records):
                     flat = leaves(part)
                     paths, values = tuple(flat), list(flat.values())
                     shape = shapes.get(paths)
@@ -164,18 +185,28 @@ def resolved(df: DataFrame, json_text: str, fields: Mapping[str, Sequence[str]],
                             shapes.clear()
                         shape = shapes[paths] = Shape(paths, plain, objects, near_units)
                     whole = {}
-                    if isinstance(part, dict):
+                    if shape.objects and isinstance(part, dict):
                         whole = {f: unit for f, place, unit in shape.objects if (place is None or values[place] is None) and isinstance(part.get(f), (dict, list))}
-                    for f, place, path, unit in shape.leaves:
-                        if f not in whole:
-                            put(f, row, values[place], path, None if unit is None else values[unit])
-                    for f, unit in whole.items():
-                        put(f, row, part[f], f, None if unit is None else values[unit])
-                if not parts:
+                        values += [part[f] for f in whole]
+                    same = alike.get((paths, *whole))
+                    if same is None:
+                        same = alike[paths, *whole] = Alike(shape, len(paths), whole)
+                    same.rows.append(len(take))
+                    same.values.append([values[p] for p in same.places])
+                    take.append(k)
+                    numbers.append(n)
+                if not records:
                     take.append(k)
                     numbers.append(None)
-            picked = batch.take(pa.array(take, pa.int64()))
-            columns = [picked.column(i).cast(want.field(i).type) for i in range(len(kept))]
+            found: dict[str, list[list]] = {f: [] for f in fields}  # of each field: rows and the wanted parts of it in them
+            for same in alike.values():
+                for f, values, path, units in same.known():
+                    if not found[f]:
+                        found[f] = [[] for _ in range(1 + len(wanted[f]))]
+                    for column, more in zip(found[f], [same.rows, *_parts(wanted[f], values, path, units)], strict=True):
+                        column += more
+            picked = pa.array(take, pa.int64())
+            columns = [batch.column(i).take(picked).cast(want.field(i).type) for i in range(len(kept))]
             none = np.array([n is None for n in numbers], bool)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), _structs(found, none, want.field("found").type)], schema=want)
 

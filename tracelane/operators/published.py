@@ -47,6 +47,8 @@ PARTS = {
     "asked_concurrency": ("concurrency", "target_concurrency", "conc"), "prefill_gpus": ("num_prefill_gpu",), "decode_gpus": ("num_decode_gpu",), "successes": ("num_requests_successful",),
     "mean_input": ("request_metrics.tokens.input.mean",), "mean_output": ("request_metrics.tokens.output_actual.mean",),
 }
+# What is read of these besides their values.
+MEANS = ("mean_input", "mean_output", "successes")
 IN_SECONDS, SECOND_UNITS = "request_metrics.latency", ("s", "sec", "seconds")
 # Four units in the last place of a double, relative to it.
 ROUNDING = 2.0**-50
@@ -103,7 +105,8 @@ def published_results(files: DataFrame, json_text: str = "value", path: str = "p
     where nothing says otherwise. A file that is no JSON has one row of nulls.
     """
     own = [c for c in files.columns if c != json_text]
-    out = resolved(files.withColumn("is_json_", F.try_parse_json(json_text).isNotNull()), json_text, {**METRICS, **PARTS}, near_units=True, split=result_objects, keep=[*own, "is_json_"])
+    read = {f: ("value", "path", "unit") if f in _LATENCIES else ("value", "path") if f in MEANS else ("value",) for f in (*METRICS, *PARTS)}
+    out = resolved(files.withColumn("is_json_", F.try_parse_json(json_text).isNotNull()), json_text, {**METRICS, **PARTS}, near_units=True, split=result_objects, keep=[*own, "is_json_"], parts=read)
     value, at = (lambda m: number(F.col(f"found.{m}.value"))), (lambda m: F.col(f"found.{m}.path"))
 
     def latency(m: str) -> Column:

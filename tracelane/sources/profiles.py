@@ -75,7 +75,10 @@ def canonical(records: DataFrame, json_text: str = "value", extended: bool = Tru
     fields = {**TEXTS, **LONGS, **TIMES, **NUMBERS, **DURATIONS, "was_cancelled": CANCELLED, "error": ERROR}
     fields |= {**EXTRA_NUMBERS, **EXTRA_DURATIONS, **EXTRA_LENGTHS} if extended else {}
     own = [c for c in records.columns if c not in (json_text, "record")]
-    out = resolved(records, json_text, fields, objects=("error",), keep=own)
+    timed = {*DURATIONS, *EXTRA_DURATIONS}
+    placed = {*timed, *TIMES, "raw_status", *EXTRA_NUMBERS, *EXTRA_LENGTHS}
+    read = {f: ("value", *["path"] * (f in placed), *["unit"] * (f in timed), *["kind"] * (f == "error")) for f in fields}
+    out = resolved(records, json_text, fields, objects=("error",), keep=own, parts=read)
     value, path, unit = (lambda f, part=part: F.col(f"found.{f}.{part}") for part in ("value", "path", "unit"))
     duration = lambda f: duration_ms(value(f), unit(f), path(f))
     made: dict[str, Column] = {c: F.lit(None).cast(t) for c, t in CONTEXT.items() if c not in own}
